@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.shred import NODE_DDL, shred_batches
@@ -175,24 +175,47 @@ def join_child(dom: DataFrame, anchor: Test, test: Test, key: str = "page_id") -
 
 
 def join_next(dom: DataFrame, anchor: Test, test: Test, key: str = "page_id") -> DataFrame:
-    """Each anchor with the first matching node after its start; none, no row.
+    """Each anchor with the first matching node after its start; an anchor without one has no row.
 
-    The matches are listed once, last first; an anchor then takes the smallest one beyond it.
+    The matches cut the node array into consecutive pieces, and all anchors in the piece before a
+    match belong to it, so each node is looked at once.
     """
     nodes = F.col("nodes")
 
-    def related(a):
-        hit = next_node(nodes, a, test)
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(F.filter(nodes, lambda n: F.lit(False)))
+    def piece(matches: Column) -> Column:
+        def before(b: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(matches, k - 1)["i"], F.lit(0))
+            anchors = select(F.slice(nodes, begin + 1, b["i"] - begin), anchor)
+            return F.transform(
+                anchors, lambda a: F.struct(a["pre"].alias("a_pre"), b["pre"].alias("b_pre"))
+            )
 
-    return _pairs(dom, anchor, related, key)
+        return F.flatten(F.transform(matches, before))
 
+    return dom.select(key, F.inline(let(select(nodes, test), piece)))
 
-def join_sibling(dom: DataFrame, anchor: Test, test: Test, key: str = "page_id") -> DataFrame:
-    nodes = F.col("nodes")
 
-    def related(a):
-        hit = next_sibling(nodes, a, test)
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(F.filter(nodes, lambda n: F.lit(False)))
-
-    return _pairs(dom, anchor, related, key)
+def join_sibling(dom: DataFrame, anchor: Test, test: Test, key: str = "page_id") -> DataFrame:
+    """Each anchor with its first matching later sibling: a window over the children of one parent."""
+    either = select(F.col("nodes"), lambda n: anchor(n) | test(n))
+    flags = F.transform(
+        either,
+        lambda n: F.struct(
+            n["pre"].alias("pre"),
+            n["parent"].alias("parent"),
+            F.coalesce(anchor(n), F.lit(False)).alias("is_a"),
+            F.coalesce(test(n), F.lit(False)).alias("is_b"),
+        ),
+    )
+    later = (
+        Window.partitionBy(key, "parent")
+        .orderBy(F.col("pre").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    b_pre = F.last(F.when(F.col("is_b"), F.col("pre")), ignorenulls=True).over(later)
+    return (
+        dom.select(key, F.inline(flags))
+        .withColumn("b_pre", b_pre)
+        .where("is_a and b_pre is not null")
+        .select(key, F.col("pre").alias("a_pre"), "b_pre")
+    )
