@@ -120,8 +120,8 @@ def route(pages: DataFrame, original: str = "original") -> DataFrame:
     )
 
 
-def read_layouts(dom: DataFrame, key: str) -> DataFrame:
-    """(key, page_type, parse_error, moderators, candidates) of shredded, routed pages.
+def read_layouts(dom: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page_type, parse_error, moderators, candidates) of shredded, routed pages.
 
     ``candidates`` holds every front-page case, or the chosen case of a section page. Each row only
     evaluates the layouts of its own page type.
@@ -141,7 +141,7 @@ def read_layouts(dom: DataFrame, key: str) -> DataFrame:
     wiki = F.array(sections.first_case(sections.WIKI_CASES, nodes, runs)).cast(CANDIDATES)
     old = F.array(sections.first_case(sections.OLD_CASES, nodes, runs)).cast(CANDIDATES)
     return dom.select(
-        key,
+        *keys,
         "page_type",
         "parse_error",
         F.when(kind == "moderators", moderators.roster(nodes, runs)).alias("moderators"),

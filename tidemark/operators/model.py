@@ -51,6 +51,7 @@ def fit(
 
 def score(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:
     """Add ``score``, the probability of class 1, and the hard prediction ``pred``."""
+    rows = rows.drop("score", "pred")
     scored = model.transform(with_grams(rows, text))
     return scored.select(
         *rows.columns,

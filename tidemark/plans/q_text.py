@@ -17,7 +17,7 @@ _CLEAN = (
 
 
 def _grams_of(tokens: str, source: str, key: str) -> str:
-    return f"""select {key}, unnest(list_concat(t, list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1]))) as term
+    return f"""select {key}, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))])) as term
       from (select {key}, {tokens} as t from {source})"""
 
 
@@ -34,7 +34,7 @@ def _documents(spark, sf_dir):
 @query(
     "tok_ngrams",
     r"""select doc_id, cast(len(t) as bigint) as tokens,
-      md5(array_to_string(list_concat(t, list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])), '|')) as grams
+      md5(array_to_string(list_concat(t, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))]), '|')) as grams
     from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as t from documents)""",
 )
 def tok_ngrams(spark, sf_dir):
@@ -189,7 +189,7 @@ def agg_best_threshold(spark, sf_dir):
 
 def _small_model(spark, sf_dir, kind="trees"):
     """A small model for the registered queries: the operators take the full size as parameters."""
-    docs = spread(labelled(spark, sf_dir))
+    docs = spread(labelled(spark, sf_dir)).select("doc_id", "text", "label")
     train = textfeat.split(docs, "doc_id").where("is_train")
     return docs, model.fit(train, max_features=500, kind=kind, rounds=5)
 

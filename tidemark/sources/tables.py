@@ -38,6 +38,9 @@ class VersionedTable:
         except AnalysisException:
             return None
 
+    def batch(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(self.path).where(F.col("batch") == number).drop("batch")
+
     def current(self) -> DataFrame | None:
         """Newest version per key."""
         log = self.log()
