@@ -26,6 +26,8 @@ def upsert_field(
     fresh = new
     if version is not None:
         fresh = latest_per_key(new, [key], [F.col(version).desc()])
+    if field not in stored.columns:
+        stored = stored.withColumn(field, F.lit(None).cast(new.schema[field].dataType))
     fresh = fresh.select(key, F.col(field).alias("__value"), F.lit(True).alias("__set"))
     value = F.when(F.col("__set"), F.col("__value")).otherwise(F.col(field)).alias(field)
     return stored.join(fresh, key, "full_outer").select(

@@ -92,14 +92,16 @@ def win_resolve_slot(spark, sf_dir):
               from wanted, range(1995, 2005) a(y), (values (1), (2)) b(h)) g
         where not exists (select 1 from seen s where s.url = g.url and s.year = g.year and s.half = g.half)""",
         "captures",
-        seen="select distinct url, year, half from captures where pos % 4 = 0 and community <> 'c7'",
-        wanted="select distinct url from captures",
+        seen="select distinct url, year, half from captures where error_code = 0",
+        wanted="select concat('https://www.reddit.com/r/c', cast(c_custkey as string), '/about/moderators') as url from customer",
     ),
 )
 def agg_slot_gaps(spark, sf_dir):
-    rows = captures(spark, sf_dir)
-    wanted = rows.select("url").distinct()
-    seen = rows.where("pos % 4 = 0 and community <> 'c7'")
+    """Slots without a successful capture, for every seed."""
+    template = "https://www.reddit.com/r/c{}/about/moderators"
+    seeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"))
+    wanted = C.expand_templates(seeds, [template]).select("url")
+    seen = captures(spark, sf_dir).where("error_code = 0")
     return C.slot_gaps(wanted, seen, 1995, 2004)
 
 
@@ -172,14 +174,14 @@ def join_rescue(spark, sf_dir):
     "join_rescue_outcome",
     oracle(
         """select url, fatal from state
-        where url not in (select url from errors where error_code = 0 and ts % 3 = 0)""",
+        where url not in (select url from errors where error_code = 0 and ts > 10000)""",
         "errors",
         state=_STATE,
     ),
 )
 def join_rescue_outcome(spark, sf_dir):
     events = errors(spark, sf_dir)
-    second = events.where("ts % 3 = 0").select("url", "error_code")
+    second = events.where("ts > 10000").select("url", "error_code")
     return L.rescue_outcome(L.fail_state(events), second).select("url", "fatal")
 
 

@@ -187,32 +187,34 @@ def sink_cache_upsert(spark, sf_dir):
         "pos",
         "year",
         F.col("pos").cast("double").alias("stamp"),
+        "digest",
     )
-    stored, new = rows.where("pos % 3 = 0"), rows.where("pos % 3 <> 0")
+    stored, new = rows.where("digest = 'P'").drop("digest"), rows.where("digest <> 'P'").drop("digest")
     return merge.upsert_rows(stored, new, ["cache_key"], "stamp")
 
 
 @query(
     "sink_field_upsert",
     """select coalesce(o.o_orderkey, n.k) as id,
-      case when n.k is not null then n.v else o.o_orderpriority end as rules,
+      case when n.k is not null then concat('new', cast(n.v as string)) else o.o_orderpriority end as rules,
       o.o_orderstatus as moderators
-    from (select * from orders where o_orderkey % 2 = 0) o
-    full outer join (select o_orderkey as k, concat('new', cast(o_custkey as string)) as v from orders
-                     where o_orderkey % 3 = 0) n on o.o_orderkey = n.k""",
+    from orders o full outer join (
+      select l_orderkey * 2 as k, max(l_partkey * 1000 + l_suppkey) as v from lineitem group by 1) n
+    on o.o_orderkey = n.k""",
 )
 def sink_field_upsert(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    stored = orders.where("o_orderkey % 2 = 0").select(
+    stored = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderpriority").alias("rules"),
         F.col("o_orderstatus").alias("moderators"),
     )
-    new = orders.where("o_orderkey % 3 = 0").select(
-        F.col("o_orderkey").alias("id"),
-        F.concat(F.lit("new"), F.col("o_custkey").cast("string")).alias("rules"),
+    stamp = F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    new = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 2).alias("id"),
+        stamp.alias("stamp"),
+        F.concat(F.lit("new"), stamp.cast("string")).alias("rules"),
     )
-    return merge.upsert_field(stored, new, "id", "rules")
+    return merge.upsert_field(stored, new, "id", "rules", "stamp")
 
 
 @query(
@@ -226,7 +228,7 @@ def sink_field_upsert(spark, sf_dir):
 )
 def sink_fail_append(spark, sf_dir):
     events = errors(spark, sf_dir)
-    log = fetchlog.append_errors(events.where("ts % 2 = 0"), events.where("ts % 2 <> 0"))
+    log = fetchlog.append_errors(events.where("error_code < 3"), events.where("error_code >= 3"))
     return fetchlog.fail_state(log).select("url", "n_errors", "fatal")
 
 

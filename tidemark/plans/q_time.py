@@ -34,7 +34,7 @@ def stream_parse_pending(spark, sf_dir):
 def stream_reparse_on_replace(spark, sf_dir):
     """Moderator pages are stored twice: an older copy with other people, then the current one."""
     pages = dispatch_pages(spark, sf_dir).withColumn("stamp", F.lit(2.0))
-    old = pages.where("page_id % 5 = 0").select(
+    old = pages.where(F.col("original").endswith("/about/moderators")).select(
         "page_id",
         "original",
         F.replace("html", F.lit("/u"), F.lit("/old")).alias("html"),

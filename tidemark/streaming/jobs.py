@@ -78,12 +78,8 @@ def parse_batch(
     nothing writes no result and leaves an earlier one in place.
     """
     key = tables.key
-    newest = (
-        pages.select(key, "stamp").groupBy(key).agg(F.max("stamp").alias("stamp"))
-    )
     dom = E.layout_dom(E.route(pages.select(key, "stamp", "original", "html")))
-    read = E.read_layouts(dom, key, "stamp").join(newest, [key, "stamp"], "left_semi")
-    tables.layouts.add(read, batch)
+    tables.layouts.add(E.read_layouts(dom, key, "stamp"), batch)
     stored = tables.layouts.batch(batch)
     layouts = latest_per_key(stored, [key], [F.col("stamp").desc()])
     stamps = layouts.select(key, "stamp")

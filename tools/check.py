@@ -37,6 +37,20 @@ def duck(sf_dir):
     return con
 
 
+SQL_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
+def _sql_types(con, name):
+    rel = con.sql(ORACLES[name])
+    return rel.columns, rel.types
+
+
 def compare(spark, con, name, sf_dir):
     start = time.time()
     df = QUERIES[name](spark, sf_dir)
@@ -44,6 +58,11 @@ def compare(spark, con, name, sf_dir):
     took = time.time() - start
     if name not in ORACLES:
         return (len(rows) > 0, f"rows only: {len(rows)}", took)
+    types = {n: str(t) for n, t in zip(*_sql_types(con, name))}
+    for field in df.schema.fields:
+        want = SQL_TYPES.get(field.dataType.simpleString(), field.dataType.simpleString())
+        if types.get(field.name) != want:
+            print(f"     type of {name}.{field.name}: {want} vs {types.get(field.name)}")
     res = con.execute(ORACLES[name])
     names = [d[0] for d in res.description]
     expected = res.fetchall()
