@@ -45,15 +45,20 @@ NODE_DDL = (
 )
 
 
-class _Open:
-    """An element that is still open."""
-
-    __slots__ = ("node", "kids", "elements", "only")
-
-    def __init__(self, node):
-        self.node = node
-        self.kids = 0  # children of any kind
-        self.elements = 0  # element children
+class _Node:
+    """An element while its page is read."""
+
+    __slots__ = (
+        "pre", "last", "parent", "depth", "child_idx", "tag", "attrs", "own", "t0", "t1",
+        "kids", "elements", "only",
+    )
+
+    def __init__(self, pre, parent, depth, child_idx, tag, attrs, t0):
+        self.pre = self.last = pre
+        self.parent, self.depth, self.child_idx = parent, depth, child_idx
+        self.tag, self.attrs, self.own = tag, attrs, None
+        self.t0 = self.t1 = t0
+        self.kids = self.elements = 0  # children of any kind, element children
         self.only = None  # the first child: a string or a node
 
 
@@ -63,8 +68,9 @@ class Shredder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.nodes, self.runs, self.pending = [], [], []
-        self.stack = [_Open({"pre": -1, "depth": -1, "tag": ""})]
+        self.stack = [_Node(-1, -1, -1, 0, "", (), 0)]
         self.open_names, self.closed_void = {}, []
+        self.hidden = self.spaced = 0  # open elements that hide text, or keep white space
 
     def _child(self, item) -> None:
         top = self.stack[-1]
@@ -79,10 +85,10 @@ class Shredder(HTMLParser):
         self.pending = []
         if not text:
             return
-        if not text.strip(_ASCII_SPACE) and not any(self.open_names.get(t) for t in KEEP_SPACE_TAGS):
+        if not self.spaced and not text.strip(_ASCII_SPACE):
             text = "\n" if "\n" in text else " "
         self._child(text)
-        if not any(self.open_names.get(t) for t in HIDDEN_TEXT_TAGS):
+        if not self.hidden:
             self.runs.append(text)
 
     def _mark(self, text: str) -> None:
@@ -91,41 +97,35 @@ class Shredder(HTMLParser):
         self._child(text)
 
     def _close_top(self) -> None:
-        top = self.stack.pop()
-        node = top.node
-        self.open_names[node["tag"]] -= 1
-        node["last"] = len(self.nodes) - 1
-        node["t1"] = len(self.runs)
-        if top.kids == 1:
-            node["own"] = top.only if isinstance(top.only, str) else top.only["own"]
+        node = self.stack.pop()
+        tag = node.tag
+        self.open_names[tag] -= 1
+        self.hidden -= tag in HIDDEN_TEXT_TAGS
+        self.spaced -= tag in KEEP_SPACE_TAGS
+        node.last = len(self.nodes) - 1
+        node.t1 = len(self.runs)
+        if node.kids == 1:
+            only = node.only
+            node.own = only if isinstance(only, str) else only.own
 
     def _start(self, tag, attrs) -> None:
         self._flush()
         parent = self.stack[-1]
         parent.elements += 1
-        values = {k: "" if v is None else v for k, v in attrs}
-        node = {
-            "pre": len(self.nodes),
-            "last": len(self.nodes),
-            "parent": parent.node["pre"],
-            "depth": parent.node["depth"] + 1,
-            "child_idx": parent.elements,
-            "tag": tag,
-            "attrs": values,
-            "classes": values.get("class", "").split(),
-            "own": None,
-            "t0": len(self.runs),
-            "t1": len(self.runs),
-        }
+        node = _Node(
+            len(self.nodes), parent.pre, parent.depth + 1, parent.elements, tag, attrs, len(self.runs)
+        )
         self._child(node)
         self.nodes.append(node)
-        self.stack.append(_Open(node))
+        self.stack.append(node)
         self.open_names[tag] = self.open_names.get(tag, 0) + 1
+        self.hidden += tag in HIDDEN_TEXT_TAGS
+        self.spaced += tag in KEEP_SPACE_TAGS
 
     def _end(self, tag) -> None:
         self._flush()
         while self.open_names.get(tag):
-            name = self.stack[-1].node["tag"]
+            name = self.stack[-1].tag
             self._close_top()
             if name == tag:
                 break
@@ -159,6 +159,7 @@ class Shredder(HTMLParser):
                 text = bytes([code]).decode("windows-1252", errors="ignore") or chr(code)
             else:
                 text = chr(code)
+            text.encode("utf-8")
         except (ValueError, OverflowError):
             text = "\N{REPLACEMENT CHARACTER}"
         self.pending.append(text)
@@ -188,11 +189,7 @@ class Shredder(HTMLParser):
         return self.nodes, self.runs
 
 
-def shred_page(
-    html: str | None,
-    keep_tags: Collection[str] | None = None,
-    keep_attrs: Collection[str] | None = None,
-) -> tuple[list[dict], list[str], str | None]:
+def read_page(html: str | None) -> tuple[list[_Node], list[str], str | None]:
     """(nodes, runs, error) of one page; a page that cannot be read gives its error, not a failure."""
     parser = Shredder()
     try:
@@ -200,46 +197,115 @@ def shred_page(
         nodes, runs = parser.finish()
     except Exception as exc:  # one bad page must not stop the job
         return [], [], f"{type(exc).__name__}: {exc}"
-    place = {}
-    kept = []
-    for node in nodes:
-        if keep_tags is None or node["tag"] in keep_tags:
-            node["i"] = place[node["pre"]] = len(kept)
-            kept.append(node)
-    ends = [place.get(node["pre"], -1) for node in nodes]
-    for k in range(1, len(ends)):
-        ends[k] = max(ends[k], ends[k - 1])
-    for node in kept:
-        node["j"] = ends[node["last"]]
-        node["up"] = place.get(node["parent"], -1)
-        if keep_attrs is not None:
-            node["attrs"] = {k: v for k, v in node["attrs"].items() if k in keep_attrs}
-        node["attrs"] = list(node["attrs"].items())
-    return kept, runs, None
+    return nodes, runs, None
+
+
+class _Columns:
+    """Flat columns of a batch of pages, turned into nested Arrow arrays at once."""
+
+    def __init__(self, keep_tags, keep_attrs):
+        self.keep_tags, self.keep_attrs = keep_tags, keep_attrs
+        self.flat = {
+            name: []
+            for name in (
+                "i", "j", "up", "pre", "last", "parent", "depth", "child_idx", "tag", "own", "t0", "t1"
+            )
+        }
+        self.node_ends, self.run_ends = [0], [0]
+        self.attr_ends, self.attr_keys, self.attr_values = [0], [], []
+        self.class_ends, self.class_names = [0], []
+        self.runs, self.errors = [], []
+
+    def add(self, html: str | None) -> None:
+        nodes, runs, error = read_page(html)
+        keep = self.keep_tags
+        place = [-1] * (len(nodes) + 1)  # the extra last item stands for "no parent"
+        upto = []  # number of kept nodes up to and including each node
+        kept = 0
+        for node in nodes:
+            if keep is None or node.tag in keep:
+                place[node.pre] = kept
+                kept += 1
+            upto.append(kept)
+        flat = self.flat
+        for node in nodes:
+            at = place[node.pre]
+            if at < 0:
+                continue
+            flat["i"].append(at)
+            flat["j"].append(upto[node.last] - 1)
+            flat["up"].append(place[node.parent])
+            flat["pre"].append(node.pre)
+            flat["last"].append(node.last)
+            flat["parent"].append(node.parent)
+            flat["depth"].append(node.depth)
+            flat["child_idx"].append(node.child_idx)
+            flat["tag"].append(node.tag)
+            flat["own"].append(node.own)
+            flat["t0"].append(node.t0)
+            flat["t1"].append(node.t1)
+            if node.attrs:
+                values = dict(node.attrs)
+                for name, value in values.items():
+                    if self.keep_attrs is None or name in self.keep_attrs:
+                        self.attr_keys.append(name)
+                        self.attr_values.append(value or "")
+                self.class_names.extend((values.get("class") or "").split())
+            self.attr_ends.append(len(self.attr_keys))
+            self.class_ends.append(len(self.class_names))
+        self.node_ends.append(len(flat["i"]))
+        self.runs.extend(runs)
+        self.run_ends.append(len(self.runs))
+        self.errors.append(error)
+
+    def arrays(self) -> list[pa.Array]:
+        offsets = lambda ends: pa.array(ends, pa.int32())
+        children = []
+        for field in NODE_TYPE:
+            if field.name == "attrs":
+                column = pa.MapArray.from_arrays(
+                    offsets(self.attr_ends),
+                    pa.array(self.attr_keys, pa.string()),
+                    pa.array(self.attr_values, pa.string()),
+                )
+            elif field.name == "classes":
+                column = pa.ListArray.from_arrays(
+                    offsets(self.class_ends), pa.array(self.class_names, pa.string())
+                )
+            else:
+                column = pa.array(self.flat[field.name], field.type)
+            children.append(column)
+        nodes = pa.StructArray.from_arrays(children, fields=list(NODE_TYPE))
+        return [
+            pa.ListArray.from_arrays(offsets(self.node_ends), nodes),
+            pa.ListArray.from_arrays(offsets(self.run_ends), pa.array(self.runs, pa.string())),
+            pa.array(self.errors, pa.string()),
+        ]
 
 
 def shred_batches(
     batches: Iterator[pa.RecordBatch],
     keep_tags: Collection[str] | None,
     keep_attrs: Collection[str] | None,
-    rows_per_batch: int = 64,
+    html_per_batch: int = 16 << 20,
 ) -> Iterator[pa.RecordBatch]:
-    """Arrow batches with column ``html`` replaced by ``nodes``, ``runs`` and ``parse_error``."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, rows_per_batch):
-            batch = whole.slice(start, rows_per_batch)
-            at = batch.schema.get_field_index("html")
-            nodes, runs, errors = [], [], []
-            for html in batch.column(at).to_pylist():
-                n, r, e = shred_page(html, keep_tags, keep_attrs)
-                nodes.append(n)
-                runs.append(r)
-                errors.append(e)
-            names = [n for n in batch.schema.names if n != "html"]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            columns += [
-                pa.array(nodes, pa.list_(NODE_TYPE)),
-                pa.array(runs, pa.list_(pa.string())),
-                pa.array(errors, pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names + ["nodes", "runs", "parse_error"])
+    """Arrow batches with column ``html`` replaced by ``nodes``, ``runs`` and ``parse_error``.
+
+    A result batch is closed after a fixed amount of HTML, so memory does not grow with page size.
+    """
+    for batch in batches:
+        at = batch.schema.get_field_index("html")
+        others = [n for n in batch.schema.names if n != "html"]
+        html = batch.column(at)
+        start, size, columns = 0, 0, _Columns(keep_tags, keep_attrs)
+        for row in range(batch.num_rows):
+            page = html[row].as_py()
+            columns.add(page)
+            size += len(page or "")
+            if size >= html_per_batch or row == batch.num_rows - 1:
+                part = batch.slice(start, row + 1 - start)
+                values = [part.column(part.schema.get_field_index(n)) for n in others]
+                yield pa.RecordBatch.from_arrays(
+                    values + columns.arrays(), others + ["nodes", "runs", "parse_error"]
+                )
+                start, size, columns = row + 1, 0, _Columns(keep_tags, keep_attrs)

@@ -98,7 +98,7 @@ def slot_gaps(urls: DataFrame, captures: DataFrame, first: int, last: int) -> Da
     """
     number = F.col("year") * 2 + F.col("half") - 1
     seen = captures.where(F.col("year").between(first, last)).select("url", number.alias("slot"))
-    wanted = urls.select("url", F.lit(None).cast("int").alias("slot"))
+    wanted = urls.select("url", F.lit(-2).alias("slot"))
     any_capture = captures.select("url", F.lit(-1).alias("slot"))
     grid = F.sequence(F.lit(first * 2), F.lit(last * 2 + 1))
     slot = F.col("slot")
@@ -108,6 +108,7 @@ def slot_gaps(urls: DataFrame, captures: DataFrame, first: int, last: int) -> Da
         .unionByName(any_capture)
         .groupBy("url")
         .agg(F.collect_set("slot").alias("seen"))
+        .where(F.array_contains("seen", -2))
         .withColumn("slot", F.explode(F.array_except(grid, F.col("seen"))))
         .select(
             "url",

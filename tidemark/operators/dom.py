@@ -14,6 +14,7 @@ from collections.abc import Callable, Collection
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import let
 from tidemark.functions.shred import NODE_DDL, shred_batches
 from tidemark.functions.text import strip
 
@@ -33,11 +34,6 @@ def shred(
     return pages.mapInArrow(lambda batches: shred_batches(batches, tags, attrs), schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``, also inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 

@@ -8,6 +8,7 @@ candidates are then exploded, scored in one columnar pass and brought together a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,12 +121,10 @@ def route(pages: DataFrame, original: str = "original") -> DataFrame:
     )
 
 
-def read_layouts(dom: DataFrame, *keys: str) -> DataFrame:
-    """(keys, page_type, parse_error, moderators, candidates) of shredded, routed pages.
-
-    ``candidates`` holds every front-page case, or the chosen case of a section page. Each row only
-    evaluates the layouts of its own page type.
-    """
+@lru_cache(maxsize=2)
+def _layout_columns(application: str) -> tuple[Column, Column]:
+    """(moderators, candidates) by page type. The expressions are large, so a session builds them
+    once; every batch of a stream reuses them."""
     nodes, runs, kind = F.col("nodes"), F.col("runs"), F.col("page_type")
     front = F.transform(
         homepage.candidates(nodes, runs),
@@ -140,10 +139,7 @@ def read_layouts(dom: DataFrame, *keys: str) -> DataFrame:
     front = F.filter(front, lambda c: F.size(c["rules"]) > 0).cast(CANDIDATES)
     wiki = F.array(sections.first_case(sections.WIKI_CASES, nodes, runs)).cast(CANDIDATES)
     old = F.array(sections.first_case(sections.OLD_CASES, nodes, runs)).cast(CANDIDATES)
-    return dom.select(
-        *keys,
-        "page_type",
-        "parse_error",
+    return (
         F.when(kind == "moderators", moderators.roster(nodes, runs)).alias("moderators"),
         F.when(kind == "homepage", front)
         .when(kind == "wiki", wiki)
@@ -152,6 +148,16 @@ def read_layouts(dom: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def read_layouts(dom: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page_type, parse_error, moderators, candidates) of shredded, routed pages.
+
+    ``candidates`` holds every front-page case, or the chosen case of a section page. Each row only
+    evaluates the layouts of its own page type.
+    """
+    columns = _layout_columns(dom.sparkSession.sparkContext.applicationId)
+    return dom.select(*keys, "page_type", "parse_error", *columns)
+
+
 def rule_candidates(layouts: DataFrame, key: str) -> DataFrame:
     """One row per candidate: (key, page_type, case_no, pos, title, description, score_text)."""
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import let
 from tidemark.functions.text import bigrams, clean_text, hash_bucket, words
 
 # Vocabulary size and share of the training part.
@@ -16,26 +17,24 @@ BROADCAST_TERMS = 200_000
 
 
 def grams(text: Column) -> Column:
-    """Words and word pairs of a text."""
-    tokens = words(text)
-    return F.concat(tokens, bigrams(tokens))
+    """Words and word pairs of the cleaned text, tokenised once."""
+    return let(words(clean_text(text)), lambda t: F.concat(t, bigrams(t)))
 
 
 def with_grams(docs: DataFrame, text: str = "text", out: str = "grams") -> DataFrame:
-    """Clean the text and add its n-grams; training and scoring both pass through here."""
-    return (
-        docs.withColumn("__tokens", words(clean_text(F.col(text))))
-        .withColumn(out, F.concat("__tokens", bigrams(F.col("__tokens"))))
-        .drop("__tokens")
-    )
+    """Add the n-grams; training and scoring both pass through here."""
+    return docs.withColumn(out, grams(F.col(text)))
+
+
+# In the operators below the n-gram expression stands inside ``explode``. Exploding a column of it
+# would make the optimizer test the size of the array below the scan, and so tokenise twice.
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf). All terms of a document start in one task, so the partial aggregate already
     cuts them to distinct terms before the shuffle."""
     return (
-        with_grams(docs, text)
-        .select(key, F.explode("grams").alias("term"))
+        docs.select(key, F.explode(grams(F.col(text))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -44,8 +43,7 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def vocabulary(docs: DataFrame, k: int = MAX_FEATURES, text: str = "text") -> DataFrame:
     """The k terms with the highest total count; ties by term. No per-document step is needed."""
     return (
-        with_grams(docs, text)
-        .select(F.explode("grams").alias("term"))
+        docs.select(F.explode(grams(F.col(text))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.col("n").desc(), F.col("term"))
@@ -56,26 +54,43 @@ def vocabulary(docs: DataFrame, k: int = MAX_FEATURES, text: str = "text") -> Da
 def doc_freq(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, df): in how many documents a term occurs."""
     return (
-        with_grams(docs, text)
-        .select(F.explode(F.array_distinct("grams")).alias("term"))
+        docs.select(F.explode(F.array_distinct(grams(F.col(text)))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
 
 
+def term_totals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n, df): total count and document frequency in one pass over the texts and one shuffle."""
+
+    def marked(terms: Column, n: int, df: int) -> Column:
+        return F.transform(
+            terms,
+            lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(df).alias("df")),
+        )
+
+    both = let(
+        grams(F.col(text)), lambda g: F.concat(marked(g, 1, 0), marked(F.array_distinct(g), 0, 1))
+    )
+    return (
+        docs.select(F.inline(both)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    )
+
+
 def split(docs: DataFrame, key: str, seed: int = SPLIT_SEED, percent: int = TRAIN_PERCENT) -> DataFrame:
     """Add ``is_train`` from a hash of the key: stable under retries and repartitioning."""
     return docs.withColumn("is_train", hash_bucket(F.col(key), seed) < percent)
 
 
 def inverse_doc_freq(train: DataFrame, text: str = "text", k: int | None = MAX_FEATURES) -> DataFrame:
-    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1 over the training documents."""
-    frequency = doc_freq(train, text)
+    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1 over the training documents, for the k most
+    frequent terms."""
+    totals = term_totals(train, text)
     if k is not None:
-        frequency = frequency.join(vocabulary(train, k, text).select("term"), "term", "left_semi")
-    total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return frequency.select(
-        "term", (F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1).alias("idf")
+        totals = totals.orderBy(F.col("n").desc(), F.col("term")).limit(k)
+    documents = train.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return totals.select(
+        "term", (F.log((F.lit(1) + documents) / (F.lit(1) + F.col("df"))) + 1).alias("idf")
     )
 
 
