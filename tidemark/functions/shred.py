@@ -6,6 +6,7 @@ elements in document order). Everything that reads a layout is a column expressi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -20,6 +21,15 @@ VOID_TAGS = frozenset(
 )
 HIDDEN_TEXT_TAGS = frozenset("script style template rt rp".split())
 KEEP_SPACE_TAGS = frozenset("pre textarea".split())
+RAW_TEXT_TAGS = frozenset(
+    "script style textarea title xmp iframe noembed noframes noscript plaintext".split()
+)
+# Tags in their plainest form are read with one match; all others are left to the library's parser.
+_PLAIN_START = re.compile(
+    r'<([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][-a-zA-Z0-9_]*="[^"<>&]*")*)\s*(/?)>'
+)
+_PLAIN_ATTR = re.compile(r'([a-zA-Z][-a-zA-Z0-9_]*)="([^"]*)"')
+_PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
 _ASCII_SPACE = " \n\t\f\r"
 
 NODE_FIELDS = [
@@ -130,6 +140,31 @@ class Shredder(HTMLParser):
             if name == tag:
                 break
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
+    def parse_starttag(self, i):
+        match = _PLAIN_START.match(self.rawdata, i)
+        if match is None:
+            return super().parse_starttag(i)
+        tag, attrs, closed = match.groups()
+        tag = tag.lower()
+        if tag in RAW_TEXT_TAGS:
+            return super().parse_starttag(i)
+        pairs = [(k.lower(), v) for k, v in _PLAIN_ATTR.findall(attrs)] if attrs else ()
+        if closed:
+            self.handle_startendtag(tag, pairs)
+        else:
+            self.handle_starttag(tag, pairs)
+        return match.end()
+
+    def parse_endtag(self, i):
+        match = None if self.cdata_elem else _PLAIN_END.match(self.rawdata, i)
+        if match is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(match.group(1).lower())
+        return match.end()
+
     def handle_starttag(self, tag, attrs):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
@@ -205,12 +240,7 @@ class _Columns:
 
     def __init__(self, keep_tags, keep_attrs):
         self.keep_tags, self.keep_attrs = keep_tags, keep_attrs
-        self.flat = {
-            name: []
-            for name in (
-                "i", "j", "up", "pre", "last", "parent", "depth", "child_idx", "tag", "own", "t0", "t1"
-            )
-        }
+        self.rows = []
         self.node_ends, self.run_ends = [0], [0]
         self.attr_ends, self.attr_keys, self.attr_values = [0], [], []
         self.class_ends, self.class_names = [0], []
@@ -227,23 +257,27 @@ class _Columns:
                 place[node.pre] = kept
                 kept += 1
             upto.append(kept)
-        flat = self.flat
+        rows = self.rows
         for node in nodes:
             at = place[node.pre]
             if at < 0:
                 continue
-            flat["i"].append(at)
-            flat["j"].append(upto[node.last] - 1)
-            flat["up"].append(place[node.parent])
-            flat["pre"].append(node.pre)
-            flat["last"].append(node.last)
-            flat["parent"].append(node.parent)
-            flat["depth"].append(node.depth)
-            flat["child_idx"].append(node.child_idx)
-            flat["tag"].append(node.tag)
-            flat["own"].append(node.own)
-            flat["t0"].append(node.t0)
-            flat["t1"].append(node.t1)
+            rows.append(
+                (
+                    at,
+                    upto[node.last] - 1,
+                    place[node.parent],
+                    node.pre,
+                    node.last,
+                    node.parent,
+                    node.depth,
+                    node.child_idx,
+                    node.tag,
+                    node.own,
+                    node.t0,
+                    node.t1,
+                )
+            )
             if node.attrs:
                 values = dict(node.attrs)
                 for name, value in values.items():
@@ -253,13 +287,15 @@ class _Columns:
                 self.class_names.extend((values.get("class") or "").split())
             self.attr_ends.append(len(self.attr_keys))
             self.class_ends.append(len(self.class_names))
-        self.node_ends.append(len(flat["i"]))
+        self.node_ends.append(len(rows))
         self.runs.extend(runs)
         self.run_ends.append(len(self.runs))
         self.errors.append(error)
 
     def arrays(self) -> list[pa.Array]:
         offsets = lambda ends: pa.array(ends, pa.int32())
+        names = [n for n, _ in NODE_FIELDS if n not in ("attrs", "classes")]
+        flat = dict(zip(names, zip(*self.rows))) if self.rows else dict.fromkeys(names, ())
         children = []
         for field in NODE_TYPE:
             if field.name == "attrs":
@@ -273,7 +309,7 @@ class _Columns:
                     offsets(self.class_ends), pa.array(self.class_names, pa.string())
                 )
             else:
-                column = pa.array(self.flat[field.name], field.type)
+                column = pa.array(flat[field.name], field.type)
             children.append(column)
         nodes = pa.StructArray.from_arrays(children, fields=list(NODE_TYPE))
         return [
