@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
-from tidemark.operators.ordered import latest_per_key, previous_value, running_sum
+from tidemark.operators.ordered import HotKeys, latest_per_key, previous_value, running_sum
 
 ORDER = ("ts14", "pos")
 SLOT = ("url", "year", "half")
@@ -27,10 +27,13 @@ def expand_templates(seeds: DataFrame, templates: Sequence[str], name: str = "na
 
 
 def collapse_digest(
-    captures: DataFrame, key: str = "url", order: Sequence[str] = ORDER
+    captures: DataFrame,
+    key: str = "url",
+    order: Sequence[str] = ORDER,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Drop a capture whose digest equals that of the preceding capture of the same URL."""
-    marked = previous_value(captures, [key], order, "digest", "__prev")
+    marked = previous_value(captures, [key], order, "digest", "__prev", hot)
     repeated = F.col("__prev").isNotNull() & F.col("__prev.v").eqNullSafe(F.col("digest"))
     return marked.where(~repeated).drop("__prev")
 
@@ -55,19 +58,22 @@ def first_per_slot(captures: DataFrame, order: Sequence[str] = ORDER) -> DataFra
 
 
 def resolve_slots(
-    captures: DataFrame, redirect_ok: Column, order: Sequence[str] = ORDER
+    captures: DataFrame,
+    redirect_ok: Column,
+    order: Sequence[str] = ORDER,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Walk the captures of each slot in order until one stops the search.
 
     A fatal code, or a success that was redirected out of its slot, rejects a capture and the next
-    one is tried. ``filled``: a good page, or one already cached. ``deferred``: a retryable failure.
+    one is tried. ``hot`` may hold the hot URLs counted on the raw index. ``filled``: a good page, or one already cached. ``deferred``: a retryable failure.
     ``exhausted``: every capture was rejected. ``attempts`` counts the captures looked at.
     """
     code = F.col("error_code")
     rejected = U.is_fatal(code) | ((code == 0) & ~redirect_ok)
     marked = captures.withColumn("__rej", F.coalesce(rejected, F.lit(False)))
     counted = running_sum(
-        marked, SLOT, order, {"__tries": F.col("__rej").cast("bigint")}
+        marked, SLOT, order, {"__tries": F.col("__rej").cast("bigint")}, hot
     )
     stop = F.struct(*order, "error_code", (F.col("__tries") + 1).alias("attempts"))
     return (

@@ -1,23 +1,62 @@
 """Order-dependent operators that stay balanced when one key holds most of the rows.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here rows are first range
-partitioned by (key, order), so a hot key is cut into consecutive buckets of even size. Each step is
-then computed inside the buckets, and only bucket-edge rows (at most two per key and bucket) meet in
-a per-key window that carries values from one bucket to the next. The plan is one straight line: the
-range exchange is evaluated once, so all steps see the same buckets.
+A plain ``Window.partitionBy(key)`` needs one shuffle but sends a whole key to one task. So keys are
+counted first (a partial aggregate over the key columns). Keys within the limit take the plain window.
+Rows of hot keys are range partitioned by (key, order), which cuts a hot key into consecutive buckets
+of even size; each step is computed inside the buckets, and only bucket-edge rows (at most two per key
+and bucket) meet in a per-key window that carries values from one bucket to the next. That plan is one
+straight line: the range exchange is evaluated once, so all steps see the same buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+# Rows of one key that a single task sorts without trouble.
+HOT_ROWS = 5_000_000
+
 _BUCKET = "__bucket"
 _EDGE = "__edge"
 
 
+class HotKeys(NamedTuple):
+    """Keys with more rows than the limit: at most total rows / limit of them."""
+
+    keys: tuple[str, ...]
+    rows: list[Row]
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> HotKeys:
+    """Count rows per key and return the hot ones. Any prefix of a window's keys may be used: if no
+    URL is hot, no slot of a URL is."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return HotKeys(tuple(keys), counted.where(F.col("__n") > limit).select(*keys).collect())
+
+
+def _by_heat(
+    df: DataFrame,
+    hot: HotKeys,
+    plain: Callable[[DataFrame], DataFrame],
+    bucketed: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    if not hot.rows:
+        return plain(df)
+    schema = df.select(*hot.keys).schema
+    named = df.sparkSession.createDataFrame(hot.rows, schema).toDF(*[f"__{k}" for k in hot.keys])
+    match = None
+    for k in hot.keys:
+        one = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        match = one if match is None else match & one
+    small = F.broadcast(named)
+    cold_rows = df.join(small, match, "left_anti")
+    hot_rows = df.join(small, match, "left_semi")
+    return plain(cold_rows).unionByName(bucketed(hot_rows))
+
+
 def _bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return df.repartitionByRange(*keys, *order).withColumn(_BUCKET, F.spark_partition_id())
 
@@ -31,26 +70,37 @@ def _edge_window(keys: Sequence[str], order: Sequence[str]) -> Window:
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    out: str,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``out`` = struct(v) of the preceding row of the same key, null on a key's first row.
 
     The struct tells "no previous row" (null) from "previous row holds null" (``out.v`` is null).
     """
-    inside = Window.partitionBy(_BUCKET, *keys).orderBy(*order)
     boxed = F.struct(F.col(value).alias("v"))
-    return (
-        _bucketed(df, keys, order)
-        .withColumn("__in", F.lag(boxed).over(inside))
-        .withColumn("__next", F.lead(F.lit(True)).over(inside))
-        .withColumn(_EDGE, F.col("__in").isNull() | F.col("__next").isNull())
-        .withColumn("__across", F.lag(boxed).over(_edge_window(keys, order)))
-        .withColumn(
-            out,
-            F.when(F.col("__in").isNotNull(), F.col("__in")).otherwise(F.col("__across")),
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.lag(boxed).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        inside = Window.partitionBy(_BUCKET, *keys).orderBy(*order)
+        return (
+            _bucketed(rows, keys, order)
+            .withColumn("__in", F.lag(boxed).over(inside))
+            .withColumn("__next", F.lead(F.lit(True)).over(inside))
+            .withColumn(_EDGE, F.col("__in").isNull() | F.col("__next").isNull())
+            .withColumn("__across", F.lag(boxed).over(_edge_window(keys, order)))
+            .withColumn(
+                out, F.when(F.col("__in").isNotNull(), F.col("__in")).otherwise(F.col("__across"))
+            )
+            .drop(_BUCKET, _EDGE, "__in", "__next", "__across")
         )
-        .drop(_BUCKET, _EDGE, "__in", "__next", "__across")
-    )
+
+    return _by_heat(df, find_hot(df, keys) if hot is None else hot, plain, bucketed)
 
 
 def running_sum(
@@ -58,43 +108,61 @@ def running_sum(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, Column],
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add, for each ``out -> expression``, the inclusive running sum per key in ``order``.
 
-    ``keys`` may be empty: a running sum over the whole table, without a single-task window.
+    ``keys`` may be empty: a running sum over the whole table, always by buckets.
     """
-    inside = Window.partitionBy(_BUCKET, *keys).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = _bucketed(df, keys, order)
-    for out, expr in values.items():
-        step = step.withColumn(f"__v_{out}", F.coalesce(expr, F.lit(0)))
-    step = step.select(
-        "*",
-        *[F.sum(f"__v_{out}").over(upto).alias(f"__in_{out}") for out in values],
-        F.lead(F.lit(True)).over(inside).isNull().alias(_EDGE),
-    )
-    # The last row of a bucket carries the bucket's total; summing those gives each bucket's offset.
-    before = _edge_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    step = step.select(
-        "*",
-        *[
-            F.when(
-                F.col(_EDGE), F.coalesce(F.sum(f"__in_{out}").over(before), F.lit(0))
-            ).alias(f"__off_{out}")
-            for out in values
-        ],
-    )
-    whole = Window.partitionBy(_BUCKET, *keys)
-    drop = [_BUCKET, _EDGE]
-    for out in values:
-        drop += [f"__v_{out}", f"__in_{out}", f"__off_{out}"]
-    return step.select(
-        "*",
-        *[
-            (F.col(f"__in_{out}") + F.max(f"__off_{out}").over(whole)).alias(out)
-            for out in values
-        ],
-    ).drop(*drop)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        upto = (
+            Window.partitionBy(*keys)
+            .orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        sums = [
+            F.sum(F.coalesce(expr, F.lit(0))).over(upto).alias(out) for out, expr in values.items()
+        ]
+        return rows.select("*", *sums)
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        inside = Window.partitionBy(_BUCKET, *keys).orderBy(*order)
+        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        step = _bucketed(rows, keys, order)
+        for out, expr in values.items():
+            step = step.withColumn(f"__v_{out}", F.coalesce(expr, F.lit(0)))
+        step = step.select(
+            "*",
+            *[F.sum(f"__v_{out}").over(upto).alias(f"__in_{out}") for out in values],
+            F.lead(F.lit(True)).over(inside).isNull().alias(_EDGE),
+        )
+        # A bucket's last row carries the bucket's total; summing those gives each bucket's offset.
+        before = _edge_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+        step = step.select(
+            "*",
+            *[
+                F.when(
+                    F.col(_EDGE), F.coalesce(F.sum(f"__in_{out}").over(before), F.lit(0))
+                ).alias(f"__off_{out}")
+                for out in values
+            ],
+        )
+        whole = Window.partitionBy(_BUCKET, *keys)
+        drop = [_BUCKET, _EDGE]
+        for out in values:
+            drop += [f"__v_{out}", f"__in_{out}", f"__off_{out}"]
+        return step.select(
+            "*",
+            *[
+                (F.col(f"__in_{out}") + F.max(f"__off_{out}").over(whole)).alias(out)
+                for out in values
+            ],
+        ).drop(*drop)
+
+    if not keys:
+        return bucketed(df)
+    return _by_heat(df, find_hot(df, keys) if hot is None else hot, plain, bucketed)
 
 
 def latest_per_key(

@@ -31,10 +31,16 @@ def with_grams(docs: DataFrame, text: str = "text", out: str = "grams") -> DataF
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf). All terms of a document start in one task, so the partial aggregate already
-    cuts them to distinct terms before the shuffle."""
+    """(key, term, tf), one document per key.
+
+    Texts are shuffled once by key, which is less data than their n-grams; counting, and any later
+    step per document, then needs no further shuffle.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        docs.select(key, F.explode(grams(F.col(text))).alias("term"))
+        docs.select(key, text)
+        .repartition(parts, key)
+        .select(key, F.explode(grams(F.col(text))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls as U
 from tidemark.operators import captures as C
 from tidemark.operators import fetchlog as L
+from tidemark.operators.ordered import find_hot
 from tidemark.plans.inputs import FIRST_YEAR, LAST_YEAR, captures, errors, fetch_log, oracle
 from tidemark.plans.registry import query, table
 
@@ -74,9 +75,11 @@ def win_first_per_slot(spark, sf_dir):
     ),
 )
 def win_resolve_slot(spark, sf_dir):
-    kept = C.collapse_digest(captures(spark, sf_dir))
+    rows = captures(spark, sf_dir)
+    hot = find_hot(rows, ["url"])
+    kept = C.collapse_digest(rows, hot=hot)
     ok = U.redirect_ok(F.col("capture_url"), F.col("final_url"))
-    return C.resolve_slots(kept, ok).select(
+    return C.resolve_slots(kept, ok, hot=hot).select(
         "url", "year", "half", "state", "pos", "attempts", "candidates"
     )
 
