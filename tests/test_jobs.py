@@ -75,6 +75,19 @@ def test_parse_stream(spark, pages, tmp_path, files, per_batch):
     assert changed[0] == [("new", 1, None, None)] and changed[2] == [("m2", 7, None, None)]
 
 
+def test_first_batch_without_known_pages(spark, pages, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "out")
+    other = pages.withColumn("original", F.lit("https://www.reddit.com/r/a/new"))
+    other.coalesce(1).write.parquet(landing)
+    tables = jobs.PageTables(spark, root)
+    for _ in range(2):
+        stream = jobs.read_landing(spark, landing, jobs.PAGE_SCHEMA)
+        jobs.finish(jobs.parse_pending(stream, tables, f"{root}/checkpoint", score, interval=None))
+        pages.where("page_id < 2").write.mode("append").parquet(landing)
+    rules, mods = state(tables)
+    assert [k for k, _ in rules] == [1] and [k for k, _ in mods] == [0]
+
+
 def test_error_stream(spark, tmp_path):
     events = spark.range(300).select(
         F.concat(F.lit("u"), (F.col("id") % 9).cast("string")).alias("url"),

@@ -69,6 +69,12 @@ def test_rosters(spark):
     assert got[6:] == [(None, []), (None, [])]
 
 
+def test_since(spark):
+    rows = spark.createDataFrame([("2020-01-02T03:04:05+00:00",), ("5 years ago",), (None,)], "timestamp string")
+    got = [str(r.since) for r in E.with_since(rows).collect()]
+    assert got == ["2020-01-02 03:04:05", "None", "None"]
+
+
 def home(spark, pages):
     rows = dom(spark, pages).select("page_id", H.candidates(F.col("nodes"), F.col("runs")).alias("c"))
     return [

@@ -63,7 +63,7 @@ def test_attributes():
 
 
 def test_bad_page_is_reported():
-    nodes, runs, error = S.read_page("<![if x<p>")
+    nodes, runs, error = S.read_page("<p>a</p><![other[x]]>")
     assert nodes == [] and runs == [] and error.startswith("AssertionError")
 
 

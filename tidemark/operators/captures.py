@@ -132,11 +132,17 @@ def capture_counts(captures: DataFrame) -> DataFrame:
     return captures.groupBy("url").agg(F.count(F.lit(1)).alias("captures"))
 
 
-def skip_cached(requests: DataFrame, cache: DataFrame, hits: bool = False) -> DataFrame:
+def skip_cached(
+    requests: DataFrame, cache: DataFrame, hits: bool = False, also_requested: bool = False
+) -> DataFrame:
     """Requests whose cache key is not stored yet (``hits=True``: those that are).
 
-    The stored keys are made distinct first; a request key shared by many rows stays on the left
-    side, which adaptive execution can split.
+    A page is stored under the key of its final URL, so a redirected request is never found again.
+    With ``also_requested`` the keys in ``requested_key`` count as well. The stored keys are made
+    distinct first; a request key shared by many rows stays on the left side, which adaptive
+    execution can split.
     """
-    stored = cache.select("cache_key").distinct()
-    return requests.join(stored, "cache_key", "left_semi" if hits else "left_anti")
+    stored = cache.select("cache_key")
+    if also_requested:
+        stored = stored.union(cache.select("requested_key"))
+    return requests.join(stored.distinct(), "cache_key", "left_semi" if hits else "left_anti")

@@ -49,6 +49,12 @@ def moderator_rows(dom: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def with_since(rows: DataFrame) -> DataFrame:
+    """Add ``since``, the moderator's timestamp as a time where it is written in ISO form. The text
+    itself stays as found: other layouts show it as "5 years ago"."""
+    return rows.withColumn("since", F.col("timestamp").try_cast("timestamp"))
+
+
 def section_candidates(dom: DataFrame, cases, *keys: str) -> DataFrame:
     """Rules of the first section layout that yields some."""
     found = sections.first_case(cases, F.col("nodes"), F.col("runs"))

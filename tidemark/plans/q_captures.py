@@ -145,13 +145,28 @@ def join_cached_hits(spark, sf_dir):
     return _cached(spark, sf_dir, hits=True)
 
 
-def _cached(spark, sf_dir, hits):
+@query(
+    "join_skip_cached_requested",
+    oracle(
+        """select pos, md5(concat(capture_url, '{}')) as cache_key from captures
+        where md5(concat(capture_url, '{}')) not in (select k from stored)""",
+        "captures",
+        stored=_STORED
+        + " union select md5(concat(capture_url, '{}')) from captures where error_code in (0, 1)",
+    ),
+)
+def join_skip_cached_requested(spark, sf_dir):
+    return _cached(spark, sf_dir, hits=False, also_requested=True)
+
+
+def _cached(spark, sf_dir, hits, also_requested=False):
     rows = captures(spark, sf_dir)
     stored = rows.where("error_code in (0, 1)").select(
-        U.cache_key(F.col("final_url")).alias("cache_key")
+        U.cache_key(F.col("final_url")).alias("cache_key"),
+        U.cache_key(F.col("capture_url")).alias("requested_key"),
     )
     requests = rows.select("pos", U.cache_key(F.col("capture_url")).alias("cache_key"))
-    return C.skip_cached(requests, stored, hits).select("pos", "cache_key")
+    return C.skip_cached(requests, stored, hits, also_requested).select("pos", "cache_key")
 
 
 _STATE = """select url, max(ts * 10 + error_code) as top,

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.ordered import latest_per_key
 
@@ -38,8 +39,11 @@ class VersionedTable:
         except AnalysisException:
             return None
 
-    def batch(self, number: int) -> DataFrame:
-        return self.spark.read.parquet(self.path).where(F.col("batch") == number).drop("batch")
+    def batch(self, number: int, schema: T.StructType) -> DataFrame:
+        """Rows of one batch; the schema is given because a table may still be without rows."""
+        whole = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
+        log = self.spark.read.schema(whole).parquet(self.path)
+        return log.where(F.col("batch") == number).drop("batch")
 
     def current(self) -> DataFrame | None:
         """Newest version per key."""

@@ -79,8 +79,9 @@ def parse_batch(
     """
     key = tables.key
     dom = E.layout_dom(E.route(pages.select(key, "stamp", "original", "html")))
-    tables.layouts.add(E.read_layouts(dom, key, "stamp"), batch)
-    stored = tables.layouts.batch(batch)
+    read = E.read_layouts(dom, key, "stamp")
+    tables.layouts.add(read, batch)
+    stored = tables.layouts.batch(batch, read.schema)
     layouts = latest_per_key(stored, [key], [F.col("stamp").desc()])
     stamps = layouts.select(key, "stamp")
     rules = E.stored_rules(layouts, key, scorer, threshold).join(stamps, key)
