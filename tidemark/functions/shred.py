@@ -10,6 +10,7 @@ import re
 from collections.abc import Collection, Iterator
 from html.entities import html5
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 
@@ -21,15 +22,18 @@ VOID_TAGS = frozenset(
 )
 HIDDEN_TEXT_TAGS = frozenset("script style template rt rp".split())
 KEEP_SPACE_TAGS = frozenset("pre textarea".split())
+SPECIAL_TEXT_TAGS = HIDDEN_TEXT_TAGS | KEEP_SPACE_TAGS
 RAW_TEXT_TAGS = frozenset(
     "script style textarea title xmp iframe noembed noframes noscript plaintext".split()
 )
-# Tags in their plainest form are read with one match; all others are left to the library's parser.
-_PLAIN_START = re.compile(
-    r'<([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][-a-zA-Z0-9_]*="[^"<>&]*")*)\s*(/?)>'
+# Text without entities and tags in their plainest form are read in runs with one match each; all
+# other markup is left to the library's parser.
+_PLAIN = re.compile(
+    r"([^<&]+)"
+    r"|</([a-zA-Z][a-zA-Z0-9]*)>"
+    r'|<([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][-a-zA-Z0-9_]*="[^"<>&]*")*)\s*(/?)>'
 )
 _PLAIN_ATTR = re.compile(r'([a-zA-Z][-a-zA-Z0-9_]*)="([^"]*)"')
-_PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
 _ASCII_SPACE = " \n\t\f\r"
 
 NODE_FIELDS = [
@@ -48,11 +52,17 @@ NODE_FIELDS = [
     ("t0", pa.int32()),  # text runs t0 <= k < t1 lie inside this element
     ("t1", pa.int32()),
 ]
-NODE_TYPE = pa.struct(NODE_FIELDS)
-NODE_DDL = (
-    "array<struct<i:int,j:int,up:int,pre:int,last:int,parent:int,depth:int,child_idx:int,"
-    "tag:string,attrs:map<string,string>,classes:array<string>,own:string,t0:int,t1:int>>"
-)
+_DDL = {pa.int32(): "int", pa.string(): "string"}
+
+
+def node_ddl(fields: Collection[str] | None = None) -> str:
+    """Spark type of the nodes array."""
+    parts = []
+    for name, kind in NODE_FIELDS:
+        if fields is None or name in fields:
+            ddl = {"attrs": "map<string,string>", "classes": "array<string>"}.get(name) or _DDL[kind]
+            parts.append(f"{name}:{ddl}")
+    return f"array<struct<{','.join(parts)}>>"
 
 
 class _Node:
@@ -89,15 +99,19 @@ class Shredder(HTMLParser):
             top.only = item
 
     def _flush(self) -> None:
-        if not self.pending:
+        pending = self.pending
+        if not pending:
             return
-        text = "".join(self.pending)
+        text = pending[0] if len(pending) == 1 else "".join(pending)
         self.pending = []
         if not text:
             return
-        if not self.spaced and not text.strip(_ASCII_SPACE):
+        if text[0] in _ASCII_SPACE and not self.spaced and not text.strip(_ASCII_SPACE):
             text = "\n" if "\n" in text else " "
-        self._child(text)
+        top = self.stack[-1]
+        top.kids += 1
+        if top.kids == 1:
+            top.only = text
         if not self.hidden:
             self.runs.append(text)
 
@@ -110,8 +124,9 @@ class Shredder(HTMLParser):
         node = self.stack.pop()
         tag = node.tag
         self.open_names[tag] -= 1
-        self.hidden -= tag in HIDDEN_TEXT_TAGS
-        self.spaced -= tag in KEEP_SPACE_TAGS
+        if tag in SPECIAL_TEXT_TAGS:
+            self.hidden -= tag in HIDDEN_TEXT_TAGS
+            self.spaced -= tag in KEEP_SPACE_TAGS
         node.last = len(self.nodes) - 1
         node.t1 = len(self.runs)
         if node.kids == 1:
@@ -119,21 +134,26 @@ class Shredder(HTMLParser):
             node.own = only if isinstance(only, str) else only.own
 
     def _start(self, tag, attrs) -> None:
-        self._flush()
+        if self.pending:
+            self._flush()
         parent = self.stack[-1]
         parent.elements += 1
         node = _Node(
             len(self.nodes), parent.pre, parent.depth + 1, parent.elements, tag, attrs, len(self.runs)
         )
-        self._child(node)
+        parent.kids += 1
+        if parent.kids == 1:
+            parent.only = node
         self.nodes.append(node)
         self.stack.append(node)
         self.open_names[tag] = self.open_names.get(tag, 0) + 1
-        self.hidden += tag in HIDDEN_TEXT_TAGS
-        self.spaced += tag in KEEP_SPACE_TAGS
+        if tag in SPECIAL_TEXT_TAGS:
+            self.hidden += tag in HIDDEN_TEXT_TAGS
+            self.spaced += tag in KEEP_SPACE_TAGS
 
     def _end(self, tag) -> None:
-        self._flush()
+        if self.pending:
+            self._flush()
         while self.open_names.get(tag):
             name = self.stack[-1].tag
             self._close_top()
@@ -143,27 +163,39 @@ class Shredder(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
+    def _plain_run(self, i):
+        """Handle plain tokens from ``i`` on; returns where the first other token starts."""
+        raw, match_at, pending = self.rawdata, _PLAIN.match, self.pending
+        while True:
+            match = match_at(raw, i)
+            if match is None:
+                return i
+            kind = match.lastindex
+            if kind == 1:
+                pending.append(match.group())
+            elif kind == 2:
+                self.handle_endtag(match.group(2).lower())
+                pending = self.pending
+            else:
+                _, _, tag, attrs, closed = match.groups()
+                tag = tag.lower()
+                if tag in RAW_TEXT_TAGS:
+                    return i
+                pairs = [(k.lower(), v) for k, v in _PLAIN_ATTR.findall(attrs)] if attrs else ()
+                if closed:
+                    self.handle_startendtag(tag, pairs)
+                else:
+                    self.handle_starttag(tag, pairs)
+                pending = self.pending
+            i = match.end()
+
     def parse_starttag(self, i):
-        match = _PLAIN_START.match(self.rawdata, i)
-        if match is None:
-            return super().parse_starttag(i)
-        tag, attrs, closed = match.groups()
-        tag = tag.lower()
-        if tag in RAW_TEXT_TAGS:
-            return super().parse_starttag(i)
-        pairs = [(k.lower(), v) for k, v in _PLAIN_ATTR.findall(attrs)] if attrs else ()
-        if closed:
-            self.handle_startendtag(tag, pairs)
-        else:
-            self.handle_starttag(tag, pairs)
-        return match.end()
+        k = self._plain_run(i)
+        return k if k > i else super().parse_starttag(i)
 
     def parse_endtag(self, i):
-        match = None if self.cdata_elem else _PLAIN_END.match(self.rawdata, i)
-        if match is None:
-            return super().parse_endtag(i)
-        self.handle_endtag(match.group(1).lower())
-        return match.end()
+        k = i if self.cdata_elem else self._plain_run(i)
+        return k if k > i else super().parse_endtag(i)
 
     def handle_starttag(self, tag, attrs):
         self._start(tag, attrs)
@@ -176,7 +208,7 @@ class Shredder(HTMLParser):
         self._end(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.closed_void:
+        if self.closed_void and tag in self.closed_void:
             self.closed_void.remove(tag)
         else:
             self._end(tag)
@@ -235,11 +267,21 @@ def read_page(html: str | None) -> tuple[list[_Node], list[str], str | None]:
     return nodes, runs, None
 
 
+class Keep(NamedTuple):
+    """What a job needs of the nodes; ``None`` stands for everything."""
+
+    tags: Collection[str] | None = None
+    attrs: Collection[str] | None = None
+    own: Collection[str] | None = None  # elements whose own string is needed
+    fields: Collection[str] | None = None
+
+
 class _Columns:
     """Flat columns of a batch of pages, turned into nested Arrow arrays at once."""
 
-    def __init__(self, keep_tags, keep_attrs):
-        self.keep_tags, self.keep_attrs = keep_tags, keep_attrs
+    def __init__(self, keep: "Keep"):
+        self.keep_tags, self.keep_attrs, self.keep_own = keep.tags, keep.attrs, keep.own
+        self.fields = [f for f in NODE_FIELDS if keep.fields is None or f[0] in keep.fields]
         self.rows = []
         self.node_ends, self.run_ends = [0], [0]
         self.attr_ends, self.attr_keys, self.attr_values = [0], [], []
@@ -257,7 +299,7 @@ class _Columns:
                 place[node.pre] = kept
                 kept += 1
             upto.append(kept)
-        rows = self.rows
+        rows, own = self.rows, self.keep_own
         for node in nodes:
             at = place[node.pre]
             if at < 0:
@@ -273,7 +315,7 @@ class _Columns:
                     node.depth,
                     node.child_idx,
                     node.tag,
-                    node.own,
+                    node.own if own is None or node.tag in own else None,
                     node.t0,
                     node.t1,
                 )
@@ -297,21 +339,21 @@ class _Columns:
         names = [n for n, _ in NODE_FIELDS if n not in ("attrs", "classes")]
         flat = dict(zip(names, zip(*self.rows))) if self.rows else dict.fromkeys(names, ())
         children = []
-        for field in NODE_TYPE:
-            if field.name == "attrs":
+        for name, kind in self.fields:
+            if name == "attrs":
                 column = pa.MapArray.from_arrays(
                     offsets(self.attr_ends),
                     pa.array(self.attr_keys, pa.string()),
                     pa.array(self.attr_values, pa.string()),
                 )
-            elif field.name == "classes":
+            elif name == "classes":
                 column = pa.ListArray.from_arrays(
                     offsets(self.class_ends), pa.array(self.class_names, pa.string())
                 )
             else:
-                column = pa.array(flat[field.name], field.type)
+                column = pa.array(flat[name], kind)
             children.append(column)
-        nodes = pa.StructArray.from_arrays(children, fields=list(NODE_TYPE))
+        nodes = pa.StructArray.from_arrays(children, fields=[pa.field(n, k) for n, k in self.fields])
         return [
             pa.ListArray.from_arrays(offsets(self.node_ends), nodes),
             pa.ListArray.from_arrays(offsets(self.run_ends), pa.array(self.runs, pa.string())),
@@ -321,8 +363,7 @@ class _Columns:
 
 def shred_batches(
     batches: Iterator[pa.RecordBatch],
-    keep_tags: Collection[str] | None,
-    keep_attrs: Collection[str] | None,
+    keep: Keep,
     html_per_batch: int = 16 << 20,
 ) -> Iterator[pa.RecordBatch]:
     """Arrow batches with column ``html`` replaced by ``nodes``, ``runs`` and ``parse_error``.
@@ -333,7 +374,7 @@ def shred_batches(
         at = batch.schema.get_field_index("html")
         others = [n for n in batch.schema.names if n != "html"]
         html = batch.column(at)
-        start, size, columns = 0, 0, _Columns(keep_tags, keep_attrs)
+        start, size, columns = 0, 0, _Columns(keep)
         for row in range(batch.num_rows):
             page = html[row].as_py()
             columns.add(page)
@@ -344,4 +385,4 @@ def shred_batches(
                 yield pa.RecordBatch.from_arrays(
                     values + columns.arrays(), others + ["nodes", "runs", "parse_error"]
                 )
-                start, size, columns = row + 1, 0, _Columns(keep_tags, keep_attrs)
+                start, size, columns = row + 1, 0, _Columns(keep)

@@ -9,29 +9,24 @@ relational view of the same data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import let
-from tidemark.functions.shred import NODE_DDL, shred_batches
+from tidemark.functions.shred import Keep, node_ddl, shred_batches
 from tidemark.functions.text import strip
 
 Test = Callable[[Column], Column]
 
 
-def shred(
-    pages: DataFrame,
-    keep_tags: Collection[str] | None = None,
-    keep_attrs: Collection[str] | None = None,
-) -> DataFrame:
+def shred(pages: DataFrame, keep: Keep = Keep()) -> DataFrame:
     """Replace ``html`` by ``nodes``, ``runs`` and ``parse_error``; other columns pass through."""
-    tags = None if keep_tags is None else frozenset(keep_tags)
-    attrs = None if keep_attrs is None else frozenset(keep_attrs)
     others = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html"]
-    schema = ", ".join(others + [f"nodes {NODE_DDL}", "runs array<string>", "parse_error string"])
-    return pages.mapInArrow(lambda batches: shred_batches(batches, tags, attrs), schema)
+    nodes = node_ddl(keep.fields)
+    schema = ", ".join(others + [f"nodes {nodes}", "runs array<string>", "parse_error string"])
+    return pages.mapInArrow(lambda batches: shred_batches(batches, keep), schema)
 
 
 def first(nodes: Column) -> Column:

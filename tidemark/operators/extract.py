@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls as U
 from tidemark.functions.text import rule_text, strip
 from tidemark.operators import dom as D
-from tidemark.operators.layouts import LAYOUT_ATTRS, LAYOUT_TAGS, homepage, moderators, sections
+from tidemark.operators.layouts import LAYOUT_KEEP, homepage, moderators, sections
 from tidemark.operators.ordered import latest_per_key
 from tidemark.session import written
 
@@ -33,7 +33,7 @@ AFTER_SCORE, BEFORE_SCORE, CONTAINER = "after_score", "before_score", "container
 
 def layout_dom(pages: DataFrame) -> DataFrame:
     """Shred pages, keeping only what some layout looks at."""
-    return D.shred(pages, LAYOUT_TAGS, LAYOUT_ATTRS)
+    return D.shred(pages, LAYOUT_KEEP)
 
 
 def moderator_rows(dom: DataFrame, *keys: str) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.shred import Keep
 from tidemark.functions.text import hash_bucket
 from tidemark.operators import dom as D
 from tidemark.operators import extract as E
@@ -66,7 +67,7 @@ def html_shred_text(spark, sf_dir):
     from pages where html like '%<h1>%'""",
 )
 def dom_text_agg(spark, sf_dir):
-    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")), ["h1"], [])
+    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")), Keep(tags=("h1",), attrs=(), own=()))
     return D.dom_text_agg(dom, D.tag("h1")).select("page_id", "text")
 
 
