@@ -30,7 +30,7 @@ HEADLINE = (
     "home_case_11",
     "old_case_3",
     "wiki_case_2",
-    "win_first_layout_after_score",
+    "win_first_layout",
     "win_dedup_numbered",
     "extract_dispatch",
     "tok_ngrams",

@@ -20,8 +20,9 @@ def set_changes(facts: DataFrame, group: str = "community", slot: str = "slot",
     observed slot. A group's first slot has nothing to compare with and gives no rows."""
     present = facts.select(group, slot, item).distinct()
     order = Window.partitionBy(group).orderBy(slot)
+    # Taken from ``present``, so that both read the same exchange and the facts are made once.
     slots = (
-        facts.select(group, slot)
+        present.select(group, slot)
         .distinct()
         .withColumn("__next", F.lead(slot).over(order))
         .withColumn("__has_prev", F.lag(slot).over(order).isNotNull())

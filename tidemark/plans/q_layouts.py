@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.shred import Keep
@@ -56,6 +57,23 @@ def html_shred_nodes(spark, sf_dir):
     )
 
 
+_COUNTED = ("h1", "ul", "li", "a", "p", "b", "article", "nav", "br")
+
+
+@query(
+    "html_shred_counts",
+    " union all ".join(
+        f"""select page_id, '{t}' as tag, cast(len(regexp_extract_all(html, '<{t}[ >]')) as bigint) as n
+        from pages where regexp_matches(html, '<{t}[ >]')"""
+        for t in _COUNTED
+    ),
+)
+def html_shred_counts(spark, sf_dir):
+    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
+    kept = D.dom_nodes(dom).where(F.col("tag").isin(*_COUNTED))
+    return kept.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("html_shred_text")
 def html_shred_text(spark, sf_dir):
     return D.dom_text(D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html"))))
@@ -386,15 +404,15 @@ def _first_oracle(test: str, extra: str = "true") -> str:
           l_suppkey % 3 = 0 as kept from lineitem)) where case_no = f and {extra}"""
 
 
-def _register_first(mode, oracle):
-    @query(f"win_first_layout_{mode}", oracle)
+def _register_first(name, mode, oracle):
+    @query(name, oracle)
     def run(spark, sf_dir):
         return E.first_layout(_case_rows(spark, sf_dir), "page_id", mode)
 
 
-_register_first(E.AFTER_SCORE, _first_oracle("kept"))
-_register_first(E.BEFORE_SCORE, _first_oracle("true"))
-_register_first(E.CONTAINER, _first_oracle("true", "pos is not null"))
+_register_first("win_first_layout", E.AFTER_SCORE, _first_oracle("kept"))
+_register_first("win_first_layout_before_score", E.BEFORE_SCORE, _first_oracle("true"))
+_register_first("win_first_layout_container", E.CONTAINER, _first_oracle("true", "pos is not null"))
 
 
 def _rule_rows(spark, sf_dir):
@@ -435,8 +453,6 @@ def win_dedup_numbered(spark, sf_dir):
     from ({_NUMBERED}) group by page_id""",
 )
 def agg_group_to_array(spark, sf_dir):
-    from pyspark.sql import Window
-
     numbered = _rule_rows(spark, sf_dir).withColumn(
         "number", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     )

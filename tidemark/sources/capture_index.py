@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import let
+
 _ROWS = "array<array<string>>"
 # The columns of an index response, in order.
 INDEX_COLUMNS = ("urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length")
@@ -17,40 +19,38 @@ def read_index_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _parsed(responses: DataFrame) -> DataFrame:
-    rows = F.from_json("body", _ROWS)
-    usable = F.col("rows").isNotNull() & F.forall(
-        F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))),
-        lambda r: F.coalesce(F.size(r) >= 3, F.lit(False)),
-    )
-    return responses.withColumn("rows", rows).withColumn("usable", usable)
+def _captures(body: Column) -> Column:
+    """Rows after the header, or null when the response cannot be used. The body is parsed once: a
+    parsed column that is filtered on would be parsed again in the filter."""
+
+    def check(rows: Column) -> Column:
+        data = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+        return F.when(F.forall(data, lambda r: F.coalesce(F.size(r) >= 3, F.lit(False))), data)
+
+    return let(F.from_json(body, _ROWS), check)
 
 
 def parse_index(responses: DataFrame) -> DataFrame:
     """One row per capture, ``pos`` = position in its response. An unusable response gives none."""
-    body = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
 
-    def cell(i: int):
+    def cell(i: int) -> Column:
         return F.try_element_at("r", F.lit(i + 1))
 
-    return (
-        _parsed(responses)
-        .where("usable")
-        .select("seed_url", F.posexplode(body).alias("pos", "r"))
-        .select(
-            F.col("seed_url"),
-            F.col("pos"),
-            cell(0).alias("urlkey"),
-            cell(1).alias("ts14"),
-            cell(2).alias("original"),
-            cell(3).alias("mimetype"),
-            cell(4).alias("statuscode"),
-            cell(5).alias("digest"),
-            cell(6).try_cast("bigint").alias("length"),
-        )
+    return responses.select(
+        "seed_url", F.posexplode(_captures(F.col("body"))).alias("pos", "r")
+    ).select(
+        F.col("seed_url"),
+        F.col("pos"),
+        cell(0).alias("urlkey"),
+        cell(1).alias("ts14"),
+        cell(2).alias("original"),
+        cell(3).alias("mimetype"),
+        cell(4).alias("statuscode"),
+        cell(5).alias("digest"),
+        cell(6).try_cast("bigint").alias("length"),
     )
 
 
 def rejected_responses(responses: DataFrame) -> DataFrame:
     """Quarantine: responses that are no JSON array of arrays or hold a row that is too short."""
-    return _parsed(responses).where(~F.coalesce("usable", F.lit(False))).select("seed_url", "body")
+    return responses.where(_captures(F.col("body")).isNull()).select("seed_url", "body")

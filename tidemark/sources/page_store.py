@@ -44,7 +44,9 @@ def pages_for_docs(docs: DataFrame, store: DataFrame, version: str | None = None
     """Documents with their stored page and a status.
 
     ``ok``; ``bad_url`` (no community in the original URL), ``no_path``; ``missing_file``. A path
-    stored more than once counts with its newest version.
+    stored more than once counts with its newest version. Past the broadcast limit this join moves
+    HTML, so it is meant for stores kept apart from their documents; the parse jobs read pages that
+    carry their document's fields and need no join.
     """
     if version is not None:
         store = latest_per_key(store, ["file_path"], [F.col(version).desc()])
