@@ -119,7 +119,7 @@ def test_model(spark, tmp_path):
     report = {r["class"]: r for r in metrics.class_report(scored).collect()}
     assert report["accuracy"].f1 == 1.0
     candidates = spark.createDataFrame(
-        [(1, "Do not post ads"), (2, "Welcome friend")], "page_id long, score_text string"
+        [(1, "Do not post spam number"), (2, "Welcome to our friendly place")], "page_id long, score_text string"
     )
     kept = E.filter_by_threshold(model.scorer(fitted)(candidates), 0.5)
     assert {r.page_id: r.kept for r in kept.collect()} == {1: True, 2: False}
