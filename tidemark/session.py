@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +24,29 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session built elsewhere."""
+    """Apply the runtime settings to a session built elsewhere, and hand the package to its workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per context, wherever the driver was started."""
+    context = spark.sparkContext
+    top = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_tidemark_shipped", False) or not os.path.isdir(top):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._tidemark_shipped = True
+
+
 def build_session(
     master: str | None = None,
     app: str = "tidemark",
@@ -44,7 +63,9 @@ def build_session(
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
