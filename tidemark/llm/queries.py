@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing
+from tidemark.llm import fingerprints, mixing, packing, simhash
 from tidemark.llm.common import WORD_BLANKS, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,12 +25,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_fingerprints(spark, sf_dir):
+    """Phrase fingerprints of all documents and their edited texts."""
+    return fingerprints.fingerprint_chain(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_packed_matrices(spark, sf_dir):
     """Best-fit-decreasing packing of all documents into rows of 2048 ids."""
     return packing.packed_matrices(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
+@query
+def op4_simhash(spark, sf_dir):
+    """Near-duplicate groups of all documents by their SimHash fingerprints."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_source_mix(spark, sf_dir):
     """Words taken of every document by the mix of sources."""
