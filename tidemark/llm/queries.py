@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, packing, simhash, topk
+from tidemark.llm import fingerprints, line_dedup, mixing, packing, simhash, topk, toxicity
 from tidemark.llm.common import WORD_BLANKS, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,50 @@ def op4_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_line_windows(spark, sf_dir):
+    """All documents without the lines of repeated three-line windows."""
+    cleaned = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("ld_lines").cast("long").alias("n_lines"),
+        F.col("ld_removed").cast("long").alias("n_removed"),
+        "text",
+    )
+
+
+ORACLES["op8_line_windows"] = """
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), n AS (
+  SELECT doc_id, text, l, unnest(range(len(l))) AS i FROM d
+), w AS (
+  SELECT doc_id, i, l[i + 1] AS x, l[i + 2] AS y, l[i + 3] AS z
+  FROM n
+  WHERE i + 3 <= len(l) AND (trim(l[i + 1]) <> '' OR trim(l[i + 2]) <> '' OR trim(l[i + 3]) <> '')
+), r AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, i) > 1
+), c AS (
+  SELECT DISTINCT doc_id, i + o AS i FROM r, (SELECT unnest([0, 1, 2]) AS o)
+), k AS (
+  SELECT n.doc_id, string_agg(n.l[n.i + 1], chr(10) ORDER BY n.i) AS text, count(*) AS kept
+  FROM n ANTI JOIN c ON n.doc_id = c.doc_id AND n.i = c.i
+  GROUP BY n.doc_id
+)
+SELECT d.doc_id, coalesce(len(d.l), 0) AS n_lines,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(d.l) - coalesce(k.kept, 0) END AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op9_source_mix(spark, sf_dir):
     """Words taken of every document by the mix of sources."""
