@@ -149,6 +149,7 @@ def train(
     most_positive: int = 2_000,
     most_unlabelled: int = 8_000,
     most_features: int = 4_000,
+    precision: float = 0.5,
 ) -> Model:
     """Fit on about ``most_positive`` confirmed toxic and ``most_unlabelled`` other sampled texts.
 
@@ -188,7 +189,7 @@ def train(
     in_p = {r["f"]: r["n"] for r in counted.where(F.col("n") >= least).collect()}  # bounded by the sample
     index = {f: i for i, f in enumerate(sorted(in_p))}
 
-    def known_counts(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def known_counts(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
         memo = Memo(index)
         for batch in batches:
             found, times = [], []
@@ -200,26 +201,44 @@ def train(
                 [pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["f", "n"]
             )
 
-    others = sample.where("u").select("text").mapInArrow(known_counts, "f array<int>, n array<int>")
-    in_u = np.zeros(len(index))
-    for r in others.select(F.explode("f").alias("f")).groupBy("f").count().collect():
-        in_u[r["f"]] = r["count"]
-    a = np.array([in_p[f] for f in index], float) / n_p
-    b = (in_u + 0.5) / (n_u + 1.0)
+    def counts(part: str, index: dict[str, int]) -> DataFrame:
+        run = lambda batches: known_counts(batches, index)
+        return sample.where(part).select("text").mapInArrow(run, "f array<int>, n array<int>")
+
+    def tally(part: str) -> np.ndarray:
+        """Texts of a part that have a feature at least once, twice, ..."""
+        pairs = counts(part, index).select(F.explode(F.arrays_zip("f", "n")).alias("x"))
+        level = F.least(F.col("x.n"), F.lit(_LEVELS))
+        out = np.zeros((len(index), _LEVELS))
+        for r in pairs.groupBy("x.f", level.alias("n")).count().collect():  # bounded by the sample
+            out[r["f"], : r["n"]] += r["count"]
+        return out
+
+    # Kept: a feature at a level where, by the prior, most texts that have it are toxic, also if it has
+    # met more toxic texts than it should by one standard deviation.
+    found = tally("p")
+    a, b = found / n_p, (tally("u") + 0.5) / (n_u + 1.0)
     lift = (a - b) / np.sqrt(b * (1 - b) / n_p)
-    best = [i for i in np.argsort(-lift, kind="stable")[:most_features] if a[i] > 2 * b[i]]
-    names = [f for f in index]
-    names = [names[i] for i in sorted(best)]
-    if not names:
+    lift[(found < least) | (prior * (found - np.sqrt(found)) / n_p < precision * b)] = -np.inf
+    best = np.argsort(-lift, axis=None, kind="stable")[:most_features]
+    best = best[np.isfinite(lift.reshape(-1)[best])]
+    if not len(best):
         return Model()
-    index = {f: i for i, f in enumerate(names)}
-
-    def table(part: DataFrame) -> _Table:
-        got = part.select("text").mapInArrow(lambda x: known_counts(x, index), "f array<int>, n array<int>").collect()
-        rows = [[f * _LEVELS + j for f, n in zip(r["f"], r["n"]) for j in range(min(n, _LEVELS))] for r in got]
+    all_names = list(index)
+    names = [all_names[i] for i in sorted(set(best // _LEVELS))]
+    kept = {f: i for i, f in enumerate(names)}
+    used = np.zeros((len(names), _LEVELS), bool)
+    for i in best:
+        used[kept[all_names[i // _LEVELS]], i % _LEVELS] = True
+
+    def rows_of(part: str) -> _Table:
+        rows = [
+            [f * _LEVELS + j for f, n in zip(r["f"], r["n"]) for j in range(min(n, _LEVELS)) if used[f, j]]
+            for r in counts(part, kept).collect()  # bounded by the sample and the kept features
+        ]
         return _Table(rows, len(names) * _LEVELS)
 
-    w, bias = fit_nnpu(table(sample.where("p")), table(sample.where("u")), prior)
+    w, bias = fit_nnpu(rows_of("p"), rows_of("u"), prior)
     return Model(names, w.reshape(-1, _LEVELS), bias)
 
 
