@@ -78,7 +78,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     ).select("other", F.col("part").alias("p"), F.col("own").bitwiseXOR(F.col("flip")).alias("v"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     met = (F.col("part") == F.col("p")) & (F.col("value") == F.col("v")) & (F.col("other") < F.col("fp"))
-    return entries.join(probes, met & near).select(F.col("other").alias("a"), F.col("fp").alias("b"))
+    # The probes are many times the size of what they come from; never broadcast them.
+    return entries.hint("merge").join(probes, met & near).select(F.col("other").alias("a"), F.col("fp").alias("b"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
