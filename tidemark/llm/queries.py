@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, line_dedup, mixing, packing, simhash, topk, toxicity
+from tidemark.llm import fingerprints, line_dedup, mixing, packing, simhash, tool_calls, topk, toxicity
 from tidemark.llm.common import WORD_BLANKS, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,46 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op6_tool_calls(spark, sf_dir):
+    """Questions and answers of all conversations as linked, ordered and checked tool calls."""
+    calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    out = tool_calls.link(calls, results, tool_calls.TURN_TOOLS)
+    return out.select(
+        F.col("conv").alias("conv_id"), "turn", "call_id", "name", "status", "wave", "valid", "n_calls", "n_results", "record"
+    )
+
+
+ORACLES["op6_tool_calls"] = """
+WITH u AS (
+  SELECT c.conv_id, c.turn, c.text, EXISTS (
+           SELECT 1 FROM conversations b WHERE b.role = 'user' AND b.conv_id = c.conv_id AND b.turn = c.turn - 2
+         ) AS follows
+  FROM conversations c WHERE c.role = 'user'
+), a AS (
+  SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
+), j AS (
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn) AS turn,
+         coalesce(u.conv_id, a.conv_id) || ':' || coalesce(u.turn, a.turn - 1) AS call_id,
+         CASE WHEN u.turn IS NULL THEN NULL WHEN follows THEN 'follow_up' ELSE 'ask' END AS name,
+         CASE WHEN u.turn IS NULL THEN 'no_call' WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+         u.turn AS ask, u.text AS query, follows, a.turn AS answer, a.text AS content
+  FROM u FULL JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+)
+SELECT conv_id, turn, call_id, name, status,
+       CASE WHEN ask IS NULL THEN NULL ELSE CAST(0 AS BIGINT) END AS wave,
+       ask IS NOT NULL AND length(coalesce(query, '')) > 0 AND ask >= 0 AS valid,
+       CAST(ask IS NOT NULL AS BIGINT) AS n_calls, CAST(answer IS NOT NULL AS BIGINT) AS n_results,
+       '{"arguments":' || CASE WHEN ask IS NULL THEN 'null' ELSE
+         '{' || CASE WHEN follows THEN '"previous":"' || conv_id || ':' || (ask - 2) || '",' ELSE '' END ||
+         CASE WHEN query IS NULL THEN '' ELSE '"query":' || CAST(to_json(query) AS VARCHAR) || ',' END ||
+         '"turn":' || ask || '}' END ||
+       ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') ||
+       ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS record
+FROM j
+"""
+
+
 @query
 def op8_line_windows(spark, sf_dir):
     """All documents without the lines of repeated three-line windows."""
