@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, line_dedup, mixing, packing, simhash, tool_calls, topk, toxicity
+from tidemark.llm import fingerprints, line_dedup, mixing, packing, passages, simhash, tool_calls, topk, toxicity
 from tidemark.llm.common import WORD_BLANKS, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,12 @@ FROM j
 """
 
 
+@query
+def op7_passages(spark, sf_dir):
+    """Passages of all documents that stand in an earlier one as well."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_line_windows(spark, sf_dir):
     """All documents without the lines of repeated three-line windows."""
