@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns, emit, stored
@@ -50,17 +50,19 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``key`` and ``fp``, the fingerprint as a signed 64-bit integer, for every row."""
+    """``key``, ``th`` (hash of the text) and ``fp``, the fingerprint as a signed 64-bit integer, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("key"))
+            keys, hashes = (batch.column(batch.schema.get_field_index(c)) for c in ("key", "th"))
             (texts,) = columns(batch, "text")
             fps = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(fps)], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([keys, hashes, pa.array(fps)], names=["key", "th", "fp"])
 
-    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp long")
+    rows = docs.select(
+        docs[key].alias("key"), F.xxhash64(docs[text]).alias("th"), docs[text].cast("string").alias("text")
+    )
+    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, th long, fp long")
 
 
 def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
@@ -82,22 +84,48 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return entries.hint("merge").join(probes, met & near).select(F.col("other").alias("a"), F.col("fp").alias("b"))
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``key``, ``fingerprint`` (16 hex digits) and ``component_id``, the least key reachable over links.
-
-    One row per row of ``docs``; a null key is never the least unless a group has no other. Null, empty
-    and blank texts have fingerprint zero and are linked like any other. Other columns are ignored; an
-    empty table gives no rows.
-    """
+def _groups(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and the ``root`` of each fingerprint's component."""
     rows = stored(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), distance))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    placed = stored(placed, "placed")
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.join(groups, "root").select("fp", "component_id")
+    return rows, stored(placed, "placed")
+
+
+def near_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3
+) -> DataFrame:
+    """``key``, ``fingerprint`` (16 hex digits) and ``component_id``, the least key reachable over links.
+
+    One row per row of ``docs``; a null key is never the least unless a group has no other. Null, empty
+    and blank texts have fingerprint zero and are linked like any other. Other columns are ignored; an
+    empty table gives no rows.
+    """
+    rows, placed = _groups(docs, key, text, shingle, distance)
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = placed.join(least, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3
+) -> DataFrame:
+    """The rows, with all their columns, of one document of each group of near-duplicates.
+
+    It is the one with the least key, null last; of rows with one key the text's hash decides, and of
+    rows with one key and text one stays.
+    """
+    rows, placed = _groups(docs, key, text, shingle, distance)
+    here = F.struct(F.col("key").isNull(), "key", "th")
+    of_print = rows.groupBy("fp").agg(F.min(here).alias("k")).join(placed, "fp")  # copies fold first
+    kept = of_print.groupBy("root").agg(F.min("k").alias("k"))
+    kept = kept.select(F.col("k.key").alias("sh_key"), F.col("k.th").alias("sh_th"))
+    same = F.col(key).eqNullSafe(F.col("sh_key")) & (F.xxhash64(text) == F.col("sh_th"))
+    copies = Window.partitionBy(key, "sh_th").orderBy(F.lit(0))
+    out = docs.join(kept.hint("merge"), same).withColumn("sh_at", F.row_number().over(copies)).where("sh_at = 1")
+    return out.drop("sh_key", "sh_th", "sh_at")
