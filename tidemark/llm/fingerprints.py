@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns, emit, partitions
@@ -147,11 +147,11 @@ class _Parsed:
         )
 
 
-def buckets(docs: DataFrame, key: str, count: int) -> Column:
-    """Number of the key range that a row lies in, about equal in rows; null keys have the lowest."""
+def buckets(docs: DataFrame, key: str, count: int) -> Bucketizer:
+    """Gives ``_bucket``, the key range that ``_key`` lies in; the ranges hold about as many rows each."""
     at = [i / count for i in range(1, count)]
     bounds = docs.agg(F.percentile_approx(key, at, 10_000)).first()[0] if at else None
-    bounds = sorted({float(x) for x in bounds or []})
+    bounds = sorted({float(x) for x in bounds or [0]})
     splits = [-float("inf"), *bounds, float("inf")]
     return Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
 
