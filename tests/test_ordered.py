@@ -32,8 +32,8 @@ def as_set(df):
 
 
 def test_find_hot(rows):
-    assert [r.url for r in find_hot(rows, ["url"], 500).rows] == ["hot"]
-    assert find_hot(rows, ["url"]).rows == []
+    assert [r.url for r in find_hot(rows, ["url"], 500).rows.collect()] == ["hot"]
+    assert find_hot(rows, ["url"]).rows is None
 
 
 @pytest.mark.parametrize("limit", [0, 500])

@@ -99,31 +99,46 @@ def resolve_slots(
 def slot_gaps(urls: DataFrame, captures: DataFrame, first: int, last: int) -> DataFrame:
     """Slots without any capture, with the widest reason: ``url``, ``year`` or ``half``.
 
-    One aggregation: the slots seen per URL form a set of at most two per year, so the grid is
-    compared inside the row and no grid table is joined.
+    One aggregation over one scan: the slots seen of a URL are bits of masks of 62 slots each, so
+    nothing is collected and the grid is compared inside the row.
     """
-    number = F.col("year") * 2 + F.col("half") - 1
-    seen = captures.where(F.col("year").between(first, last)).select("url", number.alias("slot"))
-    wanted = urls.select("url", F.lit(-2).alias("slot"))
-    any_capture = captures.select("url", F.lit(-1).alias("slot"))
-    grid = F.sequence(F.lit(first * 2), F.lit(last * 2 + 1))
+    slots = list(range(first * 2, last * 2 + 2))
+    masks = [slots[i : i + 62] for i in range(0, len(slots), 62)]
+    number = (F.col("year") * 2 + F.col("half") - 1).cast("int")
+
+    def bit(part: list[int]) -> Column:
+        shifted = F.call_function("shiftleft", F.lit(1).cast("bigint"), number - part[0])
+        return F.when(number.between(part[0], part[-1]), shifted).otherwise(F.lit(0).cast("bigint"))
+
+    names = [f"m{i}" for i in range(len(masks))]
+    seen = captures.select("url", *[bit(p).alias(n) for n, p in zip(names, masks)], F.lit(False).alias("wanted"))
+    asked = urls.select("url", *[F.lit(0).cast("bigint").alias(n) for n in names], F.lit(True).alias("wanted"))
+    one = (
+        asked.unionByName(seen)
+        .groupBy("url")
+        .agg(
+            *[F.bit_or(n).alias(n) for n in names],
+            F.bool_or("wanted").alias("wanted"),
+            F.bool_and("wanted").alias("unseen"),
+        )
+        .where("wanted")
+    )
+
+    def has(slot: Column) -> Column:
+        at = slot - slots[0]
+        mask = F.element_at(F.array(*names), F.floor(at / 62).cast("int") + 1)
+        return F.getbit(mask, (at % 62).cast("int")) == 1
+
     slot = F.col("slot")
     other = F.when(slot % 2 == 0, slot + 1).otherwise(slot - 1)
     return (
-        wanted.unionByName(seen)
-        .unionByName(any_capture)
-        .groupBy("url")
-        .agg(F.collect_set("slot").alias("seen"))
-        .where(F.array_contains("seen", -2))
-        .withColumn("slot", F.explode(F.array_except(grid, F.col("seen"))))
+        one.withColumn("slot", F.explode(F.lit(slots)))
+        .where(~has(slot))
         .select(
             "url",
             F.floor(slot / 2).cast("int").alias("year"),
             (slot % 2 + 1).cast("int").alias("half"),
-            F.when(~F.array_contains("seen", -1), "url")
-            .when(~F.array_contains("seen", other), "year")
-            .otherwise("half")
-            .alias("reason"),
+            F.when(F.col("unseen"), "url").when(~has(other), "year").otherwise("half").alias("reason"),
         )
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
@@ -27,18 +27,22 @@ def _attempt_code(attempt: Column, forbidden_before: Column, url: Column) -> Col
 
 
 def fetch_outcome(log: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Reduce an attempts log (url, attempt, status, error) to one final code per URL.
+    """Reduce an attempts log (url, attempt, status, error) to one row per URL.
 
-    The first attempts become columns of one partial aggregate (no window, no per-URL list), and
-    the retry rules are folded over these columns.
+    The attempts made are the first ``max_attempts`` rows of a URL by attempt, then status, then error,
+    so repeated or skipped numbers lose nothing. ``error_code`` is null for a log that ends before an
+    attempt decides and before the attempts run out; ``attempts`` counts those made.
+
+    A group limit cuts each URL to its first attempts before the shuffle; they become columns of one
+    aggregate, and the retry rules are folded over these.
     """
+    order = Window.partitionBy("url").orderBy("attempt", "status", "error")
+    made = log.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_attempts)
     slots = [
-        F.min(
-            F.when(F.col("attempt") == k, F.struct("status", "error"))
-        ).alias(f"a{k}")
+        F.min(F.when(F.col("n") == k, F.struct("status", "error"))).alias(f"a{k}")
         for k in range(1, max_attempts + 1)
     ]
-    wide = log.where(F.col("attempt") <= max_attempts).groupBy("url").agg(*slots)
+    wide = made.groupBy("url").agg(F.max("n").alias("made"), *slots)
     chain = None
     forbidden = F.lit(False)
     for k in range(1, max_attempts + 1):
@@ -46,7 +50,8 @@ def fetch_outcome(log: DataFrame, max_attempts: int = 3) -> DataFrame:
         pair = F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(k).alias("n")))
         chain = pair if chain is None else F.coalesce(chain, pair)
         forbidden = forbidden | F.coalesce(F.col(f"a{k}.status") == 403, F.lit(False))
-    last = F.struct(F.lit(RETRIES_EXHAUSTED).alias("code"), F.lit(max_attempts).alias("n"))
+    ended = F.when(F.col("made") >= max_attempts, F.lit(RETRIES_EXHAUSTED))
+    last = F.struct(ended.alias("code"), F.col("made").alias("n"))
     return wide.select("url", F.coalesce(chain, last).alias("r")).select(
         "url", F.col("r.code").alias("error_code"), F.col("r.n").alias("attempts")
     )

@@ -144,24 +144,11 @@ def case_10(nodes: Column, runs: Column) -> Column:
 
 
 def case_11(nodes: Column, runs: Column) -> Column:
-    """Blocks whose text starts with a number. The first non-empty run decides, unless it is all
-    digits and the mark follows in a later run; only then is the whole text looked at."""
+    """Blocks whose text starts with a number, a dot or bracket and a blank."""
+    # Fixed value.
     numbered = r"(?U)^\s*\d+[.)]\s+"
-
-    def test(d: Column) -> Column:
-        lead = first(
-            F.filter(
-                F.transform(
-                    F.slice(runs, d["t0"] + 1, F.least(d["t1"] - d["t0"], F.lit(2))),
-                    lambda t: F.btrim(t),
-                ),
-                lambda t: t != "",
-            )
-        )
-        plausible = lead.isNull() | lead.rlike(r"(?U)^\s*\d+([.)]|\s*$)")
-        return F.when(plausible, text(runs, d).rlike(numbered)).otherwise(F.lit(False))
-
-    return F.transform(select(nodes, tag("div"), test), lambda d: text(runs, d))
+    texts = F.transform(select(nodes, tag("div")), lambda d: text(runs, d))
+    return F.filter(texts, lambda t: t.rlike(numbered))
 
 
 CASES = (

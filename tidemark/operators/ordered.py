@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that a single task sorts without trouble.
@@ -24,17 +24,18 @@ _EDGE = "__edge"
 
 
 class HotKeys(NamedTuple):
-    """Keys with more rows than the limit: at most total rows / limit of them."""
+    """Keys with more rows than the limit, as a table; null when there is none."""
 
     keys: tuple[str, ...]
-    rows: list[Row]
+    rows: DataFrame | None
 
 
 def find_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> HotKeys:
-    """Count rows per key and return the hot ones. Any prefix of a window's keys may be used: if no
-    URL is hot, no slot of a URL is."""
+    """Count rows per key and find the hot ones. Any prefix of a window's keys may be used: if no
+    URL is hot, no slot of a URL is. The keys stay a table; only whether there are any is asked."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return HotKeys(tuple(keys), counted.where(F.col("__n") > limit).select(*keys).collect())
+    hot = counted.where(F.col("__n") > limit).select(*keys)
+    return HotKeys(tuple(keys), None if hot.isEmpty() else hot)
 
 
 def _by_heat(
@@ -43,17 +44,16 @@ def _by_heat(
     plain: Callable[[DataFrame], DataFrame],
     bucketed: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    if not hot.rows:
+    if hot.rows is None:
         return plain(df)
-    schema = df.select(*hot.keys).schema
-    named = df.sparkSession.createDataFrame(hot.rows, schema).toDF(*[f"__{k}" for k in hot.keys])
+    named = hot.rows.toDF(*[f"__{k}" for k in hot.keys])
     match = None
     for k in hot.keys:
         one = F.col(k).eqNullSafe(F.col(f"__{k}"))
         match = one if match is None else match & one
-    small = F.broadcast(named)
-    cold_rows = df.join(small, match, "left_anti")
-    hot_rows = df.join(small, match, "left_semi")
+    # No hint: the size of the table of keys decides how it is joined.
+    cold_rows = df.join(named, match, "left_anti")
+    hot_rows = df.join(named, match, "left_semi")
     return plain(cold_rows).unionByName(bucketed(hot_rows))
 
 

@@ -231,22 +231,22 @@ def agg_error_history(spark, sf_dir):
 @query(
     "agg_fetch_outcome",
     oracle(
-        """select u.url, coalesce(arg_min(code, attempt) filter (code is not null), 6) as error_code,
-          coalesce(min(attempt) filter (code is not null), 3) as attempts
-        from (select distinct url from fetch_log where attempt <= 3) u left join (
-          select url, attempt, case when error = 'ssl' then 4 when error = 'timeout' then null
+        """select url, coalesce(arg_min(code, n) filter (code is not null), case when max(n) >= 3 then 6 end) as error_code,
+          cast(coalesce(min(n) filter (code is not null), max(n)) as int) as attempts
+        from (
+          select url, n, case when error = 'ssl' then 4 when error = 'timeout' then null
             when error = 'connection' then 2 when error is not null then 5
             when status = 429 or status between 500 and 599 then null
             when status = 403 and url like 'https://%' and forbidden = 0 then null
             when status between 400 and 499 then 3 else 0 end as code
           from (select *, coalesce(sum(case when status = 403 then 1 else 0 end) over (
-                  partition by url order by attempt rows between unbounded preceding and 1 preceding), 0)
-                as forbidden from one)) s on u.url = s.url
-        group by u.url""",
+                  partition by url order by n rows between unbounded preceding and 1 preceding), 0)
+                as forbidden from made))
+        group by url""",
         "fetch_log",
-        one="""select url, attempt, status, error from (select *, row_number() over (
-          partition by url, attempt order by status nulls first, error nulls first) as rn
-          from fetch_log where attempt <= 3) where rn = 1""",
+        made="""select url, n, status, error from (select *, row_number() over (
+          partition by url order by attempt, status nulls first, error nulls first) as n
+          from fetch_log) where n <= 3""",
     ),
 )
 def agg_fetch_outcome(spark, sf_dir):

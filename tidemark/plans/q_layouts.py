@@ -16,12 +16,13 @@ from tidemark.functions.text import hash_bucket
 from tidemark.operators import dom as D
 from tidemark.operators import extract as E
 from tidemark.operators.layouts import homepage, moderators, sections
-from tidemark.plans.registry import query, spread, table
+from tidemark.plans.registry import dealt, query, table
 
 
 def fill(template: str, **columns):
-    """Column for a template with {name} marks."""
+    """Column for a template with {name} marks, its tags on indented lines as in real pages."""
     parts = []
+    template = re.sub(r"><(?!!)", ">\n  <", template)
     for piece in re.split(r"(\{\w+\})", template):
         if piece.startswith("{"):
             parts.append(F.col(columns[piece[1:-1]]).cast("string"))
@@ -40,7 +41,7 @@ def fill(template: str, **columns):
         select page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) as items from pages))""",
 )
 def html_shred(spark, sf_dir):
-    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
+    dom = D.shred(table(spark, sf_dir, "pages").select("page_id", "html"))
     nodes, runs = F.col("nodes"), F.col("runs")
     links = D.select(nodes, D.tag("a"), lambda n: D.parent_of(nodes, n)["tag"] == "li")
     return dom.select(
@@ -51,32 +52,27 @@ def html_shred(spark, sf_dir):
 
 @query("html_shred_nodes")
 def html_shred_nodes(spark, sf_dir):
-    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
+    dom = D.shred(table(spark, sf_dir, "pages").select("page_id", "html"))
     return D.dom_nodes(dom).select(
         "page_id", "pre", "last", "parent", "depth", "child_idx", "tag", "t0", "t1"
     )
 
 
-_COUNTED = ("h1", "ul", "li", "a", "p", "b", "article", "nav", "br")
-
-
 @query(
     "html_shred_counts",
-    " union all ".join(
-        f"""select page_id, '{t}' as tag, cast(len(regexp_extract_all(html, '<{t}[ >]')) as bigint) as n
-        from pages where regexp_matches(html, '<{t}[ >]')"""
-        for t in _COUNTED
-    ),
+    """select page_id, tag, count(*) as n from (
+      select page_id, lower(unnest(regexp_extract_all(
+        regexp_replace(html, '<(script|style)([^>]*)>.*?</(script|style)>', '<\\1></\\1>', 'gs'),
+        '<([a-zA-Z][a-zA-Z0-9]*)[ />]', 1))) as tag from pages) group by page_id, tag""",
 )
 def html_shred_counts(spark, sf_dir):
-    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
-    kept = D.dom_nodes(dom).where(F.col("tag").isin(*_COUNTED))
-    return kept.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    dom = D.shred(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return D.dom_nodes(dom).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("html_shred_text")
 def html_shred_text(spark, sf_dir):
-    return D.dom_text(D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html"))))
+    return D.dom_text(D.shred(table(spark, sf_dir, "pages").select("page_id", "html")))
 
 
 @query(
@@ -85,13 +81,13 @@ def html_shred_text(spark, sf_dir):
     from pages where html like '%<h1>%'""",
 )
 def dom_text_agg(spark, sf_dir):
-    dom = D.shred(spread(table(spark, sf_dir, "pages").select("page_id", "html")), Keep(tags=("h1",), attrs=(), own=()))
+    dom = D.shred(table(spark, sf_dir, "pages").select("page_id", "html"), Keep(tags=("h1",), attrs=(), own=()))
     return D.dom_text_agg(dom, D.tag("h1")).select("page_id", "text")
 
 
 def _tree(spark, sf_dir):
     """div > ul > p_size items with one link each; elements are numbered in a known way."""
-    pages = spread(table(spark, sf_dir, "part")).select(
+    pages = dealt(table(spark, sf_dir, "part"), "p_partkey").select(
         F.col("p_partkey").alias("page_id"),
         F.concat(
             F.lit("<div><ul>"),
@@ -201,7 +197,7 @@ def _mod_oracle(number: int) -> str:
 
 
 def moderator_pages(spark, sf_dir, number):
-    orders = spread(table(spark, sf_dir, "orders")).select(
+    orders = dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(
         "o_orderkey",
         "o_custkey",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
@@ -224,21 +220,19 @@ for _n in _MOD_HTML:
 
 @query(
     "mod_permission",
-    f"select o_orderkey as page_id, {_PERMISSION_SQL} as permission from orders",
+    f"""select o_orderkey as page_id, 0 as pos, {_PERMISSION_SQL} as permission from orders
+    union all select o_orderkey, 1, null from orders union all select o_orderkey, 2, null from orders""",
 )
 def mod_permission(spark, sf_dir):
     dom = E.layout_dom(moderator_pages(spark, sf_dir, 3))
     nodes, runs = F.col("nodes"), F.col("runs")
     rows = D.select(nodes, D.tag("tr"))
     summaries = D.select(nodes, D.tag("div"), D.has_class("permission-summary"))
-    row = D.let(
-        D.first(rows),
-        lambda r: D.let(
-            summaries,
-            lambda s: moderators.permission(nodes, runs, D.subtree(nodes, r), s),
-        ),
+    found = D.let(
+        summaries,
+        lambda s: F.transform(rows, lambda r: moderators.permission(nodes, runs, D.subtree(nodes, r), s)),
     )
-    return dom.select("page_id", row.alias("permission"))
+    return dom.select("page_id", F.posexplode(found).alias("pos", "permission"))
 
 
 # Rule layouts: one page per part
@@ -276,7 +270,8 @@ _HOME_HTML = {
     9: "<ul><li>before</li></ul><h1>Our <b>rules</b></h1><p>x</p><div><ul><li>deep</li></ul></div>"
     "<ul><li>{name}</li><li></li><li>{brand}<p>{type}</p></li></ul><ul><li>later</li></ul>",
     10: "<h2>Our <i>rules</i></h2><ul><li>no</li></ul><div><ol><li>{name}<ol><li>{brand}</li></ol></li></ol></div>",
-    11: "<div>1. {name}</div><div>3 {brand}</div><div><b>2</b>) {brand}</div><div>x<div> 4) {type}</div></div>",
+    11: "<div>1. {name}</div><div>3 {brand}</div><div><b>2</b>) {brand}</div><div>x<div> 4) {type}</div></div>"
+    "<div>&nbsp;<span> </span><b>5. {name}</b></div><div>{name}<p>6. no</p></div>",
 }
 _HOME_TEXTS = {
     1: _LIST_TEXTS,
@@ -289,13 +284,15 @@ _HOME_TEXTS = {
     8: ["p_name", "p_brand"],
     9: ["p_name", "concat(p_brand, p_type)"],
     10: ["concat(p_name, p_brand)", "p_brand"],
-    11: ["concat('1. ', p_name)", "concat('2) ', p_brand)", "concat('4) ', p_type)"],
+    11: [
+        "concat('1. ', p_name)", "concat('2) ', p_brand)", "concat('4) ', p_type)", "concat('5. ', p_name)",
+    ],
 }
 
 
 def _rule_pages(spark, sf_dir, template):
     html = fill(template, name="p_name", brand="p_brand", type="p_type")
-    return spread(table(spark, sf_dir, "part")).select(
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(
         F.col("p_partkey").alias("page_id"), html.alias("html")
     )
 
@@ -506,7 +503,7 @@ _DISPATCH_URL = (
 
 
 def dispatch_pages(spark, sf_dir):
-    return spread(table(spark, sf_dir, "part")).select(
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(
         F.col("p_partkey").alias("page_id"),
         F.expr(_DISPATCH_URL).alias("original"),
         F.expr(_DISPATCH_HTML).alias("html"),

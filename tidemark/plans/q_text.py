@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import bigrams, hash_bucket, words
 from tidemark.operators import metrics, model, textfeat
 from tidemark.plans.inputs import labelled, oracle
-from tidemark.plans.registry import query, spread, table
+from tidemark.plans.registry import query, table
 from tidemark.session import work_dir
 
 # The oracle's text steps, as macros over the documents.
@@ -28,7 +28,7 @@ _TRAIN_GRAMS = _grams_of(_TOKENS, f"(select * from documents where {_IS_TRAIN})"
 
 
 def _documents(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query(
@@ -189,7 +189,7 @@ def agg_best_threshold(spark, sf_dir):
 
 def _small_model(spark, sf_dir, kind="trees"):
     """A small model for the registered queries: the operators take the full size as parameters."""
-    docs = spread(labelled(spark, sf_dir)).select("doc_id", "text", "label")
+    docs = labelled(spark, sf_dir).select("doc_id", "text", "label")
     train = textfeat.split(docs, "doc_id").where("is_train")
     return docs, model.fit(train, max_features=500, kind=kind, rounds=5)
 

@@ -13,21 +13,23 @@ from tidemark.sources.tables import VersionedTable
 from tidemark.streaming import jobs
 
 
-def _parse(spark, pages, files: int):
+def _parse(spark, *arrivals):
+    """Each part arrives after the job has handled the one before it."""
     landing, root = work_dir(spark, "landing"), work_dir(spark, "parsed")
-    pages.repartition(files).write.parquet(landing)
     tables = jobs.PageTables(spark, root)
-    stream = jobs.read_landing(spark, landing, jobs.PAGE_SCHEMA, files_per_batch=2)
-    jobs.finish(
-        jobs.parse_pending(stream, tables, f"{root}/checkpoint", md5_scorer, 0.505, interval=None)
-    )
+    for pages in arrivals:
+        pages.write.mode("append").parquet(landing)
+        stream = jobs.read_landing(spark, landing, jobs.PAGE_SCHEMA)
+        jobs.finish(
+            jobs.parse_pending(stream, tables, f"{root}/checkpoint", md5_scorer, 0.505, interval=None)
+        )
     return dispatch_rows(tables.rules.current(), tables.moderators.current())
 
 
 @query("stream_parse_pending", DISPATCH_ORACLE)
 def stream_parse_pending(spark, sf_dir):
     pages = dispatch_pages(spark, sf_dir).withColumn("stamp", F.lit(1.0))
-    return _parse(spark, pages, 4)
+    return _parse(spark, pages)
 
 
 @query("stream_reparse_on_replace", DISPATCH_ORACLE)
@@ -41,7 +43,7 @@ def stream_reparse_on_replace(spark, sf_dir):
         F.lit(1.0).alias("stamp"),
     )
     stale = old.withColumn("html", F.regexp_replace("html", "<b>", "<b>9"))
-    return _parse(spark, pages.unionByName(stale), 4)
+    return _parse(spark, stale, pages)
 
 
 @query(
@@ -56,10 +58,12 @@ def stream_reparse_on_replace(spark, sf_dir):
 )
 def stream_error_history(spark, sf_dir):
     landing, root = work_dir(spark, "landing"), work_dir(spark, "errors")
-    errors(spark, sf_dir).repartition(4).write.parquet(landing)
     state = VersionedTable(spark, f"{root}/state", ["url"], "n_errors")
-    stream = jobs.read_landing(spark, landing, jobs.ERROR_SCHEMA, files_per_batch=2)
-    jobs.finish(jobs.track_errors(stream, state, f"{root}/checkpoint", interval=None))
+    events = errors(spark, sf_dir)
+    for part in (events.where("ts % 2 = 0"), events.where("ts % 2 <> 0")):
+        part.write.mode("append").parquet(landing)
+        stream = jobs.read_landing(spark, landing, jobs.ERROR_SCHEMA)
+        jobs.finish(jobs.track_errors(stream, state, f"{root}/checkpoint", interval=None))
     return state.current()
 
 

@@ -32,10 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for heavy per-row work on a table of fewer files than cores.
-
-    A table with more files is already spread and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows by key, before pages are rendered from them; adaptive execution sets the number
+    of tasks from the size. Tables of texts and pages are read as their files split."""
+    return df.repartition(key)

@@ -15,7 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Rows that are few but costly, such as pages to be rendered, still go to all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Pages are large rows: hand them to Python workers in batches of bounded size.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",

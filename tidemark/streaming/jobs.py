@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import urls as U
 from tidemark.operators import extract as E
 from tidemark.operators.ordered import latest_per_key
 from tidemark.sources.tables import VersionedTable
@@ -125,7 +126,7 @@ def track_errors(
     def run(changed: DataFrame, batch: int) -> None:
         rows = changed.select(
             "url",
-            F.col("last.error_code").isin(3, 4, 5).alias("fatal"),
+            U.is_fatal(F.col("last.error_code")).alias("fatal"),
             F.col("last.error_code").alias("last_code"),
             F.col("last.ts").alias("last_ts"),
             "n_errors",
@@ -136,8 +137,11 @@ def track_errors(
     return _start(writer, checkpoint, "track_errors", interval)
 
 
-def finish(query: StreamingQuery, timeout: int = 600) -> None:
-    """Wait for an ``availableNow`` run; a failed or unfinished run raises."""
-    if not query.awaitTermination(timeout):
+def finish(query: StreamingQuery, timeout: int | None = None) -> None:
+    """Wait for an ``availableNow`` run, without a limit unless one is given in seconds; a failed run
+    raises, and so does one that is stopped at the limit."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"{query.name} did not finish in {timeout} s")
