@@ -8,8 +8,6 @@ from tidemark.plans.catalog import ORACLES, QUERIES
 from tools.check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-# Trained models differ in the last digits between runs and have no oracle.
-SLOW = {"fit_classifier", "score_proba", "sink_model"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +17,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     ok, note, _ = compare(spark, con, name, SF)
     assert ok, note

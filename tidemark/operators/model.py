@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.textfeat import MAX_FEATURES, with_grams
+from tidemark.operators.textfeat import MAX_FEATURES, inverse_doc_freq, with_grams
+from tidemark.session import written
 
 # Size of the boosted model.
 TREES, DEPTH = 100, 4
 
 
+def features(train: DataFrame, text: str = "text", max_features: int = MAX_FEATURES) -> list:
+    """Stages that turn n-grams into weighted counts of unit length.
+
+    The vocabulary and the document frequencies are those of ``textfeat``: the most frequent terms, ties
+    by term, and idf = ln((1 + n) / (1 + df)) + 1. Both fit the driver by the limit of the vocabulary.
+    """
+    idf = {r["term"]: r["idf"] for r in inverse_doc_freq(train, text, max_features).collect()}
+    terms = sorted(idf)
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="tf")
+    weigh = ElementwiseProduct(
+        scalingVec=Vectors.dense([idf[t] for t in terms]), inputCol="tf", outputCol="weighted"
+    )
+    return [counter, weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+
+
 def fit(
     train: DataFrame,
     text: str = "text",
@@ -27,17 +43,11 @@ def fit(
 ) -> PipelineModel:
     """Fit on labelled texts. ``kind`` is ``trees``, or ``logistic`` for a fast linear model.
 
-    The idf of the library lacks the constant 1, so its weights are raised by 1 and applied as a
-    fixed element-wise product.
+    The feature vectors are written once, so texts are not tokenised again in each pass of the fit.
     """
-    grams = with_grams(train.where(F.col(label).isNotNull()), text)
-    counter = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features).fit(grams)
-    counted = counter.transform(grams)
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(counted)
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="tf", outputCol="weighted"
-    )
-    norm = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
+    train = train.where(F.col(label).isNotNull())
+    stages = features(train, text, max_features)
+    ready = PipelineModel(stages).transform(with_grams(train, text)).select("features", label)
     target = {"featuresCol": "features", "labelCol": label}
     if kind == "trees":
         classifier = GBTClassifier(
@@ -45,8 +55,7 @@ def fit(
         )
     else:
         classifier = LogisticRegression(maxIter=rounds, **target)
-    fitted = classifier.fit(norm.transform(weigh.transform(counted)))
-    return PipelineModel([counter, weigh, norm, fitted])
+    return PipelineModel([*stages, classifier.fit(written(ready, "features"))])
 
 
 def score(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:

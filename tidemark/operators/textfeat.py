@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import let
 from tidemark.functions.text import bigrams, clean_text, hash_bucket, words
+from tidemark.session import written
 
 # Vocabulary size and share of the training part.
 MAX_FEATURES = 60_000
 TRAIN_PERCENT = 80
 SPLIT_SEED = 42
-# A term table up to this many rows may be broadcast; the vocabulary limit proves its size.
-BROADCAST_TERMS = 200_000
 
 
 def grams(text: Column) -> Column:
@@ -34,27 +33,52 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf), one document per key.
 
     Texts are shuffled once by key, which is less data than their n-grams; counting, and any later
-    step per document, then needs no further shuffle.
+    step per document, then needs no further shuffle. Adaptive execution sets the number of tasks.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         docs.select(key, text)
-        .repartition(parts, key)
+        .repartition(key)
         .select(key, F.explode(grams(F.col(text))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def smallest(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k rows with the smallest values, which are distinct, without sorting all in one task.
+
+    Rows are cut into ranges of values and counted; only the range that the k-th row lies in is ranked.
+    """
+    parts = written(df.repartitionByRange(column).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))  # one row per range
+    upto = F.sum("__rows").over(Window.orderBy("__part"))
+    sizes = sizes.withColumn("__before", upto - F.col("__rows")).where(F.col("__before") < k)
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(column))
+    ranked = parts.join(sizes, "__part").withColumn("__at", at)
+    return ranked.where(F.col("__before") + F.col("__at") <= k).select(*df.columns)
+
+
+def most_frequent(totals: DataFrame, k: int) -> DataFrame:
+    """The k terms with the highest ``n``; ties by term.
+
+    A histogram of the counts gives the count at which the k-th term lies. Terms above it are kept by
+    a filter; only those with that very count are ordered by term.
+    """
+    totals = written(totals, "totals")
+    counts = totals.groupBy("n").agg(F.count(F.lit(1)).alias("terms"))  # a row per distinct count
+    upto = F.sum("terms").over(Window.orderBy(F.col("n").desc()))
+    border = counts.withColumn("upto", upto).where(F.col("upto") >= k).orderBy(F.col("n").desc()).first()
+    if border is None:
+        return totals
+    sure = totals.where(F.col("n") > border["n"])
+    wanted = k - (border["upto"] - border["terms"])
+    return sure.unionByName(smallest(totals.where(F.col("n") == border["n"]), "term", wanted))
+
+
 def vocabulary(docs: DataFrame, k: int = MAX_FEATURES, text: str = "text") -> DataFrame:
     """The k terms with the highest total count; ties by term. No per-document step is needed."""
-    return (
-        docs.select(F.explode(grams(F.col(text))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("term"))
-        .limit(k)
-    )
+    totals = docs.select(F.explode(grams(F.col(text))).alias("term")).groupBy("term")
+    return most_frequent(totals.agg(F.count(F.lit(1)).alias("n")), k)
 
 
 def doc_freq(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,25 +117,22 @@ def inverse_doc_freq(train: DataFrame, text: str = "text", k: int | None = MAX_F
     frequent terms."""
     totals = term_totals(train, text)
     if k is not None:
-        totals = totals.orderBy(F.col("n").desc(), F.col("term")).limit(k)
+        totals = most_frequent(totals, k)
     documents = train.agg(F.count(F.lit(1)).alias("n")).scalar()
     return totals.select(
         "term", (F.log((F.lit(1) + documents) / (F.lit(1) + F.col("df"))) + 1).alias("idf")
     )
 
 
-def tfidf(
-    docs: DataFrame, idf: DataFrame, key: str, text: str = "text", terms: int | None = MAX_FEATURES
-) -> DataFrame:
+def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, weight): tf x idf, scaled to unit length per document.
 
-    ``terms`` is the proven size of ``idf``; only a bounded table is broadcast. Otherwise the join is
-    left to the optimizer and the skew handling of adaptive execution.
+    The join is left to the optimizer, which knows the size of ``idf``, and to the skew handling of
+    adaptive execution.
     """
-    small = terms is not None and terms <= BROADCAST_TERMS
     weighted = (
         term_counts(docs, key, text)
-        .join(F.broadcast(idf) if small else idf, "term")
+        .join(idf, "term")
         .withColumn("raw", F.col("tf") * F.col("idf"))
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))

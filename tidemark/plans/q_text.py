@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bigrams, hash_bucket, words
@@ -63,9 +64,7 @@ def agg_doc_freq(spark, sf_dir):
     return textfeat.doc_freq(train)
 
 
-@query(
-    "tfidf",
-    f"""with tf as (select doc_id, term, count(*) as tf from ({_GRAMS}) group by 1, 2),
+_FEATURES_ORACLE = f"""with tf as (select doc_id, term, count(*) as tf from ({_GRAMS}) group by 1, 2),
       train as (select * from documents where {_IS_TRAIN}),
       traintf as (select * from tf where doc_id in (select doc_id from train)),
       vocab as (select term from traintf group by term order by sum(tf) desc, term limit 60000),
@@ -74,8 +73,10 @@ def agg_doc_freq(spark, sf_dir):
       raw as (select doc_id, tf.term, tf * idf as w from tf join idf on tf.term = idf.term),
       unit as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from raw)
     select doc_id, count(*) as terms, round(sum(w), 6) as total, round(max(w), 6) as top,
-      round(sum(w * w), 6) as length from unit group by doc_id""",
-)
+      round(sum(w * w), 6) as length from unit group by doc_id"""
+
+
+@query("tfidf", _FEATURES_ORACLE)
 def tfidf(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     train = textfeat.split(docs, "doc_id").where("is_train").select("doc_id", "text")
@@ -187,31 +188,74 @@ def agg_best_threshold(spark, sf_dir):
     return best.select(F.round("threshold", 9).alias("threshold"), F.round("f1", 9).alias("f1"))
 
 
-def _small_model(spark, sf_dir, kind="trees"):
-    """A small model for the registered queries: the operators take the full size as parameters."""
+_FITTED: dict[tuple, object] = {}
+
+
+def _model(spark, sf_dir):
+    """All labelled documents and the full model, fitted on the training part once per session."""
     docs = labelled(spark, sf_dir).select("doc_id", "text", "label")
-    train = textfeat.split(docs, "doc_id").where("is_train")
-    return docs, model.fit(train, max_features=500, kind=kind, rounds=5)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = model.fit(textfeat.split(docs, "doc_id").where("is_train"))
+    return docs, _FITTED[key]
 
 
-@query("fit_classifier")
+@query(
+    "fit_classifier",
+    oracle(
+        """select cast(c as string) as class, count(*) filter (label = c) as support, true as in_range
+        from test, (values (0), (1)) v(c) group by c
+        union all select t, count(*), true from test, (values ('accuracy'), ('macro avg'), ('weighted avg')) w(t)
+        group by t""",
+        "labelled",
+        test=f"select * from labelled where not ({_IS_TRAIN})",
+    ),
+)
 def fit_classifier(spark, sf_dir):
-    docs, fitted = _small_model(spark, sf_dir)
+    """Classes and supports of the test part; the figures of a trained model have no oracle."""
+    docs, fitted = _model(spark, sf_dir)
     test = textfeat.split(docs, "doc_id").where("not is_train")
-    return metrics.class_report(model.score(fitted, test))
+    figures = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
+    return metrics.class_report(model.score(fitted, test)).select(
+        "class", "support", (figures[0] & figures[1] & figures[2]).alias("in_range")
+    )
 
 
-@query("score_proba")
+@query(
+    "score_proba",
+    oracle("select doc_id, true as in_range, true as agrees from labelled", "labelled"),
+)
 def score_proba(spark, sf_dir):
-    docs, fitted = _small_model(spark, sf_dir, "logistic")
-    return model.score(fitted, docs).select("doc_id", "score", "pred")
+    docs, fitted = _model(spark, sf_dir)
+    return model.score(fitted, docs).select(
+        "doc_id",
+        F.col("score").between(0, 1).alias("in_range"),
+        ((F.col("score") > 0.5) == (F.col("pred") == 1)).alias("agrees"),
+    )
 
 
-@query("sink_model")
+@query("sink_model", oracle("select doc_id, true as same from labelled", "labelled"))
 def sink_model(spark, sf_dir):
-    docs, fitted = _small_model(spark, sf_dir, "logistic")
+    docs, fitted = _model(spark, sf_dir)
     path = work_dir(spark, "model")
     model.save(fitted, path)
     before = model.score(fitted, docs).select("doc_id", F.col("score").alias("before"))
     after = model.score(model.load(path), docs).select("doc_id", F.col("score").alias("after"))
     return before.join(after, "doc_id").select("doc_id", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query("model_features", _FEATURES_ORACLE)
+def model_features(spark, sf_dir):
+    """The vectors that the model sees, summed up as those of the relational TF-IDF."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = textfeat.split(docs, "doc_id").where("is_train")
+    ready = PipelineModel(model.features(train)).transform(textfeat.with_grams(docs))
+    used = F.filter(F.unwrap_udt("features")["values"], lambda x: x != 0)
+    zero = F.lit(0.0)
+    return ready.select("doc_id", used.alias("w")).where(F.size("w") > 0).select(
+        "doc_id",
+        F.size("w").cast("bigint").alias("terms"),
+        F.round(F.aggregate("w", zero, lambda a, x: a + x), 6).alias("total"),
+        F.round(F.array_max("w"), 6).alias("top"),
+        F.round(F.aggregate("w", zero, lambda a, x: a + x * x), 6).alias("length"),
+    )
