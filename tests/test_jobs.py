@@ -57,7 +57,7 @@ def test_parse_stream(spark, pages, tmp_path, files, per_batch):
         jobs.finish(jobs.parse_pending(stream, tables, f"{root}/checkpoint", score, interval=None))
 
     run()
-    rules, mods = E.extract(pages, "page_id", score)
+    rules, mods, _ = E.extract(pages, "page_id", score)
     want = (
         sorted((r.page_id, [tuple(x) for x in r.rules]) for r in rules.collect()),
         sorted((r.page_id, [tuple(x) for x in r.moderators]) for r in mods.collect()),

@@ -94,7 +94,7 @@ def test_homepage_cases(spark):
         "<div>1. A</div><div>2) B</div><div>3 C</div><div><b>4</b>. D</div><div> \n 5. E</div><div>6.</div>",
         "<div><div>1. A</div></div>",
         "<div>12<b>3</b><i>. x y</i></div><div>12<b>3</b></div><div>1<b>. </b>x</div>",
-        "<div>\\n<p>1. Be nice</p></div><div>&nbsp;<b>2. B</b></div><div>\\n  <span>\\n</span><b>3) C</b> x</div>",
+        "<div>\n<p>1. Be nice</p></div><div>&nbsp;<b>2. B</b></div><div>\n  <span>\n</span><b>3) C</b> x</div>",
     ]
     got = home(spark, pages)
     assert got[0] == {1: ["No spam", ""]}
@@ -103,7 +103,7 @@ def test_homepage_cases(spark):
     assert got[3] == {}
     assert got[4] == {9: ["A"]}
     assert got[5] == {10: ["A"]}
-    assert got[6] == {11: ["1. A", "2) B", "4. D", "5.\u00a0 E"]}
+    assert got[6] == {11: ["1. A", "2) B", "4. D", "5.\u00a0E"]}
     assert got[7] == {11: ["1. A", "1. A"]}
     assert got[8] == {11: ["123. x y"]}
     assert got[9] == {11: ["1. Be nice", "2. B", "3) Cx"]}
@@ -181,8 +181,9 @@ def test_extract_numbers_and_quarantine(spark):
             "score", F.when(F.col("score_text") == "drop", 0.0).otherwise(0.105)
         )
 
-    rules, mods = E.extract(pages, "page_id", score)
+    rules, mods, bad = E.extract(pages, "page_id", score)
     got = {r.page_id: [tuple(x) for x in r.rules] for r in rules.collect()}
     # numbers are given before repeats are dropped, so 2 is missing
     assert got == {1: [(1, "Be kind", "x"), (3, "Last", "")], 2: [(None, "keep", None)]}
     assert mods.count() == 0
+    assert [r.page_id for r in bad.collect()] == [4]

@@ -1,5 +1,6 @@
 """The tree builder alone, without Spark."""
 
+import time
 from html.parser import HTMLParser
 
 from hypothesis import given, settings
@@ -113,3 +114,15 @@ def test_intervals_nest(pieces):
         if n.parent >= 0:
             up = nodes[n.parent]
             assert up.pre < n.pre and n.last <= up.last and up.t0 <= n.t0 and n.t1 <= up.t1
+
+
+def test_many_void_tags_stay_linear():
+    def took(n):
+        html = "<br>" * n + "<p>x</p>" * n
+        start = time.process_time()
+        nodes, runs, error = S.read_page(html)
+        assert error is None and len(nodes) == 2 * n and len(runs) == n
+        return time.process_time() - start
+
+    took(1000)
+    assert took(20_000) < 12 * max(took(4_000), 0.02)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.sources import capture_index, page_store, tsv
-from tidemark.sources.tables import VersionedTable
+from tidemark.sources.tables import KeyedTable, VersionedTable
 
 
 def test_tsv(spark, tmp_path):
@@ -18,25 +18,55 @@ def test_tsv(spark, tmp_path):
 
 def test_capture_index_files(spark, tmp_path):
     good = '[["urlkey","timestamp","original"],["k","20130115000000","http://x/r/a"],["k","20130701000000","http://x/r/b","t","200","D","7"]]'
-    (tmp_path / "good.json").write_text(good)
-    (tmp_path / "bad.json").write_text("<html>")
-    (tmp_path / "short.json").write_text('[["urlkey"],["k","20130115000000"]]')
-    (tmp_path / "empty.json").write_text("[]")
-    responses = capture_index.read_index_files(spark, str(tmp_path))
+    urls = {"http://x/r/good+1": good, "http://x/r/bad": "<html>", "short": '[["urlkey"],["k","20130115000000"]]', "é mpty": "[]"}
+    for url, body in urls.items():
+        name = url.replace("/", "_").replace(":", "_")
+        (tmp_path / f"{name}.json").write_text(body)
+    (tmp_path / "of no seed.json").write_text(good)
+    seeds = spark.createDataFrame([(u,) for u in urls], "seed_url string")
+    responses = capture_index.read_index_files(spark, str(tmp_path), seeds)
+    assert {r.seed_url: r.body for r in responses.collect()} == urls
     rows = capture_index.parse_index(responses).orderBy("pos").collect()
     assert [(r.pos, r.ts14, r.original, r.length) for r in rows] == [
         (0, "20130115000000", "http://x/r/a", None),
         (1, "20130701000000", "http://x/r/b", 7),
     ]
     rejected = capture_index.rejected_responses(responses).collect()
-    assert sorted(r.seed_url.rsplit("/", 1)[1] for r in rejected) == ["bad.json", "short.json"]
+    assert sorted(r.seed_url for r in rejected) == ["http://x/r/bad", "short"]
 
 
 def test_page_files(spark, tmp_path):
     (tmp_path / "fun").mkdir()
     (tmp_path / "fun" / "a.html").write_text("<p>a\nb</p>")
     row = page_store.read_page_files(spark, str(tmp_path)).first()
-    assert row.file_path.endswith("fun/a.html") and row.html == "<p>a\nb</p>"
+    assert row.file_path == "fun/a.html" and row.html == "<p>a\nb</p>"
+
+
+def test_page_files_meet_their_documents(spark, tmp_path):
+    url = "https://web.archive.org/web/20200101000000/https://www.reddit.com/r/funny+x y/?a=1"
+    docs = spark.createDataFrame(
+        [(1, "https://www.reddit.com/r/funny", url), (2, "https://www.reddit.com/r/a", None)], "id int, original string, url string"
+    ).withColumn("file_path", U.file_path(F.col("url")))
+    path = tmp_path / docs.first().file_path
+    path.parent.mkdir()
+    path.write_text("<p>x</p>")
+    found = page_store.pages_for_docs(docs, page_store.read_page_files(spark, str(tmp_path)))
+    assert sorted((r.id, r.status, r.html) for r in found.collect()) == [(1, "ok", "<p>x</p>"), (2, "no_path", None)]
+
+
+def test_keyed_table(spark, tmp_path):
+    fields = spark.createDataFrame([], "a int, b string").schema.fields
+    table = KeyedTable(spark, str(tmp_path / "k"), "k", fields)
+    table.put(spark.createDataFrame([("x", 1, "p"), ("y", 2, "q"), ("z", 3, None)], "k string, a int, b string"), 0)
+    table.set_field(spark.createDataFrame([("x", 9), ("new", 8)], "k string, a int"), "a", 1)
+    table.delete(spark.createDataFrame([("y",), ("none",)], "k string"), 2)
+    table.put(spark.createDataFrame([("z", None, "r")], "k string, a int, b string"), 3)
+    table.put(spark.createDataFrame([("z", None, "r")], "k string, a int, b string"), 3)
+    want = [("new", 8, None), ("x", 9, "p"), ("z", None, "r")]
+    assert sorted(tuple(r) for r in table.current().collect()) == want
+    table.set_field(spark.createDataFrame([("y", "back")], "k string, b string"), "b", 4)
+    assert sorted(tuple(r) for r in table.current().collect()) == sorted([*want, ("y", None, "back")])
+    assert "Exchange" not in spark.read.parquet(str(tmp_path / "k"))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_versioned_table(spark, tmp_path):

@@ -89,7 +89,7 @@ class Shredder(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.nodes, self.runs, self.pending = [], [], []
         self.stack = [_Node(-1, -1, -1, 0, "", (), 0)]
-        self.open_names, self.closed_void = {}, []
+        self.open_names, self.closed_void = {}, {}
         self.hidden = self.spaced = 0  # open elements that hide text, or keep white space
 
     def _child(self, item) -> None:
@@ -201,15 +201,15 @@ class Shredder(HTMLParser):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
             self._end(tag)
-            self.closed_void.append(tag)
+            self.closed_void[tag] = self.closed_void.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self._start(tag, attrs)
         self._end(tag)
 
     def handle_endtag(self, tag):
-        if self.closed_void and tag in self.closed_void:
-            self.closed_void.remove(tag)
+        if self.closed_void.get(tag):
+            self.closed_void[tag] -= 1
         else:
             self._end(tag)
 
@@ -258,9 +258,11 @@ class Shredder(HTMLParser):
 
 def read_page(html: str | None) -> tuple[list[_Node], list[str], str | None]:
     """(nodes, runs, error) of one page; a page that cannot be read gives its error, not a failure."""
+    if html is None:
+        return [], [], "no page"
     parser = Shredder()
     try:
-        parser.feed(html or "")
+        parser.feed(html)
         nodes, runs = parser.finish()
     except Exception as exc:  # one bad page must not stop the job
         return [], [], f"{type(exc).__name__}: {exc}"

@@ -7,6 +7,7 @@ breaks ties between captures of the same second.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,49 @@ def resolve_slots(
     )
 
 
+class CaptureJob(NamedTuple):
+    """One run over the index: the slots, the captures that were tried, the errors met and the captures
+    to try again in the rescue pass."""
+
+    slots: DataFrame
+    tried: DataFrame
+    errors: DataFrame
+    rescue: DataFrame
+
+
+def capture_job(
+    captures: DataFrame,
+    cached: DataFrame,
+    redirect_ok: Column,
+    first: int,
+    last: int,
+    order: Sequence[str] = ORDER,
+    hot: HotKeys | None = None,
+) -> CaptureJob:
+    """From index rows with the outcome of fetching each to slots, tried captures, errors and rescue list.
+
+    ``captures`` has url, ts14, pos, digest, error_code (what a fetch gives) and ``cache_key``; a key in
+    ``cached`` is not fetched and counts as a hit. A slot's captures are tried in order until one is not
+    rejected. Of the tried ones a failed fetch is an error; a page that was redirected out of its slot is
+    none. Errors that can be retried make the rescue list. All four are lazy and share one plan.
+    """
+    kept = year_filter(with_slot(collapse_digest(captures.drop("year", "month", "half"), order=order, hot=hot)), first, last)
+    known = cached.select("cache_key").distinct().withColumn("__hit", F.lit(True))
+    kept = kept.join(known, "cache_key", "left").withColumn(
+        "error_code", F.when(F.col("__hit"), F.lit(U.CACHED_CODE)).otherwise(F.col("error_code"))
+    ).drop("__hit")
+    code = F.col("error_code")
+    rejected = F.coalesce(U.is_fatal(code) | ((code == 0) & ~redirect_ok), F.lit(False))
+    stops = running_sum(
+        kept.withColumn("__stop", (~rejected).cast("bigint")), SLOT, order, {"__stops": F.col("__stop")}, hot
+    )
+    tried = stops.where(F.col("__stops") - F.col("__stop") == 0).drop("__stop", "__stops")
+    errors = tried.where(~code.isin(0, U.CACHED_CODE))
+    return CaptureJob(
+        resolve_slots(kept, redirect_ok, order, hot), tried, errors, errors.where(~U.is_fatal(code))
+    )
+
+
 def slot_gaps(urls: DataFrame, captures: DataFrame, first: int, last: int) -> DataFrame:
     """Slots without any capture, with the widest reason: ``url``, ``year`` or ``half``.
 

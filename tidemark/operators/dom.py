@@ -148,13 +148,12 @@ def dom_text_agg(dom: DataFrame, test: Test, sep: str = "", key: str = "page_id"
 
 
 def _pairs(dom: DataFrame, anchor: Test, related: Callable[[Column], Column], key: str) -> DataFrame:
-    pairs = F.transform(
-        select(F.col("nodes"), anchor),
-        lambda a: F.transform(
-            related(a), lambda b: F.struct(a["pre"].alias("a_pre"), b["pre"].alias("b_pre"))
-        ),
+    """One anchor at a time: the pairs of a page never stand in one array."""
+    anchors = dom.select(key, "nodes", F.explode(select(F.col("nodes"), anchor)).alias("a"))
+    a = F.col("a")
+    return anchors.select(key, a["pre"].alias("a_pre"), F.explode(related(a)).alias("b")).select(
+        key, "a_pre", F.col("b.pre").alias("b_pre")
     )
-    return dom.select(key, F.inline(F.flatten(pairs)))
 
 
 def join_descendant(dom: DataFrame, anchor: Test, test: Test, key: str = "page_id") -> DataFrame:

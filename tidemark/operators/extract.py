@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,13 +201,23 @@ def final_rules(
     )
 
 
+class Extracted(NamedTuple):
+    """What pages gave: stored rules and moderators, and the pages that could not be read."""
+
+    rules: DataFrame
+    moderators: DataFrame
+    quarantine: DataFrame
+
+
 def extract(
     pages: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD
-) -> tuple[DataFrame, DataFrame]:
-    """(rules, moderators) as stored, from pages with ``key``, ``original`` and ``html``."""
+) -> Extracted:
+    """Rules, moderators and quarantine, from pages with ``key``, ``original`` and ``html``."""
     dom = layout_dom(route(pages.select(key, "original", "html")))
     layouts = written(read_layouts(dom, key), "layouts")
-    return stored_rules(layouts, key, scorer, threshold), stored_rosters(layouts, key)
+    return Extracted(
+        stored_rules(layouts, key, scorer, threshold), stored_rosters(layouts, key), unreadable(layouts, key)
+    )
 
 
 def stored_rules(
@@ -222,6 +233,6 @@ def stored_rosters(layouts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def unreadable(layouts: DataFrame, key: str) -> DataFrame:
+def unreadable(layouts: DataFrame, *keys: str) -> DataFrame:
     """Quarantine: pages whose HTML could not be read."""
-    return layouts.where(F.col("parse_error").isNotNull()).select(key, "parse_error")
+    return layouts.where(F.col("parse_error").isNotNull()).select(*keys, "parse_error")

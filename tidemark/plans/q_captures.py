@@ -228,10 +228,7 @@ def agg_error_history(spark, sf_dir):
     )
 
 
-@query(
-    "agg_fetch_outcome",
-    oracle(
-        """select url, coalesce(arg_min(code, n) filter (code is not null), case when max(n) >= 3 then 6 end) as error_code,
+_OUTCOME = """select url, coalesce(arg_min(code, n) filter (code is not null), case when max(n) >= 3 then 6 end) as error_code,
           cast(coalesce(min(n) filter (code is not null), max(n)) as int) as attempts
         from (
           select url, n, case when error = 'ssl' then 4 when error = 'timeout' then null
@@ -242,13 +239,13 @@ def agg_error_history(spark, sf_dir):
           from (select *, coalesce(sum(case when status = 403 then 1 else 0 end) over (
                   partition by url order by n rows between unbounded preceding and 1 preceding), 0)
                 as forbidden from made))
-        group by url""",
-        "fetch_log",
-        made="""select url, n, status, error from (select *, row_number() over (
+        group by url"""
+_MADE = """select url, n, status, error from (select *, row_number() over (
           partition by url order by attempt, status nulls first, error nulls first) as n
-          from fetch_log) where n <= 3""",
-    ),
-)
+          from fetch_log) where n <= 3"""
+
+
+@query("agg_fetch_outcome", oracle(_OUTCOME, "fetch_log", made=_MADE))
 def agg_fetch_outcome(spark, sf_dir):
     return L.fetch_outcome(fetch_log(spark, sf_dir))
 
@@ -270,3 +267,48 @@ def agg_index_retry(spark, sf_dir):
         "url", "error_code", (F.lit(1) + (F.col("ts") % 2).cast("int")).alias("call")
     )
     return L.index_outcome(calls)
+
+
+_JOB_ORDER = "order by ts14, pos rows between unbounded preceding and 1 preceding"
+
+
+@query(
+    "job_capture",
+    oracle(
+        """select 'tried' as target, url, year, half, pos, error_code from tried
+        union all select 'error', url, year, half, pos, error_code from tried where error_code not in (0, 7)
+        union all select 'rescue', url, year, half, pos, error_code from tried where error_code in (1, 2, 6)
+        union all select 'slot', url, year, half, arg_min(pos, nth) filter (not rej),
+          arg_min(error_code, nth) filter (not rej) from marked group by url, year, half""",
+        "captures",
+        "fetch_log",
+        made=_MADE,
+        outcome=_OUTCOME,
+        fetched="""select c.* exclude (error_code), cast(case when c.pos % 13 = 0 then 7 else coalesce(o.error_code, 6) end as int)
+          as error_code from captures c left join (
+            select cast(split_part(url, '/', 4) as bigint) as pos, error_code from outcome) o on c.pos = o.pos""",
+        collapsed=_COLLAPSED.replace("from captures)", "from fetched)"),
+        marked=_MARKED,
+        tried=f"""select * from (select *, coalesce(sum(case when rej then 0 else 1 end) over (
+          partition by url, year, half {_JOB_ORDER}), 0) as stops from marked) where stops = 0""",
+    ),
+)
+def job_capture(spark, sf_dir):
+    """The capture job as one plan, from index rows and the attempts log."""
+    outcome = L.fetch_outcome(fetch_log(spark, sf_dir)).select(
+        F.element_at(F.split("url", "/"), 4).cast("bigint").alias("pos"), "error_code"
+    )
+    rows = captures(spark, sf_dir).drop("error_code").join(outcome, "pos", "left")
+    rows = rows.withColumn("error_code", F.coalesce("error_code", F.lit(6))).withColumn(
+        "cache_key", U.cache_key(F.col("pos").cast("string"))
+    )
+    cached = rows.where("pos % 13 = 0").select("cache_key")
+    ok = U.redirect_ok(F.col("capture_url"), F.col("final_url"))
+    job = C.capture_job(rows, cached, ok, FIRST_YEAR, LAST_YEAR, hot=find_hot(captures(spark, sf_dir), ["url"]))
+    columns = ("url", "year", "half", "pos", "error_code")
+    parts = {"slot": job.slots, "tried": job.tried, "error": job.errors, "rescue": job.rescue}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("target"), *columns)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -50,14 +50,6 @@ def html_shred(spark, sf_dir):
     )
 
 
-@query("html_shred_nodes")
-def html_shred_nodes(spark, sf_dir):
-    dom = D.shred(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return D.dom_nodes(dom).select(
-        "page_id", "pre", "last", "parent", "depth", "child_idx", "tag", "t0", "t1"
-    )
-
-
 @query(
     "html_shred_counts",
     """select page_id, tag, count(*) as n from (
@@ -70,11 +62,6 @@ def html_shred_counts(spark, sf_dir):
     return D.dom_nodes(dom).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_shred_text")
-def html_shred_text(spark, sf_dir):
-    return D.dom_text(D.shred(table(spark, sf_dir, "pages").select("page_id", "html")))
-
-
 @query(
     "dom_text_agg",
     """select page_id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) as text
@@ -101,6 +88,39 @@ def _tree(spark, sf_dir):
 _ITEMS = "part, lateral (select unnest(range(0, cast(p_size as bigint))) as k)"
 
 
+def _node_oracle(source: str, *values: str) -> str:
+    names = ("pre", "last", "parent", "depth", "child_idx")
+    numbers = [f"cast({v} as int) as {n}" for n, v in zip(names, values)]
+    ends = [f"cast({v} as int) as {n}" for n, v in zip(("t0", "t1"), values[6:])]
+    return f"select p_partkey as page_id, {', '.join(numbers)}, '{values[5]}' as tag, {', '.join(ends)} from {source}"
+
+
+@query(
+    "html_shred_nodes",
+    " union all ".join(
+        [
+            _node_oracle("part", "0", "1 + 2 * p_size", "-1", "0", "1", "div", "0", "2 * p_size"),
+            _node_oracle("part", "1", "1 + 2 * p_size", "0", "1", "1", "ul", "0", "2 * p_size"),
+            _node_oracle(_ITEMS, "2 + 2 * k", "3 + 2 * k", "1", "2", "k + 1", "li", "2 * k", "2 * k + 2"),
+            _node_oracle(_ITEMS, "3 + 2 * k", "3 + 2 * k", "2 + 2 * k", "3", "1", "a", "2 * k + 1", "2 * k + 2"),
+        ]
+    ),
+)
+def html_shred_nodes(spark, sf_dir):
+    return D.dom_nodes(_tree(spark, sf_dir)).select(
+        "page_id", "pre", "last", "parent", "depth", "child_idx", "tag", "t0", "t1"
+    )
+
+
+@query(
+    "html_shred_text",
+    f"""select p_partkey as page_id, cast(2 * k + o as int) as pos, case o when 0 then 'x' else 'y' end as text
+    from {_ITEMS}, (values (0), (1)) v(o)""",
+)
+def html_shred_text(spark, sf_dir):
+    return D.dom_text(_tree(spark, sf_dir))
+
+
 @query(
     "join_dom_descendant",
     f"""select p_partkey as page_id, a as a_pre, cast(3 + 2 * k as int) as b_pre
@@ -568,7 +588,23 @@ def dispatch_rows(rules, mods):
 @query("extract_dispatch", DISPATCH_ORACLE)
 def extract_dispatch(spark, sf_dir):
     pages = dispatch_pages(spark, sf_dir)
-    return dispatch_rows(*E.extract(pages, "page_id", md5_scorer, 0.505))
+    out = E.extract(pages, "page_id", md5_scorer, 0.505)
+    return dispatch_rows(out.rules, out.moderators)
+
+
+@query(
+    "extract_quarantine",
+    """select p_partkey as page_id, true as has_error from part
+    where p_partkey % 5 <> 4 and p_size % 7 = 0""",
+)
+def extract_quarantine(spark, sf_dir):
+    """Pages without readable HTML among those of a known type."""
+    pages = dispatch_pages(spark, sf_dir).join(
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), "p_size"), "page_id"
+    )
+    pages = pages.withColumn("html", F.when(F.col("p_size") % 7 != 0, F.col("html")))
+    found = E.extract(pages, "page_id", md5_scorer, 0.505).quarantine
+    return found.select("page_id", F.col("parse_error").isNotNull().alias("has_error"))
 
 
 @query(
@@ -578,4 +614,5 @@ def extract_dispatch(spark, sf_dir):
 )
 def result_shape(spark, sf_dir):
     pages = dispatch_pages(spark, sf_dir)
-    return dispatch_rows(*E.extract(pages, "page_id", md5_scorer, 0.0)).select("page_id", "target")
+    out = E.extract(pages, "page_id", md5_scorer, 0.0)
+    return dispatch_rows(out.rules, out.moderators).select("page_id", "target")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
-from tidemark.operators import fetchlog, merge
+from tidemark.operators import fetchlog
 from tidemark.plans.inputs import captures, errors, oracle
 from tidemark.plans.registry import query, table
 from tidemark.session import work_dir
 from tidemark.sources import capture_index, page_store, tsv
+from tidemark.sources.tables import KeyedTable
 
 _COMMUNITY_PATH = "concat('/r/', lower(lang), cast(page_id % 40 as string), '/about')"
 
@@ -57,18 +58,30 @@ def src_labelled_tsv(spark, sf_dir):
     )
 
 
+def _store(spark, key, rows):
+    """An empty keyed table for the fields of the rows."""
+    fields = [f for f in rows.schema.fields if f.name != key]
+    return KeyedTable(spark, work_dir(spark, "store"), key, fields)
+
+
+# Rows of one response at most: a range of order keys.
+_RESPONSE = 4096
+
+
 def _responses(spark, sf_dir):
-    """Index responses rendered from the captures, one per URL and day; a few are damaged."""
+    """Index responses rendered from the captures, one per URL, second and range of positions; a few
+    are damaged."""
+    group = F.floor(F.col("pos") / _RESPONSE).cast("string")
     row = F.array(
         "url", "ts14", "url", F.lit("text/html"), F.lit("200"), "digest", F.col("pos").cast("string")
     )
     header = F.array(*[F.lit(c) for c in capture_index.INDEX_COLUMNS])
     return (
         captures(spark, sf_dir)
-        .groupBy("url", "ts14")
+        .groupBy("url", "ts14", group.alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("row")))).alias("rows"))
         .select(
-            F.concat("url", F.lit("#"), "ts14").alias("seed_url"),
+            F.concat("url", F.lit("#"), "ts14", F.lit("#"), "part").alias("seed_url"),
             F.to_json(F.concat(F.array(header), F.col("rows.row"))).alias("json"),
             F.substring("ts14", 7, 2).alias("day"),
         )
@@ -79,8 +92,8 @@ def _responses(spark, sf_dir):
 @query(
     "src_capture_index",
     oracle(
-        """select concat(url, '#', ts14) as seed_url,
-           cast(row_number() over (partition by url, ts14 order by pos) - 1 as int) as pos,
+        """select concat(url, '#', ts14, '#', pos // 4096) as seed_url,
+           cast(row_number() over (partition by url, ts14, pos // 4096 order by pos) - 1 as int) as pos,
            ts14, url as original, digest, pos as length
         from captures where substr(ts14, 7, 2) <> '13'""",
         "captures",
@@ -95,7 +108,7 @@ def src_capture_index(spark, sf_dir):
 @query(
     "src_capture_index_rejected",
     oracle(
-        """select distinct concat(url, '#', ts14) as seed_url, '{broken' as body
+        """select distinct concat(url, '#', ts14, '#', pos // 4096) as seed_url, '{broken' as body
         from captures where substr(ts14, 7, 2) = '13'""",
         "captures",
     ),
@@ -190,7 +203,10 @@ def sink_cache_upsert(spark, sf_dir):
         "digest",
     )
     stored, new = rows.where("digest = 'P'").drop("digest"), rows.where("digest <> 'P'").drop("digest")
-    return merge.upsert_rows(stored, new, ["cache_key"], "stamp")
+    store = _store(spark, "cache_key", stored)
+    store.put(stored, 0, "stamp")
+    store.put(new, 1, "stamp")
+    return store.current()
 
 
 @query(
@@ -214,7 +230,10 @@ def sink_field_upsert(spark, sf_dir):
         stamp.alias("stamp"),
         F.concat(F.lit("new"), stamp.cast("string")).alias("rules"),
     )
-    return merge.upsert_field(stored, new, "id", "rules", "stamp")
+    store = _store(spark, "id", stored)
+    store.put(stored, 0)
+    store.set_field(new, "rules", 1, "stamp")
+    return store.current()
 
 
 @query(
@@ -244,4 +263,7 @@ def sink_delete_by_id(spark, sf_dir):
     gone = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
         F.col("l_orderkey").alias("id")
     )
-    return merge.delete_by_key(stored, gone, "id")
+    store = _store(spark, "id", stored)
+    store.put(stored, 0)
+    store.delete(gone, 1)
+    return store.current()

@@ -6,8 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bigrams, hash_bucket, words
+from tidemark.operators import extract as E
 from tidemark.operators import metrics, model, textfeat
 from tidemark.plans.inputs import labelled, oracle
+from tidemark.plans.q_layouts import dispatch_pages
 from tidemark.plans.registry import query, table
 from tidemark.session import work_dir
 
@@ -259,3 +261,26 @@ def model_features(spark, sf_dir):
         F.round(F.array_max("w"), 6).alias("top"),
         F.round(F.aggregate("w", zero, lambda a, x: a + x * x), 6).alias("length"),
     )
+
+
+@query(
+    "extract_with_model",
+    "select p_partkey as page_id, true as same from part where p_partkey % 5 not in (0, 4)",
+)
+def extract_with_model(spark, sf_dir):
+    """Extraction with the fitted model gives what filtering the same candidates by its scores gives."""
+    _, fitted = _model(spark, sf_dir)
+    pages = dispatch_pages(spark, sf_dir)
+    dom = E.layout_dom(E.route(pages))
+    candidates = E.rule_candidates(E.read_layouts(dom, "page_id").where("page_type <> 'moderators'"), "page_id")
+    scored = model.score(fitted, candidates, "score_text")
+    kept = scored.where(F.col("score") >= E.RULE_THRESHOLD).groupBy("page_id", "case_no").agg(
+        F.count_distinct(F.lower("title"), F.coalesce(F.lower("description"), F.lit(""))).alias("n"),
+        F.count(F.lit(1)).alias("rows"),
+        F.first("page_type").alias("page_type"),
+    )
+    first = kept.groupBy("page_id").agg(F.min(F.struct("case_no", "n", "rows", "page_type")).alias("k"))
+    want = first.select("page_id", F.when(F.col("k.page_type") == "homepage", F.col("k.rows")).otherwise(F.col("k.n")).alias("want"))
+    got = E.extract(pages, "page_id", model.scorer(fitted)).rules.select("page_id", F.size("rules").alias("got"))
+    asked = candidates.select("page_id").distinct().join(want, "page_id", "left").join(got, "page_id", "left")
+    return asked.select("page_id", F.col("want").eqNullSafe(F.col("got").cast("bigint")).alias("same"))

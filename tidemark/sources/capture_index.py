@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls as U
 from tidemark.functions.expr import let
+from tidemark.sources.files import relative_name
 
 _ROWS = "array<array<string>>"
 # The columns of an index response, in order.
 INDEX_COLUMNS = ("urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length")
 
 
-def read_index_files(spark: SparkSession, path: str) -> DataFrame:
-    """(seed_url, body) from a folder with one response per file; the file name stands for the URL."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("seed_url"), F.col("value").alias("body")
+def read_index_files(spark: SparkSession, path: str, seeds: DataFrame) -> DataFrame:
+    """(seed_url, body) from a folder with one response per file. The file of a seed URL has the URL as
+    its name, made safe, and the ending ``.json``; files of no seed are left out."""
+    files = spark.read.text(path, wholetext=True).select(
+        relative_name(spark, path).alias("__file"), F.col("value").alias("body")
     )
+    named = seeds.select("seed_url").distinct()
+    named = named.withColumn("__file", F.concat(U.sanitize_key(F.col("seed_url")), F.lit(".json")))
+    return files.join(named, "__file").select("seed_url", "body")
 
 
 def _captures(body: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
 from tidemark.operators.ordered import latest_per_key
+from tidemark.sources.files import relative_name
 
 
 def with_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -28,11 +29,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, html) from a folder tree of HTML files, one page per file."""
+    """(file_path, html) from a folder tree of HTML files, one page per file. The path is relative to
+    the folder, as ``urls.file_path`` gives it."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
-        .select(F.input_file_name().alias("file_path"), F.col("value").alias("html"))
+        .select(relative_name(spark, path).alias("file_path"), F.col("value").alias("html"))
     )
 
 
@@ -52,7 +54,9 @@ def pages_for_docs(docs: DataFrame, store: DataFrame, version: str | None = None
         store = latest_per_key(store, ["file_path"], [F.col(version).desc()])
     store = store.select("file_path", "html", F.lit(True).alias("__found"))
     has_path = F.coalesce(F.col("file_path"), F.lit("")) != ""
-    return docs.join(store, "file_path", "left").withColumn(
+    # Documents without a path would all meet in one key of the join.
+    found = docs.where(has_path).join(store, "file_path", "left")
+    return found.unionByName(docs.where(~has_path), allowMissingColumns=True).withColumn(
         "status",
         F.when(U.community_from_text(F.col("original")).isNull(), "bad_url")
         .when(~has_path, "no_path")

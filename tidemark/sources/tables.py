@@ -16,6 +16,60 @@ from pyspark.sql import types as T
 from tidemark.operators.ordered import latest_per_key
 
 
+class KeyedTable:
+    """Rows by key, changed by appends only: put whole rows, set one field, delete keys.
+
+    Every change is a batch partition of its own, so stored rows are neither read nor shuffled when a
+    change is written, and writing a batch again replaces it. ``current`` merges on read with one
+    grouping by key: of each field the newest value, by version and then by batch, that is newer than
+    the newest deletion. Rows without a version are older than all with one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, fields: Sequence[T.StructField]):
+        self.spark, self.path, self.key, self.fields = spark, path, key, list(fields)
+
+    def _add(self, rows: DataFrame, batch: int, op: str, names: Sequence[str], version: str | None) -> None:
+        stamp = F.col(version).cast("double") if version else F.lit(None).cast("double")
+        values = [
+            (F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in self.fields
+        ]
+        (
+            rows.select(self.key, *values, stamp.alias("__version"), F.lit(op).alias("__op"))
+            .withColumn("batch", F.lit(batch).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(self.path)
+        )
+
+    def put(self, rows: DataFrame, batch: int, version: str | None = None) -> None:
+        self._add(rows, batch, "put", [f.name for f in self.fields], version)
+
+    def set_field(self, rows: DataFrame, field: str, batch: int, version: str | None = None) -> None:
+        """Set one field by key; an unknown key becomes a new row."""
+        self._add(rows, batch, field, [field], version)
+
+    def delete(self, keys: DataFrame, batch: int, version: str | None = None) -> None:
+        self._add(keys, batch, "delete", [], version)
+
+    def current(self) -> DataFrame:
+        log = self.spark.read.parquet(self.path)
+        at, op = F.struct("__version", "batch"), F.col("__op")
+        newest = [
+            F.max(F.when(op.isin("put", f.name), F.struct(at.alias("at"), F.col(f.name).alias("v")))).alias(f.name)
+            for f in self.fields
+        ]
+        gone = F.max(F.when(op == "delete", at)).alias("__gone")
+        merged = log.groupBy(self.key).agg(*newest, gone)
+        alive = [F.col(f"{f.name}.at").isNotNull() & (F.col("__gone").isNull() | (F.col(f"{f.name}.at") > F.col("__gone"))) for f in self.fields]
+        any_alive = alive[0]
+        for one in alive[1:]:
+            any_alive = any_alive | one
+        values = [F.when(a, F.col(f"{f.name}.v")).alias(f.name) for a, f in zip(alive, self.fields)]
+        return merged.where(any_alive).select(self.key, *values)
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: str):
         self.spark = spark

@@ -64,6 +64,7 @@ class PageTables:
         self.layouts = VersionedTable(spark, f"{root}/layouts", [key], "stamp")
         self.rules = VersionedTable(spark, f"{root}/rules", [key], "stamp")
         self.moderators = VersionedTable(spark, f"{root}/moderators", [key], "stamp")
+        self.quarantine = VersionedTable(spark, f"{root}/quarantine", [key], "stamp")
 
 
 def parse_batch(
@@ -76,7 +77,8 @@ def parse_batch(
     """Parse one batch of stored pages. A page stored twice in a batch counts with its newest copy.
 
     Layout results are written first and read back, so pages are shredded once. A page that yields
-    nothing writes no result and leaves an earlier one in place.
+    nothing writes no result and leaves an earlier one in place; one that cannot be read goes to the
+    quarantine.
     """
     key = tables.key
     dom = E.layout_dom(E.route(pages.select(key, "stamp", "original", "html")))
@@ -88,6 +90,7 @@ def parse_batch(
     rules = E.stored_rules(layouts, key, scorer, threshold).join(stamps, key)
     tables.rules.add(rules, batch)
     tables.moderators.add(E.stored_rosters(layouts, key).join(stamps, key), batch)
+    tables.quarantine.add(E.unreadable(layouts, key, "stamp"), batch)
 
 
 def parse_pending(
