@@ -33,6 +33,7 @@ def strip(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Lower case; links, then everything but a-z, 0-9 and white space removed; stripped."""
     out = F.lower(F.coalesce(text, F.lit("")))
+    # The two patterns.
     out = F.regexp_replace(out, r"(?U)http\S+", "")
     out = F.regexp_replace(out, r"(?U)[^a-z0-9\s]", "")
     return strip(out)

@@ -7,7 +7,7 @@ candidates are then exploded, scored in one columnar pass and brought together a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -165,20 +165,21 @@ def read_layouts(dom: DataFrame, *keys: str) -> DataFrame:
     return dom.select(*keys, "page_type", "parse_error", *columns)
 
 
-def rule_candidates(layouts: DataFrame, key: str) -> DataFrame:
-    """One row per candidate: (key, page_type, case_no, pos, title, description, score_text)."""
+def rule_candidates(layouts: DataFrame, key: str, *carried: str) -> DataFrame:
+    """One row per candidate: (key, carried columns, page_type, case_no, pos, title, description,
+    score_text)."""
     return (
-        layouts.select(key, "page_type", F.inline("candidates"))
-        .select(key, "page_type", "case_no", F.posexplode("rules").alias("pos", "r"))
-        .select(key, "page_type", "case_no", "pos", "r.*")
+        layouts.select(key, *carried, "page_type", F.inline("candidates"))
+        .select(key, *carried, "page_type", "case_no", F.posexplode("rules").alias("pos", "r"))
+        .select(key, *carried, "page_type", "case_no", "pos", "r.*")
         .withColumn("score_text", scored_text())
     )
 
 
 def final_rules(
-    candidates: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD
+    candidates: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD, carried: Sequence[str] = ()
 ) -> DataFrame:
-    """(key, page_type, case_no, pos, number, title, description) after scoring.
+    """(key, carried columns, page_type, case_no, pos, number, title, description) after scoring.
 
     Front pages keep the texts of their first case with a kept text and have no numbers; sections
     are numbered and freed of repeats.
@@ -197,7 +198,7 @@ def final_rules(
         chosen.withColumn("number", F.when(~front, F.row_number().over(by_page)))
         .withColumn("__copy", F.row_number().over(same))
         .where("__copy = 1")
-        .select(key, "page_type", "case_no", "pos", "number", "title", "description")
+        .select(key, *carried, "page_type", "case_no", "pos", "number", "title", "description")
     )
 
 
@@ -221,14 +222,15 @@ def extract(
 
 
 def stored_rules(
-    layouts: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD
+    layouts: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD, carried: Sequence[str] = ()
 ) -> DataFrame:
-    rules = rule_candidates(layouts.where("page_type <> 'moderators'"), key)
-    return group_rules(final_rules(rules, key, scorer, threshold), key)
+    """Rules as stored. ``carried`` columns have one value per key."""
+    rules = rule_candidates(layouts.where("page_type <> 'moderators'"), key, *carried)
+    return group_rules(final_rules(rules, key, scorer, threshold, carried), key, *carried)
 
 
-def stored_rosters(layouts: DataFrame, key: str) -> DataFrame:
-    return layouts.where("page_type = 'moderators'").select(key, "moderators").where(
+def stored_rosters(layouts: DataFrame, key: str, *carried: str) -> DataFrame:
+    return layouts.where("page_type = 'moderators'").select(key, *carried, "moderators").where(
         F.size("moderators") > 0
     )
 

@@ -86,8 +86,9 @@ def number_errors(events: DataFrame) -> DataFrame:
 def error_history(events: DataFrame, chunk: int = 1024) -> DataFrame:
     """Per URL the ordered list of errors, cut into chunks of bounded length.
 
-    Nearly every URL fits in chunk 0; a URL with millions of errors becomes many rows instead of
-    one list that a single task would have to hold.
+    The key of a row is (url, chunk), for every URL: chunk 0 holds errors 1 to ``chunk``, chunk 1 the
+    next ones. Nearly every URL has chunk 0 only; one with millions of errors becomes many rows instead
+    of a list that a single task would have to hold.
     """
     return (
         number_errors(events)

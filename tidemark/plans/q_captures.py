@@ -11,6 +11,7 @@ from tidemark.operators.ordered import find_hot
 from tidemark.plans.inputs import FIRST_YEAR, LAST_YEAR, captures, errors, fetch_log, oracle
 from tidemark.plans.registry import query, table
 
+# The page URLs of a community.
 _TEMPLATES = (
     "https://www.reddit.com/r/{}/about/moderators",
     "https://www.reddit.com/r/{}/wiki/index",

@@ -435,8 +435,8 @@ _register_first("win_first_layout_container", E.CONTAINER, _first_oracle("true",
 def _rule_rows(spark, sf_dir):
     """Rules of a page from line items; titles repeat in other case."""
     return table(spark, sf_dir, "lineitem").select(
-        F.concat("l_orderkey", F.lit("-"), "l_suppkey").alias("page_id"),
-        F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("pos"),
+        F.col("l_orderkey").alias("page_id"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("pos"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag"))
         .otherwise(F.lower("l_returnflag"))
         .alias("title"),
@@ -444,8 +444,8 @@ def _rule_rows(spark, sf_dir):
     )
 
 
-_NUMBERED = """select *, row_number() over (partition by page_id order by n, p, q, e) as number from (
-  select concat(l_orderkey, '-', l_suppkey) as page_id, l_linenumber as n, l_partkey as p,
+_NUMBERED = """select *, row_number() over (partition by page_id order by n, p, s, q, e) as number from (
+  select l_orderkey as page_id, l_linenumber as n, l_partkey as p, l_suppkey as s,
     l_quantity as q, l_extendedprice as e,
     case when l_linenumber % 2 = 0 then l_returnflag else lower(l_returnflag) end as title,
     l_linestatus as description from lineitem)"""

@@ -10,6 +10,7 @@ from tidemark.operators import captures as C
 from tidemark.plans.inputs import captures, labelled, oracle
 from tidemark.plans.registry import query, table
 
+# Fixed value.
 _TEMPLATE = "https://www.reddit.com/r/{}/about/moderators"
 
 
@@ -155,6 +156,7 @@ def cache_key(spark, sf_dir):
     )
 
 
+# URL forms of each page type.
 _ROUTES = (
     "case o_orderkey % 8 when 0 then 'https://www.reddit.com/r/{}/about/moderators' "
     "when 1 then 'http://old.reddit.com/r/{}/about/moderators/' when 2 then 'https://reddit.com/r/{}/wiki/index' "

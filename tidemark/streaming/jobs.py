@@ -82,14 +82,11 @@ def parse_batch(
     """
     key = tables.key
     dom = E.layout_dom(E.route(pages.select(key, "stamp", "original", "html")))
-    read = E.read_layouts(dom, key, "stamp")
+    read = latest_per_key(E.read_layouts(dom, key, "stamp"), [key], [F.col("stamp").desc()])
     tables.layouts.add(read, batch)
-    stored = tables.layouts.batch(batch, read.schema)
-    layouts = latest_per_key(stored, [key], [F.col("stamp").desc()])
-    stamps = layouts.select(key, "stamp")
-    rules = E.stored_rules(layouts, key, scorer, threshold).join(stamps, key)
-    tables.rules.add(rules, batch)
-    tables.moderators.add(E.stored_rosters(layouts, key).join(stamps, key), batch)
+    layouts = tables.layouts.batch(batch, read.schema)
+    tables.rules.add(E.stored_rules(layouts, key, scorer, threshold, ["stamp"]), batch)
+    tables.moderators.add(E.stored_rosters(layouts, key, "stamp"), batch)
     tables.quarantine.add(E.unreadable(layouts, key, "stamp"), batch)
 
 
@@ -120,8 +117,6 @@ def track_errors(
     The state per URL has constant size; the full history is the event log itself.
     """
     spark = events.sparkSession
-    for name, value in STATE_CONF.items():
-        spark.conf.set(name, value)
     running = events.groupBy("url").agg(
         F.max(F.struct("ts", "error_code")).alias("last"), F.count(F.lit(1)).alias("n_errors")
     )
@@ -137,7 +132,15 @@ def track_errors(
         state.add(rows, batch)
 
     writer = running.writeStream.outputMode("update").foreachBatch(run)
-    return _start(writer, checkpoint, "track_errors", interval)
+    # A query takes its settings when it starts; the session gets its own back.
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    try:
+        for name, value in STATE_CONF.items():
+            spark.conf.set(name, value)
+        return _start(writer, checkpoint, "track_errors", interval)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def finish(query: StreamingQuery, timeout: int | None = None) -> None:
