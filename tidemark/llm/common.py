@@ -41,9 +41,7 @@ def partitions(spark: SparkSession) -> int:
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null and blank texts."""
-    words = F.size(F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", " " * 5)), " +"))
-    blank = F.trim(F.translate(text, "\t\n\x0b\x0c\r", " " * 5)) == ""
-    return F.when(text.isNull() | blank, 0).otherwise(words).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{WORD_BLANKS}]+")), F.lit(0)).cast("long")
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, line_dedup, mixing, packing, passages, simhash, tool_calls, topk, toxicity
-from tidemark.llm.common import WORD_BLANKS, stored, table
+from tidemark.llm.common import stored, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,8 +163,7 @@ FROM d LEFT JOIN k USING (doc_id)
 def op9_source_mix(spark, sf_dir):
     """Words taken of every document by the mix of sources."""
     docs = table(spark, sf_dir, "documents")
-    size = F.coalesce(F.regexp_count("text", F.lit(f"[^{WORD_BLANKS}]+")), F.lit(0)).cast("long")
-    sizes = stored(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return mixing.mix(sizes, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
