@@ -124,8 +124,10 @@ def one_of_each(
     here = F.struct(F.col("key").isNull(), "key", "th")
     of_print = rows.groupBy("fp").agg(F.min(here).alias("k")).join(placed, "fp")  # copies fold first
     kept = of_print.groupBy("root").agg(F.min("k").alias("k"))
-    kept = kept.select(F.col("k.key").alias("sh_key"), F.col("k.th").alias("sh_th"))
-    same = F.col(key).eqNullSafe(F.col("sh_key")) & (F.xxhash64(text) == F.col("sh_th"))
-    copies = Window.partitionBy(key, "sh_th").orderBy(F.lit(0))
-    out = docs.join(kept.hint("merge"), same).withColumn("sh_at", F.row_number().over(copies)).where("sh_at = 1")
-    return out.drop("sh_key", "sh_th", "sh_at")
+    # Structs compare nulls as equal, and one column serves the join and the window: one exchange.
+    kind = f"struct<key:{docs.schema[key].dataType.simpleString()},th:bigint>"
+    kept = kept.select(F.struct("k.key", "k.th").cast(kind).alias("sh_id"))
+    named = docs.withColumn("sh_id", F.struct(F.col(key), F.xxhash64(text)).cast(kind))
+    copies = Window.partitionBy("sh_id").orderBy(F.lit(0))
+    out = named.join(kept.hint("merge"), "sh_id").withColumn("sh_at", F.row_number().over(copies))
+    return out.where("sh_at = 1").select(*docs.columns)
