@@ -37,10 +37,6 @@ HEADLINE = (
     "agg_vocab_topk",
     "agg_doc_freq",
     "tfidf",
-    "model_features",
-    "fit_classifier",
-    "score_proba",
-    "sink_model",
     "win_pr_curve",
     "stream_parse_pending",
     "stream_error_history",

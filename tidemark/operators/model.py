@@ -40,10 +40,13 @@ def fit(
     kind: str = "trees",
     rounds: int = TREES,
     seed: int = 42,
+    bins: int = 8,
 ) -> PipelineModel:
     """Fit on labelled texts. ``kind`` is ``trees``, or ``logistic`` for a fast linear model.
 
     The feature vectors are written once, so texts are not tokenised again in each pass of the fit.
+    ``bins`` is how finely the weights of a term are cut; most terms have few distinct weights, and the
+    sums of each tree level grow with terms x bins.
     """
     train = train.where(F.col(label).isNotNull())
     stages = features(train, text, max_features)
@@ -51,7 +54,13 @@ def fit(
     target = {"featuresCol": "features", "labelCol": label}
     if kind == "trees":
         classifier = GBTClassifier(
-            maxIter=rounds, maxDepth=DEPTH, lossType="logistic", seed=seed, **target
+            maxIter=rounds,
+            maxDepth=DEPTH,
+            maxBins=bins,
+            maxMemoryInMB=1024,
+            lossType="logistic",
+            seed=seed,
+            **target,
         )
     else:
         classifier = LogisticRegression(maxIter=rounds, **target)
