@@ -58,6 +58,36 @@ def test_links_and_records(spark):
     assert linked(spark, [], []) == [] and len(linked(spark, [], results)) == 5
 
 
+def test_no_repeat_is_dropped(spark):
+    """Ids numbered per conversation stay apart, and repeats that differ keep rows of their own."""
+    ask = lambda n: f'{{"a": {n}}}'
+    calls = [(c, 0, "call_1", "add", ask(c), []) for c in (1, 2, 3)] + [(c, 2, "call_2", "add", ask(c), ["call_1"]) for c in (1, 2)]
+    calls += [(3, 2, "call_3", "add", ask(3), ["call_2"]), (None, 0, "call_1", "add", ask(4), [])]
+    calls += [(1, 0, "call_1", "add", ask(1), [])] + [(2, 0, "call_1", "add", ask(7), []), (2, 4, "call_1", "add", ask(2), [])] * 2
+    results = [(c, 1, "call_1", f"r{c}") for c in (1, 2, 3)] + [(None, 1, "call_1", "rn"), (2, 1, "call_1", "other"), (2, 1, "call_1", "other")]
+    a, b = spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS)
+    rows = C.link(a.repartition(3), b.repartition(2), SCHEMAS, repeats=True).collect()
+    main = {(r["conv"], r["call_id"]): r for r in rows if r["status"] != "duplicate_id"}
+    assert len(main) == 7 and len(rows) == 7 + 3
+    for conv, n in ((1, 1), (3, 3), (None, 4)):
+        assert json.loads(main[conv, "call_1"]["record"])["arguments"] == {"a": n} and main[conv, "call_1"]["status"] == "linked"
+        assert json.loads(main[conv, "call_1"]["record"])["result"] == ("rn" if conv is None else f"r{conv}")
+    assert main[1, "call_2"]["valid"] and main[3, "call_3"]["error"] == "after: no such call"
+    assert main[1, "call_1"]["n_calls"] == 2 and main[2, "call_1"]["n_calls"] == 5 and main[2, "call_1"]["n_results"] == 3
+    told = {(r["turn"], r["record"]): (r["n_calls"], r["n_results"], r["valid"]) for r in rows if r["status"] == "duplicate_id"}
+    spare = [(json.loads(k[1])["arguments"], json.loads(k[1])["result"], v) for k, v in sorted(told.items())]
+    assert spare == [
+        ({"a": 7}, None, (2, 0, False)), (None, "r2", (0, 1, False)), ({"a": 2}, None, (2, 0, False))
+    ]
+    texts = {(c, a) for c, _, _, _, a, _ in calls} | {(c, t) for c, _, _, t in results}
+    kept = {(r["conv"], canonical_args(r)) for r in rows if r["n_calls"]} | {(r["conv"], json.loads(r["record"])["result"]) for r in rows}
+    assert texts <= kept
+
+
+def canonical_args(row):
+    return json.dumps(json.loads(row["record"])["arguments"])
+
+
 def test_order_is_topological(spark):
     rng = random.Random(1)
     calls, deps = [], {}

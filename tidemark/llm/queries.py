@@ -80,7 +80,7 @@ def op5_toxicity(spark, sf_dir):
 def op6_tool_calls(spark, sf_dir):
     """Questions and answers of all conversations as linked, ordered and checked tool calls."""
     calls, results = tool_calls.turns_as_calls(table(spark, sf_dir, "conversations"))
-    out = tool_calls.link(calls, results, tool_calls.TURN_TOOLS)
+    out = tool_calls.link(calls, results, tool_calls.TURN_TOOLS, repeats=True)
     return out.select(
         F.col("conv").alias("conv_id"), "turn", "call_id", "name", "status", "wave", "valid", "n_calls", "n_results", "record"
     )

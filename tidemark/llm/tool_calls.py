@@ -1,8 +1,8 @@
 """Linking tool calls to their results, ordering and checking them, and writing them as canonical JSON.
 
-Calls and results meet in a join on their identifier. Repeats of an identifier are folded before the
-join (the earliest by turn and content counts, the others are only numbered), so an identifier that a
-third of all rows share gives one row. Calls are put in topological order of their dependencies within a
+Calls and results meet in a join on conversation and identifier; logs may number ids per conversation.
+Repeats of an identifier in a conversation are folded before the join (the earliest by turn and content
+is linked); repeats that differ from it can be had as rows of their own, with status ``duplicate_id``. Calls are put in topological order of their dependencies within a
 conversation; arguments are checked against a schema per tool; each link becomes one JSON text with
 sorted keys and no spare blanks.
 
@@ -70,32 +70,34 @@ def problem(value, schema: dict, at: str = "") -> str | None:
 
 
 def waves(calls: DataFrame) -> DataFrame:
-    """``id``, ``wave``, ``missing`` (a dependency that is no call), ``circle``.
+    """``node`` (conv and id), ``wave``, ``missing`` (a dependency that is no call of the conversation), ``circle``.
 
     Calls in the order of (wave, turn) never come before what they depend on: a wave rises wherever a
     call stands earlier in the log than its dependency. A log that is in order has one wave, however
     long it is; passes over the data are needed only along dependencies that point backwards.
     """
-    nodes = calls.select("conv", "turn", "id")
-    wanted = calls.select("conv", "turn", "id", F.explode(F.array_distinct("after")).alias("dep"))
-    known = nodes.select(F.col("conv").alias("dep_conv"), F.col("turn").alias("dep_turn"), F.col("id").alias("dep"))
+    # Structs compare nulls as equal: calls without a conversation depend on each other as well.
+    home, node = F.struct("conv").alias("home"), F.struct("conv", "id").alias("node")
+    nodes = calls.select(home, "turn", node)
+    wanted = calls.select(home, "conv", "turn", node, F.explode(F.array_distinct("after")).alias("id"))
+    wanted = wanted.select("home", "turn", "node", F.struct("conv", "id").alias("dep"))
+    known = nodes.select(F.lit(True).alias("known"), F.col("turn").alias("dep_turn"), F.col("node").alias("dep"))
     edges = stored(wanted.join(known, "dep", "left"), "edges")
-    missing = edges.where("dep_turn IS NULL").select("id").distinct().withColumn("missing", F.lit(True))
-    edges_in = edges.where("dep_turn IS NOT NULL").select(
-        "id", "dep", "conv", (F.col("dep_turn") >= F.col("turn")).cast("int").alias("rise")
-    )
-    backward = edges_in.where("rise = 1").groupBy("conv").agg(F.count("*").alias("bound"))
-    state = stored(nodes.select("id", "conv", F.lit(0).cast("long").alias("wave")), "waves")
+    missing = edges.where("known IS NULL").select("node").distinct().withColumn("missing", F.lit(True))
+    rise = F.coalesce((F.col("dep_turn") >= F.col("turn")).cast("int"), F.lit(0)).alias("rise")
+    edges_in = edges.where("known").select("node", "dep", "home", rise)
+    backward = edges_in.where("rise = 1").groupBy("home").agg(F.count("*").alias("bound"))
+    state = stored(nodes.select("node", "home", F.lit(0).cast("long").alias("wave")), "waves")
     circles = None
     if not backward.isEmpty():
         # Only conversations that are out of order take part.
-        moving = stored(edges_in.join(backward, "conv"), "edges")
+        moving = stored(edges_in.join(backward, "home"), "edges")
         while True:
-            reach = moving.join(state.select(F.col("id").alias("dep"), F.col("wave").alias("w")), "dep")
-            reach = reach.groupBy("id").agg(F.max(F.col("w") + F.col("rise")).alias("reach"), F.max("bound").alias("bound"))
-            step = state.join(reach, "id", "left").select(
-                "id",
-                "conv",
+            reach = moving.join(state.select(F.col("node").alias("dep"), F.col("wave").alias("w")), "dep")
+            reach = reach.groupBy("node").agg(F.max(F.col("w") + F.col("rise")).alias("reach"), F.max("bound").alias("bound"))
+            step = state.join(reach, "node", "left").select(
+                "node",
+                "home",
                 # More rises than backward dependencies: a circle, which stops rising here.
                 F.greatest("wave", F.least(F.col("reach"), F.col("bound") + 1)).alias("wave"),
                 F.coalesce(F.least(F.col("reach"), F.col("bound") + 1) > F.col("wave"), F.lit(False)).alias("moved"),
@@ -106,35 +108,44 @@ def waves(calls: DataFrame) -> DataFrame:
             state = step
             if state.where("moved").isEmpty():
                 break
-        circles = state.where("circle").select("conv").distinct().withColumn("circle", F.lit(True))
-    out = state.select("id", "conv", "wave").join(missing, "id", "left")
-    out = out.join(circles, "conv", "left") if circles is not None else out.withColumn("circle", F.lit(False))
+        circles = state.where("circle").select("home").distinct().withColumn("circle", F.lit(True))
+    out = state.select("node", "home", "wave").join(missing, "node", "left")
+    out = out.join(circles, "home", "left") if circles is not None else out.withColumn("circle", F.lit(False))
     return out.select(
-        "id", "wave", F.coalesce("missing", F.lit(False)).alias("missing"), F.coalesce("circle", F.lit(False)).alias("circle")
+        "node", "wave", F.coalesce("missing", F.lit(False)).alias("missing"), F.coalesce("circle", F.lit(False)).alias("circle")
     )
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per identifier, and per row without one.
+def _folded(rows: DataFrame, given: list[str], n: str) -> tuple[DataFrame, DataFrame]:
+    """The first row of each (conv, id) with all rows counted, and a row per other one that differs."""
+    kinds = rows.where("id IS NOT NULL").groupBy("conv", "id", *given).agg(F.count("*").alias(n))
+    kinds = stored(kinds.select(F.struct("conv", "id").alias("node"), F.struct(*given).alias("own"), n), "kinds")
+    first = kinds.groupBy("node").agg(F.min("own").alias("first"), F.sum(n).alias(n), F.count("*").alias("kinds"))
+    first = stored(first, "first")
+    many = first.where("kinds > 1").select("node", "first")
+    others = kinds.join(many, "node").where("own != first").select("node.*", "own.*", n)
+    return first.select("node", F.col("first").alias("own"), n), others
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], repeats: bool = False) -> DataFrame:
+    """One row per conversation and identifier, and per row without one.
 
     ``calls`` has conv, turn, id, name, arguments (JSON text), after (ids it depends on); ``results``
     has conv, turn, id, content. Gives conv, turn (of the call, else of the result), call_id, name,
     status (linked, no_result, no_call, no_id), wave, valid, error, n_calls, n_results and ``record``,
     the canonical JSON of call and result.
+
+    With ``repeats`` each further call or result of an identifier that differs from the first in any
+    column has a row as well: status duplicate_id, no wave, and the number of its equals.
     """
-    named, nameless = calls.where("id IS NOT NULL"), calls.where("id IS NULL")
-    first = F.min(F.struct("turn", "conv", "name", "arguments", "after")).alias("c")
-    c = named.groupBy("id").agg(first, F.count("*").alias("n_calls")).select("id", "c.*", "n_calls")
-    c = stored(c, "calls")
-    r = (
-        results.where("id IS NOT NULL")
-        .groupBy("id")
-        .agg(F.min(F.struct("turn", "conv", "content")).alias("r"), F.count("*").alias("n_results"))
-    )
-    both = c.join(waves(c), "id").join(r, "id", "full").select(
-        F.coalesce("conv", "r.conv").alias("conv"),
+    calls_of, call_repeats = _folded(calls, ["turn", "name", "arguments", "after"], "n_calls")
+    results_of, result_repeats = _folded(results, ["turn", "content"], "n_results")
+    c = calls_of.select("node", "own.*", "n_calls")
+    r = results_of.select("node", F.col("own").alias("r"), "n_results")
+    both = c.join(waves(c.select("node.*", "turn", "after")), "node").join(r, "node", "full").select(
+        "node.conv",
         F.coalesce("turn", "r.turn").alias("turn"),
-        F.col("id").alias("call_id"),
+        F.col("node.id").alias("call_id"),
         "name",
         "arguments",
         F.col("r.content").alias("content"),
@@ -149,30 +160,35 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
     )
 
-    def alone(df: DataFrame, call: bool) -> DataFrame:
+    def alone(df: DataFrame, call: bool, status: str = "no_id") -> DataFrame:
         text = F.lit(None).cast("string")
+        n = "n_calls" if call else "n_results"
+        count = F.col(n) if n in df.columns else F.lit(1).cast("long")
         return df.select(
             "conv",
             "turn",
-            text.alias("call_id"),
+            F.col("id").alias("call_id"),
             (F.col("name") if call else text).alias("name"),
             (F.col("arguments") if call else text).alias("arguments"),
             (text if call else F.col("content")).alias("content"),
-            F.lit("no_id").alias("status"),
+            F.lit(status).alias("status"),
             F.lit(None).cast("long").alias("wave"),
             F.lit(False).alias("missing"),
             F.lit(False).alias("circle"),
-            F.lit(int(call)).cast("long").alias("n_calls"),
-            F.lit(int(not call)).cast("long").alias("n_results"),
+            (count if call else F.lit(0).cast("long")).alias("n_calls"),
+            (F.lit(0).cast("long") if call else count).alias("n_results"),
         )
 
-    both = both.unionByName(alone(nameless, True)).unionByName(alone(results.where("id IS NULL"), False))
-    given = ("call_id", "name", "arguments", "content", "missing", "circle", "n_calls")
+    nameless = [alone(calls.where("id IS NULL"), True), alone(results.where("id IS NULL"), False)]
+    further = [alone(call_repeats, True, "duplicate_id"), alone(result_repeats, False, "duplicate_id")]
+    for rows in [*nameless, *(further if repeats else [])]:
+        both = both.unionByName(rows)
+    given = ("call_id", "name", "arguments", "content", "missing", "circle", "n_calls", "status")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             errors, records = [], []
-            for call_id, name, text, content, missing, circle, n_calls in zip(*columns(batch, *given), strict=True):
+            for call_id, name, text, content, missing, circle, n_calls, status in zip(*columns(batch, *given), strict=True):
                 error, arguments = None, None
                 if n_calls:
                     try:
@@ -186,6 +202,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                         error = "after: no such call"
                     if error is None and circle:
                         error = "after: in a circle"
+                    if error is None and status == "duplicate_id":
+                        error = "id: not its first call"
                 errors.append(error)
                 records.append(canonical({"arguments": arguments, "id": call_id, "name": name, "result": content}))
             keep = [(f, c) for f, c in zip(batch.schema, batch.columns) if f.name in _KEPT]
