@@ -90,3 +90,14 @@ def test_planted_passages(spark):
     assert part["start"] == 50 and part["end"] == 250 and part["source_id"] in (100, 101)
     assert set(got) == {i for i in want if i} | {101, 102} | ({204} & set(got))
     assert P.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_repeated_source_across_blocks(spark):
+    """A key's rows are one document, also where its passage crosses blocks and its rows differ."""
+    rng = random.Random(5)
+    passage = words(rng, 200)
+    source = " ".join(words(rng, 40) + passage + words(rng, 50))
+    rows = [(1, source), (1, source), (1, source), (2, " ".join(words(rng, 70) + passage)), (2, "zz later text")]
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    spans = [(r["doc_id"], r["source_id"], r["start"], r["end"], r["source_start"], r["source_end"], r["edits"]) for r in got]
+    assert spans == [(2, 1, 70, 270, 40, 240, 0)]

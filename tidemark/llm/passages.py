@@ -8,7 +8,8 @@ with a cost for gaps, the best predecessor found in a Fenwick tree. The words al
 small blocks, are aligned to find the ends of the passage and its likeness.
 
 Words are parted by ASCII blanks and compare without regard to the case of A-Z. Null and short texts
-have no seeds. Rows that repeat a key are taken for one document. Null keys take no part. Other columns
+have no seeds. Rows that repeat a key are taken for one document, with the least
+of their texts. Null keys take no part. Other columns
 are ignored. An empty table gives no rows.
 """
 
@@ -307,6 +308,13 @@ def _aligned(chained: DataFrame, blocks: DataFrame, similarity: float, part: int
     )
 
 
+def _one_per_key(rows: DataFrame) -> DataFrame:
+    """The least text of each key. Only texts of repeated keys are grouped."""
+    repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    folded = rows.join(repeated, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    return rows.join(repeated, "key", "left_anti").unionByName(folded)
+
+
 def repeated_passages(
     docs: DataFrame,
     key: str = "doc_id",
@@ -326,6 +334,7 @@ def repeated_passages(
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
     )
+    rows = _one_per_key(rows)
     table = stored(_seed_table(rows, kmer, window), "seeds")
     first = table.groupBy("h").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
     hits = (
