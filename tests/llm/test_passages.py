@@ -101,3 +101,16 @@ def test_repeated_source_across_blocks(spark):
     got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     spans = [(r["doc_id"], r["source_id"], r["start"], r["end"], r["source_start"], r["source_end"], r["edits"]) for r in got]
     assert spans == [(2, 1, 70, 270, 40, 240, 0)]
+
+
+def test_runs_of_one_word(spark):
+    """Runs are found whole, with the first run at least as long, or else the longest before."""
+    rng = random.Random(6)
+    sizes = {1: 30, 2: 900, 3: 500, 4: 500, 5: 1200, 6: 30, 7: 2000}
+    rows = [(k, " ".join(words(rng, 20) + ["same"] * n + words(rng, 20))) for k, n in sizes.items()]
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    spans = {(r["doc_id"], r["source_id"], r["end"] - r["start"]) for r in got if r["edits"] == 0}
+    assert {(3, 2, 500), (4, 2, 500), (5, 2, 900), (7, 5, 1200)} <= spans
+    both = [(1, "same " * 500), (2, "same " * 500)]
+    got = P.repeated_passages(spark.createDataFrame(both, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["end"], r["source_start"], r["source_end"]) for r in got] == [(2, 0, 500, 0, 500)]

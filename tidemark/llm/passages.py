@@ -55,21 +55,34 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _kmers(words: np.ndarray, kmer: int) -> np.ndarray:
+    h = np.zeros(max(0, len(words) - kmer + 1), np.uint64)
+    for j in range(kmer if len(h) else 0):
+        h = h * _BASE + words[j : j + len(h)]
+    return _mixed(h)
+
+
+def runs(words: np.ndarray, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes and lengths (in k-mers) of the stretches in which one k-mer follows itself."""
+    h = _kmers(words, kmer)
+    at = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0] if len(h) else np.zeros(0, np.int64)
+    lengths = np.diff(np.r_[at, len(h)])
+    long = lengths > 1
+    return at[long], h[at[long]], lengths[long]
+
+
 def seeds(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the minimisers. A k-mer's n-th seed in a document has a hash of its own,
     so texts that repeat themselves are matched in order."""
     n = len(words) - kmer + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(kmer):
-        h = h * _BASE + words[j : j + n]
-    h = _mixed(h)
+    h = _kmers(words, kmer)
     width = min(window, n)
     least = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)
     at = np.unique(least + np.arange(len(least)))
     new = np.ones(len(at), bool)
-    new[1:] = h[at[1:]] != h[at[:-1]]  # of a run of one k-mer the first is kept
+    new[1:] = h[at[1:]] != h[at[:-1]]  # of a run of one k-mer the first is kept; see runs()
     at = at[new]
     h = h[at]
     order = np.argsort(h, kind="stable")
@@ -162,41 +175,43 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int]:
+def _extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, bool]:
     """How many words of both go on alike, letting single ones differ, and how many of them differ.
 
-    Equal words gain one and others lose two; it ends ``drop`` below the best and returns that best.
+    Equal words gain one and others lose two; it ends ``drop`` below the best and returns that best, and
+    whether the words gave out before it ended.
     """
     n = min(len(a), len(b))
     if not n:
-        return 0, 0
+        return 0, 0, True
     same = a[:n] == b[:n]
     total = np.cumsum(np.where(same, 1, -2))
     below = np.nonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > drop)[0]
     stop = int(below[0]) if len(below) else n
     if not stop or total[:stop].max() <= 0:
-        return 0, 0
+        return 0, 0, not len(below)
     take = int(np.argmax(total[:stop])) + 1
-    return take, int((~same[:take]).sum())
+    return take, int((~same[:take]).sum()), not len(below)
 
 
 def align(
     chain: list[tuple[int, int]], here: np.ndarray, there: np.ndarray, at: int, there_at: int, kmer: int = KMER
-) -> tuple[int, int, int, int, int]:
-    """Start and end here and there, and edits, of the passage along a chain.
+) -> tuple[int, int, int, int, int, bool, bool]:
+    """Start and end here and there, and edits, of the passage along a chain, and whether the given words
+    gave out at its left and right.
 
     The words are given from ``at`` and ``there_at`` on. Between matches the least edits are counted;
     beyond the outer ones the passage goes on as long as the words do.
     """
     x0, y0 = chain[0]
-    left, cost = _extend(here[: x0 - at][::-1], there[: y0 - there_at][::-1])
+    left, cost, open_left = _extend(here[: x0 - at][::-1], there[: y0 - there_at][::-1])
     x, y = x0, y0
     for nx, ny in chain[1:]:
         cost += edits(here[x - at : nx - at], there[y - there_at : ny - there_at])
         x, y = nx, ny
     cost += edits(here[x - at : x - at + kmer], there[y - there_at : y - there_at + kmer])
-    right, more = _extend(here[x - at + kmer :], there[y - there_at + kmer :])
-    return x0 - left, x + kmer + right, y0 - left, y + kmer + right, cost + more
+    right, more, open_right = _extend(here[x - at + kmer :], there[y - there_at + kmer :])
+    return x0 - left, x + kmer + right, y0 - left, y + kmer + right, cost + more, open_left, open_right
 
 
 def _seed_table(docs: DataFrame, kmer: int, window: int) -> DataFrame:
@@ -223,13 +238,14 @@ def _block_table(docs: DataFrame) -> DataFrame:
             out = []
             for key, text in zip(*columns(batch, "key", "text"), strict=True):
                 words = (word_hashes(text) >> np.uint64(48)).astype("<u2")
-                out += [(key, i // _BLOCK, words[i : i + _BLOCK].tobytes()) for i in range(0, len(words), _BLOCK)]
+                for i in range(0, len(words), _BLOCK):
+                    out.append((key, i // _BLOCK, words[i : i + _BLOCK].tobytes(), i + _BLOCK >= len(words)))
             yield from emit(out, _BLOCKS)
 
-    return docs.mapInArrow(run, "key long, block int, words binary")
+    return docs.mapInArrow(run, "key long, block int, words binary, last boolean")
 
 
-_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("words", pa.binary())])
+_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("words", pa.binary()), ("last", pa.bool_())])
 _CHAINS = pa.schema(
     [
         ("key", pa.int64()),
@@ -272,8 +288,8 @@ def _chain_table(hits: DataFrame, least: int, kmer: int, window: int, most_gap:
     return dealt.mapInArrow(run, "key long, source long, x array<int>, y array<int>")
 
 
-def _aligned(chained: DataFrame, blocks: DataFrame, similarity: float, part: int, kmer: int, margin: int) -> DataFrame:
-    ids = chained.withColumn("chain", F.monotonically_increasing_id())
+def _align_once(ids: DataFrame, blocks: DataFrame, similarity: float, part: int, kmer: int, margin: int) -> DataFrame:
+    """Passages along the chains; ``open`` are those of which more words have to be fetched."""
 
     def wanted(side: int, key: str, at: str):
         low = F.greatest(F.lit(0), F.element_at(at, 1) - margin)
@@ -282,32 +298,89 @@ def _aligned(chained: DataFrame, blocks: DataFrame, similarity: float, part: int
         return ids.select("chain", F.lit(side).alias("side"), F.col(key).alias("key"), F.explode(each).alias("block"))
 
     fetched = wanted(0, "key", "x").union(wanted(1, "source", "y")).join(blocks, ["key", "block"])
-    fetched = fetched.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("side", "block", "words"))).alias("b"))
+    each = F.struct("side", "block", "words", "last")
+    fetched = fetched.groupBy("chain").agg(F.sort_array(F.collect_list(each)).alias("b"))
 
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("source_id", pa.int64())]
+        [("chain", pa.int64()), ("open", pa.bool_()), ("doc_id", pa.int64()), ("source_id", pa.int64())]
         + [(c, pa.int32()) for c in ("start", "end", "source_start", "source_end", "edits", "seeds")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, source, x, y, b in zip(*columns(batch, "key", "source", "x", "y", "b"), strict=True):
+            given = columns(batch, "chain", "key", "source", "x", "y", "b")
+            for chain, key, source, x, y, b in zip(*given, strict=True):
                 sides = [[p for p in b if p["side"] == s] for s in (0, 1)]
                 words = [np.frombuffer(b"".join(p["words"] for p in s), "<u2") for s in sides]
                 first = [s[0]["block"] * _BLOCK for s in sides]
-                a0, a1, b0, b1, cost = align(list(zip(x, y)), *words, *first, kmer)
+                a0, a1, b0, b1, cost, left, right = align(list(zip(x, y)), *words, *first, kmer)
+                # The side with fewer words left ends the search; there must be more of it to fetch.
+                before = [(x[0] - first[0], first[0]), (y[0] - first[1], first[1])]
+                after = [(f + len(w) - z, not s[-1]["last"]) for f, w, z, s in zip(first, words, (x[-1], y[-1]), sides)]
+                more = any(
+                    is_open and all(rest for had, rest in ends if had == min(had for had, _ in ends))
+                    for is_open, ends in ((left, before), (right, after))
+                )
                 length = max(a1 - a0, b1 - b0)
-                if length >= part and 1 - cost / length >= similarity:
-                    out.append((key, source, a0, a1, b0, b1, cost, len(x)))
+                if more or length >= part and 1 - cost / length >= similarity:
+                    out.append((chain, more, key, source, a0, a1, b0, b1, cost, len(x)))
             yield from emit(out, schema)
 
     return ids.join(fetched, "chain").mapInArrow(
         run,
-        "doc_id long, source_id long, start int, end int, source_start int, source_end int, edits int, seeds int",
+        "chain long, open boolean, doc_id long, source_id long, start int, end int, "
+        "source_start int, source_end int, edits int, seeds int",
     )
 
 
+def _aligned(ids: DataFrame, blocks: DataFrame, similarity: float, part: int, kmer: int, margin: int) -> DataFrame:
+    """Passages along the chains ``ids``. Where words agree up to the end of the fetched blocks, four times
+    as many are fetched, until they differ or the document ends."""
+    done, todo = None, ids
+    while True:
+        spans = stored(_align_once(todo, blocks, similarity, part, kmer, margin), "spans")
+        closed = spans.where("NOT open").drop("chain", "open")
+        done = closed if done is None else done.unionByName(closed)
+        if spans.where("open").isEmpty():
+            return done
+        todo = stored(ids.join(spans.where("open").select("chain"), "chain", "left_semi"), "chains")
+        margin *= 4
+
+
+def _run_table(docs: DataFrame, kmer: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text in zip(*columns(batch, "key", "text"), strict=True):
+                at, h, lengths = runs(word_hashes(text), kmer)
+                out += [(*r, key) for r in zip(h.view(np.int64).tolist(), lengths.tolist(), at.tolist())]
+            yield from emit(out, _RUNS)
+
+    return docs.mapInArrow(run, "h long, length int, at int, key long")
+
+
+_RUNS = pa.schema([("h", pa.int64()), ("length", pa.int32()), ("at", pa.int32()), ("key", pa.int64())])
+
+
+def _run_hits(table: DataFrame) -> DataFrame:
+    """Each run of one k-mer with the first run at least as long, or the longest one before where all are shorter.
+
+    Runs of one k-mer and length are folded first, so a window holds the lengths of a k-mer, not its runs.
+    """
+    per = table.groupBy("h", "length").agg(F.min(F.struct("key", "at")).alias("own"))
+    falling = Window.partitionBy("h").orderBy(F.desc("length"))
+    per = per.withColumn("first", F.min("own").over(falling))
+    # Of the lengths that first occur before all longer ones, the next shorter one is the longest run before.
+    front = per.where("own.key = first.key").groupBy("h", "first").agg(F.max("length").alias("length"))
+    shorter = F.lead("first").over(Window.partitionBy("h").orderBy(F.desc("length")))
+    front = front.select("h", "first", shorter.alias("before"))
+    per = per.select("h", "length", "first").join(front, ["h", "first"], "left")
+    source = F.when(F.col("key") == F.col("first.key"), F.col("before")).otherwise(F.col("first"))
+    hits = table.join(per, ["h", "length"]).withColumn("s", source).where("s.key < key")
+    return hits.select("key", F.col("s.key").alias("source"), F.col("at").alias("x"), F.col("s.at").alias("y"))
+
+
 def _one_per_key(rows: DataFrame) -> DataFrame:
     """The least text of each key. Only texts of repeated keys are grouped."""
     repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
@@ -343,8 +416,10 @@ def repeated_passages(
         .select("key", F.col("f.key").alias("source"), F.col("at").alias("x"), F.col("f.at").alias("y"))
     )
     part = kmer + window - 1
-    chained = stored(_chain_table(hits, part, kmer, window, most_gap), "chains")
-    spans = _aligned(chained, _block_table(rows), similarity, part, kmer, _BLOCK // 2)
+    hits = hits.unionByName(_run_hits(stored(_run_table(rows, kmer), "runs")))
+    chained = _chain_table(hits, part, kmer, window, most_gap).withColumn("chain", F.monotonically_increasing_id())
+    blocks = stored(_block_table(rows), "blocks")
+    spans = _aligned(stored(chained, "chains"), blocks, similarity, part, kmer, _BLOCK // 2)
     # Spans of a document that meet are one stretch.
     in_doc = Window.partitionBy("doc_id").orderBy("start", "end", "source_id", "source_start")
     ends = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
