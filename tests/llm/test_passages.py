@@ -114,3 +114,16 @@ def test_runs_of_one_word(spark):
     both = [(1, "same " * 500), (2, "same " * 500)]
     got = P.repeated_passages(spark.createDataFrame(both, "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["start"], r["end"], r["source_start"], r["source_end"]) for r in got] == [(2, 0, 500, 0, 500)]
+
+
+def test_close_edits_share_a_seed():
+    """Nearly all planted passages of likeness 0.85 and more share a seed, edits close together or not."""
+    rng = random.Random(8)
+    for every, least in ((7, 0.97), (8, 0.99), (10, 0.99)):
+        found = 0
+        for _ in range(400):
+            a = np.array([rng.getrandbits(63) for _ in range(60)], np.uint64)
+            b = a.copy()
+            b[rng.randrange(every) :: every] = rng.getrandbits(63)
+            found += bool(set(P.seeds(a)[1].tolist()) & set(P.seeds(b)[1].tolist()))
+        assert found >= least * 400, (every, found)

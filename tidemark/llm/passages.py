@@ -1,8 +1,8 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 Documents are seeded with minimisers of word k-mers, so that every intact stretch of
-``kmer + window - 1`` words holds a seed that any copy of it holds as well. Each seed is linked to its
-first occurrence by key and position, not to all others, so a passage in a third of all documents costs
+``kmer + window - 1`` words holds a seed that any copy of it holds as well. Each seed is linked
+to its first occurrence by key and position, not to all others, so a passage in a third of all documents costs
 one link per seed of each. The links between a document and an earlier one are chained: ordered in both,
 with a cost for gaps, the best predecessor found in a Fenwick tree. The words along a chain, fetched in
 small blocks, are aligned to find the ends of the passage and its likeness.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns, emit, stored
 
-KMER, WINDOW = 5, 16  # words of a seed, seeds of which one is kept
+KMER, WINDOW = 5, 4  # words of a seed, seeds of which one is kept
+_PART = 20  # least words of a passage, parts of a stretch
 _BLOCK = 128  # words fetched together
 _MEMO = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -71,28 +72,37 @@ def runs(words: np.ndarray, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, n
     return at[long], h[at[long]], lengths[long]
 
 
-def seeds(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the minimisers. A k-mer's n-th seed in a document has a hash of its own,
-    so texts that repeat themselves are matched in order."""
-    n = len(words) - kmer + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _kmers(words, kmer)
-    width = min(window, n)
+def _minimisers(h: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the least k-mers of all windows; of a run of one k-mer the first is kept, see runs()."""
+    width = min(window, len(h))
     least = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)
     at = np.unique(least + np.arange(len(least)))
     new = np.ones(len(at), bool)
-    new[1:] = h[at[1:]] != h[at[:-1]]  # of a run of one k-mer the first is kept; see runs()
-    at = at[new]
-    h = h[at]
+    new[1:] = h[at[1:]] != h[at[:-1]]
+    return at[new]
+
+
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """How many equal hashes stand before each."""
     order = np.argsort(h, kind="stable")
     ranked = h[order]
-    first = np.ones(len(at), bool)
+    first = np.ones(len(h), bool)
     first[1:] = ranked[1:] != ranked[:-1]
-    starts = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    times = np.empty(len(at), np.uint64)
-    times[order] = (np.arange(len(at)) - starts).astype(np.uint64)
-    return at, _mixed(h + times * _BASE)
+    starts = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    times = np.empty(len(h), np.uint64)
+    times[order] = (np.arange(len(h)) - starts).astype(np.uint64)
+    return times
+
+
+def seeds(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the minimisers. A k-mer's n-th seed in a document has a hash of its own,
+    so texts that repeat themselves are matched in order."""
+    if len(words) < kmer:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = _kmers(words, kmer)
+    at = _minimisers(h, window)
+    h = h[at]
+    return at, _mixed(h + _numbered(h) * _BASE)
 
 
 class _PrefixMax:
@@ -219,7 +229,8 @@ def _seed_table(docs: DataFrame, kmer: int, window: int) -> DataFrame:
         for batch in batches:
             keys, hashes, places = [], [], []
             for key, text in zip(*columns(batch, "key", "text"), strict=True):
-                at, h = seeds(word_hashes(text), kmer, window)
+                words = word_hashes(text)
+                at, h = seeds(words, kmer, window)
                 keys.append(np.full(len(at), key, np.int64))
                 hashes.append(h.view(np.int64))
                 places.append(at.astype(np.int32))
@@ -256,19 +267,15 @@ _CHAINS = pa.schema(
 )
 
 
-def _chain_table(hits: DataFrame, least: int, kmer: int, window: int, most_gap: int) -> DataFrame:
-    """Chains between a document and an earlier one that may be part of a passage of enough words.
+def _chain_table(hits: DataFrame, kmer: int, most_gap: int) -> DataFrame:
+    """Chains between a document and an earlier one; any, as a passage may hold a single seed.
 
     Hits come sorted by document and source, so one pair is held at a time.
     """
-    reach = 2 * (kmer + window)
 
     def found(key, source, matches) -> list[tuple]:
-        out = []
-        for c in chains(matches, float(kmer), most_gap=most_gap):
-            if c[-1][0] - c[0][0] + reach >= least:
-                out.append((key, source, [x for x, _ in c], [y for _, y in c]))
-        return out
+        each = chains(matches, float(kmer), most_gap=most_gap)
+        return [(key, source, [x for x, _ in c], [y for _, y in c]) for c in each]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, matches = None, []
@@ -415,11 +422,10 @@ def repeated_passages(
         .where(F.col("key") != F.col("f.key"))
         .select("key", F.col("f.key").alias("source"), F.col("at").alias("x"), F.col("f.at").alias("y"))
     )
-    part = kmer + window - 1
     hits = hits.unionByName(_run_hits(stored(_run_table(rows, kmer), "runs")))
-    chained = _chain_table(hits, part, kmer, window, most_gap).withColumn("chain", F.monotonically_increasing_id())
+    chained = _chain_table(hits, kmer, most_gap).withColumn("chain", F.monotonically_increasing_id())
     blocks = stored(_block_table(rows), "blocks")
-    spans = _aligned(stored(chained, "chains"), blocks, similarity, part, kmer, _BLOCK // 2)
+    spans = _aligned(stored(chained, "chains"), blocks, similarity, _PART, kmer, _BLOCK // 2)
     # Spans of a document that meet are one stretch.
     in_doc = Window.partitionBy("doc_id").orderBy("start", "end", "source_id", "source_start")
     ends = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
