@@ -116,6 +116,20 @@ def test_runs_of_one_word(spark):
     assert [(r["doc_id"], r["start"], r["end"], r["source_start"], r["source_end"]) for r in got] == [(2, 0, 500, 0, 500)]
 
 
+def test_phrases_that_first_stand_elsewhere(spark):
+    """A passage links to the document that holds it, though each of its lines is in documents before."""
+    rng = random.Random(7)
+    rows, want = [], set()
+    for trial in range(24):
+        n = (18, 14, 12)[trial % 3]
+        lines = [words(rng, n) for _ in range(60 // n)]
+        rows += [(1000 * trial + i, " ".join(words(rng, 30) + line + words(rng, 30))) for i, line in enumerate(lines)]
+        rows += [(1000 * trial + k, " ".join(words(rng, 40) + sum(lines, []) + words(rng, 40))) for k in (100, 200)]
+        want.add((1000 * trial + 200, 1000 * trial + 100, 40, 40 + n * len(lines)))
+    got = P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert want <= {(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in got}
+
+
 def test_close_edits_share_a_seed():
     """Nearly all planted passages of likeness 0.85 and more share a seed, edits close together or not."""
     rng = random.Random(8)

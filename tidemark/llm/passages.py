@@ -1,7 +1,8 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 Documents are seeded with minimisers of word k-mers, so that every intact stretch of
-``kmer + window - 1`` words holds a seed that any copy of it holds as well. Each seed is linked
+``kmer + window - 1`` words holds a seed that any copy of it holds as well. Seeds in a row give longer
+contexts, so a passage is also found where its phrases first stand in other documents. Each seed is linked
 to its first occurrence by key and position, not to all others, so a passage in a third of all documents costs
 one link per seed of each. The links between a document and an earlier one are chained: ordered in both,
 with a cost for gaps, the best predecessor found in a Fenwick tree. The words along a chain, fetched in
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import columns, emit, stored
 
 KMER, WINDOW = 5, 4  # words of a seed, seeds of which one is kept
+_CONTEXT = 16  # seeds of which one is kept for longer contexts
 _PART = 20  # least words of a passage, parts of a stretch
 _BLOCK = 128  # words fetched together
 _MEMO = 300_000
@@ -105,6 +107,24 @@ def seeds(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np
     return at, _mixed(h + _numbered(h) * _BASE)
 
 
+def contexts(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Further seeds, by which a passage is found where its phrases first stand elsewhere: hashes of two
+    and three sparser seeds in a row, and the seeds that repeat in the document, without their number."""
+    if len(words) < kmer:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = _kmers(words, kmer)
+    at = _minimisers(h, window)
+    again = at[_numbered(h[at]) > 0]
+    sparse = _minimisers(h, _CONTEXT)
+    places, hashes = [again], [_mixed(h[again])]
+    value = h[sparse]
+    for n in (1, 2):
+        value = _mixed(value[:-1] * _BASE + h[sparse[n:]])
+        places.append(sparse[: len(value)])
+        hashes.append(value)
+    return np.concatenate(places), np.concatenate(hashes)
+
+
 class _PrefixMax:
     """Fenwick tree for the greatest value among the first places, and where it came from."""
 
@@ -230,7 +250,7 @@ def _seed_table(docs: DataFrame, kmer: int, window: int) -> DataFrame:
             keys, hashes, places = [], [], []
             for key, text in zip(*columns(batch, "key", "text"), strict=True):
                 words = word_hashes(text)
-                at, h = seeds(words, kmer, window)
+                at, h = map(np.concatenate, zip(seeds(words, kmer, window), contexts(words, kmer, window)))
                 keys.append(np.full(len(at), key, np.int64))
                 hashes.append(h.view(np.int64))
                 places.append(at.astype(np.int32))
