@@ -1,9 +1,12 @@
 """Linking, order and checks of tool calls."""
 
 import json
+import os
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidemark.llm import tool_calls as C
 
@@ -125,3 +128,23 @@ def test_turns_as_calls(spark):
     by = {r["call_id"]: r for r in rows if r["call_id"]}
     assert set(by) == {"1:0", "1:2", "2:1"} and len(rows) == 5
     assert by["1:0"]["valid"] and by["1:2"]["error"] == "query: missing" and by["2:1"]["error"] == "query: too short"
+
+
+def test_waves_of_a_real_log(spark):
+    """Calls of the table with dependencies by hash order, half of them forward: waves as by plain passes."""
+    sf = "/root/testdata/sf0.001/conversations.parquet"
+    if not os.path.exists(sf):
+        pytest.skip("test tables are not here")
+    calls, results = C.turns_as_calls(spark.read.parquet(sf))
+    by_hash = Window.partitionBy("conv").orderBy(F.xxhash64("id"), "id")
+    before = F.lag("id").over(by_hash)
+    calls = calls.where("id IS NOT NULL").withColumn("after", F.when(before.isNull(), F.array().cast("array<string>")).otherwise(F.array(before)))
+    given = {(r["conv"], r["id"]): (r["turn"], [(r["conv"], d) for d in r["after"]]) for r in calls.collect()}
+    want = dict.fromkeys(given, 0)
+    while True:
+        new = {k: max([want[k], *(want[d] + (given[d][0] >= t) for d in deps)]) for k, (t, deps) in given.items()}
+        if new == want:
+            break
+        want = new
+    rows = {(r["conv"], r["call_id"]): r["wave"] for r in C.link(calls, results, C.TURN_TOOLS).where("n_calls > 0").collect()}
+    assert rows == want and max(want.values()) > 0
