@@ -38,6 +38,10 @@ HEADLINE = (
     "agg_doc_freq",
     "tfidf",
     "win_pr_curve",
+    "fit_classifier",
+    "score_proba",
+    "sink_model",
+    "model_features",
     "stream_parse_pending",
     "stream_error_history",
     "evo_rules_diff",

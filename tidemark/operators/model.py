@@ -40,7 +40,7 @@ def fit(
     kind: str = "trees",
     rounds: int = TREES,
     seed: int = 42,
-    bins: int = 8,
+    bins: int = 32,
 ) -> PipelineModel:
     """Fit on labelled texts. ``kind`` is ``trees``, or ``logistic`` for a fast linear model.
 
