@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, line_dedup, mixing, packing, passages, simhash, tool_calls, topk, toxicity
+from tidemark.llm import (
+    divergence,
+    fingerprints,
+    line_dedup,
+    minmax,
+    mixing,
+    packing,
+    passages,
+    simhash,
+    tool_calls,
+    topk,
+    toxicity,
+)
 from tidemark.llm.common import stored, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +183,88 @@ def op9_source_mix(spark, sf_dir):
 def op10_cost_packing(spark, sf_dir):
     """Pieces of all documents in cost-balanced sequences of 2048 tokens."""
     return packing.cost_balanced_pieces(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+
+
+@query
+def op11_minmax(spark, sf_dir):
+    """Near-duplicate groups of all documents by sets of 4-word shingles, from min-max signatures."""
+    return minmax.near_groups(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Shingles of all texts, sizes of all intersections, links, and the least key over any path.
+ORACLES["op11_minmax"] = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_distinct([array_to_string(w[i : least(i + 3, len(w))], ' ') FOR i IN range(1, greatest(len(w) - 2, 2))]) AS s
+  FROM w WHERE len(w) > 0
+), k AS MATERIALIZED (
+  SELECT s, min(doc_id) AS least FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s
+), e AS MATERIALIZED (
+  SELECT least, len(s) AS n, unnest(s) AS x FROM k
+), c AS MATERIALIZED (
+  SELECT a.least AS a, b.least AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS met
+  FROM e a JOIN e b ON a.x = b.x AND a.least < b.least
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.least, b.least
+), l AS MATERIALIZED (
+  SELECT a, b FROM c WHERE 100 * met >= 80 * (na + nb - met)
+), g AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT least AS a, least AS b FROM k
+  UNION
+  SELECT r.a, g.b FROM r JOIN g ON g.a = r.b
+), o AS (
+  SELECT a, min(b) AS root FROM r GROUP BY a
+)
+SELECT w.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, coalesce(o.root, w.doc_id) AS component_id,
+       coalesce(o.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN k ON k.s = list_sort(s.s) LEFT JOIN o ON o.a = k.least
+"""
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    """How the sources of each language differ, from one another and from the language, over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), o AS MATERIALIZED (
+  SELECT id, lang, source, unnest(t) AS term FROM d
+), w AS MATERIALIZED (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), a AS MATERIALIZED (
+  SELECT lang, sum(n)::HUGEINT AS n, count(*)::HUGEINT AS v FROM w GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM o JOIN w USING (lang, term) GROUP BY lang, source, term
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, w.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(sum(c.n) OVER (PARTITION BY g.lang, g.source), 0)::HUGEINT + a.v) AS p,
+         1 + (1000000000 * (w.n + 1)) // (a.n + a.v) AS q
+  FROM g JOIN w USING (lang) JOIN a USING (lang) LEFT JOIN c USING (lang, source, term)
+), r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item,
+         coalesce((
+           SELECT sum((s.p - u.p) * (s.p - u.p) // u.p) FROM p s JOIN p u USING (lang, term)
+           WHERE s.lang = x.lang AND s.source = x.source AND u.source = y.source
+         ), 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), k AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+  FROM r
+)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 200
+"""
