@@ -1,11 +1,14 @@
-"""Hot keys: the bucketed plan gives what the plain window gives."""
+"""Range buckets give what a plain window gives, whichever key holds the rows."""
+
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import captures as C
 from tidemark.operators import fetchlog as L
-from tidemark.operators.ordered import find_hot, previous_value, running_sum
+from tidemark.operators.ordered import BUCKET, previous_value, running_sum, spread
 
 
 @pytest.fixture(scope="module")
@@ -31,25 +34,41 @@ def as_set(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_find_hot(rows):
-    assert [r.url for r in find_hot(rows, ["url"], 500).rows.collect()] == ["hot"]
-    assert find_hot(rows, ["url"]).rows is None
+ORDER = ["ts14", "pos"]
+
+
+def plain_previous(rows, key, value):
+    w = Window.partitionBy(key).orderBy(*ORDER)
+    return rows.withColumn("prev", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+
+
+def plain_sums(rows, keys, values):
+    w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *[F.sum(F.coalesce(v, F.lit(0))).over(w).alias(n) for n, v in values.items()])
+
+
+@pytest.fixture(params=["many keys", "one key", "one row", "no row"])
+def some(request, rows):
+    if request.param == "one key":
+        return rows.withColumn("url", F.lit("only"))
+    return {"many keys": rows, "one row": rows.limit(1), "no row": rows.where("pos < 0")}[request.param]
+
+
+def test_previous_value(some):
+    assert as_set(previous_value(some, ["url"], ORDER, "digest", "prev")) == as_set(plain_previous(some, "url", "digest"))
 
 
-@pytest.mark.parametrize("limit", [0, 500])
-def test_previous_value(rows, limit):
-    order = ["ts14", "pos"]
-    plain = previous_value(rows, ["url"], order, "digest", "prev")
-    split = previous_value(rows, ["url"], order, "digest", "prev", find_hot(rows, ["url"], limit))
-    assert as_set(plain) == as_set(split)
+def test_running_sum(some):
+    values = {"run": F.col("error_code").cast("bigint"), "k": F.lit(1).cast("bigint")}
+    assert as_set(running_sum(some, ["url"], ORDER, values)) == as_set(plain_sums(some, ["url"], values))
 
 
-@pytest.mark.parametrize("limit", [0, 500])
-def test_running_sum(rows, limit):
-    order, values = ["ts14", "pos"], {"run": F.col("error_code").cast("bigint"), "k": F.lit(1).cast("bigint")}
-    plain = running_sum(rows, ["url"], order, values)
-    split = running_sum(rows, ["url"], order, values, find_hot(rows, ["url"], limit))
-    assert as_set(plain) == as_set(split)
+def test_running_sum_on_a_spread(some):
+    """A step after another one, with longer keys, on the same buckets."""
+    longer = some.withColumn("kind", F.substring("ts14", 5, 2))
+    values = {"run": F.col("error_code").cast("bigint")}
+    got = running_sum(spread(longer, ["url"], ORDER), ["url", "kind"], ORDER, values)
+    assert as_set(got.drop(BUCKET)) == as_set(plain_sums(longer, ["url", "kind"], values))
 
 
 def test_whole_table_running_sum(spark):
@@ -57,13 +76,46 @@ def test_whole_table_running_sum(spark):
     assert all(r.s == r.id * (r.id + 1) // 2 for r in df.collect())
 
 
-def test_collapse_and_resolve(rows):
-    hot = find_hot(rows, ["url"], 500)
+def test_a_key_is_spread_over_all_buckets(spark, rows):
+    one = spread(rows.withColumn("url", F.lit("only")), ["url"], ORDER)
+    sizes = {r[BUCKET]: r["count"] for r in one.groupBy(BUCKET).count().collect()}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == n and max(sizes.values()) < 2 * 6000 / n
+
+
+def exchanges(df):
+    """The exchanges of rows that were run, without those that are read again; and the plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"ShuffleQueryStage \d+\n[ :+-]*(Exchange shufflepartition.*plan_id=\d+)", plan)), plan
+
+
+def test_one_exchange(spark, tmp_path, rows):
+    rows.write.parquet(str(tmp_path / "captures"))
+    stored = spark.read.parquet(str(tmp_path / "captures"))
+    found, plan = exchanges(C.collapse_digest(stored))
+    assert len(found) == 1 and "hashpartitioning(url" not in plan
     ok = F.col("pos") % 2 == 0
-    plain = C.resolve_slots(C.collapse_digest(rows), ok)
-    split = C.resolve_slots(C.collapse_digest(rows, hot=hot), ok, hot=hot)
-    assert as_set(plain) == as_set(split)
-    assert as_set(C.collapse_digest(rows)) == as_set(C.collapse_digest(rows, hot=hot))
+    found, plan = exchanges(C.resolve_slots(C.collapse_digest(stored, keep=True), ok))
+    assert len(found) == 1
+    found, plan = exchanges(L.number_errors(stored.withColumnRenamed("ts14", "ts")))
+    assert len(found) == 1
+
+
+def test_collapse_and_resolve(some):
+    ok = F.col("pos") % 2 == 0
+    marked = plain_previous(some, "url", "digest")
+    kept = marked.where(F.col("prev").isNull() | ~F.col("prev.v").eqNullSafe(F.col("digest"))).drop("prev")
+    assert as_set(C.collapse_digest(some)) == as_set(kept)
+    apart = C.resolve_slots(kept, ok)
+    assert as_set(apart) == as_set(C.resolve_slots(C.collapse_digest(some, keep=True), ok))
+    code = F.col("error_code")
+    rej = F.coalesce(code.isin(3, 4, 5) | ((code == 0) & ~ok), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy(*C.SLOT).orderBy(*ORDER))
+    want = kept.withColumn("n", nth).groupBy(*C.SLOT).agg(
+        F.coalesce(F.min(F.when(~rej, F.col("n"))), F.count("*")).alias("attempts")
+    )
+    assert as_set(apart.select(*C.SLOT, "attempts")) == as_set(want)
 
 
 def test_resolve_by_hand(spark):

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
-from tidemark.operators.ordered import HotKeys, latest_per_key, previous_value, running_sum
+from tidemark.operators.ordered import BUCKET, latest_per_key, previous_value, running_sum, spread
 
 ORDER = ("ts14", "pos")
 SLOT = ("url", "year", "half")
@@ -31,10 +31,13 @@ def collapse_digest(
     captures: DataFrame,
     key: str = "url",
     order: Sequence[str] = ORDER,
-    hot: HotKeys | None = None,
+    keep: bool = False,
 ) -> DataFrame:
-    """Drop a capture whose digest equals that of the preceding capture of the same URL."""
-    marked = previous_value(captures, [key], order, "digest", "__prev", hot)
+    """Drop a capture whose digest equals that of the preceding capture of the same URL.
+
+    With ``keep`` the captures stay spread by URL and order for the walk over their slots.
+    """
+    marked = previous_value(captures, [key], order, "digest", "__prev", keep)
     repeated = F.col("__prev").isNotNull() & F.col("__prev.v").eqNullSafe(F.col("digest"))
     return marked.where(~repeated).drop("__prev")
 
@@ -58,53 +61,67 @@ def first_per_slot(captures: DataFrame, order: Sequence[str] = ORDER) -> DataFra
     return latest_per_key(captures, SLOT, [F.col(c).asc() for c in order])
 
 
-def resolve_slots(
-    captures: DataFrame,
-    redirect_ok: Column,
-    order: Sequence[str] = ORDER,
-    hot: HotKeys | None = None,
-) -> DataFrame:
+def _marked(captures: DataFrame, redirect_ok: Column) -> DataFrame:
+    """Each capture with whether it is rejected (``__rej``) or stops the search of its slot (``__stop``)."""
+    code = F.col("error_code")
+    rejected = F.coalesce(U.is_fatal(code) | ((code == 0) & ~redirect_ok), F.lit(False))
+    return captures.withColumn("__rej", rejected).withColumn("__stop", ~F.col("__rej"))
+
+
+def _slots(spread_marked: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Each slot's part of a bucket is walked on its own; the parts, one per bucket, are put together."""
+    upto = Window.partitionBy(BUCKET, *SLOT).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tries = F.sum(F.col("__rej").cast("bigint")).over(upto)
+    stop = F.struct(*order, "error_code", (F.col("tries") + 1).alias("attempts"), BUCKET)
+    parts = spread_marked.withColumn("tries", tries).groupBy(BUCKET, *SLOT).agg(
+        F.min(F.when(F.col("__stop"), stop)).alias("stop"),
+        F.sum(F.col("__rej").cast("bigint")).alias("rejected"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    listed = F.collect_list(F.struct(F.col(BUCKET).alias("b"), F.col("rejected").alias("r")))
+    whole = parts.groupBy(*SLOT).agg(
+        F.min("stop").alias("win"), listed.alias("parts"), F.sum("n").alias("candidates")
+    )
+    before = F.aggregate(
+        "parts",
+        F.lit(0).cast("bigint"),
+        lambda total, p: total + F.when(p["b"] < F.col(f"win.{BUCKET}"), p["r"]).otherwise(F.lit(0)),
+    )
+    return whole.select(
+        *SLOT,
+        F.when(F.col("win").isNull(), "exhausted")
+        .when(F.col("win.error_code").isin(0, U.CACHED_CODE), "filled")
+        .otherwise("deferred")
+        .alias("state"),
+        *[F.col(f"win.{c}").alias(c) for c in order],
+        F.col("win.error_code").alias("error_code"),
+        F.coalesce(F.col("win.attempts") + before, "candidates").alias("attempts"),
+        "candidates",
+    )
+
+
+def resolve_slots(captures: DataFrame, redirect_ok: Column, order: Sequence[str] = ORDER) -> DataFrame:
     """Walk the captures of each slot in order until one stops the search.
 
     A fatal code, or a success that was redirected out of its slot, rejects a capture and the next
-    one is tried. ``hot`` may hold the hot URLs counted on the raw index. ``filled``: a good page, or one already cached. ``deferred``: a retryable failure.
-    ``exhausted``: every capture was rejected. ``attempts`` counts the captures looked at.
+    one is tried. ``filled``: a good page, or one already cached. ``deferred``: a retryable failure, or a
+    capture without an outcome yet. ``exhausted``: every capture was rejected. ``attempts`` counts the
+    captures looked at. Captures that the collapse left spread need no further exchange.
     """
-    code = F.col("error_code")
-    rejected = U.is_fatal(code) | ((code == 0) & ~redirect_ok)
-    marked = captures.withColumn("__rej", F.coalesce(rejected, F.lit(False)))
-    counted = running_sum(
-        marked, SLOT, order, {"__tries": F.col("__rej").cast("bigint")}, hot
-    )
-    stop = F.struct(*order, "error_code", (F.col("__tries") + 1).alias("attempts"))
-    return (
-        counted.groupBy(*SLOT)
-        .agg(
-            F.min(F.when(~F.col("__rej"), stop)).alias("win"),
-            F.count(F.lit(1)).alias("candidates"),
-        )
-        .select(
-            *SLOT,
-            F.when(F.col("win").isNull(), "exhausted")
-            .when(F.col("win.error_code").isin(0, U.CACHED_CODE), "filled")
-            .otherwise("deferred")
-            .alias("state"),
-            *[F.col(f"win.{c}").alias(c) for c in order],
-            F.col("win.error_code").alias("error_code"),
-            F.coalesce("win.attempts", "candidates").alias("attempts"),
-            "candidates",
-        )
-    )
+    if BUCKET not in captures.columns:
+        captures = spread(captures, SLOT, order)
+    return _slots(_marked(captures, redirect_ok), order)
 
 
 class CaptureJob(NamedTuple):
-    """One run over the index: the slots, the captures that were tried, the errors met and the captures
-    to try again in the rescue pass."""
+    """One run over the index: the slots, the captures that were tried, the errors met, the captures to try
+    again in the rescue pass, and those to fetch next."""
 
     slots: DataFrame
     tried: DataFrame
     errors: DataFrame
     rescue: DataFrame
+    fetch: DataFrame
 
 
 def capture_job(
@@ -114,29 +131,31 @@ def capture_job(
     first: int,
     last: int,
     order: Sequence[str] = ORDER,
-    hot: HotKeys | None = None,
 ) -> CaptureJob:
-    """From index rows with the outcome of fetching each to slots, tried captures, errors and rescue list.
-
-    ``captures`` has url, ts14, pos, digest, error_code (what a fetch gives) and ``cache_key``; a key in
-    ``cached`` is not fetched and counts as a hit. A slot's captures are tried in order until one is not
-    rejected. Of the tried ones a failed fetch is an error; a page that was redirected out of its slot is
-    none. Errors that can be retried make the rescue list. All four are lazy and share one plan.
+    """From index rows with what is known of fetching each to slots, tried captures, errors, rescue list and
+    the list for the fetcher.
+
+    ``captures`` has url, ts14, pos, digest, error_code (what a fetch gave, null if there was none yet) and
+    ``cache_key``; a key in ``cached`` is not fetched and counts as a hit. A slot's captures are tried in
+    order until one is not rejected. Of the tried ones a failed fetch is an error; a page that was
+    redirected out of its slot is none. Errors that can be retried make the rescue list; a tried capture
+    without an outcome is the one to fetch next in its slot, as those before it were all rejected. The five
+    are lazy and come from one walk over one spread of the captures.
     """
-    kept = year_filter(with_slot(collapse_digest(captures.drop("year", "month", "half"), order=order, hot=hot)), first, last)
     known = cached.select("cache_key").distinct().withColumn("__hit", F.lit(True))
-    kept = kept.join(known, "cache_key", "left").withColumn(
+    rows = captures.drop("year", "month", "half").join(known, "cache_key", "left")
+    rows = rows.withColumn(
         "error_code", F.when(F.col("__hit"), F.lit(U.CACHED_CODE)).otherwise(F.col("error_code"))
     ).drop("__hit")
+    kept = year_filter(with_slot(collapse_digest(rows, order=order, keep=True)), first, last)
+    marked = _marked(kept, redirect_ok)
+    stop = F.col("__stop").cast("bigint")
+    walk = running_sum(marked, SLOT, order, {"__stops": stop})
+    tried = walk.where(F.col("__stops") - stop == 0).drop(BUCKET, "__rej", "__stop", "__stops")
     code = F.col("error_code")
-    rejected = F.coalesce(U.is_fatal(code) | ((code == 0) & ~redirect_ok), F.lit(False))
-    stops = running_sum(
-        kept.withColumn("__stop", (~rejected).cast("bigint")), SLOT, order, {"__stops": F.col("__stop")}, hot
-    )
-    tried = stops.where(F.col("__stops") - F.col("__stop") == 0).drop("__stop", "__stops")
     errors = tried.where(~code.isin(0, U.CACHED_CODE))
     return CaptureJob(
-        resolve_slots(kept, redirect_ok, order, hot), tried, errors, errors.where(~U.is_fatal(code))
+        _slots(marked, order), tried, errors, errors.where(~U.is_fatal(code)), tried.where(code.isNull())
     )
 
 

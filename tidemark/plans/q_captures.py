@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import urls as U
 from tidemark.operators import captures as C
 from tidemark.operators import fetchlog as L
-from tidemark.operators.ordered import find_hot
 from tidemark.plans.inputs import FIRST_YEAR, LAST_YEAR, captures, errors, fetch_log, oracle
 from tidemark.plans.registry import query, table
 
@@ -76,11 +75,9 @@ def win_first_per_slot(spark, sf_dir):
     ),
 )
 def win_resolve_slot(spark, sf_dir):
-    rows = captures(spark, sf_dir)
-    hot = find_hot(rows, ["url"])
-    kept = C.collapse_digest(rows, hot=hot)
+    kept = C.collapse_digest(captures(spark, sf_dir), keep=True)
     ok = U.redirect_ok(F.col("capture_url"), F.col("final_url"))
-    return C.resolve_slots(kept, ok, hot=hot).select(
+    return C.resolve_slots(kept, ok).select(
         "url", "year", "half", "state", "pos", "attempts", "candidates"
     )
 
@@ -305,7 +302,7 @@ def job_capture(spark, sf_dir):
     )
     cached = rows.where("pos % 13 = 0").select("cache_key")
     ok = U.redirect_ok(F.col("capture_url"), F.col("final_url"))
-    job = C.capture_job(rows, cached, ok, FIRST_YEAR, LAST_YEAR, hot=find_hot(captures(spark, sf_dir), ["url"]))
+    job = C.capture_job(rows, cached, ok, FIRST_YEAR, LAST_YEAR)
     columns = ("url", "year", "half", "pos", "error_code")
     parts = {"slot": job.slots, "tried": job.tried, "error": job.errors, "rescue": job.rescue}
     out = None
