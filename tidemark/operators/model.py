@@ -1,15 +1,21 @@
-"""Rule classifier: TF-IDF over words and pairs, boosted trees, stored as one Spark ML model."""
+"""Rule classifier: TF-IDF over words and pairs, boosted trees or a linear model, stored as one folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
 from tidemark.operators.textfeat import MAX_FEATURES, inverse_doc_freq, with_grams
 from tidemark.session import written
 
@@ -17,6 +23,14 @@ from tidemark.session import written
 TREES, DEPTH = 100, 4
 
 
+class TreeModel(NamedTuple):
+    """Feature stages and boosted trees over their non-zero weights."""
+
+    features: PipelineModel
+    trees: list[list[boosting.Split]]
+    bins: int
+
+
 def features(train: DataFrame, text: str = "text", max_features: int = MAX_FEATURES) -> list:
     """Stages that turn n-grams into weighted counts of unit length.
 
@@ -32,6 +46,12 @@ def features(train: DataFrame, text: str = "text", max_features: int = MAX_FEATU
     return [counter, weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
 
 
+def _postings(df: DataFrame, *more: str) -> DataFrame:
+    """The vectors' places and weights that are not zero."""
+    vector = F.unwrap_udt("features")
+    return df.select(vector["indices"].alias("terms"), vector["values"].alias("weights"), *more)
+
+
 def fit(
     train: DataFrame,
     text: str = "text",
@@ -39,37 +59,42 @@ def fit(
     max_features: int = MAX_FEATURES,
     kind: str = "trees",
     rounds: int = TREES,
-    seed: int = 42,
     bins: int = 32,
-) -> PipelineModel:
+) -> TreeModel | PipelineModel:
     """Fit on labelled texts. ``kind`` is ``trees``, or ``logistic`` for a fast linear model.
 
     The feature vectors are written once, so texts are not tokenised again in each pass of the fit.
-    ``bins`` is how finely the weights of a term are cut; most terms have few distinct weights, and the
-    sums of each tree level grow with terms x bins.
+    ``bins`` is how finely the weights of a term are cut.
     """
     train = train.where(F.col(label).isNotNull())
     stages = features(train, text, max_features)
-    ready = PipelineModel(stages).transform(with_grams(train, text)).select("features", label)
-    target = {"featuresCol": "features", "labelCol": label}
+    ready = PipelineModel(stages).transform(with_grams(train, text)).select("features", F.col(label).alias("label"))
     if kind == "trees":
-        classifier = GBTClassifier(
-            maxIter=rounds,
-            maxDepth=DEPTH,
-            maxBins=bins,
-            maxMemoryInMB=1024,
-            lossType="logistic",
-            seed=seed,
-            **target,
-        )
-    else:
-        classifier = LogisticRegression(maxIter=rounds, **target)
+        terms = len(stages[0].vocabulary)
+        return TreeModel(PipelineModel(stages), boosting.fit(_postings(ready, "label"), terms, rounds, DEPTH, bins), bins)
+    classifier = LogisticRegression(maxIter=rounds, featuresCol="features", labelCol="label")
     return PipelineModel([*stages, classifier.fit(written(ready, "features"))])
 
 
-def score(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:
+def _tree_score(model: TreeModel):
+    trees, bins = model.trees, model.bins
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for terms, weights in batches:
+            lists = [[x.values.to_numpy(zero_copy_only=False) for x in column] for column in (terms, weights)]
+            yield pa.array(boosting.probabilities(*lists, trees, bins) if len(terms) else np.zeros(0), pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
+def score(model: TreeModel | PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:
     """Add ``score``, the probability of class 1, and the hard prediction ``pred``."""
     rows = rows.drop("score", "pred")
+    if isinstance(model, TreeModel):
+        vector = F.unwrap_udt("features")
+        scored = model.features.transform(with_grams(rows, text))
+        scored = scored.withColumn("score", _tree_score(model)(vector["indices"], vector["values"]))
+        return scored.select(*rows.columns, "score", (F.col("score") > 0.5).cast("int").alias("pred"))
     scored = model.transform(with_grams(rows, text))
     return scored.select(
         *rows.columns,
@@ -78,7 +103,7 @@ def score(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFram
     )
 
 
-def scorer(model: PipelineModel):
+def scorer(model: TreeModel | PipelineModel):
     """Scorer of rule candidates for the extraction operators."""
 
     def run(candidates: DataFrame) -> DataFrame:
@@ -87,9 +112,25 @@ def scorer(model: PipelineModel):
     return run
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save(model: TreeModel | PipelineModel, path: str) -> None:
+    """Feature stages and trees, or the stages of the linear model, below ``path``."""
+    if not isinstance(model, TreeModel):
+        model.write().overwrite().save(f"{path}/linear")
+        return
+    model.features.write().overwrite().save(f"{path}/features")
+    splits = [(*split, model.bins) for tree in model.trees for split in tree]
+    kind = "tree int, node int, term int, bin int, absent_right boolean, value double, bins int"
+    table = SparkSession.active().createDataFrame(splits, kind)
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+
+
+def load(path: str) -> TreeModel | PipelineModel:
+    spark = SparkSession.active()
+    linear = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/linear")
+    if linear.getFileSystem(spark._jsc.hadoopConfiguration()).exists(linear):
+        return PipelineModel.load(f"{path}/linear")
+    trees: dict[int, list[boosting.Split]] = {}
+    rows = spark.read.parquet(f"{path}/trees").orderBy("tree", "node").collect()  # 31 nodes a tree
+    for *split, bins in rows:
+        trees.setdefault(split[0], []).append(boosting.Split(*split))
+    return TreeModel(PipelineModel.load(f"{path}/features"), list(trees.values()), bins)
