@@ -19,6 +19,7 @@ from tidemark.llm import (
     tool_calls,
     topk,
     toxicity,
+    vector_codes,
 )
 from tidemark.llm.common import stored, table, word_count
 
@@ -226,6 +227,65 @@ FROM w LEFT JOIN s USING (doc_id) LEFT JOIN k ON k.s = list_sort(s.s) LEFT JOIN
 """
 
 
+@query
+def op12_vector_codes(spark, sf_dir):
+    """Codes of all vectors by codebooks that four Lloyd rounds improve."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """All distances of every round; exact in doubles while squared distances times 256 stay below 2^53."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT p.id, p.part, arg_min(b.entry, (b.norm - 2 * list_inner_product(p.f, b.f)) * {entries} + b.entry) AS entry
+  FROM p JOIN b{r} b ON b.part = p.part GROUP BY p.id, p.part
+)""")
+        if r < rounds:
+            steps.append(f"""
+x{r} AS (
+  SELECT a.part, a.entry, unnest(p.e) AS x, unnest(range(len(p.e))) AS pos FROM a{r} a JOIN p ON p.id = a.id AND p.part = a.part
+), m{r} AS (
+  SELECT part, entry, pos, (s - ((s % c) + c) % c) // c AS x
+  FROM (SELECT part, entry, pos, sum(x) AS s, count(*)::HUGEINT AS c FROM x{r} GROUP BY part, entry, pos)
+), n{r} AS (
+  SELECT part, entry, list(x::BIGINT ORDER BY pos) AS e FROM m{r} GROUP BY part, entry
+), b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, e, e::DOUBLE[] AS f, list_inner_product(e::DOUBLE[], e::DOUBLE[]) AS norm
+  FROM (SELECT b.part, b.entry, coalesce(n.e, b.e) AS e FROM b{r} b LEFT JOIN n{r} n ON n.part = b.part AND n.entry = b.entry)
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label,
+         [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), p AS MATERIALIZED (
+  SELECT id, part, e, e::DOUBLE[] AS f
+  FROM (
+    SELECT id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS e
+    FROM v, (SELECT unnest(range({parts})) AS part)
+  )
+), b0 AS MATERIALIZED (
+  SELECT part, id - 1 AS entry, e, f, list_inner_product(f, f) AS norm FROM p WHERE id <= {entries}
+), {",".join(steps).strip()}, d AS (
+  SELECT a.id, string_agg(printf('%02x', a.entry), '' ORDER BY a.part) AS code,
+         CAST(sum(b.norm - 2 * list_inner_product(p.f, b.f) + list_inner_product(p.f, p.f)) AS BIGINT) AS error
+  FROM a{rounds} a JOIN p ON p.id = a.id AND p.part = a.part JOIN b{rounds} b ON b.part = a.part AND b.entry = a.entry
+  GROUP BY a.id
+), c AS (
+  SELECT part, entry, unnest(e) AS x, unnest(range(len(e))) AS pos FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c) AS codebooks_sha256
+FROM v JOIN d USING (id)
+"""
+
+
+ORACLES["op12_vector_codes"] = _lloyd_sql()
+
+
 @query
 def op13_source_divergence(spark, sf_dir):
     """How the sources of each language differ, from one another and from the language, over all documents."""
