@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -66,7 +69,60 @@ def test_keyed_table(spark, tmp_path):
     assert sorted(tuple(r) for r in table.current().collect()) == want
     table.set_field(spark.createDataFrame([("y", "back")], "k string, b string"), "b", 4)
     assert sorted(tuple(r) for r in table.current().collect()) == sorted([*want, ("y", None, "back")])
-    assert "Exchange" not in spark.read.parquet(str(tmp_path / "k"))._jdf.queryExecution().executedPlan().toString()
+    again = KeyedTable(spark, str(tmp_path / "k"), "k", fields, buckets=99)  # the stored number counts
+    assert again.buckets == table.buckets and as_rows(again.current()) == as_rows(table.current())
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def keyed(spark, path, buckets=4):
+    fields = spark.createDataFrame([], "a int, b string").schema.fields
+    table = KeyedTable(spark, str(path), "k", fields, buckets)
+    n = F.col("id")
+    table.put(spark.range(1000).select(n.alias("k"), n.cast("int").alias("a"), F.lit("b").alias("b")), 0)
+    small = spark.range(5, 25)
+    table.set_field(small.select(n.alias("k"), F.lit(-1).alias("a"), (n * 1.5).alias("s")), "a", 1, "s")
+    table.set_field(small.select(n.alias("k"), F.lit("late").alias("b"), F.lit(0.5).alias("s")), "b", 2, "s")
+    table.delete(spark.range(10, 15).select(n.alias("k"), F.lit(30.0).alias("s")), 3, "s")
+    return table
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyed_reads_exchange_nothing_stored(spark, tmp_path):
+    table = keyed(spark, tmp_path / "k")
+    assert "Exchange" not in plan_of(table.current())
+    asked = spark.range(0, 2000, 7).select(F.col("id").alias("k"), F.lit("x").alias("page"))
+    plan = plan_of(asked.hint("merge").join(table.current().select("k"), "k", "left_anti"))
+    assert set(re.findall(r"Exchange hashpartitioning\([^,]*, (\d+)\)", plan)) == {"4"}
+    scans = [x for x in plan.split("Initial Plan")[0].splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "Bucketed: true" in scans[0]
+
+
+@pytest.mark.parametrize("buckets", [None, [1], [0, 3]])
+def test_compact(spark, tmp_path, buckets):
+    table = keyed(spark, tmp_path / "k")
+    want, before = as_rows(table.current()), {b: table.files([b]) for b in range(4)}
+    table.compact(buckets)
+    assert as_rows(table.current()) == want and "Exchange" not in plan_of(table.current())
+    for b in range(4):
+        if buckets is None or b in buckets:
+            assert len(table.files([b])) == 1 and not set(table.files([b])) & set(before[b])
+        else:
+            assert table.files([b]) == before[b]
+    # Late changes find their place: older ones change nothing, newer ones do.
+    late = spark.createDataFrame([(11, 77, 11.0), (12, 78, 31.0), (6, 79, 1.0), (7, 80, 99.0)], "k long, a int, s double")
+    table.set_field(late, "a", 4, "s")
+    got = {r.k: (r.a, r.b) for r in table.current().where("k < 15").collect()}
+    assert 11 not in got and got[12] == (78, None) and got[6] == (-1, "late") and got[7] == (80, "late")
+    assert KeyedTable(spark, str(tmp_path / "k"), "k", table.fields).current().count() == table.current().count()
+    table.compact()
+    assert {r.k: (r.a, r.b) for r in table.current().where("k < 15").collect()} == got
 
 
 def test_versioned_table(spark, tmp_path):

@@ -9,6 +9,8 @@ from tidemark.operators import captures as C
 from tidemark.operators import fetchlog as L
 from tidemark.plans.inputs import FIRST_YEAR, LAST_YEAR, captures, errors, fetch_log, oracle
 from tidemark.plans.registry import query, table
+from tidemark.session import work_dir
+from tidemark.sources.tables import KeyedTable
 
 # The page URLs of a community.
 _TEMPLATES = (
@@ -158,13 +160,18 @@ def join_skip_cached_requested(spark, sf_dir):
 
 
 def _cached(spark, sf_dir, hits, also_requested=False):
+    """Requests against the stored pages, which are never shuffled: they lie in buckets by their key."""
     rows = captures(spark, sf_dir)
     stored = rows.where("error_code in (0, 1)").select(
         U.cache_key(F.col("final_url")).alias("cache_key"),
         U.cache_key(F.col("capture_url")).alias("requested_key"),
     )
+    pages = KeyedTable(spark, work_dir(spark, "pages"), "cache_key", [stored.schema["requested_key"]])
+    pages.put(stored, 0)
     requests = rows.select("pos", U.cache_key(F.col("capture_url")).alias("cache_key"))
-    return C.skip_cached(requests, stored, hits, also_requested).select("pos", "cache_key")
+    if also_requested:  # a page was asked for under several keys, of which the store has the last
+        return C.skip_cached(requests, stored, hits, also_requested).select("pos", "cache_key")
+    return C.skip_cached(requests, pages.current(), hits).select("pos", "cache_key")
 
 
 _STATE = """select url, max(ts * 10 + error_code) as top,
