@@ -4,6 +4,8 @@ import collections
 import random
 import re
 
+import pyarrow as pa
+
 from tidemark.llm import divergence as D
 
 
@@ -56,8 +58,11 @@ def hash_of(source):
 
 
 def test_terms():
-    for t in ["", "A1b C_d", "\x00É\x7fx", "東京[z]~Zz", "a\u0080b c"]:
-        assert [x.decode() for x in D.terms(t)] == plain_terms(t)
+    texts = ["", "A1b C_d", "\x00É\x7fx", "", "東京[z]~Zz", "a\u0080b c", "c", "1", "x"]
+    for some in (texts, texts[1:], texts[-1:], [""], []):
+        found, doc = D.terms(pa.array(["skipped", *some], pa.string()).slice(1))
+        want = [(x, i) for i, t in enumerate(some) for x in plain_terms(t)]
+        assert [(x.decode(), i) for x, i in zip(found.to_pylist(), doc.tolist())] == want
 
 
 def test_audit(spark):
@@ -69,8 +74,8 @@ def test_audit(spark):
 
 
 def test_flushes_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D, "_HELD", 20)
-    monkeypatch.setattr(D, "_BLOCK", 16)
+    monkeypatch.setattr(D, "_TEXT", 300)
+    monkeypatch.setattr(D, "_ROWS", 16)
     rows = rows_of()
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
     assert sorted(map(tuple, D.audit(df).collect())) == plain(rows)

@@ -15,61 +15,100 @@ nothing in the sources that lack it.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns, emit, stored
+from tidemark.llm.common import stored
 
 LEAST_DOCUMENTS = 3
 MOST_RANKS = 200
-_HELD = 400_000  # term counts held by a task
-_BLOCK = 4096  # terms compared together
+_TEXT = 1 << 23  # bytes of text counted together
+_ROWS = 1 << 18  # counts of terms compared together
 # A-Z lower-cased; letters and the bytes of all other code points stay, the rest parts terms.
-_FOLD = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
-)
-_COUNTS = pa.schema(
-    [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())]
+_BLANK = 0x20
+_FOLD = np.array(
+    [b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else _BLANK for b in range(256)], np.uint8
 )
 _CELL = "lang string, s1 string, s2 string, c1 long, c2 long, m long"
-_CELLS = pa.schema([(c, pa.string()) for c in ("lang", "s1", "s2")] + [(c, pa.int64()) for c in ("c1", "c2", "m")])
 
 
-def terms(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
+def terms(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All terms of the texts in order, and the text that each stands in."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    folded = _FOLD[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if data else np.zeros(0, np.uint8)
+    at -= at[0]
+    inside = folded != _BLANK
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = at[:-1][np.diff(at) > 0]  # a text's first byte begins a term, and so ends the one before
+    first[edge] |= inside[edge]
+    last[edge[1:] - 1] |= inside[edge[1:] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    found = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(folded[inside])]
+    )
+    return found, np.searchsorted(at, starts, "right") - 1
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of values starts in sorted columns."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Occurrences and documents per language, source and term, summed up in the task while it has room."""
-
-    def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, df) in held.items():
-            keys = list(n)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield from emit(
-                    [(lang, source, t.decode("utf-8", "surrogatepass"), n[t], df[t]) for t in part], _COUNTS
-                )
+    """Occurrences and documents per language, source and term, summed up over some texts at a time."""
+
+    def counts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lang, source, text = (table.column(c).combine_chunks() for c in ("lang", "source", "text"))
+        found, doc = terms(text)
+        coded = found.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        lang, source = lang.dictionary_encode(), source.dictionary_encode()
+        group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        each, n = np.unique(doc.astype(np.int64) * size + coded.indices.to_numpy(), return_counts=True)
+        cell = group[each // size] * size + each % size
+        order = np.argsort(cell, kind="stable")
+        cell, n = cell[order], n[order]
+        starts = _runs(cell)
+        df = np.diff(np.r_[starts, len(cell)])
+        n = np.add.reduceat(n, starts) if len(starts) else n
+        of, term = cell[starts] // size, cell[starts] % size
+        return pa.RecordBatch.from_arrays(
+            [
+                lang.dictionary.take(pa.array(of // len(source.dictionary))),
+                source.dictionary.take(pa.array(of % len(source.dictionary))),
+                coded.dictionary.take(pa.array(term)).cast(pa.string()),
+                pa.array(n.astype(np.int64)),
+                pa.array(df.astype(np.int64)),
+            ],
+            names=["lang", "source", "term", "n", "df"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            for lang, source, text in zip(*columns(batch, "lang", "source", "text"), strict=True):
-                n, df = held.setdefault((lang, source), (Counter(), Counter()))
-                found, before = terms(text), len(n)
-                n.update(found)
-                df.update(set(found))
-                size += len(n) - before
-                if size > _HELD:
-                    yield from flush(held)
-                    held, size = {}, 0
-        yield from flush(held)
+            if len(batch):
+                held.append(batch)
+                size += batch.nbytes
+            if size >= _TEXT:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
 
     return docs.mapInArrow(run, "lang string, source string, term string, n long, df long")
 
@@ -89,41 +128,58 @@ def _apart(p: Column, q: Column) -> Column:
 def _cells(kept: DataFrame) -> DataFrame:
     """Terms per pair of sources (s1 < s2 of one language) and pair of counts, none of them 0."""
 
-    def block(lang: str, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        names = sorted({s for _, s, _ in rows})
-        place = {s: i for i, s in enumerate(names)}
-        line: dict[str, int] = {}
-        at = [line.setdefault(t, len(line)) for t, _, _ in rows]
-        grid = np.zeros((len(names), len(line)), np.int64)
-        grid[[place[s] for _, s, _ in rows], at] = [n for _, _, n in rows]
-        for i in range(len(names)):
-            out = []
-            for j in range(i + 1, len(names)):
-                both = (grid[i] > 0) & (grid[j] > 0)
-                if both.any():
-                    pairs, times = np.unique(np.stack([grid[i][both], grid[j][both]]), axis=1, return_counts=True)
-                    out += [
-                        (lang, names[i], names[j], int(a), int(b), int(m))
-                        for a, b, m in zip(*pairs.tolist(), times.tolist())
-                    ]
-            yield from emit(out, _CELLS)
+    def block(lang: str, term: np.ndarray, source: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``term`` numbers the terms from 0."""
+        names = pa.array(sorted(set(source.to_pylist())))
+        place = pa.compute.index_in(source, names).to_numpy()
+        values, ranks = np.unique(n, return_inverse=True)
+        grid = np.full((len(names), int(term[-1]) + 1), -1, np.int64)
+        grid[place, term] = ranks
+        for i in range(len(names) - 1):
+            here = grid[:, grid[i] >= 0]
+            j, at = np.nonzero(here[i + 1 :] >= 0)
+            cell = (j * len(values) + here[i, at]) * len(values) + here[i + 1 + j, at]
+            cell, times = np.unique(cell, return_counts=True)
+            if len(cell):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(cell)),
+                        pa.array([names[i].as_py()] * len(cell)),
+                        names.take(pa.array(i + 1 + cell // len(values) ** 2)),
+                        pa.array(values[cell // len(values) % len(values)]),
+                        pa.array(values[cell % len(values)]),
+                        pa.array(times.astype(np.int64)),
+                    ],
+                    names=["lang", "s1", "s2", "c1", "c2", "m"],
+                )
+
+    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        lang, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))
+        number = lang.indices.to_numpy()
+        starts = _runs(number, term.indices.to_numpy())
+        at = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(number)]))
+        source, n = table.column("source").combine_chunks(), table.column("n").to_numpy()
+        cuts = np.r_[_runs(number), len(number)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield from block(lang.dictionary[int(number[a])].as_py(), at[a:b] - at[a], source.slice(a, b - a), n[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, last, rows, held = None, None, [], 0
+        held = None
         for batch in batches:
-            for l, t, s, n in zip(*columns(batch, "lang", "term", "source", "n"), strict=True):
-                if (l, t) != last:
-                    if l != lang or held == _BLOCK:
-                        if rows:
-                            yield from block(lang, rows)
-                        lang, rows, held = l, [], 0
-                    held += 1
-                    last = (l, t)
-                rows.append((t, s, n))
-        if rows:
-            yield from block(lang, rows)
-
-    dealt = kept.repartition("lang", "term").sortWithinPartitions("lang", "term")
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            if len(held) >= _ROWS:  # the last term may go on
+                same = pa.compute.and_(
+                    pa.compute.equal(held["lang"], held["lang"][-1]), pa.compute.equal(held["term"], held["term"][-1])
+                )
+                whole = len(held) - pa.compute.sum(same).as_py()
+                if whole:
+                    yield from blocks(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and len(held):
+            yield from blocks(held)
+
+    dealt = kept.select("lang", "term", "source", "n").repartition("lang", "term").sortWithinPartitions("lang", "term")
     found = dealt.mapInArrow(run, _CELL)
     return found.groupBy("lang", "s1", "s2", "c1", "c2").agg(F.sum("m").alias("m"))
 
