@@ -58,23 +58,27 @@ def fetch_outcome(log: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 def index_outcome(calls: DataFrame, max_calls: int = 2) -> DataFrame:
-    """Outcome of index requests: only a connection error (2) is tried again, up to ``max_calls``."""
-    slots = [
-        F.min(F.when(F.col("call") == k, F.col("error_code"))).alias(f"c{k}")
-        for k in range(1, max_calls + 1)
-    ]
-    wide = calls.where(F.col("call") <= max_calls).groupBy("url").agg(*slots)
+    """Outcome of index requests: only a connection error (2) is tried again, up to ``max_calls``.
+
+    The calls made are the first ``max_calls`` rows of a URL by call, then code, so repeated or skipped numbers
+    lose nothing. ``error_code`` is null for a log that ends while another call is due; ``calls`` counts
+    those made.
+    """
+    order = Window.partitionBy("url").orderBy("call", "error_code")
+    made = calls.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_calls)
+    slots = [F.min(F.when(F.col("n") == k, F.col("error_code"))).alias(f"c{k}") for k in range(1, max_calls + 1)]
+    wide = made.groupBy("url").agg(F.max("n").alias("made"), *slots)
     ended = None
     for k in range(1, max_calls + 1):
         code = F.col(f"c{k}")
         pair = F.when(code != 2, F.struct(code.alias("code"), F.lit(k).alias("n")))
         ended = pair if ended is None else F.coalesce(ended, pair)
-    last = F.struct(F.lit(2).alias("code"), F.lit(max_calls).alias("n"))
+    last = F.struct(F.when(F.col("made") >= max_calls, F.lit(2)).alias("code"), F.col("made").alias("n"))
     return wide.select("url", F.coalesce(ended, last).alias("r")).select(
         "url",
         F.col("r.code").alias("error_code"),
         F.col("r.n").alias("calls"),
-        (F.col("r.code") == 0).alias("has_index"),
+        F.coalesce(F.col("r.code") == 0, F.lit(False)).alias("has_index"),
     )
 
 

@@ -258,12 +258,14 @@ def agg_fetch_outcome(spark, sf_dir):
 @query(
     "agg_index_retry",
     oracle(
-        """select url, case when c1 <> 2 then c1 when c2 <> 2 then c2 else 2 end as error_code,
-          case when c1 <> 2 then 1 else 2 end as calls,
-          (case when c1 <> 2 then c1 when c2 <> 2 then c2 else 2 end) = 0 as has_index
-        from (select url, min(case when k = 1 then error_code end) as c1,
-                min(case when k = 2 then error_code end) as c2
-              from (select url, error_code, 1 + cast(ts % 2 as int) as k from errors) group by url)""",
+        """select url, case when c1 <> 2 then c1 when c2 is not null then c2 end as error_code,
+          case when c1 <> 2 or c2 is null then 1 else 2 end as calls,
+          coalesce((case when c1 <> 2 then c1 else c2 end) = 0, false) as has_index
+        from (select url, min(case when n = 1 then error_code end) as c1,
+                min(case when n = 2 then error_code end) as c2
+              from (select url, error_code,
+                      row_number() over (partition by url order by cast(ts % 2 as int), error_code) as n from errors)
+              group by url)""",
         "errors",
     ),
 )
