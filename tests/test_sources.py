@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
-from tidemark.sources import capture_index, page_store, tsv
+from tidemark.sources import capture_index, files, page_store, tsv
 from tidemark.sources.tables import KeyedTable, VersionedTable
 
 
@@ -57,6 +57,30 @@ def test_page_files_meet_their_documents(spark, tmp_path):
     assert sorted((r.id, r.status, r.html) for r in found.collect()) == [(1, "ok", "<p>x</p>"), (2, "no_path", None)]
 
 
+def test_listed_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_BATCH_BYTES", 40)
+    bodies = {f"d{i % 3}/n {i}.html": f"<p>{'é' * i}</p>" for i in range(30)}
+    rows = spark.createDataFrame([*bodies.items(), (None, "x"), ("../out.html", "x"), ("d0/null", None)], "p string, t string")
+    root = str(tmp_path / "root")
+    assert files.write_listed(rows.repartition(3), "p", "t", root) == 30
+    assert files.write_listed(rows.where("p like 'd1/%'"), "p", "t", f"file://{root}") == 10  # again
+    assert not (tmp_path / "out.html").exists() and not [f for f in (tmp_path / "root").rglob("_*")]
+    (tmp_path / "root" / "bad").write_bytes(b"\xff\xfe")
+    (tmp_path / "secret").write_text("not below the root")
+    asked = [(p, 7) for p in list(bodies)[:20]] + [("d1", 1), ("none", 2), (None, 3), ("", 4), ("../secret", 5), ("bad", 6), ("/etc/hosts", 8)]
+    for at in (root, f"file://{root}"):
+        got = files.read_listed(spark.createDataFrame(asked, "p string, status int"), "p", at, "p2", "state").collect()
+        assert {(r.p, r.status): (r.p2, r.state) for r in got} == {
+            **{(p, 7): (bodies[p], "ok") for p in list(bodies)[:20]},
+            ("d1", 1): (None, "missing_file"), ("none", 2): (None, "missing_file"), (None, 3): (None, "no_path"),
+            ("", 4): (None, "no_path"), ("../secret", 5): (None, "missing_file"), ("bad", 6): (None, "unreadable"),
+            ("/etc/hosts", 8): (None, "missing_file"),
+        }
+    only = files.read_listed(spark.createDataFrame([("d0/n 0.html",)], "p string"), "p", root)
+    assert "Exchange" not in only._jdf.queryExecution().executedPlan().toString()
+    assert files.write_listed(rows.limit(0), "p", "t", root) == 0
+
+
 def test_keyed_table(spark, tmp_path):
     fields = spark.createDataFrame([], "a int, b string").schema.fields
     table = KeyedTable(spark, str(tmp_path / "k"), "k", fields)

@@ -10,6 +10,7 @@ from tidemark.plans.inputs import captures, errors, oracle
 from tidemark.plans.registry import query, table
 from tidemark.session import work_dir
 from tidemark.sources import capture_index, page_store, tsv
+from tidemark.sources.files import write_listed
 from tidemark.sources.tables import KeyedTable
 
 _COMMUNITY_PATH = "concat('/r/', lower(lang), cast(page_id % 40 as string), '/about')"
@@ -155,6 +156,54 @@ def src_pages_by_path(spark, sf_dir):
     )
 
 
+@query(
+    "src_pages_from_files",
+    """select page_id,
+      case when page_id % 11 = 0 then 'bad_url' when page_id % 7 = 0 then 'no_path'
+           when page_id % 5 = 0 or page_id % 9 = 0 then 'missing_file' else 'ok' end as status,
+      case when page_id % 7 = 0 or page_id % 5 = 0 or page_id % 9 = 0 then null else md5(html) end as html_md5
+    from pages where page_id % 4 <> 0""",
+)
+def src_pages_from_files(spark, sf_dir):
+    """Pending documents as the manifest of a folder of page files, of which some were deleted."""
+    pages, docs = _page_docs(spark, sf_dir)
+    root = work_dir(spark, "page_files")
+    page_store.write_page_files(pages.where("page_id % 9 <> 0"), root)
+    cache = docs.withColumn("pending", F.col("page_id") % 4 != 0)
+    found = page_store.pages_from_files(page_store.pending(cache), root)
+    return found.select("page_id", "status", F.md5("html").alias("html_md5"))
+
+
+@query(
+    "src_index_from_files",
+    oracle(
+        """select concat(url, '#', ts14, '#', pos // 4096) as seed_url, 'capture' as kind,
+           cast(row_number() over (partition by url, ts14, pos // 4096 order by pos) - 1 as int) as pos,
+           ts14, digest
+        from captures where substr(ts14, 7, 2) <> '13' and substr(ts14, 7, 2) <> '07'
+        union all select distinct concat(url, '#', ts14, '#', pos // 4096), 'rejected', null, null, null
+        from captures where substr(ts14, 7, 2) = '13'
+        union all select distinct concat(url, '#', ts14, '#', pos // 4096), 'missing_file', null, null, null
+        from captures where substr(ts14, 7, 2) = '07'""",
+        "captures",
+    ),
+)
+def src_index_from_files(spark, sf_dir):
+    """Index responses from one file per seed URL; some seeds have none, some files cannot be used."""
+    responses = _responses(spark, sf_dir)
+    root = work_dir(spark, "index_files")
+    named = responses.withColumn("file", F.concat(U.sanitize_key(F.col("seed_url")), F.lit(".json")))
+    day = F.substring(F.element_at(F.split("seed_url", "#"), -2), 7, 2)
+    write_listed(named.where(day != "07"), "file", "body", root)
+    read = capture_index.responses_from_files(responses.select("seed_url"), root)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("ts14", "string"), ("digest", "string"))]
+    there = read.where("status = 'ok'")
+    rejected = capture_index.rejected_responses(there).select("seed_url", F.lit("rejected").alias("kind"), *nothing)
+    missing = read.where("status <> 'ok'").select("seed_url", F.col("status").alias("kind"), *nothing)
+    rows = capture_index.parse_index(there).select("seed_url", F.lit("capture").alias("kind"), "pos", "ts14", "digest")
+    return rows.union(rejected).union(missing)
+
+
 @query(
     "sink_page_store",
     """select page_id, substr(concat('c', cast(page_id % 40 as string)), 1, 3) as prefix,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
 from tidemark.functions.expr import let
-from tidemark.sources.files import relative_name
+from tidemark.sources.files import read_listed, relative_name
 
 _ROWS = "array<array<string>>"
 # The columns of an index response, in order.
@@ -25,6 +25,16 @@ def read_index_files(spark: SparkSession, path: str, seeds: DataFrame) -> DataFr
     return files.join(named, "__file").select("seed_url", "body")
 
 
+def responses_from_files(seeds: DataFrame, root: str) -> DataFrame:
+    """``seed_url``, ``body`` and ``status`` (``ok``, ``missing_file``, ``unreadable``), one row per seed URL.
+
+    The seeds are the manifest: a seed's file has the URL as its name, made safe, and the ending ``.json``.
+    """
+    named = seeds.select("seed_url").distinct()
+    named = named.withColumn("__file", F.concat(U.sanitize_key(F.col("seed_url")), F.lit(".json")))
+    return read_listed(named.hint("rebalance", "__file"), "__file", root, "body").drop("__file")
+
+
 def _captures(body: Column) -> Column:
     """Rows after the header, or null when the response cannot be used. The body is parsed once: a
     parsed column that is filtered on would be parsed again in the filter."""

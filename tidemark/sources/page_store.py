@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
 from tidemark.operators.ordered import latest_per_key
-from tidemark.sources.files import relative_name
+from tidemark.sources.files import read_listed, relative_name, write_listed
 
 
 def with_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -38,6 +38,11 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_page_files(pages: DataFrame, root: str, url: str = "url") -> int:
+    """One file per page below ``root``, where ``urls.file_path`` puts it; how many were written."""
+    return write_listed(with_path(pages, url), "file_path", "html", root)
+
+
 def pending(cache: DataFrame) -> DataFrame:
     return cache.where("pending")
 
@@ -63,3 +68,16 @@ def pages_for_docs(docs: DataFrame, store: DataFrame, version: str | None = None
         .when(F.col("__found").isNull(), "missing_file")
         .otherwise("ok"),
     ).drop("__found")
+
+
+def pages_from_files(docs: DataFrame, root: str) -> DataFrame:
+    """Documents with the page that their ``file_path`` names below ``root``, and a status.
+
+    ``ok``; ``bad_url`` (no community in the original URL); ``no_path``, ``missing_file`` or ``unreadable``.
+    The documents are the manifest: only their files are opened, each where its document is, so no HTML is
+    shuffled and the folder is never listed. Documents are dealt evenly first, as few of them may make
+    much work.
+    """
+    read = read_listed(docs.hint("rebalance", "file_path"), "file_path", root, "html")
+    bad = U.community_from_text(F.col("original")).isNull()
+    return read.withColumn("status", F.when(bad, "bad_url").otherwise(F.col("status")))
