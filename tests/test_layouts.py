@@ -1,8 +1,13 @@
 """Hand-written pages: positive, malformed and competing layouts."""
 
+import itertools
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import dom as D
 from tidemark.operators import extract as E
 from tidemark.operators.layouts import homepage as H
 from tidemark.operators.layouts import moderators as M
@@ -187,3 +192,89 @@ def test_extract_numbers_and_quarantine(spark):
     assert got == {1: [(1, "Be kind", "x"), (3, "Last", "")], 2: [(None, "keep", None)]}
     assert mods.count() == 0
     assert [r.page_id for r in bad.collect()] == [4]
+
+
+def test_running_folds(spark):
+    """Over several blocks, and over none."""
+    rows = [([],), ([5],), (list(range(-300, 300)),), ([(k * 7919) % 1000 - 500 for k in range(1000)],)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    zero, low = F.lit(0), F.lit(-1000)
+    got = df.select(
+        "v",
+        D.running(F.col("v"), "int", zero, lambda a, b: a + b).alias("sums"),
+        D.running(F.col("v"), "int", low, lambda a, b: F.greatest(a, b)).alias("tops"),
+    ).collect()
+    for r in got:
+        assert r.sums == list(itertools.accumulate(r.v)) and r.tops == list(itertools.accumulate(r.v, max))
+
+
+def random_pages(n, seed):
+    rng = random.Random(seed)
+    texts = ["1", "12", ". x", ".", ") y", "1. a", "2) b", "\u00a03. c", "\n", " ", "x 1. y", "\u0661. arabic", "4.", "", "rule"]
+    shapes = [("div", ""), ("div", ""), ("div", ' class="permission-summary"'), ("div", ' class="permissions"'), ("span", ' class="permission-bit"'), ("b", ""), ("td", ""), ("tr", ""), ("table", "")]
+
+    def part(depth):
+        out = []
+        for _ in range(rng.randint(0, 4)):
+            if depth and rng.random() < 0.7:
+                tag, more = rng.choice(shapes)
+                out.append(f"<{tag}{more}>{part(depth - 1)}</{tag}>")
+            else:
+                out.append(rng.choice(texts))
+        return "".join(out)
+
+    return [part(6) for _ in range(n)]
+
+
+def test_numbered_blocks_as_by_whole_texts(spark):
+    nodes, runs = F.col("nodes"), F.col("runs")
+    whole = F.filter(
+        F.transform(D.select(nodes, D.tag("div")), lambda d: D.text(runs, d)), lambda t: t.rlike(r"(?U)^\s*\d+[.)]\s+")
+    )
+    pages = [*random_pages(300, 1), "<div>" * 50 + "7" + "</div>" * 20 + "<b>. deep</b>", ""]
+    got = dom(spark, pages).select(H.case_11(nodes, runs).alias("got"), whole.alias("want")).collect()
+    assert all(r.got == r.want for r in got) and sum(len(r.got) for r in got) > 50
+
+
+def test_reach_as_by_all_pairs(spark):
+    nodes = F.col("nodes")
+    tests = (D.tag("div"), D.has_class("permission-summary"))
+    marked = D.select(nodes, *tests)
+    got = (
+        dom(spark, random_pages(300, 2))
+        .select(nodes, D.reach(nodes, *tests).alias("reach"), marked.alias("marked"))
+        .select(
+            F.transform(D.select(nodes, D.tag("span")), lambda n: D.reached(n, F.col("reach"))).alias("got"),
+            F.transform(
+                D.select(nodes, D.tag("span")), lambda n: F.exists(F.col("marked"), lambda m: D.inside(n, m))
+            ).alias("want"),
+        )
+        .collect()
+    )
+    assert all(r.got == r.want for r in got) and sum(map(sum, (r.got for r in got))) > 20
+
+
+def seconds(df):
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_large_pages_in_linear_time(spark):
+    """Five times as many rows or nested blocks take at most about ten times as long, not twenty-five."""
+    nodes, runs = F.col("nodes"), F.col("runs")
+
+    def roster(n):
+        row = '<tr><td><a href="u">m</a></td><td><div class="permissions"><div class="permission-summary"><span class="permission-bit">p</span></div></div></td></tr>'
+        return f'<div class="moderator-table"><table>{row * n}</table></div>'
+
+    def nested(n):
+        return "<div>" * n + "x<b>1. y</b>" + "</div>" * n
+
+    for page, column in ((roster, M.layout_3(nodes, runs)), (nested, H.case_11(nodes, runs))):
+        small, large = (dom(spark, [page(n)]).cache() for n in (1000, 5000))
+        assert small.count() == large.count() == 1
+        seconds(small.select(column))
+        once = min(seconds(small.select(column)) for _ in range(3))
+        assert seconds(large.select(column)) < 10 * once + 1
+        small.unpersist(), large.unpersist()

@@ -112,6 +112,67 @@ def inside(a: Column, b: Column) -> Column:
     return (a["i"] > b["i"]) & (a["i"] <= b["j"])
 
 
+_SCAN = 128  # values of a running fold that are appended one by one
+
+
+def running(values: Column, kind: str, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running fold of an array by an associative ``step``.
+
+    Blocks are folded on their own, then what comes before a block is added, so the copying that an
+    append costs stays within a block.
+    """
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def scan(part: Column) -> Column:
+        return F.aggregate(
+            part, nothing, lambda acc, x: F.array_append(acc, step(F.coalesce(F.get(acc, F.size(acc) - 1), zero), x))
+        )
+
+    def folded(all_: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(all_) / _SCAN).cast("int") - 1),
+            lambda k: scan(F.slice(all_, k * _SCAN + 1, F.lit(_SCAN))),
+        )
+
+        def joined(parts: Column) -> Column:
+            upto = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+            return let(
+                upto,
+                lambda u: F.flatten(
+                    F.transform(
+                        parts,
+                        lambda p, k: let(
+                            F.coalesce(F.get(u, k - 1), zero), lambda before: F.transform(p, lambda x: step(before, x))
+                        ),
+                    )
+                ),
+            )
+
+        return let(blocks, joined)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, folded(v)).otherwise(nothing))
+
+
+def reach(nodes: Column, *tests: Test) -> Column:
+    """For each place, how far the marked nodes that start up to there reach: the running greatest end.
+    Empty where no node is marked."""
+
+    def marked(n: Column) -> Column:
+        passed = None
+        for test in tests:
+            passed = test(n) if passed is None else passed & test(n)
+        return F.coalesce(passed, F.lit(False))
+
+    ends = F.transform(nodes, lambda n: F.when(marked(n), n["j"].cast("int")).otherwise(F.lit(-1)))
+    scan = running(ends, "int", F.lit(-1), lambda a, b: F.greatest(a, b))
+    return F.when(F.exists(nodes, marked), scan).otherwise(F.array().cast("array<int>"))
+
+
+def reached(n: Column, reaches: Column) -> Column:
+    """Whether ``n`` is inside a marked node: subtrees are nested, so one that starts before and ends after."""
+    return F.coalesce(F.get(reaches, n["i"] - 1) >= n["i"], F.lit(False))
+
+
 def _runs(runs: Column, a: Column) -> Column:
     return F.slice(runs, a["t0"] + 1, a["t1"] - a["t0"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import dashed
+from tidemark.functions.text import dashed, strip
 from tidemark.operators.dom import (
     child_number,
     first,
@@ -16,6 +16,7 @@ from tidemark.operators.dom import (
     next_sibling,
     own_contains,
     parent_of,
+    running,
     select,
     subtree,
     tag,
@@ -144,11 +145,50 @@ def case_10(nodes: Column, runs: Column) -> Column:
 
 
 def case_11(nodes: Column, runs: Column) -> Column:
-    """Blocks whose text starts with a number, a dot or bracket and a blank."""
-    # Fixed value.
-    numbered = r"(?U)^\s*\d+[.)]\s+"
-    texts = F.transform(select(nodes, tag("div")), lambda d: text(runs, d))
-    return F.filter(texts, lambda t: t.rlike(numbered))
+    """Blocks whose text starts with a number, a dot or bracket and a blank.
+
+    Runs are stripped once per page and empty ones left out. As no run starts with a blank, the dot or
+    bracket and the blank after it stand in one run: the first of the block that holds more than digits.
+    Which one that is, is known for every place of the page, so a block is tested by one look, and only
+    the text of those that pass is put together.
+    """
+    # The pattern of a text, taken apart at its number.
+    digits, after_digits, numbered = r"(?U)^\d+\z", r"(?U)^\d*[.)]\s", r"(?U)^\d+[.)]\s"
+    none = F.array().cast(NO_TEXTS)
+
+    def blocks(stripped: Column) -> Column:
+        bare = _nonempty(stripped)
+        filled = F.transform(stripped, lambda t: (t != "").cast("int"))
+        counts = running(filled, "int", F.lit(0), lambda a, b: a + b)
+
+        def with_bare(bare: Column) -> Column:
+            # Place of the first run from here on that is no number.
+            far = F.lit(2**31 - 1)
+            places = F.transform(bare, lambda t, k: F.when(t.rlike(digits), far).otherwise(k))
+            ahead = F.reverse(running(F.reverse(places), "int", far, lambda a, b: F.least(a, b)))
+
+            def with_scans(scans: Column) -> Column:
+                before = lambda t: F.coalesce(F.get(scans["counts"], t - 1), F.lit(0))
+
+                def starts(d: Column) -> Column:
+                    a, b = before(d["t0"]), before(d["t1"])
+                    at = F.get(scans["ahead"], a)
+                    run = F.get(bare, at)
+                    fits = F.when(at == a, run.rlike(numbered)).otherwise(run.rlike(after_digits))
+                    return F.coalesce((at < b) & fits, F.lit(False))
+
+                def whole(d: Column) -> Column:
+                    a = before(d["t0"])
+                    return F.array_join(F.slice(bare, a + 1, before(d["t1"]) - a), "")
+
+                return F.transform(F.filter(select(nodes, tag("div")), starts), whole)
+
+            found = let(F.struct(counts.alias("counts"), ahead.alias("ahead")), with_scans)
+            return F.when(F.exists(bare, lambda t: t.rlike(after_digits)), found).otherwise(none)
+
+        return let(bare, with_bare)
+
+    return let(F.transform(runs, strip), blocks)
 
 
 CASES = (

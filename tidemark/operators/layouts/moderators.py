@@ -12,9 +12,10 @@ from tidemark.operators.dom import (
     first,
     has_attr,
     has_class,
-    inside,
     let,
     raw_text,
+    reach,
+    reached,
     select,
     subtree,
     tag,
@@ -79,12 +80,10 @@ def layout_2(nodes: Column, runs: Column) -> Column:
         return let(subtree(nodes, r), read)
 
     rows = let(
-        select(nodes, tag("table")),
+        reach(nodes, tag("table")),
         lambda tables: let(
             _table_by_id(nodes),
-            lambda box: select(
-                subtree(nodes, box), tag("tr"), lambda r: F.exists(tables, lambda t: inside(r, t))
-            ),
+            lambda box: select(subtree(nodes, box), tag("tr"), lambda r: reached(r, tables)),
         ),
     )
     return _named(F.transform(rows, row))
@@ -98,8 +97,16 @@ def _table_by_class(nodes: Column) -> Column:
     return first(select(nodes, tag("div"), has_class("moderator-table")))
 
 
+def summaries_reach(nodes: Column) -> Column:
+    """How far the permission summaries reach, see ``dom.reach``."""
+    return reach(nodes, tag("div"), has_class("permission-summary"))
+
+
 def permission(nodes: Column, runs: Column, sub: Column, summaries: Column) -> Column:
-    """Permission of a table row: grey label, summary bits, bits nested in a cell, input value."""
+    """Permission of a table row: grey label, summary bits, bits nested in a cell, input value.
+
+    ``summaries`` is ``summaries_reach`` of the page, so a bit is looked up, not compared with each.
+    """
     grey = first(select(sub, tag("span"), has_class("gray")))
     by_label = F.when(grey.isNotNull(), text(runs, grey))
     summary = first(select(sub, has_class("permission-summary")))
@@ -115,9 +122,7 @@ def permission(nodes: Column, runs: Column, sub: Column, summaries: Column) -> C
         box = first(select(subtree(nodes, td), tag("div"), has_class("permissions")))
         bits = let(
             box,
-            lambda b: F.filter(
-                _bits(subtree(nodes, b)), lambda n: F.exists(summaries, lambda s: inside(n, s))
-            ),
+            lambda b: F.filter(_bits(subtree(nodes, b)), lambda n: reached(n, summaries)),
         )
         return let(bits, lambda found: joined(found, lambda b: text(runs, b)))
 
@@ -162,8 +167,7 @@ def layout_3(nodes: Column, runs: Column) -> Column:
         )
         return F.transform(let(table, lambda t: select(subtree(nodes, t), tag("tr"))), row)
 
-    summaries = select(nodes, tag("div"), has_class("permission-summary"))
-    return _named(let(summaries, rows_of))
+    return _named(let(summaries_reach(nodes), rows_of))
 
 
 def _text_box(nodes: Column) -> Column:

@@ -247,7 +247,7 @@ def mod_permission(spark, sf_dir):
     dom = E.layout_dom(moderator_pages(spark, sf_dir, 3))
     nodes, runs = F.col("nodes"), F.col("runs")
     rows = D.select(nodes, D.tag("tr"))
-    summaries = D.select(nodes, D.tag("div"), D.has_class("permission-summary"))
+    summaries = moderators.summaries_reach(nodes)
     found = D.let(
         summaries,
         lambda s: F.transform(rows, lambda r: moderators.permission(nodes, runs, D.subtree(nodes, r), s)),
