@@ -133,3 +133,34 @@ def test_pr_curve_by_hand(spark):
     assert curve == {0.9: (1.0, 0.5), 0.8: (2 / 3, 1.0), 0.3: (0.5, 1.0)}
     best = metrics.best_threshold(metrics.pr_curve(scored)).first()
     assert best.threshold == 0.8 and abs(best.f1 - 0.8) < 1e-12
+
+
+def test_cascade(spark):
+    """Each page's first case with a kept text, and no case after it is scored."""
+    cases = [
+        (1, "homepage", [(1, ["keep a", "no"]), (4, ["keep b"]), (9, ["keep c"])]),
+        (2, "homepage", [(2, ["no", "no"]), (5, ["no"]), (11, ["keep d", "keep e"])]),
+        (3, "homepage", [(3, ["no"])]),
+        (4, "wiki", [(1, ["keep f", "no", "keep F"])]),
+        (5, "homepage", []),
+        (6, "wiki", None),
+    ]
+    rows = [
+        (k, kind, c if c is None else [(n, [(t, None) for t in texts]) for n, texts in c]) for k, kind, c in cases
+    ]
+    layouts = spark.createDataFrame(rows, f"page_id long, page_type string, candidates {E.CANDIDATES}")
+    asked = []
+
+    def score_keep(candidates):
+        asked.append(sorted(r.score_text for r in candidates.collect()))
+        return candidates.withColumn("score", F.contains("score_text", F.lit("keep")).cast("double"))
+
+    got = E.first_kept(layouts, "page_id", score_keep, 0.5)
+    every = E.filter_by_threshold(score_keep(E.rule_candidates(layouts, "page_id")), 0.5).where("kept")
+    want = E.first_layout(every, "page_id", E.AFTER_SCORE)
+    columns = ["page_id", "page_type", "case_no", "pos", "title", "description"]
+    as_rows = lambda df: sorted(map(tuple, df.select(columns).collect()), key=str)
+    assert as_rows(got) == as_rows(want) and len(as_rows(got)) == 5
+    *rounds, whole = asked
+    assert [len(r) for r in rounds] == [8, 1, 2] and len(whole) == 13
+    assert as_rows(E.first_kept(layouts.limit(0), "page_id", score_keep, 0.5)) == []

@@ -1,8 +1,8 @@
 """From stored pages to rosters and rules: route, read the layouts, score, choose, number, group.
 
 One pass shreds a page and reads its layouts inside the row; HTML and nodes are never shuffled. Its
-result, a few short texts per page, is written once, because rules and rosters both read it. Only rule
-candidates are then exploded, scored in one columnar pass and brought together again by page.
+result, a few short texts per page, is written once, because rules and rosters both read it. Rule
+candidates are then scored case by case until a page has a rule, and brought together again by page.
 """
 
 from __future__ import annotations
@@ -176,16 +176,39 @@ def rule_candidates(layouts: DataFrame, key: str, *carried: str) -> DataFrame:
     )
 
 
-def final_rules(
-    candidates: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD, carried: Sequence[str] = ()
+def first_kept(
+    layouts: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD, carried: Sequence[str] = ()
 ) -> DataFrame:
-    """(key, carried columns, page_type, case_no, pos, number, title, description) after scoring.
+    """The kept candidates of each page's first case that has any: (key, carried columns, page_type, case_no,
+    pos, title, description).
 
-    Front pages keep the texts of their first case with a kept text and have no numbers; sections
-    are numbered and freed of repeats.
+    Case by case: the first one of every page is scored, and only pages of which nothing was kept go on to
+    their next one. So there are as many rounds as the most undecided page has cases, eleven at most, and
+    each reads what the one before wrote. A key names one page.
+    """
+    names = [key, *carried, "page_type"]
+    left = layouts.select(*names, "candidates").where(F.size("candidates") > 0)
+    found, k = None, 0
+    while True:
+        case = F.get("candidates", F.lit(k))
+        rows = left.select(*names, case["case_no"].alias("case_no"), F.posexplode(case["rules"]).alias("pos", "r"))
+        rows = rows.select(*names, "case_no", "pos", "r.*").withColumn("score_text", scored_text())
+        kept = filter_by_threshold(scorer(rows), threshold).where("kept")
+        kept = written(kept.select(*names, "case_no", "pos", "title", "description"), "kept")
+        found = kept if found is None else found.unionByName(kept)
+        k += 1
+        rest = left.where(F.size("candidates") > k)
+        left = written(rest.join(kept.select(key).distinct(), key, "left_anti"), "undecided")
+        if left.isEmpty():
+            return found
+
+
+def final_rules(chosen: DataFrame, key: str, carried: Sequence[str] = ()) -> DataFrame:
+    """(key, carried columns, page_type, case_no, pos, number, title, description) of the chosen candidates.
+
+    Front pages keep their texts as they are and have no numbers; sections are numbered and freed of
+    repeats.
     """
-    kept = filter_by_threshold(scorer(candidates), threshold).where("kept")
-    chosen = first_layout(kept, key, AFTER_SCORE)
     front = F.col("page_type") == "homepage"
     by_page = Window.partitionBy(key).orderBy("pos")
     same = Window.partitionBy(
@@ -225,8 +248,8 @@ def stored_rules(
     layouts: DataFrame, key: str, scorer: Scorer, threshold: float = RULE_THRESHOLD, carried: Sequence[str] = ()
 ) -> DataFrame:
     """Rules as stored. ``carried`` columns have one value per key."""
-    rules = rule_candidates(layouts.where("page_type <> 'moderators'"), key, *carried)
-    return group_rules(final_rules(rules, key, scorer, threshold, carried), key, *carried)
+    chosen = first_kept(layouts.where("page_type <> 'moderators'"), key, scorer, threshold, carried)
+    return group_rules(final_rules(chosen, key, carried), key, *carried)
 
 
 def stored_rosters(layouts: DataFrame, key: str, *carried: str) -> DataFrame:
