@@ -9,7 +9,7 @@ confirmed on the full sets.
 Texts with one set are one node, so copies cost nothing. A bucket (nodes that share a band) is worked off in
 two steps, each in units of bounded size that are dealt over all tasks:
 
-1. All nodes of a bucket meet its least node, in chunks; what links is closed to components. This takes
+1. All nodes of a bucket meet its least node, in blocks; what links is closed to components. This takes
    groups of near copies in a number of steps linear in their size.
 2. Where nodes of different components are left in a bucket, its blocks meet each other. Within a unit the
    signatures say which nodes have a partner at all (in another component, of fitting size, in no earlier
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns, emit, stored
@@ -32,7 +32,8 @@ from tidemark.llm.components import components
 
 PERMUTATIONS = 64
 BAND = 4  # signature values of a band
-_UNIT = 256  # nodes compared in one piece, on average
+_UNIT = 1024  # nodes of a block, on average
+_HELD = 1 << 21  # shingles of a block, on average
 _SLICE = 1 << 13  # shingles hashed, or columns multiplied, together
 _FREQUENT = 16  # shingles in more nodes of a unit are counted by a matrix product
 _MEMO = 300_000
@@ -140,7 +141,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield from emit([(node, shingles(text, words).tobytes()) for node, text in rows], _SET)
 
     sought = nodes.select("node", F.col("of.key").alias("k"), F.col("of.th").alias("t"))
-    met = docs.join(sought, (F.col("th") == F.col("t")) & F.col("key").eqNullSafe(F.col("k")))
+    # The sought nodes grow with the documents; never broadcast them.
+    met = docs.join(sought.hint("merge"), (F.col("th") == F.col("t")) & F.col("key").eqNullSafe(F.col("k")))
     found = stored(met.select("node", "text").mapInArrow(run, "node long, hashes binary"), "sets")
     if found.count() == nodes.count():
         return found
@@ -231,34 +233,46 @@ def _links(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _dealt(units.join(sets, "node")).mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocks(size: Column, weight: Column) -> Column:
+    """How many blocks of bounded size that many nodes with that many shingles make."""
+    return F.ceil(F.greatest(size / F.lit(_UNIT), weight / F.lit(_HELD))).cast("long")
+
+
 def _first_units(members: DataFrame) -> DataFrame:
-    """The least node of each bucket with the others, in chunks."""
-    pairs = stored(members.where("node != pivot").select("pivot", "node").distinct(), "met")
-    chunks = F.ceil(F.count("*") / F.lit(_UNIT)).cast("long")
-    sizes = stored(pairs.groupBy("pivot").agg(chunks.alias("chunks")), "chunks")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    unit = lambda b: F.struct(F.col("pivot").alias("a"), b.alias("b"), F.lit(0).cast("long").alias("c"))
-    others = pairs.join(sizes, "pivot").select(unit(chunk).alias("unit"), "node")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    own = sizes.select("pivot", every.alias("chunk")).select(unit(F.col("chunk")).alias("unit"), F.col("pivot").alias("node"))
+    """The least node of each bucket with the others, in blocks."""
+    pairs = stored(members.where("node != pivot").select("pivot", "node", "n").distinct(), "met")
+    sizes = stored(pairs.groupBy("pivot").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")), "sizes")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    unit = lambda b: F.struct(F.col("pivot").alias("a"), b.alias("b"), b.alias("c"))
+    others = pairs.join(sizes, "pivot").select(unit(block).alias("unit"), "node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    own = sizes.select("pivot", every.alias("block")).select(unit(F.col("block")).alias("unit"), F.col("pivot").alias("node"))
     return others.union(own)
 
 
+_MEMBER = pa.schema([("unit", pa.struct([(c, pa.int64()) for c in "abc"])), ("node", pa.int64())])
+
+
 def _second_units(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, least: int) -> DataFrame:
-    """Of the buckets that nodes of several components are left in, those nodes that may have a partner."""
+    """Of the buckets that nodes of several components are left in, those nodes that may have a partner.
+
+    A block is one row, so a pair of blocks is two rows, however many nodes they hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, rows in _by_unit(batches, "node", "at", "block", "root", "n", "bands", "low"):
-            node, at, block, root, n = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        for unit, rows in _by_unit(batches, "at", "block", "held"):
+            held = [m for _, _, block in rows for m in block]
+            block = np.repeat([b for _, b, _ in rows], [len(h) for _, _, h in rows])
+            node, root, n = (np.array([m[c] for m in held], np.int64) for c in ("node", "root", "n"))
             may = root[:, None] != root[None, :]
             if unit[1] != unit[2]:  # nodes of one block meet in that block's own unit
                 may &= block[:, None] != block[None, :]
             small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
             may &= 100 * small >= percent * large
-            own = np.array([r[5] for r in rows], np.int64)
-            for b in range(int(at[0])):
+            own = np.array([m["bands"] for m in held], np.int64)
+            for b in range(rows[0][0]):
                 may &= own[:, b][:, None] != own[:, b][None, :]
-            low = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+            low = np.frombuffer(b"".join(m["low"] for m in held), np.uint8).reshape(len(held), -1)
             equal = np.zeros(may.shape, np.int16)
             for column in low.T if may.any() else ():
                 equal += column[:, None] == column[None, :]
@@ -266,22 +280,19 @@ def _second_units(members: DataFrame, nodes: DataFrame, roots: DataFrame, percen
             yield from emit([(dict(zip("abc", unit)), int(x)) for x in node[may.any(axis=1)]], _MEMBER)
 
     rest = members.where("size > 2").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    rest = stored(rest.select("value", "at", "node", "size", F.coalesce("root", "node").alias("root")), "rest")
+    blocks = _blocks(F.col("size"), F.col("weight")).alias("blocks")
+    rest = stored(rest.select("value", "at", "node", blocks, F.coalesce("root", "node").alias("root")), "rest")
     mixed = rest.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    mixed = stored(mixed.select("value"), "mixed")
-    blocks = F.ceil(F.col("size") / F.lit(_UNIT)).cast("long")
-    rest = rest.join(mixed, "value").withColumn("blocks", blocks)
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rest = stored(rest.join(stored(mixed.select("value"), "mixed"), "value"), "rest")
+    rest = rest.join(nodes.select("node", "n", "bands", "low"), "node")
+    held = F.collect_list(F.struct("node", "root", "n", "bands", "low")).alias("held")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    rest = rest.groupBy("value", "at", "blocks", block).agg(held)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     unit = F.struct(
         F.col("value").alias("a"), F.least("block", "other").alias("b"), F.greatest("block", "other").alias("c")
     )
-    rest = stored(rest.select(unit.alias("unit"), "node", "at", "block", "root"), "rest")
-    rest = rest.join(nodes.select("node", "n", "bands", "low"), "node")
-    return _dealt(rest).mapInArrow(run, f"{_UNITS}, node long")
-
-
-_MEMBER = pa.schema([("unit", pa.struct([(c, pa.int64()) for c in "abc"])), ("node", pa.int64())])
+    return _dealt(rest.select(unit.alias("unit"), "at", "block", "held")).mapInArrow(run, f"{_UNITS}, node long")
 
 
 def near_groups(
@@ -313,8 +324,11 @@ def near_groups(
         F.first("low").alias("low"),
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.select("node", F.posexplode("bands").alias("at", "value"))
-    shared = entries.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    entries = nodes.select("node", "n", F.posexplode("bands").alias("at", "value"))
+    shared = entries.groupBy("value").agg(
+        F.min("node").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("weight")
+    )
+    shared = shared.where("size > 1")
     members = stored(entries.join(stored(shared, "shared"), "value"), "members")
     near = stored(nodes.select("node", "of").join(members.select("node").distinct(), "node"), "near")
     sets = _sets(rows, near, words)
