@@ -164,3 +164,27 @@ def test_cascade(spark):
     *rounds, whole = asked
     assert [len(r) for r in rounds] == [8, 1, 2] and len(whole) == 13
     assert as_rows(E.first_kept(layouts.limit(0), "page_id", score_keep, 0.5)) == []
+
+
+def test_error_lists(spark, tmp_path):
+    """The lists grow over batches and a restart, and equal those of the batch operator."""
+    n = F.col("id")
+    events = spark.range(400).select(
+        F.when(n % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (n % 9).cast("string"))).alias("url"),
+        F.when(n % 11 != 0, (n % 7).cast("int")).alias("error_code"),
+        F.floor(n / 3).cast("double").alias("ts"),
+    )
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+    log = VersionedTable(spark, str(tmp_path / "log"), ["url", "seq"], "ts")
+    for low, high in ((0, 40), (40, 41), (41, 200)):
+        events.where((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(2).write.mode("append").parquet(landing)
+        stream = jobs.read_landing(spark, landing, jobs.ERROR_SCHEMA)
+        jobs.finish(jobs.list_errors(stream, log, checkpoint, chunk=16, interval=None))
+    as_rows = lambda df: sorted((r.url, r.chunk, [tuple(e) for e in r.errors]) for r in df.collect())
+    got = as_rows(jobs.error_lists(log.log()))
+    assert got == as_rows(L.error_history(events, chunk=16).select("url", "chunk", "errors"))
+    assert max(len(e) for _, _, e in got) == 16
+    # A batch that is run again replaces its rows.
+    last = log.log().where("batch = 2").drop("batch")
+    log.add(spark.createDataFrame(last.collect(), last.schema), 2)
+    assert as_rows(jobs.error_lists(log.log())) == got

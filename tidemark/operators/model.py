@@ -9,14 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
-from tidemark.operators.textfeat import MAX_FEATURES, inverse_doc_freq, with_grams
+from tidemark.operators.textfeat import MAX_FEATURES, inverse_doc_freq, vector_stages, with_grams
 from tidemark.session import written
 
 # Size of the boosted model.
@@ -31,19 +29,13 @@ class TreeModel(NamedTuple):
     bins: int
 
 
-def features(train: DataFrame, text: str = "text", max_features: int = MAX_FEATURES) -> list:
-    """Stages that turn n-grams into weighted counts of unit length.
+def features(train: DataFrame, text: str = "text", max_features: int = MAX_FEATURES) -> tuple[list[str], list]:
+    """Terms, and stages that turn n-grams into weighted counts of unit length.
 
     The vocabulary and the document frequencies are those of ``textfeat``: the most frequent terms, ties
     by term, and idf = ln((1 + n) / (1 + df)) + 1. Both fit the driver by the limit of the vocabulary.
     """
-    idf = {r["term"]: r["idf"] for r in inverse_doc_freq(train, text, max_features).collect()}
-    terms = sorted(idf)
-    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="tf")
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([idf[t] for t in terms]), inputCol="tf", outputCol="weighted"
-    )
-    return [counter, weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+    return vector_stages(inverse_doc_freq(train, text, max_features))
 
 
 def _postings(df: DataFrame, *more: str) -> DataFrame:
@@ -67,11 +59,13 @@ def fit(
     ``bins`` is how finely the weights of a term are cut.
     """
     train = train.where(F.col(label).isNotNull())
-    stages = features(train, text, max_features)
+    terms, stages = features(train, text, max_features)
+    if not terms:
+        raise ValueError("the labelled texts hold no term")
     ready = PipelineModel(stages).transform(with_grams(train, text)).select("features", F.col(label).alias("label"))
     if kind == "trees":
-        terms = len(stages[0].vocabulary)
-        return TreeModel(PipelineModel(stages), boosting.fit(_postings(ready, "label"), terms, rounds, DEPTH, bins), bins)
+        trees = boosting.fit(_postings(ready, "label"), len(terms), rounds, DEPTH, bins)
+        return TreeModel(PipelineModel(stages), trees, bins)
     classifier = LogisticRegression(maxIter=rounds, featuresCol="features", labelCol="label")
     return PipelineModel([*stages, classifier.fit(written(ready, "features"))])
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import let
 from tidemark.functions.text import bigrams, clean_text, hash_bucket, words
-from tidemark.session import written
+from tidemark.operators.ordered import running_sum
 
 # Vocabulary size and share of the training part.
 MAX_FEATURES = 60_000
@@ -29,50 +34,23 @@ def with_grams(docs: DataFrame, text: str = "text", out: str = "grams") -> DataF
 # would make the optimizer test the size of the array below the scan, and so tokenise twice.
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf), one document per key.
-
-    Texts are shuffled once by key, which is less data than their n-grams; counting, and any later
-    step per document, then needs no further shuffle. Adaptive execution sets the number of tasks.
-    """
-    return (
-        docs.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(grams(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
-def smallest(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The k rows with the smallest values, which are distinct, without sorting all in one task.
-
-    Rows are cut into ranges of values and counted; only the range that the k-th row lies in is ranked.
-    """
-    parts = written(df.repartitionByRange(column).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))  # one row per range
-    upto = F.sum("__rows").over(Window.orderBy("__part"))
-    sizes = sizes.withColumn("__before", upto - F.col("__rows")).where(F.col("__before") < k)
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(column))
-    ranked = parts.join(sizes, "__part").withColumn("__at", at)
-    return ranked.where(F.col("__before") + F.col("__at") <= k).select(*df.columns)
-
-
 def most_frequent(totals: DataFrame, k: int) -> DataFrame:
     """The k terms with the highest ``n``; ties by term.
 
-    A histogram of the counts gives the count at which the k-th term lies. Terms above it are kept by
-    a filter; only those with that very count are ordered by term.
+    A histogram of the counts, one row per distinct count, gives the count at which the k-th term lies. Terms
+    above it are kept by a filter; only those with that very count are brought into the order of terms, in
+    ranges over all tasks. Nothing is written and nothing runs before the result is asked for: all parts
+    read the one exchange that ``totals`` ends in.
     """
-    totals = written(totals, "totals")
-    counts = totals.groupBy("n").agg(F.count(F.lit(1)).alias("terms"))  # a row per distinct count
-    upto = F.sum("terms").over(Window.orderBy(F.col("n").desc()))
-    border = counts.withColumn("upto", upto).where(F.col("upto") >= k).orderBy(F.col("n").desc()).first()
-    if border is None:
-        return totals
-    sure = totals.where(F.col("n") > border["n"])
-    wanted = k - (border["upto"] - border["terms"])
-    return sure.unionByName(smallest(totals.where(F.col("n") == border["n"]), "term", wanted))
+    sizes = totals.groupBy("n").agg(F.count(F.lit(1)).alias("terms"))
+    upto = sizes.withColumn("upto", F.sum("terms").over(Window.orderBy(F.col("n").desc())))
+    border = upto.where(F.col("upto") >= k).agg(
+        F.max(F.struct("n", (k - F.col("upto") + F.col("terms")).alias("wanted"))).alias("b")
+    )
+    n, wanted = border.select("b.n").scalar(), border.select("b.wanted").scalar()
+    sure = totals.where(F.col("n") > F.coalesce(n, F.lit(-1)))
+    ranked = running_sum(totals.where(F.col("n") == n), [], ["term"], {"__at": F.lit(1)})
+    return sure.unionByName(ranked.where(F.col("__at") <= wanted).drop("__at"))
 
 
 def vocabulary(docs: DataFrame, k: int = MAX_FEATURES, text: str = "text") -> DataFrame:
@@ -124,16 +102,41 @@ def inverse_doc_freq(train: DataFrame, text: str = "text", k: int | None = MAX_F
     )
 
 
-def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, weight): tf x idf, scaled to unit length per document.
+def _counter(spark: SparkSession, terms: list[str]) -> CountVectorizerModel:
+    """Counts of these terms. They go to the JVM as one text, not one by one."""
+    listed = spark._jvm.org.apache.commons.lang3.StringUtils.split("\n".join(terms), "\n")
+    name = "org.apache.spark.ml.feature.CountVectorizerModel"
+    return CountVectorizerModel._create_from_java_class(name, listed)._set(inputCol="grams", outputCol="tf")
+
+
+def vector_stages(idf: DataFrame) -> tuple[list[str], list]:
+    """The terms of ``idf`` in order, and stages that turn a row's n-grams into their weighted counts of unit
+    length.
 
-    The join is left to the optimizer, which knows the size of ``idf``, and to the skew handling of
-    adaptive execution.
+    The terms and their weights go to every task, so ``idf`` is to be bounded, as ``inverse_doc_freq`` is by
+    the size of the vocabulary. Without terms there are no stages.
     """
-    weighted = (
-        term_counts(docs, key, text)
-        .join(idf, "term")
-        .withColumn("raw", F.col("tf") * F.col("idf"))
+    weights = dict(idf.select("term", "idf").toPandas().itertuples(index=False, name=None))
+    terms = sorted(weights)
+    if not terms:
+        return [], []
+    weigh = ElementwiseProduct(
+        scalingVec=Vectors.dense([weights[t] for t in terms]), inputCol="tf", outputCol="weighted"
     )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    stages = [_counter(idf.sparkSession, terms), weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+    return terms, stages
+
+
+def tfidf(docs: DataFrame, idf: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, weight): tf x idf, scaled to unit length per document, one document per row.
+
+    Terms are counted, weighted and scaled inside the document's row; neither texts nor terms are shuffled.
+    """
+    terms, stages = vector_stages(idf)
+    if not terms:
+        return docs.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).where("false")
+    ready = PipelineModel(stages).transform(with_grams(docs.select(key, text), text))
+    vector = F.unwrap_udt("features")
+    names = F.from_json(F.lit(json.dumps(terms)), "array<string>")  # folded to one value
+    places = F.filter(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("w")), lambda x: x["w"] != 0)
+    return ready.select(key, F.inline(places)).select(key, F.get(names, F.col("i")).alias("term"), F.col("w").alias("weight"))

@@ -208,24 +208,24 @@ def join_rescue_outcome(spark, sf_dir):
     return L.rescue_outcome(L.fail_state(events), second).select("url", "fatal")
 
 
-@query(
-    "agg_error_history",
-    oracle(
-        """select url, cast((seq - 1) // 4 as bigint) as chunk, count(*) as n,
-          string_agg(concat(cast(cast(ts as bigint) as string), ':', cast(error_code as string)), ',' order by seq) as errors
-        from (select *, row_number() over (partition by url order by ts, error_code) as seq from errors)
-        group by 1, 2""",
-        "errors",
-    ),
+ERROR_LISTS_ORACLE = oracle(
+    """select url, cast((seq - 1) // 4 as bigint) as chunk, count(*) as n,
+      string_agg(concat(cast(cast(ts as bigint) as string), ':', cast(error_code as string)), ',' order by seq) as errors
+    from (select *, row_number() over (partition by url order by ts, error_code) as seq from errors)
+    group by 1, 2""",
+    "errors",
 )
-def agg_error_history(spark, sf_dir):
+
+
+def error_texts(lists):
+    """Lists of errors as comparable text rows."""
     text = F.transform(
         "errors",
         lambda e: F.concat(
             e["ts"].cast("bigint").cast("string"), F.lit(":"), e["error_code"].cast("string")
         ),
     )
-    return L.error_history(errors(spark, sf_dir), chunk=4).select(
+    return lists.select(
         "url",
         "chunk",
         F.size("errors").cast("bigint").alias("n"),
@@ -233,6 +233,11 @@ def agg_error_history(spark, sf_dir):
     )
 
 
+@query("agg_error_history", ERROR_LISTS_ORACLE)
+def agg_error_history(spark, sf_dir):
+    return error_texts(L.error_history(errors(spark, sf_dir), chunk=4))
+
+
 _OUTCOME = """select url, coalesce(arg_min(code, n) filter (code is not null), case when max(n) >= 3 then 6 end) as error_code,
           cast(coalesce(min(n) filter (code is not null), max(n)) as int) as attempts
         from (

@@ -251,7 +251,7 @@ def model_features(spark, sf_dir):
     """The vectors that the model sees, summed up as those of the relational TF-IDF."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     train = textfeat.split(docs, "doc_id").where("is_train")
-    ready = PipelineModel(model.features(train)).transform(textfeat.with_grams(docs))
+    ready = PipelineModel(model.features(train)[1]).transform(textfeat.with_grams(docs))
     used = F.filter(F.unwrap_udt("features")["values"], lambda x: x != 0)
     zero = F.lit(0.0)
     return ready.select("doc_id", used.alias("w")).where(F.size("w") > 0).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evolution as V
 from tidemark.plans.inputs import errors, oracle
 from tidemark.plans.q_layouts import DISPATCH_ORACLE, dispatch_pages, dispatch_rows, md5_scorer
+from tidemark.plans.q_captures import ERROR_LISTS_ORACLE, error_texts
 from tidemark.plans.registry import query, table
 from tidemark.session import work_dir
 from tidemark.sources.tables import VersionedTable
@@ -67,6 +68,20 @@ def stream_error_history(spark, sf_dir):
     return state.current()
 
 
+@query("stream_error_list", ERROR_LISTS_ORACLE)
+def stream_error_list(spark, sf_dir):
+    """The ordered lists after two runs, the second of which goes on from the first one's checkpoint."""
+    landing, root = work_dir(spark, "landing"), work_dir(spark, "error_lists")
+    log = VersionedTable(spark, f"{root}/log", ["url", "seq"], "ts")
+    events = errors(spark, sf_dir)
+    middle = events.agg(F.avg("ts")).scalar()
+    for part in (events.where(F.col("ts") <= middle), events.where(F.col("ts") > middle)):
+        part.write.mode("append").parquet(landing)
+        stream = jobs.read_landing(spark, landing, jobs.ERROR_SCHEMA)
+        jobs.finish(jobs.list_errors(stream, log, f"{root}/checkpoint", chunk=4, interval=None))
+    return error_texts(jobs.error_lists(log.log()))
+
+
 # Facts per community and half-year, from orders and line items.
 _JOINED = """select concat('c', cast(o_custkey % 100 as string)) as community,
     cast(year(o_orderdate) * 2 + (case when month(o_orderdate) <= 6 then 0 else 1 end) as int) as slot,

@@ -7,10 +7,12 @@ output. Stored results are read by newest version, so the order in which files a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tidemark.functions import urls as U
 from tidemark.operators import extract as E
@@ -106,6 +108,18 @@ def parse_pending(
     return _start(pages.writeStream.foreachBatch(run), checkpoint, "parse_pending", interval)
 
 
+def _with_state(spark: SparkSession, start) -> StreamingQuery:
+    """Start a query that keeps state. It takes its settings when it starts; the session gets its own back."""
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    try:
+        for name, value in STATE_CONF.items():
+            spark.conf.set(name, value)
+        return start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def track_errors(
     events: DataFrame,
     state: VersionedTable,
@@ -114,7 +128,7 @@ def track_errors(
 ) -> StreamingQuery:
     """Keep per URL the latest error, its fatal flag and the number of errors.
 
-    The state per URL has constant size; the full history is the event log itself.
+    The state per URL has constant size; ``list_errors`` keeps the errors themselves.
     """
     spark = events.sparkSession
     running = events.groupBy("url").agg(
@@ -132,15 +146,60 @@ def track_errors(
         state.add(rows, batch)
 
     writer = running.writeStream.outputMode("update").foreachBatch(run)
-    # A query takes its settings when it starts; the session gets its own back.
-    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
-    try:
-        for name, value in STATE_CONF.items():
-            spark.conf.set(name, value)
-        return _start(writer, checkpoint, "track_errors", interval)
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return _with_state(spark, lambda: _start(writer, checkpoint, "track_errors", interval))
+
+
+NUMBERED = "url string, chunk long, seq long, ts double, error_code int"
+
+
+class _Numbering(StatefulProcessor):
+    """Numbers the errors of a URL: the state is how many it has, never the errors."""
+
+    def __init__(self, chunk: int):
+        self.chunk = chunk
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802 (name given by Spark)
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        events = pd.concat(list(rows)).sort_values(["ts", "error_code"], kind="stable", na_position="first")
+        seq = np.arange(seen + 1, seen + 1 + len(events))
+        self.seen.update((int(seen + len(events)),))
+        yield pd.DataFrame(
+            {
+                "url": key[0],
+                "chunk": (seq - 1) // self.chunk,
+                "seq": seq,
+                "ts": events["ts"].to_numpy(),
+                "error_code": events["error_code"].astype("Int32").to_numpy(),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def list_errors(
+    events: DataFrame, log: VersionedTable, checkpoint: str, chunk: int = 1024, interval: str | None = "2 minutes"
+) -> StreamingQuery:
+    """Keep per URL the ordered list of its errors, numbered from 1 as they arrive, in chunks of ``chunk``.
+
+    Errors of one batch stand in the order of time and code, later batches after earlier ones. The state of a
+    URL is one number; the list itself is only appended to, a partition per batch, so a batch that is run
+    again replaces its own rows. ``error_lists`` brings the chunks together.
+    """
+    numbered = events.select("url", "ts", "error_code").groupBy("url").transformWithStateInPandas(
+        _Numbering(chunk), outputStructType=NUMBERED, outputMode="append", timeMode="none"
+    )
+    writer = numbered.writeStream.outputMode("append").foreachBatch(log.add)
+    return _with_state(events.sparkSession, lambda: _start(writer, checkpoint, "list_errors", interval))
+
+
+def error_lists(log: DataFrame) -> DataFrame:
+    """(url, chunk, errors) of the rows that ``list_errors`` wrote, as ``fetchlog.error_history`` gives them."""
+    entry = F.struct("seq", "ts", "error_code")
+    return log.groupBy("url", "chunk").agg(F.sort_array(F.collect_list(entry)).alias("errors"))
 
 
 def finish(query: StreamingQuery, timeout: int | None = None) -> None:
