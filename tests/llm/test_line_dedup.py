@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import line_dedup
 
 
@@ -60,3 +62,14 @@ def test_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     plan = line_dedup.remove_repeats(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_columns_with_names_of_its_own(spark):
+    text = "one line\ntwo lines\nthree lines\nfour"
+    names = ["ld_key", "ld_end", "LD_hash", "ld_gaps", "ld_k", "aside_1", "ld_lines"]
+    rows = spark.createDataFrame([(1, text), (2, "own\n" + text)], "doc_id long, text string")
+    odd = rows.select(F.col("doc_id").alias("ld_at"), F.col("text").alias("ld_split"), *[F.lit(c).alias(c) for c in names])
+    got = {r["ld_at"]: r for r in line_dedup.remove_repeats(odd, "ld_at", "ld_split").collect()}
+    assert got[1]["ld_split"] == text and got[2]["ld_split"] == "own"
+    assert got[2]["ld_lines"] == 5 and got[2]["ld_removed"] == 4
+    assert all(r[c] == c for r in got.values() for c in names[:-1])

@@ -92,3 +92,17 @@ def test_empty_and_wordless(spark, docs):
     assert mixed(docs.limit(0)).count() == 0
     rows = mixed(spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")).collect()
     assert rows[0]["taken"] == 0 and rows[0]["target"] == 0.0 and rows[0]["picks"] == []
+
+
+def test_columns_with_names_of_its_own(spark):
+    """Whatever other columns are called, they come through, and the choice is the same."""
+    rows = [(i, f"s{i % 3}", 1 + i * 37 % 50) for i in range(300)]
+    plain = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    want = sorted(map(tuple, M.mix(plain, "n").select("doc_id", "source_size", "target", "taken").collect()))
+    names = ["c_shard", "mix_start", "MIX_end", "s_source", "mix_shard", "aside_0", "target"]
+    odd = plain.select("doc_id", F.col("source").alias("mix_source"), F.col("n").alias("mix_size"), *[F.lit(c).alias(c) for c in names])
+    got = M.mix(odd, "mix_size", source="mix_source")
+    assert sorted(map(tuple, got.select("doc_id", "source_size", "target", "taken").collect())) == want
+    assert set(odd.columns) - {"target"} <= set(got.columns)
+    first = got.first()
+    assert all(first[c] == c for c in names[:-1])

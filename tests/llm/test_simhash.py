@@ -105,3 +105,12 @@ def test_empty(spark):
     assert simhash.near_groups(docs).count() == 0 and simhash.one_of_each(docs).count() == 0
     with pytest.raises(ValueError):
         simhash.links(docs.select(F.lit(1).alias("fp")), 4)
+
+
+def test_columns_with_names_of_its_own(spark):
+    rows = rows_of()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = docs.select(F.col("doc_id").alias("sh_key"), F.col("text").alias("sh_text"), F.lit(7).alias("sh_at"), F.lit("x").alias("sh_id"))
+    kept = simhash.one_of_each(odd, "sh_key", "sh_text").collect()
+    assert sorted(r["sh_key"] for r in kept) == sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    assert all((r["sh_at"], r["sh_id"]) == (7, "x") for r in kept)

@@ -148,3 +148,33 @@ def test_waves_of_a_real_log(spark):
         want = new
     rows = {(r["conv"], r["call_id"]): r["wave"] for r in C.link(calls, results, C.TURN_TOOLS).where("n_calls > 0").collect()}
     assert rows == want and max(want.values()) > 0
+
+
+def test_values_that_no_column_holds(spark):
+    """Numbers beyond all bounds and halves of surrogate pairs are errors of the row, never of the job."""
+    texts = ['{"a":1e999}', '{"a":-1e999}', '{"a":NaN}', '{"s":"\\ud800"}', '{"\\ud800":1}', '{"s":"\\ud83d\\ude00x"}', '"\\udc00"', "1" * 5000]
+    calls = [(1, i, f"c{i}", "add", t, []) for i, t in enumerate(texts)] + [(1, 90, "p", "pick", texts[3], [])]
+    got = {r["call_id"]: r for r in linked(spark, calls, [(1, i, f"c{i}", "ok") for i in range(8)])}
+    assert len(got) == 9 and not any(r["valid"] for r in got.values())
+    assert got["c0"]["error"] == got["c1"]["error"] == "arguments: a number is too large"
+    assert got["c2"]["error"] == "arguments: not JSON"
+    assert json.loads(got["p"]["record"])["arguments"] == {"s": "�"}
+    assert json.loads(got["c5"]["record"])["arguments"] == {"s": "\U0001f600x"}
+
+
+@pytest.mark.parametrize(
+    "value, schema, good",
+    [
+        ("x", {"minimum": 0}, True),
+        ([1], {"maximum": 0, "minLength": 4}, True),
+        (None, {"minLength": 1}, True),
+        (True, {"minimum": 5}, True),
+        (3, {"minLength": 9, "minimum": 3}, True),
+        (2.5, {"maximum": 2}, False),
+        (True, {"enum": [1]}, False),
+        (1.0, {"enum": [1]}, True),
+        ({"a": "x"}, {"properties": {"a": {"minimum": 1}}}, True),
+    ],
+)
+def test_bounds_hold_for_their_types(value, schema, good):
+    assert (C.problem(value, schema) is None) == good

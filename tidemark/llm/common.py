@@ -39,6 +39,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def set_aside(docs: DataFrame, prefix: str, *names: str) -> tuple:
+    """The table with its columns that start with an operator's own ``prefix`` under other names, the
+    given column names as they are now, and a function that gives a result the old names back."""
+    new, i = {}, 0
+    for column in docs.columns:
+        if column.lower().startswith(prefix):
+            while (name := f"aside_{i}") in docs.columns:
+                i += 1
+            new[column], i = name, i + 1
+    back = {name: column for column, name in new.items()}
+    renamed = docs.withColumnsRenamed(new) if new else docs
+    return renamed, [new.get(n, n) for n in names], lambda df: df.withColumnsRenamed(back) if back else df
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null and blank texts."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WORD_BLANKS}]+")), F.lit(0)).cast("long")

@@ -6,8 +6,8 @@ that any later one covers are removed. What stays of a document is the gaps betw
 
 A null text has no lines and stays null; texts under three lines, and windows of blank lines only, are
 left alone. Rows with one key and one text are one document and lose lines alike. A null key is ordered
-first. A run of one repeated line keeps its first line. Other columns are kept as they are; columns of
-the input that start with ``ld_`` are not allowed. An empty table gives no rows.
+first. A run of one repeated line keeps its first line. Other columns are kept as they
+are, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import set_aside, stored
 
 LINES = 3
 
@@ -61,8 +61,8 @@ def gaps(found: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, key: str, text: str, lines: int = LINES) -> DataFrame:
-    """Windows whose content stands earlier as well. Counted before they are joined back; the join of
-    two exchanged sides lets a very common window be split over tasks."""
+    """Windows whose content stands earlier as well. Counted before they are joined back; the rows of one
+    content meet in one task of the join."""
     all_windows = stored(windows(docs, key, text, lines), "windows")
     here = F.struct("ld_key", "ld_hash", "ld_at")
     first = all_windows.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last"))
@@ -72,7 +72,8 @@ def later_windows(docs: DataFrame, key: str, text: str, lines: int = LINES) -> D
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """All rows and columns with repeated lines taken out of ``text``, and ``ld_lines``, ``ld_removed``,
-    the numbers of lines before and of lines removed."""
+    the numbers of lines before and of lines removed, in place of columns of these names."""
+    docs, (key, text), named_back = set_aside(docs.drop("ld_lines", "ld_removed"), "ld_", key, text)
     removed = gaps(later_windows(docs, key, text, lines), lines).withColumnsRenamed(
         {"ld_key": "ld_k", "ld_hash": "ld_h"}
     )
@@ -84,7 +85,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lin
         F.concat("ld_gaps", F.array(end)), lambda g: F.slice("ld_split", g["from"] + 1, g["n"])
     )
     kept = F.aggregate(F.col("ld_gaps"), F.lit(0), lambda n, g: n + g["n"]) + end["n"]
-    return (
+    cleaned = (
         docs.join(removed, same, "left")
         .withColumn("ld_split", split)
         .withColumn("ld_lines", total)
@@ -92,3 +93,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lin
         .withColumn(text, F.when(F.col("ld_end").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(parts), "\n")))
         .drop("ld_k", "ld_h", "ld_gaps", "ld_end", "ld_split")
     )
+    return named_back(cleaned)

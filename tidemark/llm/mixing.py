@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns, stored
+from tidemark.llm.common import columns, set_aside, stored
 
 # Weights of the sources in the order of their names, repeating. Fixed values.
 WEIGHTS = (5, 2, 1)
@@ -160,6 +160,7 @@ def mix(
     block per shard at most. The same input gives the same choice.
     """
     docs = docs.drop("source_size", "target", "taken", "picks")
+    docs, (size, key, source), named_back = set_aside(docs, "mix_", size, key, source)
     docs = docs.withColumn("mix_source", F.col(source).cast("string")).withColumn(
         "mix_size", F.coalesce(F.col(size).cast("long"), F.lit(0))
     )
@@ -168,7 +169,7 @@ def mix(
     )
     sources = numbered(sources, F.col("mix_source").isNull(), F.col("mix_source"))
     sources = source_targets(sources, weights, share, most).select(
-        F.col("mix_source").alias("s_source"),
+        F.col("mix_source").alias("mix_s_source"),
         "mix_source_size",
         "mix_target",
         F.greatest(
@@ -179,9 +180,9 @@ def mix(
     )
     shard = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("mix_size")), F.col("mix_shards"))
     dealt = (
-        docs.join(sources, F.col("mix_source").eqNullSafe(F.col("s_source")))
+        docs.join(sources, F.col("mix_source").eqNullSafe(F.col("mix_s_source")))
         .withColumn("mix_shard", shard)
-        .drop("s_source")
+        .drop("mix_s_source")
     )
     cells = dealt.groupBy("mix_source", "mix_shard").agg(
         F.sum("mix_size").alias("mix_words"),
@@ -199,8 +200,8 @@ def mix(
     )
     seats = int(round(cells.agg(F.sum("mix_votes")).first()[0] or 0.0))
     quotas = apportion(cells, "mix_votes", "mix_cap", seats, ["mix_source", "mix_shard"]).select(
-        F.col("mix_source").alias("c_source"),
-        F.col("mix_shard").alias("c_shard"),
+        F.col("mix_source").alias("mix_c_source"),
+        F.col("mix_shard").alias("mix_c_shard"),
         "mix_words",
         "mix_blocks",
         "mix_quota",
@@ -210,7 +211,7 @@ def mix(
     ends = F.sum("mix_size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0))
     placed = (
         dealt.withColumn("mix_end", ends)
-        .join(quotas, F.col("mix_source").eqNullSafe(F.col("c_source")) & (F.col("mix_shard") == F.col("c_shard")), "left")
+        .join(quotas, F.col("mix_source").eqNullSafe(F.col("mix_c_source")) & (F.col("mix_shard") == F.col("mix_c_shard")), "left")
         .withColumn("mix_start", F.col("mix_end") - F.col("mix_size"))
     )
     m, w = F.col("mix_blocks"), F.col("mix_words")
@@ -243,13 +244,14 @@ def mix(
     taken = F.aggregate(
         "picks", F.lit(0).cast("long"), lambda a, p: a + (p["end"] - p["start"]) * p["times"].cast("long")
     )
-    return (
+    mixed = (
         placed.withColumn("picks", F.when(F.col("mix_size") > 0, picks).otherwise(nothing))
         .withColumn("taken", taken)
         .withColumn("source_size", F.col("mix_source_size"))
         .withColumn("target", F.col("mix_target"))
-        .drop(*[c for c in placed.columns if c.startswith(("mix_", "c_source", "c_shard"))])
+        .drop(*[c for c in placed.columns if c.startswith("mix_")])
     )
+    return named_back(mixed)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

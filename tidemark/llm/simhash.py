@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import columns, emit, stored
+from tidemark.llm.common import columns, emit, set_aside, stored
 from tidemark.llm.components import components
 
 SEED = 42
@@ -120,6 +120,7 @@ def one_of_each(
     It is the one with the least key, null last; of rows with one key the text's hash decides, and of
     rows with one key and text one stays.
     """
+    docs, (key, text), named_back = set_aside(docs, "sh_", key, text)
     rows, placed = _groups(docs, key, text, shingle, distance)
     here = F.struct(F.col("key").isNull(), "key", "th")
     of_print = rows.groupBy("fp").agg(F.min(here).alias("k")).join(placed, "fp")  # copies fold first
@@ -130,4 +131,4 @@ def one_of_each(
     named = docs.withColumn("sh_id", F.struct(F.col(key), F.xxhash64(text)).cast(kind))
     copies = Window.partitionBy("sh_id").orderBy(F.lit(0))
     out = named.join(kept.hint("merge"), "sh_id").withColumn("sh_at", F.row_number().over(copies))
-    return out.where("sh_at = 1").select(*docs.columns)
+    return named_back(out.where("sh_at = 1").select(*docs.columns))

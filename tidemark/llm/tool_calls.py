@@ -14,6 +14,7 @@ the job. Other columns are ignored. Empty tables give no rows.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,23 +34,46 @@ _KINDS = {
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks and plain characters."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no blanks and plain characters; halves of a surrogate pair become U+FFFD."""
+    return _whole(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _whole(text: str | None) -> str | None:
+    """The text without halves of surrogate pairs, which JSON can write but no column can hold."""
+    if text is None or text.isascii():
+        return text
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _finite(number: str) -> float:
+    if math.isinf(value := float(number)):
+        raise OverflowError(number)
+    return value
+
+
+def _is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _same(a, b) -> bool:
+    """Equal as JSON: true is not 1."""
+    return a == b and isinstance(a, bool) == isinstance(b, bool)
 
 
 def problem(value, schema: dict, at: str = "") -> str | None:
     """The first way in which a value breaks a schema: type, enum, least and most, length, required and
-    unknown properties, and the same of properties and items."""
+    unknown properties, and the same of properties and items. Bounds of numbers hold for numbers only, and
+    lengths for texts only, as JSON Schema has it."""
     kind = schema.get("type")
     if kind:
         fits = isinstance(value, _KINDS[kind]) and (kind == "boolean" or not isinstance(value, bool))
         if not fits:
             return f"{at or 'arguments'}: not {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, allowed) for allowed in schema["enum"]):
         return f"{at}: not one of the allowed values"
-    if "minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]:
+    if _is_number(value) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
         return f"{at}: out of range"
-    if "minLength" in schema and len(value) < schema["minLength"]:
+    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
         return f"{at}: too short"
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -192,9 +216,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], repeats
                 error, arguments = None, None
                 if n_calls:
                     try:
-                        arguments = json.loads(text or "", parse_constant=lambda x: 1 / 0)
+                        arguments = json.loads(text or "", parse_constant=lambda x: 1 / 0, parse_float=_finite)
                     except (ValueError, ZeroDivisionError, RecursionError):
                         error, arguments = "arguments: not JSON", text
+                    except OverflowError:
+                        error, arguments = "arguments: a number is too large", text
                     else:
                         schema = schemas.get(name)
                         error = "name: unknown tool" if schema is None else problem(arguments, schema)
@@ -204,7 +230,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], repeats
                         error = "after: in a circle"
                     if error is None and status == "duplicate_id":
                         error = "id: not its first call"
-                errors.append(error)
+                errors.append(_whole(error))
                 records.append(canonical({"arguments": arguments, "id": call_id, "name": name, "result": content}))
             keep = [(f, c) for f, c in zip(batch.schema, batch.columns) if f.name in _KEPT]
             schema = pa.schema([*[f for f, _ in keep], ("error", pa.string()), ("record", pa.string())])
