@@ -42,7 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row per time a document is taken, with the words taken."""
     configure(spark)
-    mixed = mixing.mix(docs.withColumn("mix_in", word_count(F.col("text"))), "mix_in")
+    size = "words"
+    while size in docs.columns:
+        size += "_"
+    mixed = mixing.mix(docs.withColumn(size, word_count(F.col("text"))), size)
     return _measured(mixing.take(mixed), docs.columns)
 
 
