@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import let
 from tidemark.functions.text import bigrams, clean_text, hash_bucket, words
 from tidemark.operators.ordered import running_sum
+from tidemark.session import written
 
 # Vocabulary size and share of the training part.
 MAX_FEATURES = 60_000
@@ -37,19 +38,19 @@ def with_grams(docs: DataFrame, text: str = "text", out: str = "grams") -> DataF
 def most_frequent(totals: DataFrame, k: int) -> DataFrame:
     """The k terms with the highest ``n``; ties by term.
 
-    A histogram of the counts, one row per distinct count, gives the count at which the k-th term lies. Terms
-    above it are kept by a filter; only those with that very count are brought into the order of terms, in
-    ranges over all tasks. Nothing is written and nothing runs before the result is asked for: all parts
-    read the one exchange that ``totals`` ends in.
+    The totals are written once. A histogram of the counts, one row per distinct count, gives the count at which
+    the k-th term lies. Terms above it are kept by a filter on the stored counts; only those with that
+    very count are brought into the order of terms, in ranges over all tasks.
     """
+    totals = written(totals, "totals")
     sizes = totals.groupBy("n").agg(F.count(F.lit(1)).alias("terms"))
     upto = sizes.withColumn("upto", F.sum("terms").over(Window.orderBy(F.col("n").desc())))
-    border = upto.where(F.col("upto") >= k).agg(
-        F.max(F.struct("n", (k - F.col("upto") + F.col("terms")).alias("wanted"))).alias("b")
-    )
-    n, wanted = border.select("b.n").scalar(), border.select("b.wanted").scalar()
-    sure = totals.where(F.col("n") > F.coalesce(n, F.lit(-1)))
-    ranked = running_sum(totals.where(F.col("n") == n), [], ["term"], {"__at": F.lit(1)})
+    border = upto.where(F.col("upto") >= k).orderBy(F.col("n").desc()).first()
+    if border is None:
+        return totals
+    wanted = k - (border["upto"] - border["terms"])
+    ranked = running_sum(totals.where(F.col("n") == border["n"]), [], ["term"], {"__at": F.lit(1)})
+    sure = totals.where(F.col("n") > border["n"])
     return sure.unionByName(ranked.where(F.col("__at") <= wanted).drop("__at"))
 
 

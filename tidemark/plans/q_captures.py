@@ -284,39 +284,50 @@ def agg_index_retry(spark, sf_dir):
 _JOB_ORDER = "order by ts14, pos rows between unbounded preceding and 1 preceding"
 
 
-@query(
-    "job_capture",
-    oracle(
-        """select 'tried' as target, url, year, half, pos, error_code from tried
-        union all select 'error', url, year, half, pos, error_code from tried where error_code not in (0, 7)
-        union all select 'rescue', url, year, half, pos, error_code from tried where error_code in (1, 2, 6)
-        union all select 'slot', url, year, half, arg_min(pos, nth) filter (not rej),
-          arg_min(error_code, nth) filter (not rej) from marked group by url, year, half""",
-        "captures",
-        "fetch_log",
+def _job_tables(unknown: str) -> dict:
+    """Tables of the capture job; captures under the condition ``unknown`` have no outcome yet."""
+    return dict(
         made=_MADE,
         outcome=_OUTCOME,
-        fetched="""select c.* exclude (error_code), cast(case when c.pos % 13 = 0 then 7 else coalesce(o.error_code, 6) end as int)
+        fetched=f"""select c.* exclude (error_code), cast(case when c.pos % 13 = 0 then 7 when {unknown} then null
+            else coalesce(o.error_code, 6) end as int)
           as error_code from captures c left join (
             select cast(split_part(url, '/', 4) as bigint) as pos, error_code from outcome) o on c.pos = o.pos""",
         collapsed=_COLLAPSED.replace("from captures)", "from fetched)"),
         marked=_MARKED,
         tried=f"""select * from (select *, coalesce(sum(case when rej then 0 else 1 end) over (
           partition by url, year, half {_JOB_ORDER}), 0) as stops from marked) where stops = 0""",
-    ),
-)
-def job_capture(spark, sf_dir):
-    """The capture job as one plan, from index rows and the attempts log."""
+    )
+
+
+def _job(spark, sf_dir, unknown):
     outcome = L.fetch_outcome(fetch_log(spark, sf_dir)).select(
         F.element_at(F.split("url", "/"), 4).cast("bigint").alias("pos"), "error_code"
     )
     rows = captures(spark, sf_dir).drop("error_code").join(outcome, "pos", "left")
-    rows = rows.withColumn("error_code", F.coalesce("error_code", F.lit(6))).withColumn(
-        "cache_key", U.cache_key(F.col("pos").cast("string"))
-    )
+    code = F.when(~unknown, F.coalesce("error_code", F.lit(6)))
+    rows = rows.withColumn("error_code", code).withColumn("cache_key", U.cache_key(F.col("pos").cast("string")))
     cached = rows.where("pos % 13 = 0").select("cache_key")
     ok = U.redirect_ok(F.col("capture_url"), F.col("final_url"))
-    job = C.capture_job(rows, cached, ok, FIRST_YEAR, LAST_YEAR)
+    return C.capture_job(rows, cached, ok, FIRST_YEAR, LAST_YEAR)
+
+
+@query(
+    "job_capture",
+    oracle(
+        """select 'tried' as target, url, year, half, pos, error_code from tried
+        union all select 'error', url, year, half, pos, error_code from tried where error_code not in (0, 7)
+        union all select 'rescue', url, year, half, pos, error_code from tried where error_code in (1, 2, 6)
+        union all select 'slot', url, year, half, arg_min(pos, nth) filter (not rej),
+          arg_min(error_code, nth) filter (not rej) from marked group by url, year, half""",
+        "captures",
+        "fetch_log",
+        **_job_tables("false"),
+    ),
+)
+def job_capture(spark, sf_dir):
+    """The capture job as one plan, from index rows and the attempts log."""
+    job = _job(spark, sf_dir, F.lit(False))
     columns = ("url", "year", "half", "pos", "error_code")
     parts = {"slot": job.slots, "tried": job.tried, "error": job.errors, "rescue": job.rescue}
     out = None
@@ -324,3 +335,18 @@ def job_capture(spark, sf_dir):
         part = part.select(F.lit(name).alias("target"), *columns)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    "job_fetch_list",
+    oracle(
+        "select url, year, half, pos, capture_url from tried where error_code is null",
+        "captures",
+        "fetch_log",
+        **_job_tables("c.pos % 3 = 0"),
+    ),
+)
+def job_fetch_list(spark, sf_dir):
+    """What a fetcher gets next: per slot the first capture without an outcome, if all before it were rejected."""
+    job = _job(spark, sf_dir, F.col("pos") % 3 == 0)
+    return job.fetch.select("url", "year", "half", "pos", "capture_url")

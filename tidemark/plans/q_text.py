@@ -10,7 +10,7 @@ from tidemark.operators import extract as E
 from tidemark.operators import metrics, model, textfeat
 from tidemark.plans.inputs import labelled, oracle
 from tidemark.plans.q_layouts import dispatch_pages
-from tidemark.plans.registry import query, table
+from tidemark.plans.registry import dealt, query, table
 from tidemark.session import work_dir
 
 # The oracle's text steps, as macros over the documents.
@@ -31,7 +31,8 @@ _TRAIN_GRAMS = _grams_of(_TOKENS, f"(select * from documents where {_IS_TRAIN})"
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """The texts over all tasks: the table is one file, so one task would read it and cut all its n-grams."""
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(
@@ -195,7 +196,7 @@ _FITTED: dict[tuple, object] = {}
 
 def _model(spark, sf_dir):
     """All labelled documents and the full model, fitted on the training part once per session."""
-    docs = labelled(spark, sf_dir).select("doc_id", "text", "label")
+    docs = dealt(labelled(spark, sf_dir).select("doc_id", "text", "label"), "doc_id")
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
         _FITTED[key] = model.fit(textfeat.split(docs, "doc_id").where("is_train"))
@@ -249,7 +250,7 @@ def sink_model(spark, sf_dir):
 @query("model_features", _FEATURES_ORACLE)
 def model_features(spark, sf_dir):
     """The vectors that the model sees, summed up as those of the relational TF-IDF."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     train = textfeat.split(docs, "doc_id").where("is_train")
     ready = PipelineModel(model.features(train)[1]).transform(textfeat.with_grams(docs))
     used = F.filter(F.unwrap_udt("features")["values"], lambda x: x != 0)

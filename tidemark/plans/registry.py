@@ -33,6 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Narrow rows by key, before pages are rendered from them; adaptive execution sets the number
-    of tasks from the size. Tables of texts and pages are read as their files split."""
+    """Rows by key over all tasks, before pages are rendered from them or texts are cut into n-grams; adaptive
+    execution sets the number of tasks from the size."""
     return df.repartition(key)
