@@ -119,3 +119,21 @@ def test_linear_model_is_kept(spark, tmp_path):
         assert type(loaded) is type(fitted)
         report = {r["class"]: r for r in metrics.class_report(model.score(loaded, rows)).collect()}
         assert report["accuracy"].f1 == 1.0
+
+
+def test_only_the_lighter_child_is_summed(spark, monkeypatch):
+    """Below the root half of the nodes are summed, over several blocks a task; the trees stay those of plain loops."""
+    monkeypatch.setattr(B, "_POSTINGS", 40)
+    monkeypatch.setattr(B, "_RANGE", 4)
+    asked, sums_of = [], B._level_sums
+
+    def noted(trees, growing, wanted, bins, terms):
+        asked.append(wanted)
+        return sums_of(trees, growing, wanted, bins, terms)
+
+    monkeypatch.setattr(B, "_level_sums", noted)
+    docs, labels = rows_of(150, 9, 2)
+    got, want = B.fit(frame(spark, docs, labels, 1), 9, 2, 3), plain_fit(docs, labels, 2, 3)
+    assert [[s[:5] for s in t] for t in got] == [[s[:5] for s in t] for t in want]
+    assert [0] in asked and max(map(len, asked)) == 2  # of the four nodes of the last level
+    assert all(len({(k - 1) // 2 for k in w}) == len(w) for w in asked)

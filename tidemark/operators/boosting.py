@@ -6,6 +6,10 @@ hessians per (node, term, bin) over its blocks, the sums are shuffled by range o
 range gives the best split of every node. Documents without a term need no posting: their sums are the
 node's total less the rest, and they go to the side that gains more.
 
+Below the root only the lighter child of each split is summed; the other one's sums are its parent's, kept by range of
+terms for one level, less these. A term whose hessian in a node is too small for any side of a split is not kept
+for the nodes below.
+
 Gradients are whole numbers of 2^-30, so sums don't depend on how the rows are partitioned, and neither do
 the trees. Nothing is kept per document between jobs: a block finds its margins and nodes from the trees so
 far, which the driver holds (at most 2^depth splits a tree). A lost task is simply run again.
@@ -20,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,8 @@ from tidemark.session import written
 RATE, PENALTY, LEAST_HESSIAN = 0.3, 1.0, 1.0
 PER_OCTAVE = 4
 _ONE = 1 << 30
-_BLOCK = 4096  # documents of a block
+_BLOCK = 1 << 14  # documents of a block at most, so a place in it has 16 bits
+_POSTINGS = 1 << 23  # postings of a block, but for the last document's
 _RANGE = 4096  # terms whose sums are added up together
 
 
@@ -53,9 +59,6 @@ class Block:
 
     def __init__(self, slots: np.ndarray, docs: np.ndarray, n: int, bins: int):
         self.slots, self.docs, self.n, self.bins = slots, docs, n, bins
-        starts = np.nonzero(np.r_[True, slots[1:] != slots[:-1]])[0] if len(slots) else np.zeros(0, np.int64)
-        self.distinct = slots[starts]
-        self.place = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(slots)]))
 
     @classmethod
     def of(cls, terms: list[np.ndarray], weights: list[np.ndarray], bins: int) -> Block:
@@ -73,7 +76,8 @@ class Block:
     def turn(self, split: Split) -> np.ndarray:
         """Which documents go right."""
         right = np.full(self.n, split.absent_right)
-        a, b = np.searchsorted(self.slots, [split.term * self.bins, (split.term + 1) * self.bins])
+        term = np.array([split.term, split.term + 1], self.slots.dtype) * self.bins  # of one type: nothing is copied
+        a, b = np.searchsorted(self.slots, term)
         right[self.docs[a:b]] = self.slots[a:b] >= split.term * self.bins + split.bin
         return right
 
@@ -97,11 +101,17 @@ class Block:
         return total
 
 
-_STORED = pa.schema([("slots", pa.binary()), ("docs", pa.binary()), ("labels", pa.binary())])
-_SUMS = pa.schema([("part", pa.int32()), ("slots", pa.binary()), ("nodes", pa.binary()), ("g", pa.binary()), ("h", pa.binary()), ("total", pa.list_(pa.int64()))])
+_STORED = pa.schema([("distinct", pa.binary()), ("sizes", pa.binary()), ("docs", pa.binary()), ("labels", pa.binary())])
+_CELLS = [("slots", pa.binary()), ("gs", pa.binary()), ("hs", pa.binary())]
+_SUMS = pa.schema([("part", pa.int32()), ("node", pa.int32()), *_CELLS, ("total", pa.list_(pa.int64()))])
 _BEST = pa.schema(
-    [("node", pa.int32()), ("gain", pa.float64()), ("term", pa.int64()), ("bin", pa.int32()), ("absent_right", pa.bool_())]
-    + [(c, pa.int64()) for c in ("gl", "hl", "g", "h")]
+    [("part", pa.int32()), ("node", pa.int32()), ("gain", pa.float64()), ("term", pa.int64()), ("bin", pa.int32())]
+    + [("absent_right", pa.bool_())] + [(c, pa.int64()) for c in ("gl", "hl", "g", "h")] + _CELLS
+)
+_SUMS_DDL = "part int, node int, slots binary, gs binary, hs binary, total array<bigint>"
+_BEST_DDL = (
+    "part int, node int, gain double, term long, bin int, absent_right boolean, gl long, hl long, g long, h long, "
+    "slots binary, gs binary, hs binary"
 )
 
 
@@ -117,21 +127,30 @@ def _packed(rows: DataFrame, bins: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             b = Block.of(terms, weights, bins)
-            held = [b.slots.astype("<i8").tobytes(), b.docs.astype("<i4").tobytes(), np.array(labels, "<i1").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in held], schema=_STORED)
+            starts = _starts(b.slots)
+            sizes = np.diff(np.r_[starts, len(b.slots)])
+            held = (b.slots[starts].astype("<i4"), sizes.astype("<i4"), b.docs.astype("<u2"), np.array(labels, "<i1"))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in held], schema=_STORED)
 
+        size = 0
         for batch in batches:
             for t, w, y in zip(_column(batch, "terms"), _column(batch, "weights"), _column(batch, "label").to_pylist()):
                 terms.append(t.values.to_numpy(zero_copy_only=False))
                 weights.append(w.values.to_numpy(zero_copy_only=False))
                 labels.append(y)
-                if len(labels) == _BLOCK:
+                size += len(terms[-1])
+                if len(labels) == _BLOCK or size >= _POSTINGS:
                     yield block()
-                    terms, weights, labels = [], [], []
+                    terms, weights, labels, size = [], [], [], 0
         if labels:
             yield block()
 
-    return rows.mapInArrow(run, "slots binary, docs binary, labels binary")
+    return rows.mapInArrow(run, "distinct binary, sizes binary, docs binary, labels binary")
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where the stretches of equal values start."""
+    return np.nonzero(np.r_[True, values[1:] != values[:-1]])[0] if len(values) else np.zeros(0, np.int64)
 
 
 def _gradients(block: Block, labels: np.ndarray, trees: list[list[Split]]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,76 +158,114 @@ def _gradients(block: Block, labels: np.ndarray, trees: list[list[Split]]) -> tu
     return np.rint((p - labels) * _ONE), np.rint(p * (1 - p) * _ONE)
 
 
-def _added(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], *(np.add.reduceat(s[order], starts) if len(keys) else s for s in sums)
-
+def _cells(slots: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return slots.astype("<i4").tobytes(), g.astype("<i8").tobytes(), h.astype("<i8").tobytes()
 
-def _level_sums(trees: list[list[Split]], growing: list[Split], first: int, bins: int, terms: int):
-    """Sums per (node, term, bin) of a task's blocks, in ranges of terms, with the totals of the nodes.
 
-    ``first`` is the least number of the level's nodes; there are ``first`` + 1 of them.
-    """
-    width = first + 1
+def _level_sums(trees: list[list[Split]], growing: list[Split], wanted: list[int], bins: int, terms: int):
+    """Sums per (node, term, bin) of a task's blocks for the ``wanted`` nodes, in ranges of terms, with the totals
+    of the nodes. Slots count from the start of their range."""
     parts = -(-max(terms, 1) // _RANGE)
+    number = np.full(2 * max((s.node for s in growing), default=0) + 3, -1, np.int16)
+    number[wanted] = np.arange(len(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        width = len(wanted)
         total = np.zeros((2, width), np.int64)
+        held: list[tuple[np.ndarray, ...]] = []  # per wanted node: slots and sums, of the only block so far
+        dense: list[np.ndarray] = []  # sums by slot, from the second block on
         for batch in batches:
-            for slots, docs, labels in zip(*(_column(batch, c).to_pylist() for c in ("slots", "docs", "labels"))):
-                y = np.frombuffer(labels, "<i1")
-                block = Block(np.frombuffer(slots, "<i8"), np.frombuffer(docs, "<i4"), len(y), bins)
-                g, h = _gradients(block, y, trees)
-                node = block.place_in(growing) - first
-                open_ = (node >= 0) & (node < width)
-                for at, x in enumerate((g, h)):
-                    total[at] += np.bincount(node[open_], x[open_], width).astype(np.int64)
-                of = open_[block.docs]
-                docs, place = block.docs[of], block.place[of]
-                cell = place * width + node[docs]
-                n = len(block.distinct) * width
-                counts = np.nonzero(np.bincount(cell, minlength=n))[0] if n else np.zeros(0, np.int64)
+            for distinct, sizes, docs, labels in zip(*(_column(batch, c).to_pylist() for c in _STORED.names)):
+                y, distinct = np.frombuffer(labels, "<i1"), np.frombuffer(distinct, "<i4")
+                sizes, docs = np.frombuffer(sizes, "<i4"), np.frombuffer(docs, "<u2")
+                block = Block(np.repeat(distinct, sizes), docs, len(y), bins)
+                both = _gradients(block, y, trees)
+                of = number[block.place_in(growing)]
+                open_ = of >= 0
+                for at, x in enumerate(both):
+                    total[at] += np.bincount(of[open_], x[open_], width).astype(np.int64)
+                cell = np.repeat(np.arange(len(distinct)), sizes)
+                if not open_.all():
+                    here = np.nonzero(open_[docs])[0]
+                    docs, cell = docs[here], cell[here]
+                if width > 1:
+                    cell = cell + of[docs].astype(np.int64) * len(distinct)
                 # Sums of whole numbers below 2^53 are exact in doubles.
-                both = [np.bincount(cell, x[docs], n)[counts].astype(np.int64) for x in (g, h)]
-                held.append((block.distinct[counts // width] * width + counts % width, *both))
-                if len(held) > 1:  # one table of sums is held, however many blocks a task has
-                    held = [_added(*map(np.concatenate, zip(*held)))]
-        keys, g, h = held[0] if held else (np.zeros(0, np.int64),) * 3
-        cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.int64) * _RANGE * bins * width)
+                g, h = (np.bincount(cell, x[docs], width * len(distinct)).reshape(width, -1) for x in both)
+                found = [np.nonzero(row)[0] for row in h]
+                own = [(distinct[at], *(x[k, at].astype(np.int64) for x in (g, h))) for k, at in enumerate(found)]
+                if not held and not dense:
+                    held = own
+                    continue
+                if not dense:
+                    dense = [np.zeros((width, terms * bins), np.int64) for _ in range(2)]
+                for some in (held, own):
+                    for k, (slots, *sums) in enumerate(some):
+                        for x, s in zip(dense, sums):
+                            x[k, slots] += s
+                held = []
+        if dense:
+            found = [np.nonzero(row)[0] for row in dense[1]]
+            held = [(at, *(x[k, at] for x in dense)) for k, at in enumerate(found)]
         rows = []
-        for part in range(parts if total.any() else 0):
-            here = slice(cuts[part], cuts[part + 1])
-            packed = (keys[here] // width, keys[here] % width, g[here], h[here])
-            rows.append((part, *(x.astype("<i8").tobytes() for x in packed), total.ravel().tolist()))
+        for k, (slots, g, h) in enumerate(held):
+            cuts = np.searchsorted(slots, np.arange(parts + 1, dtype=np.int64) * _RANGE * bins)
+            for part in range(parts if total[:, k].any() else 0):
+                here = slice(cuts[part], cuts[part + 1])
+                cells = _cells(slots[here] - part * _RANGE * bins, g[here], h[here])
+                rows.append((part, wanted[k], *cells, total[:, k].tolist()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SUMS)], schema=_SUMS)
 
     return run
 
 
-def _best_splits(first: int, bins: int):
-    """The best split of each node within a range of terms; ties to the lower term, then the lower bin."""
-    width = first + 1
-
-    def best(rows: list[dict]) -> list[tuple]:
-        total = np.array([r["total"] for r in rows]).sum(axis=0).reshape(2, width)
-        slots, nodes, g, h = (
-            np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("slots", "nodes", "g", "h")
-        )
-        top = (int(slots.max()) + 1) if len(slots) else 1
-        keys, g, h = _added(nodes * top + slots, g, h)
-        node, slot = keys // top, keys % top
+def _best_splits(wanted: list[int], sums: dict[int, tuple[int, int]], bins: int, go_on: bool):
+    """The best split of each node of a level within a range of terms; ties to the lower term, then the lower bin.
+
+    Rows are the sums of the ``wanted`` nodes, and below the root those of their parents. With ``go_on`` the nodes'
+    sums are given as well."""
+
+    def lasting(slot: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cells of the terms that can part off a side of a split here or below."""
+        there = h > 0
+        slot, g, h = slot[there], g[there], h[there]
+        if not len(slot):
+            return slot, g, h
+        starts = _starts(slot // bins)
+        enough = np.add.reduceat(h, starts) >= LEAST_HESSIAN * _ONE
+        kept = np.repeat(enough, np.diff(np.r_[starts, len(slot)]))
+        return slot[kept], g[kept], h[kept]
+
+    def best(part: int, rows: list[dict]) -> list[tuple]:
+        added = {k: (np.zeros(_RANGE * bins, np.int64), np.zeros(_RANGE * bins, np.int64)) for k in wanted}
+        parents = {}
+        for r in rows:
+            slots = np.frombuffer(r["slots"], "<i4")
+            g, h = np.frombuffer(r["gs"], "<i8"), np.frombuffer(r["hs"], "<i8")
+            if r["node"] in added:
+                for x, more in zip(added[r["node"]], (g, h)):
+                    x[slots] += more
+            else:
+                parents[r["node"]] = slots, g, h
+        nodes = {}
+        for k in wanted:
+            if not k:
+                every = np.nonzero(added[k][1])[0]
+                nodes[k] = every, *(x[every] for x in added[k])
+            elif (k - 1) // 2 in parents:
+                slots, *whole = parents[(k - 1) // 2]
+                own = [x[slots] for x in added[k]]
+                nodes[k] = slots, *own
+                nodes[k + 1 if k % 2 else k - 1] = slots, *(w - x for w, x in zip(whole, own))
         out = []
-        for k in range(width):
-            G, H = int(total[0, k]), int(total[1, k])
-            here = slice(*np.searchsorted(node, [k, k + 1]))
-            found = split_of(slot[here], g[here], h[here], G, H, bins)
-            # A node without a split of its own in this range still tells its totals.
-            out.append((k, *(found or (0.0, -1, 0, False, 0, 0)), G, H))
+        for k, cells in sorted(nodes.items()):
+            slots, g, h = lasting(*cells)
+            G, H = sums[k] if k else np.array([r["total"] for r in rows]).sum(axis=0).tolist()
+            gain, term, *more = split_of(slots, g, h, G, H, bins) or (0.0, -1, 0, False, 0, 0)
+            # The root tells its totals also where this range has no split of it.
+            term += part * _RANGE if term >= 0 else 0
+            out.append((part, k, gain, term, *more, G, H, *(_cells(slots, g, h) if go_on else (None,) * 3)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +274,18 @@ def _best_splits(first: int, bins: int):
             for row in batch.to_pylist():
                 if row["part"] != part:
                     if rows:
-                        yield from _emit(best(rows))
+                        yield from _emit(best(part, rows))
                     part, rows = row["part"], []
                 rows.append(row)
         if rows:
-            yield from _emit(best(rows))
+            yield from _emit(best(part, rows))
 
     return run
 
 
 def _emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BEST)], schema=_BEST)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BEST)], schema=_BEST)
 
 
 def _worth(g, h):
@@ -264,8 +322,8 @@ def split_of(slot: np.ndarray, g: np.ndarray, h: np.ndarray, G: int, H: int, bin
 
 
 def grow(tree: int, depth: int, best_of_level) -> list[Split]:
-    """One tree, its nodes in order. ``best_of_level(splits so far, first node)`` gives, for the nodes of the
-    next level, their best split and sums."""
+    """One tree, its nodes in order. ``best_of_level(splits so far, nodes, sums)`` gives, for the nodes of the next
+    level, their best split and sums; ``sums`` holds what is known of theirs."""
     splits: list[Split] = []
     sums: dict[int, tuple[int, int]] = {}
 
@@ -275,8 +333,7 @@ def grow(tree: int, depth: int, best_of_level) -> list[Split]:
 
     live = {0}
     for level in range(depth):
-        first = (1 << level) - 1
-        best = best_of_level(splits, first)
+        best = best_of_level(splits, sorted(live), sums)
         if not level:
             if 0 not in best:  # no documents at all
                 return [Split(tree, 0, -1, 0, False, 0.0)]
@@ -303,30 +360,38 @@ def fit(rows: DataFrame, terms: int, trees: int, depth: int, bins: int = 32) ->
     """
     blocks = written(_packed(rows.select("terms", "weights", F.col("label").cast("int").alias("label")), bins), "blocks")
     done: list[list[Split]] = []
-
-    def best_of_level(growing: list[Split], first: int) -> dict[int, tuple]:
-        sums = blocks.mapInArrow(
-            _level_sums(done, growing, first, bins, terms),
-            "part int, slots binary, nodes binary, g binary, h binary, total array<bigint>",
-        )
+    above: list[DataFrame] = []  # the level above, of which the sums of its nodes are kept
+
+    def best_of_level(growing: list[Split], nodes: list[int], sums: dict[int, tuple[int, int]]) -> dict[int, tuple]:
+        # Of the two children of a node the one with the smaller hessian.
+        wanted = [k if sums[k][1] <= sums[k + 1][1] else k + 1 for k in nodes if k % 2] or [0]
+        go_on = 2 * nodes[-1] + 2 < (1 << depth) - 1
+        parts = blocks.mapInArrow(_level_sums(done, growing, wanted, bins, terms), _SUMS_DDL)
+        if nodes[0]:
+            kept = above[-1].where(F.col("node").isin([(k - 1) // 2 for k in wanted]))
+            none = F.lit(None).cast("array<bigint>").alias("total")
+            parts = parts.unionByName(kept.select("part", "node", "slots", "gs", "hs", none))
         best = (
-            sums.repartition("part")
+            parts.repartitionById(-(-max(terms, 1) // _RANGE), "part")
             .sortWithinPartitions("part")
-            .mapInArrow(
-                _best_splits(first, bins),
-                "node int, gain double, term long, bin int, absent_right boolean, gl long, hl long, g long, h long",
-            )
+            .mapInArrow(_best_splits(wanted, {k: sums[k] for k in nodes if k}, bins, go_on), _BEST_DDL)
         )
+        if go_on:
+            above.append(best.persist(StorageLevel.MEMORY_AND_DISK))
         found: dict[int, tuple] = {}
-        for r in best.collect():  # a row per node and range of terms
-            own = (r["gain"], r["term"], r["bin"], r["absent_right"], r["gl"], r["hl"], r["g"], r["h"])
-            now = found.get(first + r["node"])
+        for r in best.select("node", *_BEST.names[2:10]).collect():  # a row per node and range of terms
+            own = tuple(r)[1:]
+            now = found.get(r["node"])
             if now is None or (-own[0], own[1] < 0, own[1]) < (-now[0], now[1] < 0, now[1]):
-                found[first + r["node"]] = own
+                found[r["node"]] = own
         return found
 
     for tree in range(trees):
-        done.append(grow(tree, depth, best_of_level))
+        try:
+            done.append(grow(tree, depth, best_of_level))
+        finally:
+            while above:
+                above.pop().unpersist()
     return done
 
 
