@@ -188,3 +188,23 @@ def test_error_lists(spark, tmp_path):
     last = log.log().where("batch = 2").drop("batch")
     log.add(spark.createDataFrame(last.collect(), last.schema), 2)
     assert as_rows(jobs.error_lists(log.log())) == got
+
+
+def test_error_numbers_go_on_natively(spark, tmp_path, monkeypatch):
+    """No URL's rows go to Python; numbers go on over compactions, of a null URL too, and a batch run again."""
+    monkeypatch.setattr(jobs, "_COMPACT_EVERY", 2)
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+    log = VersionedTable(spark, str(tmp_path / "log"), ["url", "seq"], "ts")
+    url = F.when(F.col("id") % 3 > 0, F.concat(F.lit("u"), (F.col("id") % 3).cast("string")))
+    events = spark.range(60).select(url.alias("url"), F.lit(1).alias("error_code"), F.col("id").cast("double").alias("ts"))
+    for part in range(5):
+        events.where(F.floor(F.col("ts") / 12) == part).coalesce(1).write.mode("append").parquet(landing)
+        query = jobs.list_errors(jobs.read_landing(spark, landing, jobs.ERROR_SCHEMA), log, checkpoint, interval=None)
+        jobs.finish(query)
+        assert "InPandas" not in query._jsq.explainInternal(True)
+    want = [(u, k // 3 + 1, float(k)) for k in range(60) for u in [f"u{k % 3}" if k % 3 else None]]
+    as_rows = lambda df: sorted(map(tuple, df.select("url", "seq", "ts").collect()), key=lambda r: r[2])
+    assert as_rows(log.log()) == want
+    last = events.where("ts >= 48")
+    again = jobs._number_batch(last, 4, f"{checkpoint}-seen", 1024)
+    assert as_rows(again) == [r for r in want if r[2] >= 48]

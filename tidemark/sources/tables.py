@@ -100,12 +100,21 @@ class KeyedTable:
         ]
         return merged, alive
 
-    def current(self) -> DataFrame:
-        """The rows that are there now. In the plan the table keeps its buckets, so a grouping or join by
-        key needs no exchange of it."""
+    def empty(self) -> bool:
+        """Whether nothing was written yet."""
+        return self._key_type is None
+
+    def holds(self, batch: int) -> bool:
+        """Whether the changes of this batch were written, and not put together with others since."""
+        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.location}/__part=batch-{batch}"))
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """The rows that are there now, or were by the batches ``before`` a number. In the plan the table keeps its
+        buckets, so a grouping or join by key needs no exchange of it."""
         if self._key_type is None:
             raise ValueError(f"nothing was written to {self.path} yet")
-        merged, alive = self._merged(self.spark.table(self.name))
+        log = self.spark.table(self.name)
+        merged, alive = self._merged(log if before is None else log.where(F.col("__seq") < before))
         any_alive = alive[0]
         for one in alive[1:]:
             any_alive = any_alive | one
