@@ -38,6 +38,17 @@ def test_capture_index_files(spark, tmp_path):
     assert sorted(r.seed_url for r in rejected) == ["http://x/r/bad", "short"]
 
 
+def test_index_files_spread_over_folders(spark, tmp_path):
+    """No folder gets a name per seed; each seed still has a file of its own."""
+    seeds = spark.range(300).select(F.concat(F.lit("http://x/r/"), "id").alias("seed_url"), F.col("id").cast("string").alias("body"))
+    there = seeds.where("body <> '7'").withColumn("file", capture_index.index_file(F.col("seed_url"), spread=True))
+    assert files.write_listed(there, "file", "body", str(tmp_path)) == 299
+    assert len(list(tmp_path.iterdir())) > 200 and (tmp_path / there.first().file).is_file()
+    got = capture_index.responses_from_files(seeds, str(tmp_path), spread=True).collect()
+    want = {f"http://x/r/{i}": (str(i), "ok") if i != 7 else (None, "missing_file") for i in range(300)}
+    assert {r.seed_url: (r.body, r.status) for r in got} == want
+
+
 def test_page_files(spark, tmp_path):
     (tmp_path / "fun").mkdir()
     (tmp_path / "fun" / "a.html").write_text("<p>a\nb</p>")

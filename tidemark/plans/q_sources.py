@@ -192,10 +192,10 @@ def src_index_from_files(spark, sf_dir):
     """Index responses from one file per seed URL; some seeds have none, some files cannot be used."""
     responses = _responses(spark, sf_dir)
     root = work_dir(spark, "index_files")
-    named = responses.withColumn("file", F.concat(U.sanitize_key(F.col("seed_url")), F.lit(".json")))
+    named = responses.withColumn("file", capture_index.index_file(F.col("seed_url"), spread=True))
     day = F.substring(F.element_at(F.split("seed_url", "#"), -2), 7, 2)
     write_listed(named.where(day != "07"), "file", "body", root)
-    read = capture_index.responses_from_files(responses.select("seed_url"), root)
+    read = capture_index.responses_from_files(responses.select("seed_url"), root, spread=True)
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("ts14", "string"), ("digest", "string"))]
     there = read.where("status = 'ok'")
     rejected = capture_index.rejected_responses(there).select("seed_url", F.lit("rejected").alias("kind"), *nothing)

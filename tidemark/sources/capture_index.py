@@ -21,17 +21,23 @@ def read_index_files(spark: SparkSession, path: str, seeds: DataFrame) -> DataFr
         relative_name(spark, path).alias("__file"), F.col("value").alias("body")
     )
     named = seeds.select("seed_url").distinct()
-    named = named.withColumn("__file", F.concat(U.sanitize_key(F.col("seed_url")), F.lit(".json")))
+    named = named.withColumn("__file", index_file(F.col("seed_url")))
     return files.join(named, "__file").select("seed_url", "body")
 
 
-def responses_from_files(seeds: DataFrame, root: str) -> DataFrame:
+def index_file(seed_url: Column, spread: bool = False) -> Column:
+    """The file of a seed URL: the URL as its name, made safe, and the ending ``.json``. With ``spread`` it lies in
+    one of 4,096 folders by a hash of the URL, as a file system's folder holds some millions of names only."""
+    name = F.concat(U.sanitize_key(seed_url), F.lit(".json"))
+    return F.concat(F.substring(F.md5(seed_url), 1, 3), F.lit("/"), name) if spread else name
+
+
+def responses_from_files(seeds: DataFrame, root: str, spread: bool = False) -> DataFrame:
     """``seed_url``, ``body`` and ``status`` (``ok``, ``missing_file``, ``unreadable``), one row per seed URL.
 
-    The seeds are the manifest: a seed's file has the URL as its name, made safe, and the ending ``.json``.
+    The seeds are the manifest: ``index_file`` names a seed's file.
     """
-    named = seeds.select("seed_url").distinct()
-    named = named.withColumn("__file", F.concat(U.sanitize_key(F.col("seed_url")), F.lit(".json")))
+    named = seeds.select("seed_url").distinct().withColumn("__file", index_file(F.col("seed_url"), spread))
     return read_listed(named.hint("rebalance", "__file"), "__file", root, "body").drop("__file")
 
 
