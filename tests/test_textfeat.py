@@ -50,3 +50,15 @@ def test_tfidf(docs, k):
     assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-12 for x in want)
     none = X.tfidf(docs, X.inverse_doc_freq(docs.limit(0), k=k), "k")
     assert none.columns == ["k", "term", "weight"] and none.count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 5, 1 << 20])
+def test_term_totals_make_no_row_per_occurrence(spark, docs, monkeypatch, words):
+    monkeypatch.setattr(X, "_WORDS", words)
+    rows = docs.unionByName(docs.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]).limit(2))
+    got = X.term_totals(rows)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    n = collections.Counter(g for t in TEXTS for g in plain_grams(t))
+    df = collections.Counter(g for t in TEXTS for g in set(plain_grams(t)))
+    assert {r.term: (r.n, r.df) for r in got.collect()} == {g: (n[g], df[g]) for g in n}
+    assert X.term_totals(docs.limit(0)).count() == 0

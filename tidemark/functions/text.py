@@ -30,13 +30,21 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
-def clean_text(text: Column) -> Column:
-    """Lower case; links, then everything but a-z, 0-9 and white space removed; stripped."""
+def _bare(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     # The two patterns.
     out = F.regexp_replace(out, r"(?U)http\S+", "")
-    out = F.regexp_replace(out, r"(?U)[^a-z0-9\s]", "")
-    return strip(out)
+    return F.regexp_replace(out, r"(?U)[^a-z0-9\s]+", "")
+
+
+def clean_text(text: Column) -> Column:
+    """Lower case; links, then everything but a-z, 0-9 and white space removed; stripped."""
+    return strip(_bare(text))
+
+
+def clean_words(text: Column) -> Column:
+    """``words`` of the cleaned text, which has no other letters than a-z."""
+    return F.regexp_extract_all(_bare(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def label_encode(label: Column) -> Column:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import let
-from tidemark.functions.text import bigrams, clean_text, hash_bucket, words
+from tidemark.functions.text import bigrams, clean_words, hash_bucket
 from tidemark.operators.ordered import running_sum
 from tidemark.session import written
 
@@ -19,11 +23,12 @@ from tidemark.session import written
 MAX_FEATURES = 60_000
 TRAIN_PERCENT = 80
 SPLIT_SEED = 42
+_WORDS = 1 << 20  # words counted at a time
 
 
 def grams(text: Column) -> Column:
     """Words and word pairs of the cleaned text, tokenised once."""
-    return let(words(clean_text(text)), lambda t: F.concat(t, bigrams(t)))
+    return let(clean_words(text), lambda t: F.concat(t, bigrams(t)))
 
 
 def with_grams(docs: DataFrame, text: str = "text", out: str = "grams") -> DataFrame:
@@ -69,21 +74,48 @@ def doc_freq(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def term_totals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n, df): total count and document frequency in one pass over the texts and one shuffle."""
+def _totals_of(lists: list[pa.ListArray]) -> Iterator[pa.RecordBatch]:
+    """(term, n, df) of some documents, given as lists of their words."""
+    coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    pair = np.nonzero(doc[1:] == doc[:-1])[0]
+    second = lambda key: words.take(pa.array(key % len(words)))
+    both = lambda key: pc.binary_join_element_wise(words.take(pa.array(key // len(words))), second(key), " ")
+    for key, of, named in ((code, doc, second), (code[pair] * len(words) + code[pair + 1], doc[pair], both)):
+        if not len(key):
+            continue
+        order = np.lexsort((of, key))
+        key, of = key[order], of[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        starts = np.nonzero(new)[0]
+        df = np.add.reduceat((new | np.r_[True, of[1:] != of[:-1]]).astype(np.int64), starts)
+        n = np.diff(np.r_[starts, len(key)])
+        yield pa.RecordBatch.from_arrays([named(key[starts]), pa.array(n), pa.array(df)], names=["term", "n", "df"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(0))
+        size += len(held[-1].flatten())
+        if size >= _WORDS:
+            yield from _totals_of(held)
+            held, size = [], 0
+    if size:
+        yield from _totals_of(held)
 
-    def marked(terms: Column, n: int, df: int) -> Column:
-        return F.transform(
-            terms,
-            lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(df).alias("df")),
-        )
 
-    both = let(
-        grams(F.col(text)), lambda g: F.concat(marked(g, 1, 0), marked(F.array_distinct(g), 0, 1))
-    )
-    return (
-        docs.select(F.inline(both)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    )
+def term_totals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n, df): total count and document frequency in one pass over the texts and one shuffle.
+
+    A task counts the words and pairs of about ``_WORDS`` words at a time as numbers, so rows are made per term of
+    these, not per occurrence.
+    """
+    tokens = docs.select(clean_words(F.col(text)).alias("words"))
+    counted = tokens.mapInArrow(_counted, "term string, n bigint, df bigint")
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def split(docs: DataFrame, key: str, seed: int = SPLIT_SEED, percent: int = TRAIN_PERCENT) -> DataFrame:
