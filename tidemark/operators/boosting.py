@@ -360,6 +360,10 @@ def fit(rows: DataFrame, terms: int, trees: int, depth: int, bins: int = 32) ->
     """
     blocks = written(_packed(rows.select("terms", "weights", F.col("label").cast("int").alias("label")), bins), "blocks")
     done: list[list[Split]] = []
+    # Adaptive execution doesn't join ranges whose sums are kept into fewer tasks: a task per 2^19 postings, and no more
+    # than run at once.
+    some = blocks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0] // (2 << 19) + 1  # two bytes each
+    dealt = min(-(-max(terms, 1) // _RANGE), blocks.sparkSession.sparkContext.defaultParallelism, some)
     above: list[DataFrame] = []  # the level above, of which the sums of its nodes are kept
 
     def best_of_level(growing: list[Split], nodes: list[int], sums: dict[int, tuple[int, int]]) -> dict[int, tuple]:
@@ -372,7 +376,7 @@ def fit(rows: DataFrame, terms: int, trees: int, depth: int, bins: int = 32) ->
             none = F.lit(None).cast("array<bigint>").alias("total")
             parts = parts.unionByName(kept.select("part", "node", "slots", "gs", "hs", none))
         best = (
-            parts.repartitionById(-(-max(terms, 1) // _RANGE), "part")
+            parts.repartitionById(dealt, F.col("part") % dealt)
             .sortWithinPartitions("part")
             .mapInArrow(_best_splits(wanted, {k: sums[k] for k in nodes if k}, bins, go_on), _BEST_DDL)
         )
