@@ -124,6 +124,7 @@ def test_linear_model_is_kept(spark, tmp_path):
 def test_only_the_lighter_child_is_summed(spark, monkeypatch):
     """Below the root half of the nodes are summed, over several blocks a task; the trees stay those of plain loops."""
     monkeypatch.setattr(B, "_POSTINGS", 40)
+    monkeypatch.setattr(B, "_TASK", 1)
     monkeypatch.setattr(B, "_RANGE", 4)
     asked, sums_of = [], B._level_sums
 

@@ -36,6 +36,7 @@ PER_OCTAVE = 4
 _ONE = 1 << 30
 _BLOCK = 1 << 14  # documents of a block at most, so a place in it has 16 bits
 _POSTINGS = 1 << 23  # postings of a block, but for the last document's
+_TASK = 1 << 19  # postings from which on sums are kept, and ranges dealt over several tasks
 _RANGE = 4096  # terms whose sums are added up together
 
 
@@ -250,7 +251,7 @@ def _best_splits(wanted: list[int], sums: dict[int, tuple[int, int]], bins: int,
                 parents[r["node"]] = slots, g, h
         nodes = {}
         for k in wanted:
-            if not k:
+            if not k or not parents:
                 every = np.nonzero(added[k][1])[0]
                 nodes[k] = every, *(x[every] for x in added[k])
             elif (k - 1) // 2 in parents:
@@ -360,18 +361,20 @@ def fit(rows: DataFrame, terms: int, trees: int, depth: int, bins: int = 32) ->
     """
     blocks = written(_packed(rows.select("terms", "weights", F.col("label").cast("int").alias("label")), bins), "blocks")
     done: list[list[Split]] = []
-    # Adaptive execution doesn't join ranges whose sums are kept into fewer tasks: a task per 2^19 postings, and no more
+    # Adaptive execution doesn't join ranges whose sums are kept into fewer tasks: a task per ``_TASK`` postings, and no more
     # than run at once.
-    some = blocks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0] // (2 << 19) + 1  # two bytes each
+    some = blocks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0] // (2 * _TASK) + 1  # two bytes each
     dealt = min(-(-max(terms, 1) // _RANGE), blocks.sparkSession.sparkContext.defaultParallelism, some)
     above: list[DataFrame] = []  # the level above, of which the sums of its nodes are kept
 
     def best_of_level(growing: list[Split], nodes: list[int], sums: dict[int, tuple[int, int]]) -> dict[int, tuple]:
         # Of the two children of a node the one with the smaller hessian.
         wanted = [k if sums[k][1] <= sums[k + 1][1] else k + 1 for k in nodes if k % 2] or [0]
-        go_on = 2 * nodes[-1] + 2 < (1 << depth) - 1
+        if some == 1:  # few postings are summed sooner than sums are kept
+            wanted = nodes
+        go_on = some > 1 and 2 * nodes[-1] + 2 < (1 << depth) - 1
         parts = blocks.mapInArrow(_level_sums(done, growing, wanted, bins, terms), _SUMS_DDL)
-        if nodes[0]:
+        if above:
             kept = above[-1].where(F.col("node").isin([(k - 1) // 2 for k in wanted]))
             none = F.lit(None).cast("array<bigint>").alias("total")
             parts = parts.unionByName(kept.select("part", "node", "slots", "gs", "hs", none))
