@@ -278,3 +278,32 @@ def test_large_pages_in_linear_time(spark):
         once = min(seconds(small.select(column)) for _ in range(3))
         assert seconds(large.select(column)) < 10 * once + 1
         small.unpersist(), large.unpersist()
+
+
+def test_found_elements_are_looked_for_once(spark):
+    """A searched element that is named in several places of a row's expression was searched again for each."""
+    nodes, runs = F.col("nodes"), F.col("runs")
+    frame = dom(spark, [""]).select(M.layout_3(nodes, runs).alias("m"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(") <= 30
+
+
+def test_rows_in_tables_inside_and_around_the_container(spark):
+    nodes, runs = F.col("nodes"), F.col("runs")
+    row = lambda name: f'<tr><td><a href="/u">{name}</a></td></tr>'
+    box = lambda inner: f'<div id="moderator-table">{inner}</div>'
+    pages = [
+        box(f"{row('no')}<table>{row('a')}<tr><td><table>{row('b')}</table></td></tr></table>{row('no')}<table>{row('c')}</table>"),
+        f"<table>{row('no')}<tr><td>{box(row('a') + '<table>' + row('b') + '</table>')}</td></tr>{row('no')}</table>",
+        f"<table>{row('no')}</table>{box(row('no'))}<table>{row('no')}</table>",
+    ]
+    got = dom(spark, pages).select(F.transform(M.layout_2(nodes, runs), lambda m: m["username"]).alias("names")).collect()
+    assert [r.names for r in got] == [["a", "b", "b", "c"], ["a", "b"], []]
+
+
+def test_costly_rows_keep_their_number_of_tasks(spark):
+    """Rows to be rendered are few bytes and much work; tasks joined by size left most cores idle in the end."""
+    from tidemark.plans.registry import dealt
+
+    rows = dealt(spark.range(1000).withColumnRenamed("id", "k"), "k")
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -85,6 +85,11 @@ def subtree(nodes: Column, a: Column) -> Column:
     return F.slice(nodes, a["i"] + 2, a["j"] - a["i"])
 
 
+def within(part: Column, a: Column) -> Column:
+    """Descendants of ``a``, which is a node of ``part``, a subtree: what is cut is the part, not the page."""
+    return F.slice(part, a["i"] + 2 - first(part)["i"], a["j"] - a["i"])
+
+
 def following(nodes: Column, a: Column) -> Column:
     """All nodes that start after ``a`` starts, its descendants included."""
     return F.slice(nodes, a["i"] + 2, F.size(nodes) - a["i"] - 1)
@@ -153,23 +158,37 @@ def running(values: Column, kind: str, zero: Column, step: Callable[[Column, Col
     return let(values, lambda v: F.when(F.size(v) > 0, folded(v)).otherwise(nothing))
 
 
-def reach(nodes: Column, *tests: Test) -> Column:
-    """For each place, how far the marked nodes that start up to there reach: the running greatest end.
-    Empty where no node is marked."""
+def outermost(nodes: Column, *tests: Test) -> Column:
+    """Nodes that pass all tests and are inside no other such node. Subtrees are nested, so one is inside
+    another where an earlier one ends after it."""
 
-    def marked(n: Column) -> Column:
-        passed = None
-        for test in tests:
-            passed = test(n) if passed is None else passed & test(n)
-        return F.coalesce(passed, F.lit(False))
+    def alone(marked: Column) -> Column:
+        ends = running(F.transform(marked, lambda n: n["j"].cast("int")), "int", F.lit(-1), lambda a, b: F.greatest(a, b))
+        return let(ends, lambda e: F.filter(marked, lambda n, k: n["i"] > F.coalesce(F.get(e, k - 1), F.lit(-1))))
+
+    return let(select(nodes, *tests), lambda marked: F.when(F.size(marked) > 1, alone(marked)).otherwise(marked))
+
+
+def reach(nodes: Column, *tests: Test) -> Column:
+    """For each place up to the end of the last marked node, the end of the outermost marked node it is in,
+    or -1. Empty where no node is marked."""
+
+    def spread(marked: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                marked,
+                lambda n, k: F.concat(
+                    F.array_repeat(F.lit(-1), n["i"] - F.coalesce(F.get(marked, k - 1)["j"], F.lit(-1)) - 1),
+                    F.array_repeat(n["j"].cast("int"), n["j"] - n["i"] + 1),
+                ),
+            )
+        )
 
-    ends = F.transform(nodes, lambda n: F.when(marked(n), n["j"].cast("int")).otherwise(F.lit(-1)))
-    scan = running(ends, "int", F.lit(-1), lambda a, b: F.greatest(a, b))
-    return F.when(F.exists(nodes, marked), scan).otherwise(F.array().cast("array<int>"))
+    return let(outermost(nodes, *tests), spread)
 
 
 def reached(n: Column, reaches: Column) -> Column:
-    """Whether ``n`` is inside a marked node: subtrees are nested, so one that starts before and ends after."""
+    """Whether ``n`` is inside a marked node, by ``reach``."""
     return F.coalesce(F.get(reaches, n["i"] - 1) >= n["i"], F.lit(False))
 
 

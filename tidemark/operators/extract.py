@@ -41,11 +41,8 @@ def moderator_rows(dom: DataFrame, *keys: str) -> DataFrame:
     """One row per moderator, ``pos`` in page order."""
     nodes, runs = F.col("nodes"), F.col("runs")
     return (
-        dom.select(
-            *keys,
-            moderators.layout_number(nodes).alias("layout"),
-            F.posexplode(moderators.roster(nodes, runs)).alias("pos", "m"),
-        )
+        dom.select(*keys, "nodes", "runs", moderators.layout_number(nodes).alias("layout"))
+        .select(*keys, "layout", F.posexplode(moderators.roster(nodes, runs, F.col("layout"))).alias("pos", "m"))
         .select(*keys, "layout", "pos", "m.*")
     )
 

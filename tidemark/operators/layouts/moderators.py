@@ -13,6 +13,7 @@ from tidemark.operators.dom import (
     has_attr,
     has_class,
     let,
+    outermost,
     raw_text,
     reach,
     reached,
@@ -20,6 +21,7 @@ from tidemark.operators.dom import (
     subtree,
     tag,
     text,
+    within,
 )
 
 ROSTER_TYPE = "array<struct<username:string,karma:bigint,permission:string,timestamp:string>>"
@@ -56,7 +58,10 @@ def layout_1(nodes: Column, runs: Column) -> Column:
             karma = first(select(sub, tag("span"), lambda n: digits_or_null(n["own"]).isNotNull()))
             when = first(select(sub, tag("time")))
             return _entry(
-                _stripped(runs, name), digits_or_null(karma["own"]), None, when["attrs"]["datetime"]
+                let(name, lambda n: _stripped(runs, n)),
+                let(karma["own"], digits_or_null),
+                None,
+                when["attrs"]["datetime"],
             )
 
         return let(subtree(nodes, c), read)
@@ -75,18 +80,29 @@ def layout_2(nodes: Column, runs: Column) -> Column:
         def read(sub: Column) -> Column:
             name = first(select(sub, tag("a"), has_attr("href")))
             karma = first(select(sub, tag("b")))
-            return _entry(_stripped(runs, name), digits_or_null(raw_text(runs, karma)))
+            return _entry(
+                let(name, lambda n: _stripped(runs, n)),
+                let(let(karma, lambda k: raw_text(runs, k)), digits_or_null),
+            )
 
         return let(subtree(nodes, r), read)
 
-    rows = let(
-        reach(nodes, tag("table")),
-        lambda tables: let(
-            _table_by_id(nodes),
-            lambda box: select(subtree(nodes, box), tag("tr"), lambda r: reached(r, tables)),
-        ),
-    )
-    return _named(F.transform(rows, row))
+    def rows(box: Column) -> Column:
+        # Rows in the box that are in a table; a table may be inside the box or around it.
+        return F.flatten(
+            F.transform(
+                outermost(nodes, tag("table")),
+                lambda t: let(
+                    F.greatest(t["i"], box["i"]),
+                    lambda i: select(
+                        F.slice(nodes, i + 2, F.greatest(F.least(t["j"], box["j"]) - i, F.lit(0))), tag("tr")
+                    ),
+                ),
+            )
+        )
+
+    found = let(_table_by_id(nodes), lambda box: F.when(box.isNotNull(), rows(box)))
+    return _named(F.transform(found, row))
 
 
 def _bits(nodes: Column) -> Column:
@@ -107,40 +123,53 @@ def permission(nodes: Column, runs: Column, sub: Column, summaries: Column) -> C
 
     ``summaries`` is ``summaries_reach`` of the page, so a bit is looked up, not compared with each.
     """
-    grey = first(select(sub, tag("span"), has_class("gray")))
-    by_label = F.when(grey.isNotNull(), text(runs, grey))
-    summary = first(select(sub, has_class("permission-summary")))
+    by_label = let(
+        first(select(sub, tag("span"), has_class("gray"))), lambda grey: F.when(grey.isNotNull(), text(runs, grey))
+    )
 
     def joined(bits: Column, read) -> Column:
         return F.when(F.size(bits) > 0, F.array_join(F.transform(bits, read), ", "))
 
+    summary = first(select(sub, has_class("permission-summary")))
     by_summary = let(
-        _bits(subtree(nodes, summary)), lambda bits: joined(bits, lambda b: strip(raw_text(runs, b)))
+        let(summary, lambda s: _bits(within(sub, s))),
+        lambda bits: joined(bits, lambda b: strip(raw_text(runs, b))),
     )
 
     def cell(td: Column) -> Column:
-        box = first(select(subtree(nodes, td), tag("div"), has_class("permissions")))
+        box = first(select(within(sub, td), tag("div"), has_class("permissions")))
         bits = let(
             box,
-            lambda b: F.filter(_bits(subtree(nodes, b)), lambda n: reached(n, summaries)),
+            lambda b: F.filter(_bits(within(sub, b)), lambda n: reached(n, summaries)),
         )
         return let(bits, lambda found: joined(found, lambda b: text(runs, b)))
 
     cells = F.transform(select(sub, tag("td")), cell)
-    by_cell = first(F.filter(cells, lambda c: c.isNotNull()))
-    field = first(select(sub, tag("input"), attr("name", "permissions")))
-    by_input = F.when(
-        field.isNotNull(), strip(F.coalesce(field["attrs"]["value"], F.lit("")))
+    # Bits count only inside summaries, so a page without one needs no look at its cells.
+    by_cell = F.when(F.size(summaries) > 0, first(F.filter(cells, lambda c: c.isNotNull())))
+    by_input = let(
+        first(select(sub, tag("input"), attr("name", "permissions"))),
+        lambda field: F.when(field.isNotNull(), strip(F.coalesce(field["attrs"]["value"], F.lit("")))),
     )
-    empty = F.lit("")
-    return F.coalesce(
-        F.nullif(by_label, empty),
-        F.nullif(by_summary, empty),
-        F.nullif(by_cell, empty),
-        by_input,
-        by_cell,
-        by_summary,
+
+    def given(value: Column) -> Column:
+        return F.when(value != "", value)
+
+    # Each way is tried once; the last three tell an empty text from none.
+    return let(
         by_label,
+        lambda label: F.coalesce(
+            given(label),
+            let(
+                by_summary,
+                lambda bits: F.coalesce(
+                    given(bits),
+                    let(by_cell, lambda found: F.coalesce(given(found), by_input, found)),
+                    bits,
+                ),
+            ),
+            label,
+        ),
     )
 
 
@@ -154,10 +183,10 @@ def layout_3(nodes: Column, runs: Column) -> Column:
                 karma = first(select(sub, tag("b")))
                 when = first(select(sub, tag("time")))
                 return _entry(
-                    F.when(name.isNotNull(), text(runs, name)),
-                    int_or_null(text(runs, karma)),
+                    let(name, lambda n: F.when(n.isNotNull(), text(runs, n))),
+                    let(let(karma, lambda k: text(runs, k)), int_or_null),
                     permission(nodes, runs, sub, summaries),
-                    F.when(when.isNotNull(), text(runs, when)),
+                    let(when, lambda n: F.when(n.isNotNull(), text(runs, n))),
                 )
 
             return let(subtree(nodes, r), read)
@@ -194,13 +223,23 @@ def layout_4(nodes: Column, runs: Column) -> Column:
 
 
 LAYOUTS = (
-    (1, lambda nodes: F.size(_cards(nodes)) > 0, layout_1),
-    (2, lambda nodes: _table_by_id(nodes).isNotNull(), layout_2),
-    (3, lambda nodes: _table_by_class(nodes).isNotNull(), layout_3),
-    (4, lambda nodes: _text_box(nodes).isNotNull(), layout_4),
+    (1, lambda nodes: _exists(nodes, tag("div"), attr("data-testid", "moderator")), layout_1),
+    (2, lambda nodes: _exists(nodes, tag("div"), attr("id", "moderator-table")), layout_2),
+    (3, lambda nodes: _exists(nodes, tag("div"), has_class("moderator-table")), layout_3),
+    (4, lambda nodes: _exists(nodes, tag("div"), has_class("md")), layout_4),
 )
 
 
+def _exists(nodes: Column, *tests) -> Column:
+    def passed(n: Column) -> Column:
+        out = tests[0](n)
+        for test in tests[1:]:
+            out = out & test(n)
+        return F.coalesce(out, F.lit(False))
+
+    return F.exists(nodes, passed)
+
+
 def layout_number(nodes: Column) -> Column:
     """First layout whose container is on the page, even if it yields no moderator."""
     chain = None
@@ -209,10 +248,15 @@ def layout_number(nodes: Column) -> Column:
     return chain
 
 
-def roster(nodes: Column, runs: Column) -> Column:
-    """Moderators by the first layout whose container exists; empty when there is none."""
-    chain = None
-    for _, exists, read in LAYOUTS:
-        rows = F.coalesce(read(nodes, runs), F.array().cast(ROSTER_TYPE)).cast(ROSTER_TYPE)
-        chain = F.when(exists(nodes), rows) if chain is None else chain.when(exists(nodes), rows)
-    return chain.otherwise(F.array().cast(ROSTER_TYPE))
+def roster(nodes: Column, runs: Column, number: Column | None = None) -> Column:
+    """Moderators by the first layout whose container exists; empty when there is none. ``number`` is the
+    page's layout, where it is known."""
+
+    def read(found: Column) -> Column:
+        chain = F
+        for layout, _, entries in LAYOUTS:
+            rows = F.coalesce(entries(nodes, runs), F.array().cast(ROSTER_TYPE)).cast(ROSTER_TYPE)
+            chain = chain.when(found == layout, rows)
+        return chain.otherwise(F.array().cast(ROSTER_TYPE))
+
+    return let(layout_number(nodes), read) if number is None else read(number)
