@@ -208,3 +208,11 @@ def test_error_numbers_go_on_natively(spark, tmp_path, monkeypatch):
     last = events.where("ts >= 48")
     again = jobs._number_batch(last, 4, f"{checkpoint}-seen", 1024)
     assert as_rows(again) == [r for r in want if r[2] >= 48]
+
+
+def test_tasks_are_not_joined_beyond_16_mb(spark):
+    """Small rows take many times their shuffled size in a task's hash table."""
+    from tidemark.session import configure
+
+    configure(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
