@@ -141,3 +141,17 @@ def test_close_edits_share_a_seed():
             b[rng.randrange(every) :: every] = rng.getrandbits(63)
             found += bool(set(P.seeds(a)[1].tolist()) & set(P.seeds(b)[1].tolist()))
         assert found >= least * 400, (every, found)
+
+
+def test_seeds_are_exchanged_once_and_not_stored(spark, monkeypatch):
+    """Seeds are most of what is on disk; they were stored, and exchanged for counts and for links."""
+    labels, dealt = [], []
+    stored, chain_table = P.stored, P._chain_table
+    monkeypatch.setattr(P, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    monkeypatch.setattr(P, "_chain_table", lambda hits, *more: dealt.append(hits) or chain_table(hits, *more))
+    texts = [(1, "a b c d e f g h " * 8), (2, "a b c d e f g h " * 8)]
+    P.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert "seeds" not in labels
+    links = dealt[0]._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    above_seeds = links.split("MapInArrow")[0]
+    assert "Window" in above_seeds and "Join" not in above_seeds

@@ -435,10 +435,11 @@ def repeated_passages(
         F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
     )
     rows = _one_per_key(rows)
-    table = stored(_seed_table(rows, kmer, window), "seeds")
-    first = table.groupBy("h").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    # Seeds are by far the most rows, so they are exchanged once and never stored.
+    same = Window.partitionBy("h").orderBy("key", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
-        table.join(first, "h")
+        _seed_table(rows, kmer, window)
+        .withColumn("f", F.first(F.struct("key", "at")).over(same))
         .where(F.col("key") != F.col("f.key"))
         .select("key", F.col("f.key").alias("source"), F.col("at").alias("x"), F.col("f.at").alias("y"))
     )
