@@ -17,11 +17,12 @@ are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import columns, emit, stored
@@ -30,6 +31,9 @@ KMER, WINDOW = 5, 4  # words of a seed, seeds of which one is kept
 _CONTEXT = 16  # seeds of which one is kept for longer contexts
 _PART = 20  # least words of a passage, parts of a stretch
 _BLOCK = 128  # words fetched together
+_RANGE_BITS = 12  # leading bits of a seed's hash by which seeds are dealt
+_HELD = 1 << 20  # seeds packed together
+_MATCHES = 8_192  # matches chained together
 _MEMO = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +82,10 @@ def _minimisers(h: np.ndarray, window: int) -> np.ndarray:
     """Positions of the least k-mers of all windows; of a run of one k-mer the first is kept, see runs()."""
     width = min(window, len(h))
     least = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    at = least + np.arange(len(least))  # never falls, as the first of equals is taken
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    at = at[new]
     new = np.ones(len(at), bool)
     new[1:] = h[at[1:]] != h[at[:-1]]
     return at[new]
@@ -103,8 +110,11 @@ def seeds(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = _kmers(words, kmer)
     at = _minimisers(h, window)
-    h = h[at]
-    return at, _mixed(h + _numbered(h) * _BASE)
+    return at, _numbered_hashes(h[at])
+
+
+def _numbered_hashes(h: np.ndarray) -> np.ndarray:
+    return _mixed(h + _numbered(h) * _BASE)
 
 
 def contexts(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +123,10 @@ def contexts(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple
     if len(words) < kmer:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = _kmers(words, kmer)
-    at = _minimisers(h, window)
+    return _contexts(h, _minimisers(h, window))
+
+
+def _contexts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again = at[_numbered(h[at]) > 0]
     sparse = _minimisers(h, _CONTEXT)
     places, hashes = [again], [_mixed(h[again])]
@@ -125,6 +138,16 @@ def contexts(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple
     return np.concatenate(places), np.concatenate(hashes)
 
 
+def all_seeds(words: np.ndarray, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds and the contexts, from one look at the k-mers."""
+    if len(words) < kmer:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = _kmers(words, kmer)
+    at = _minimisers(h, window)
+    more, hashes = _contexts(h, at)
+    return np.concatenate([at, more]), np.concatenate([_numbered_hashes(h[at]), hashes])
+
+
 class _PrefixMax:
     """Fenwick tree for the greatest value among the first places, and where it came from."""
 
@@ -205,6 +228,24 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _edits_along(steps: list[tuple[int, int]], here: np.ndarray, there: np.ndarray, at: int, there_at: int) -> int:
+    """Sum of the edits between each place and the next. Places in a row that are as far apart here as there are
+    compared at once, and only the steps with a word that differs are looked at."""
+    x, y = np.array(steps).T
+    apart = np.nonzero(np.diff(y - x))[0]  # steps of unlike lengths
+    odd = apart.tolist()
+    for i, j in zip([0, *(apart + 1).tolist()], [*odd, len(steps) - 1]):
+        if i < j:
+            a, b = here[x[i] - at : x[j] - at], there[y[i] - there_at : y[j] - there_at]
+            if len(a) != len(b):  # the words given end within
+                odd += range(i, j)
+            elif len(differ := np.nonzero(a != b)[0]):
+                odd += np.unique(np.searchsorted(x, differ + x[i], side="right") - 1).tolist()
+    return sum(
+        edits(here[x[i] - at : x[i + 1] - at], there[y[i] - there_at : y[i + 1] - there_at]) for i in odd
+    )
+
+
 def _extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, bool]:
     """How many words of both go on alike, letting single ones differ, and how many of them differ.
 
@@ -233,50 +274,144 @@ def align(
     The words are given from ``at`` and ``there_at`` on. Between matches the least edits are counted;
     beyond the outer ones the passage goes on as long as the words do.
     """
-    x0, y0 = chain[0]
+    (x0, y0), (x, y) = chain[0], chain[-1]
     left, cost, open_left = _extend(here[: x0 - at][::-1], there[: y0 - there_at][::-1])
-    x, y = x0, y0
-    for nx, ny in chain[1:]:
-        cost += edits(here[x - at : nx - at], there[y - there_at : ny - there_at])
-        x, y = nx, ny
-    cost += edits(here[x - at : x - at + kmer], there[y - there_at : y - there_at + kmer])
+    cost += _edits_along(chain + [(x + kmer, y + kmer)], here, there, at, there_at)
     right, more, open_right = _extend(here[x - at + kmer :], there[y - there_at + kmer :])
     return x0 - left, x + kmer + right, y0 - left, y + kmer + right, cost + more, open_left, open_right
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers in as many bytes each as the greatest needs, equal bytes of all together."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8")[:, 0]
+
+
+_PACKED = pa.schema(
+    [("part", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("steps", pa.binary())]
+    + [("least", pa.int64()), ("keys", pa.binary()), ("at", pa.binary())]
+)
+
+
 def _seed_table(docs: DataFrame, kmer: int, window: int) -> DataFrame:
+    """Seeds in rows of many: sorted by hash, a row per range of hashes, told by their leading bits.
+
+    Of the sorted hashes only the steps are kept, and of the keys what they are above the least.
+    """
+
+    def packed(h: np.ndarray, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(h)
+        h, keys, at = h[order], keys[order], at[order]
+        ends = np.searchsorted(h >> np.uint64(64 - _RANGE_BITS), np.arange(1 << _RANGE_BITS, dtype=np.uint64), "right")
+        out, i = [], 0
+        for part, j in enumerate(ends.tolist()):
+            if i < j:
+                hs, ks = h[i:j], keys[i:j]
+                least = ks.min()
+                steps = np.diff(hs, prepend=hs[:1])
+                above = ks.view(np.uint64) - least.view(np.uint64)
+                row = (part, j - i, int(hs[:1].view(np.int64)[0]), _pack(steps), int(least), _pack(above), _pack(at[i:j]))
+                out.append(row)
+            i = j
+        yield from emit(out, _PACKED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            keys, hashes, places = [], [], []
             for key, text in zip(*columns(batch, "key", "text"), strict=True):
-                words = word_hashes(text)
-                at, h = map(np.concatenate, zip(seeds(words, kmer, window), contexts(words, kmer, window)))
-                keys.append(np.full(len(at), key, np.int64))
-                hashes.append(h.view(np.int64))
-                places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in (hashes, keys, places)], names=["h", "key", "at"]
-            )
+                at, h = all_seeds(word_hashes(text), kmer, window)
+                if len(at):
+                    held.append((h, np.full(len(at), key, np.int64), at.astype(np.uint64)))
+                    n += len(at)
+                if n >= _HELD:
+                    yield from packed(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+        if n:
+            yield from packed(*map(np.concatenate, zip(*held)))
+
+    return docs.mapInArrow(run, "part int, n int, first long, steps binary, least long, keys binary, at binary")
+
+
+def shared(h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the seeds whose hash stands in several documents, and a number of each one's hash."""
+    order = np.argsort(h, kind="stable")
+    ranked = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    more = ~(new & np.r_[new[1:], True])  # most hashes stand once
+    order, new = order[more], new[more]
+    if not len(order):
+        return order, order
+    group = np.cumsum(new) - 1
+    starts = np.nonzero(new)[0]
+    several = np.logical_or.reduceat(keys[order] != keys[order[starts]][group], starts)[group]
+    return order[several], group[several]
+
+
+def _shared_seeds(packed: DataFrame) -> DataFrame:
+    """Seeds that stand in several documents, a row each; ``h`` is a number of the hash. A task holds the
+    seeds of one range of hashes at a time."""
+
+    def seeds_of(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        h, keys, at = [], [], []
+        for n, first, steps, least, above, places in rows:
+            h.append(np.cumsum(_unpack(steps, n), dtype=np.uint64) + np.array(first).astype(np.uint64))
+            keys.append((_unpack(above, n) + np.array(least).astype(np.uint64)).view(np.int64))
+            at.append(_unpack(places, n).astype(np.int32))
+        h, keys, at = map(np.concatenate, (h, keys, at))
+        found, group = shared(h, keys)
+        out = (group + (part << 48), keys[found], at[found])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["h", "key", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for p, *row in zip(*columns(batch, *_PACKED.names), strict=True):
+                if p != part and held:
+                    yield seeds_of(part, held)
+                    held = []
+                part = p
+                held.append(row)
+        if held:
+            yield seeds_of(part, held)
 
-    return docs.mapInArrow(run, "h long, key long, at int")
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "h long, key long, at int")
 
 
-def _block_table(docs: DataFrame) -> DataFrame:
-    """Words of each document as 16-bit hashes, in blocks."""
+def _word_table(docs: DataFrame, kmer: int) -> DataFrame:
+    """Words of each document as 16-bit hashes, in blocks; with the first block the runs of one k-mer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text in zip(*columns(batch, "key", "text"), strict=True):
-                words = (word_hashes(text) >> np.uint64(48)).astype("<u2")
+                words = word_hashes(text)
+                at, h, lengths = runs(words, kmer)
+                found = list(zip(h.view(np.int64).tolist(), lengths.tolist(), at.tolist())) or None
+                words = (words >> np.uint64(48)).astype("<u2")
                 for i in range(0, len(words), _BLOCK):
-                    out.append((key, i // _BLOCK, words[i : i + _BLOCK].tobytes(), i + _BLOCK >= len(words)))
+                    some = words[i : i + _BLOCK].tobytes()
+                    out.append((key, i // _BLOCK, some, i + _BLOCK >= len(words), None if i else found))
             yield from emit(out, _BLOCKS)
 
-    return docs.mapInArrow(run, "key long, block int, words binary, last boolean")
+    return docs.mapInArrow(
+        run, "key long, block int, words binary, last boolean, runs array<struct<h: long, length: int, at: int>>"
+    )
 
 
-_BLOCKS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("words", pa.binary()), ("last", pa.bool_())])
+_RUNS = pa.list_(pa.struct([("h", pa.int64()), ("length", pa.int32()), ("at", pa.int32())]))
+_BLOCKS = pa.schema(
+    [("key", pa.int64()), ("block", pa.int32()), ("words", pa.binary()), ("last", pa.bool_()), ("runs", _RUNS)]
+)
 _CHAINS = pa.schema(
     [
         ("key", pa.int64()),
@@ -287,29 +422,52 @@ _CHAINS = pa.schema(
 )
 
 
-def _chain_table(hits: DataFrame, kmer: int, most_gap: int) -> DataFrame:
+def _chain_table(hits: DataFrame, kmer: int, most_gap: int, gap: float = 0.1) -> DataFrame:
     """Chains between a document and an earlier one; any, as a passage may hold a single seed.
 
-    Hits come sorted by document and source, so one pair is held at a time.
+    Hits come sorted by document and source; those of whole pairs are looked at together, and the last pair
+    waits for its rest.
     """
 
-    def found(key, source, matches) -> list[tuple]:
-        each = chains(matches, float(kmer), most_gap=most_gap)
-        return [(key, source, [x for x, _ in c], [y for _, y in c]) for c in each]
+    def found(rows: np.ndarray) -> list[tuple]:
+        other = np.ones(rows.shape[1], bool)
+        other[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        key, source, x, y = rows[:, other]
+        new = np.ones(len(x), bool)
+        new[1:] = (key[1:] != key[:-1]) | (source[1:] != source[:-1])
+        dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
+        # Matches that all follow closely on the one before are one chain, with no search.
+        close = new | (dx > 0) & (dy > 0) & (gap * (dx + dy) < kmer) & (dx <= most_gap) & (dy <= most_gap)
+        starts = np.nonzero(new)[0]
+        plain = np.logical_and.reduceat(close, starts).tolist()
+        keys, sources, x, y = key[starts].tolist(), source[starts].tolist(), x.tolist(), y.tolist()
+        out = []
+        for k, s, one, i, j in zip(keys, sources, plain, starts.tolist(), [*starts[1:].tolist(), len(x)]):
+            if one:
+                out.append((k, s, x[i:j], y[i:j]))
+            else:
+                each = chains(list(zip(x[i:j], y[i:j])), float(kmer), gap, most_gap)
+                out += [(k, s, [a for a, _ in c], [b for _, b in c]) for c in each]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, matches = None, []
+        held, n, last = [], 0, None
         for batch in batches:
-            out = []
-            for key, source, x, y in zip(*columns(batch, "key", "source", "x", "y"), strict=True):
-                if (key, source) != pair:
-                    if pair:
-                        out += found(*pair, matches)
-                    pair, matches = (key, source), []
-                matches.append((x, y))
-            yield from emit(out, _CHAINS)
-        if pair:
-            yield from emit(found(*pair, matches), _CHAINS)
+            given = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            if not given.shape[1]:
+                continue
+            held.append(given)
+            n += given.shape[1]
+            pair = given[:2, -1].tolist()
+            if n >= _MATCHES and pair != last:
+                rows = np.concatenate(held, axis=1)
+                rest = int(np.argmax((rows[0] == pair[0]) & (rows[1] == pair[1])))
+                if rest:
+                    yield from emit(found(rows[:, :rest]), _CHAINS)
+                held, n = [rows[:, rest:]], rows.shape[1] - rest
+            last = pair
+        if held:
+            yield from emit(found(np.concatenate(held, axis=1)), _CHAINS)
 
     dealt = hits.repartition("key").sortWithinPartitions("key", "source", "x", "y")
     return dealt.mapInArrow(run, "key long, source long, x array<int>, y array<int>")
@@ -375,21 +533,6 @@ def _aligned(ids: DataFrame, blocks: DataFrame, similarity: float, part: int, km
         margin *= 4
 
 
-def _run_table(docs: DataFrame, kmer: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text in zip(*columns(batch, "key", "text"), strict=True):
-                at, h, lengths = runs(word_hashes(text), kmer)
-                out += [(*r, key) for r in zip(h.view(np.int64).tolist(), lengths.tolist(), at.tolist())]
-            yield from emit(out, _RUNS)
-
-    return docs.mapInArrow(run, "h long, length int, at int, key long")
-
-
-_RUNS = pa.schema([("h", pa.int64()), ("length", pa.int32()), ("at", pa.int32()), ("key", pa.int64())])
-
-
 def _run_hits(table: DataFrame) -> DataFrame:
     """Each run of one k-mer with the first run at least as long, or the longest one before where all are shorter.
 
@@ -408,6 +551,19 @@ def _run_hits(table: DataFrame) -> DataFrame:
     return hits.select("key", F.col("s.key").alias("source"), F.col("at").alias("x"), F.col("s.at").alias("y"))
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables stored meanwhile leave no shuffle files: they go as each write ends, not when the driver happens
+    to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _one_per_key(rows: DataFrame) -> DataFrame:
     """The least text of each key. Only texts of repeated keys are grouped."""
     repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
@@ -415,6 +571,25 @@ def _one_per_key(rows: DataFrame) -> DataFrame:
     return rows.join(repeated, "key", "left_anti").unionByName(folded)
 
 
+def _spans(rows: DataFrame, similarity: float, kmer: int, window: int, most_gap: int) -> DataFrame:
+    """Passages along chains of seeds, of whatever length."""
+    rows = _one_per_key(rows)
+    blocks = stored(_word_table(rows, kmer), "blocks")
+    # Seeds are by far the most data, so they are packed, exchanged once and never stored; those that stand in
+    # one document only go no further.
+    same = Window.partitionBy("h").orderBy("key", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = (
+        _shared_seeds(_seed_table(rows, kmer, window))
+        .withColumn("f", F.first(F.struct("key", "at")).over(same))
+        .where(F.col("key") != F.col("f.key"))
+        .select("key", F.col("f.key").alias("source"), F.col("at").alias("x"), F.col("f.at").alias("y"))
+    )
+    run_table = blocks.where("runs IS NOT NULL").select("key", F.inline("runs"))
+    hits = hits.unionByName(_run_hits(run_table.select("h", "length", "at", "key")))
+    chained = _chain_table(hits, kmer, most_gap).withColumn("chain", F.monotonically_increasing_id())
+    return _aligned(stored(chained, "chains"), blocks, similarity, _PART, kmer, _BLOCK // 2)
+
+
 def repeated_passages(
     docs: DataFrame,
     key: str = "doc_id",
@@ -434,19 +609,8 @@ def repeated_passages(
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")
     )
-    rows = _one_per_key(rows)
-    # Seeds are by far the most rows, so they are exchanged once and never stored.
-    same = Window.partitionBy("h").orderBy("key", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = (
-        _seed_table(rows, kmer, window)
-        .withColumn("f", F.first(F.struct("key", "at")).over(same))
-        .where(F.col("key") != F.col("f.key"))
-        .select("key", F.col("f.key").alias("source"), F.col("at").alias("x"), F.col("f.at").alias("y"))
-    )
-    hits = hits.unionByName(_run_hits(stored(_run_table(rows, kmer), "runs")))
-    chained = _chain_table(hits, kmer, most_gap).withColumn("chain", F.monotonically_increasing_id())
-    blocks = stored(_block_table(rows), "blocks")
-    spans = _aligned(stored(chained, "chains"), blocks, similarity, _PART, kmer, _BLOCK // 2)
+    with _shuffles_dropped(docs.sparkSession):
+        spans = _spans(rows, similarity, kmer, window, most_gap)
     # Spans of a document that meet are one stretch.
     in_doc = Window.partitionBy("doc_id").orderBy("start", "end", "source_id", "source_start")
     ends = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
