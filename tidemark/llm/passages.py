@@ -56,6 +56,58 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def _rotated(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def column_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same hashes for a column of texts at once, one text's after the other's, and where each text's
+    begin; the last of these is the number of all. Words of 32 bytes or more are hashed one by one."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, "<i8", len(texts) + 1, 8 * texts.offset)
+    size = int(bounds[-1] - bounds[0])
+    text = np.zeros(size + 8, np.uint8)
+    if size:
+        text[:size] = _LOWER[np.frombuffer(data, np.uint8, size, int(bounds[0]))]
+    bounds = bounds - bounds[0]
+    inside = np.zeros(size + 2, bool)  # of a word; a place is one further than in the text
+    inside[1:-1] = ~_BLANK[text[:size]]
+    begins = inside[1:] & ~inside[:-1]
+    ends = inside[:-1] & ~inside[1:]
+    begins[bounds] |= inside[1:][bounds]  # texts have no blanks between them
+    ends[bounds] |= inside[:-1][bounds]
+    at, stop = np.nonzero(begins)[0], np.nonzero(ends)[0]
+    size_of = stop - at
+    h = (size_of + 11).astype(np.uint64) + _XXH[5]
+    eights = np.ndarray(size + 1, "<u8", text, strides=(1,))
+    fours = np.ndarray(size + 5, "<u4", text, strides=(1,))
+    for k in range(3):
+        some = np.nonzero(size_of >= 8 * k + 8)[0]
+        lane = _rotated(eights[at[some] + 8 * k] * _XXH[2], 31) * _XXH[1]
+        h[some] = _rotated(h[some] ^ lane, 27) * _XXH[1] + _XXH[4]
+    rest, place = size_of & 7, at + (size_of & ~7)
+    some = np.nonzero(rest >= 4)[0]
+    h[some] = _rotated(h[some] ^ (fours[place[some]] * _XXH[1]), 23) * _XXH[2] + _XXH[3]
+    place[some] += 4
+    for k in range(3):
+        some = np.nonzero((rest & 3) > k)[0]
+        h[some] = _rotated(h[some] ^ (text[place[some] + k] * _XXH[5]), 11) * _XXH[1]
+    h = (h ^ (h >> np.uint64(33))) * _XXH[2]
+    h = (h ^ (h >> np.uint64(29))) * _XXH[3]
+    h ^= h >> np.uint64(32)
+    for i in np.nonzero(size_of >= 32)[0].tolist():
+        h[i] = xxhash.xxh64_intdigest(text[at[i] : stop[i]].tobytes(), 11)
+    return h, np.searchsorted(at, bounds)
+
+
+_XXH = np.array(
+    [0, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64
+)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -81,8 +133,13 @@ def runs(words: np.ndarray, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, n
 def _minimisers(h: np.ndarray, window: int) -> np.ndarray:
     """Positions of the least k-mers of all windows; of a run of one k-mer the first is kept, see runs()."""
     width = min(window, len(h))
-    least = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1)
-    at = least + np.arange(len(least))  # never falls, as the first of equals is taken
+    least, at, span = h, np.arange(len(h)), 1
+    while span < width:  # the least of a window, from those of two that cover it
+        step = min(span, width - span)
+        right = least[step:] < least[:-step]
+        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+        span += step
+    # Places never fall, as the first of equals is taken.
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1]
     at = at[new]
@@ -228,13 +285,12 @@ def edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _edits_along(steps: list[tuple[int, int]], here: np.ndarray, there: np.ndarray, at: int, there_at: int) -> int:
+def _edits_along(x: np.ndarray, y: np.ndarray, here: np.ndarray, there: np.ndarray, at: int, there_at: int) -> int:
     """Sum of the edits between each place and the next. Places in a row that are as far apart here as there are
     compared at once, and only the steps with a word that differs are looked at."""
-    x, y = np.array(steps).T
     apart = np.nonzero(np.diff(y - x))[0]  # steps of unlike lengths
     odd = apart.tolist()
-    for i, j in zip([0, *(apart + 1).tolist()], [*odd, len(steps) - 1]):
+    for i, j in zip([0, *(apart + 1).tolist()], [*odd, len(x) - 1]):
         if i < j:
             a, b = here[x[i] - at : x[j] - at], there[y[i] - there_at : y[j] - there_at]
             if len(a) != len(b):  # the words given end within
@@ -266,17 +322,19 @@ def _extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, bool
 
 
 def align(
-    chain: list[tuple[int, int]], here: np.ndarray, there: np.ndarray, at: int, there_at: int, kmer: int = KMER
+    xs: np.ndarray, ys: np.ndarray, here: np.ndarray, there: np.ndarray, at: int, there_at: int, kmer: int = KMER
 ) -> tuple[int, int, int, int, int, bool, bool]:
-    """Start and end here and there, and edits, of the passage along a chain, and whether the given words
+    """Start and end here and there, and edits, of the passage along a chain of places, and whether the given words
     gave out at its left and right.
 
     The words are given from ``at`` and ``there_at`` on. Between matches the least edits are counted;
     beyond the outer ones the passage goes on as long as the words do.
     """
-    (x0, y0), (x, y) = chain[0], chain[-1]
+    x0, y0, x, y = int(xs[0]), int(ys[0]), int(xs[-1]), int(ys[-1])
     left, cost, open_left = _extend(here[: x0 - at][::-1], there[: y0 - there_at][::-1])
-    cost += _edits_along(chain + [(x + kmer, y + kmer)], here, there, at, there_at)
+    a, b = here[x0 - at : x + kmer - at], there[y0 - there_at : y + kmer - there_at]
+    if len(a) != len(b) or (a != b).any() or (np.diff(ys - xs) != 0).any():
+        cost += _edits_along(np.append(xs, x + kmer), np.append(ys, y + kmer), here, there, at, there_at)
     right, more, open_right = _extend(here[x - at + kmer :], there[y - there_at + kmer :])
     return x0 - left, x + kmer + right, y0 - left, y + kmer + right, cost + more, open_left, open_right
 
@@ -326,8 +384,9 @@ def _seed_table(docs: DataFrame, kmer: int, window: int) -> DataFrame:
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            for key, text in zip(*columns(batch, "key", "text"), strict=True):
-                at, h = all_seeds(word_hashes(text), kmer, window)
+            words, bounds = column_hashes(batch.column("text"))
+            for key, i, j in zip(*columns(batch, "key"), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                at, h = all_seeds(words[i:j], kmer, window)
                 if len(at):
                     held.append((h, np.full(len(at), key, np.int64), at.astype(np.uint64)))
                     n += len(at)
@@ -393,8 +452,9 @@ def _word_table(docs: DataFrame, kmer: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text in zip(*columns(batch, "key", "text"), strict=True):
-                words = word_hashes(text)
+            hashes, bounds = column_hashes(batch.column("text"))
+            for key, start, end in zip(*columns(batch, "key"), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                words = hashes[start:end]
                 at, h, lengths = runs(words, kmer)
                 found = list(zip(h.view(np.int64).tolist(), lengths.tolist(), at.tolist())) or None
                 words = (words >> np.uint64(48)).astype("<u2")
@@ -494,15 +554,26 @@ def _align_once(ids: DataFrame, blocks: DataFrame, similarity: float, part: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            given = columns(batch, "chain", "key", "source", "x", "y", "b")
-            for chain, key, source, x, y, b in zip(*given, strict=True):
-                sides = [[p for p in b if p["side"] == s] for s in (0, 1)]
-                words = [np.frombuffer(b"".join(p["words"] for p in s), "<u2") for s in sides]
-                first = [s[0]["block"] * _BLOCK for s in sides]
-                a0, a1, b0, b1, cost, left, right = align(list(zip(x, y)), *words, *first, kmer)
+            xs, ys, fetched = (batch.column(n) for n in ("x", "y", "b"))
+            side, block, packed, last = fetched.values.flatten()
+            packed = packed.cast(pa.large_binary())
+            data = np.frombuffer(packed.buffers()[2] or b"", "<u2")
+            bounds = np.frombuffer(packed.buffers()[1], "<i8", len(packed) + 1, 8 * packed.offset) // 2
+            side, block, last = side.to_numpy(), block.to_numpy(), last.to_pylist()
+            x_bounds, y_bounds, b_bounds = (c.offsets.to_numpy() for c in (xs, ys, fetched))
+            xs, ys = xs.values.to_numpy(), ys.values.to_numpy()
+            given = columns(batch, "chain", "key", "source")
+            for n, (chain, key, source) in enumerate(zip(*given, strict=True)):
+                x, y = xs[x_bounds[n] : x_bounds[n + 1]], ys[y_bounds[n] : y_bounds[n + 1]]
+                i, k = b_bounds[n], b_bounds[n + 1]
+                j = i + int(np.searchsorted(side[i:k], 1))
+                words = [data[bounds[i] : bounds[j]], data[bounds[j] : bounds[k]]]
+                first = [int(block[i]) * _BLOCK, int(block[j]) * _BLOCK]
+                a0, a1, b0, b1, cost, left, right = align(x, y, *words, *first, kmer)
                 # The side with fewer words left ends the search; there must be more of it to fetch.
-                before = [(x[0] - first[0], first[0]), (y[0] - first[1], first[1])]
-                after = [(f + len(w) - z, not s[-1]["last"]) for f, w, z, s in zip(first, words, (x[-1], y[-1]), sides)]
+                ends = zip(first, words, (int(x[-1]), int(y[-1])), (last[j - 1], last[k - 1]))
+                before = [(int(x[0]) - first[0], first[0]), (int(y[0]) - first[1], first[1])]
+                after = [(f + len(w) - z, not end) for f, w, z, end in ends]
                 more = any(
                     is_open and all(rest for had, rest in ends if had == min(had for had, _ in ends))
                     for is_open, ends in ((left, before), (right, after))
