@@ -33,6 +33,7 @@ _PART = 20  # least words of a passage, parts of a stretch
 _BLOCK = 128  # words fetched together
 _RANGE_BITS = 12  # leading bits of a seed's hash by which seeds are dealt
 _HELD = 1 << 20  # seeds packed together
+_NEAR = 24  # words at which an end is looked for one by one
 _MATCHES = 8_192  # matches chained together
 _MEMO = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -311,6 +312,15 @@ def _extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, bool
     n = min(len(a), len(b))
     if not n:
         return 0, 0, True
+    # Most chance matches end within a few words.
+    total = best = take = 0
+    near = (a[: min(n, _NEAR)] == b[: min(n, _NEAR)]).tolist()
+    for i, alike in enumerate(near):
+        total += 1 if alike else -2
+        if total > best:
+            best, take = total, i + 1
+        elif best - total > drop:
+            return take, near[:take].count(False), False
     same = a[:n] == b[:n]
     total = np.cumsum(np.where(same, 1, -2))
     below = np.nonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > drop)[0]
@@ -333,7 +343,7 @@ def align(
     x0, y0, x, y = int(xs[0]), int(ys[0]), int(xs[-1]), int(ys[-1])
     left, cost, open_left = _extend(here[: x0 - at][::-1], there[: y0 - there_at][::-1])
     a, b = here[x0 - at : x + kmer - at], there[y0 - there_at : y + kmer - there_at]
-    if len(a) != len(b) or (a != b).any() or (np.diff(ys - xs) != 0).any():
+    if a.tobytes() != b.tobytes() or len(xs) > 2 and (np.diff(ys - xs) != 0).any():
         cost += _edits_along(np.append(xs, x + kmer), np.append(ys, y + kmer), here, there, at, there_at)
     right, more, open_right = _extend(here[x - at + kmer :], there[y - there_at + kmer :])
     return x0 - left, x + kmer + right, y0 - left, y + kmer + right, cost + more, open_left, open_right
@@ -485,11 +495,12 @@ _CHAINS = pa.schema(
 def _chain_table(hits: DataFrame, kmer: int, most_gap: int, gap: float = 0.1) -> DataFrame:
     """Chains between a document and an earlier one; any, as a passage may hold a single seed.
 
-    Hits come sorted by document and source; those of whole pairs are looked at together, and the last pair
-    waits for its rest.
+    Hits come sorted by document; those of whole documents are looked at together, and the last document
+    waits for its rest. Hits of a document are no more than its seeds.
     """
 
     def found(rows: np.ndarray) -> list[tuple]:
+        rows = rows[:, np.lexsort(rows[::-1])]
         other = np.ones(rows.shape[1], bool)
         other[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
         key, source, x, y = rows[:, other]
@@ -518,36 +529,42 @@ def _chain_table(hits: DataFrame, kmer: int, most_gap: int, gap: float = 0.1) ->
                 continue
             held.append(given)
             n += given.shape[1]
-            pair = given[:2, -1].tolist()
-            if n >= _MATCHES and pair != last:
+            key = int(given[0, -1])
+            if n >= _MATCHES and key != last:
                 rows = np.concatenate(held, axis=1)
-                rest = int(np.argmax((rows[0] == pair[0]) & (rows[1] == pair[1])))
+                rest = int(np.argmax(rows[0] == key))
                 if rest:
                     yield from emit(found(rows[:, :rest]), _CHAINS)
                 held, n = [rows[:, rest:]], rows.shape[1] - rest
-            last = pair
+            last = key
         if held:
             yield from emit(found(np.concatenate(held, axis=1)), _CHAINS)
 
-    dealt = hits.repartition("key").sortWithinPartitions("key", "source", "x", "y")
+    dealt = hits.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, source long, x array<int>, y array<int>")
 
 
 def _align_once(ids: DataFrame, blocks: DataFrame, similarity: float, part: int, kmer: int, margin: int) -> DataFrame:
-    """Passages along the chains; ``open`` are those of which more words have to be fetched."""
+    """Passages along the chains; ``open`` are those of which more words have to be fetched. ``x_last`` and
+    ``y_last`` are the last blocks of the two documents, where known.
+
+    Joins are by sorting: a few chains may ask for many blocks, so what is small in a file is not in memory."""
 
     def wanted(side: int, key: str, at: str):
         low = F.greatest(F.lit(0), F.element_at(at, 1) - margin)
         high = F.element_at(at, -1) + kmer + margin
-        each = F.sequence((low / _BLOCK).cast("int"), (high / _BLOCK).cast("int"))
+        each = F.sequence((low / _BLOCK).cast("int"), F.least((high / _BLOCK).cast("int"), F.col(f"{at}_last")))
         return ids.select("chain", F.lit(side).alias("side"), F.col(key).alias("key"), F.explode(each).alias("block"))
 
-    fetched = wanted(0, "key", "x").union(wanted(1, "source", "y")).join(blocks, ["key", "block"])
+    fetched = wanted(0, "key", "x").union(wanted(1, "source", "y")).join(
+        blocks.hint("merge"), ["key", "block"]
+    )
     each = F.struct("side", "block", "words", "last")
     fetched = fetched.groupBy("chain").agg(F.sort_array(F.collect_list(each)).alias("b"))
 
     schema = pa.schema(
-        [("chain", pa.int64()), ("open", pa.bool_()), ("doc_id", pa.int64()), ("source_id", pa.int64())]
+        [("chain", pa.int64()), ("open", pa.bool_()), ("x_last", pa.int32()), ("y_last", pa.int32())]
+        + [("doc_id", pa.int64()), ("source_id", pa.int64())]
         + [(c, pa.int32()) for c in ("start", "end", "source_start", "source_end", "edits", "seeds")]
     )
 
@@ -570,22 +587,25 @@ def _align_once(ids: DataFrame, blocks: DataFrame, similarity: float, part: int,
                 words = [data[bounds[i] : bounds[j]], data[bounds[j] : bounds[k]]]
                 first = [int(block[i]) * _BLOCK, int(block[j]) * _BLOCK]
                 a0, a1, b0, b1, cost, left, right = align(x, y, *words, *first, kmer)
-                # The side with fewer words left ends the search; there must be more of it to fetch.
-                ends = zip(first, words, (int(x[-1]), int(y[-1])), (last[j - 1], last[k - 1]))
-                before = [(int(x[0]) - first[0], first[0]), (int(y[0]) - first[1], first[1])]
-                after = [(f + len(w) - z, not end) for f, w, z, end in ends]
-                more = any(
-                    is_open and all(rest for had, rest in ends if had == min(had for had, _ in ends))
-                    for is_open, ends in ((left, before), (right, after))
-                )
+                more, whole = False, (last[j - 1], last[k - 1])
+                if left or right:
+                    # The side with fewer words left ends the search; there must be more of it to fetch.
+                    ends = zip(first, words, (int(x[-1]), int(y[-1])), whole)
+                    before = [(int(x[0]) - first[0], first[0]), (int(y[0]) - first[1], first[1])]
+                    after = [(f + len(w) - z, not end) for f, w, z, end in ends]
+                    more = any(
+                        is_open and all(rest for had, rest in ends if had == min(had for had, _ in ends))
+                        for is_open, ends in ((left, before), (right, after))
+                    )
                 length = max(a1 - a0, b1 - b0)
                 if more or length >= part and 1 - cost / length >= similarity:
-                    out.append((chain, more, key, source, a0, a1, b0, b1, cost, len(x)))
+                    ends = (int(block[i]) if end else None for i, end in zip((j - 1, k - 1), whole))
+                    out.append((chain, more, *ends, key, source, a0, a1, b0, b1, cost, len(x)))
             yield from emit(out, schema)
 
-    return ids.join(fetched, "chain").mapInArrow(
+    return ids.join(fetched.hint("merge"), "chain").mapInArrow(
         run,
-        "chain long, open boolean, doc_id long, source_id long, start int, end int, "
+        "chain long, open boolean, x_last int, y_last int, doc_id long, source_id long, start int, end int, "
         "source_start int, source_end int, edits int, seeds int",
     )
 
@@ -593,14 +613,16 @@ def _align_once(ids: DataFrame, blocks: DataFrame, similarity: float, part: int,
 def _aligned(ids: DataFrame, blocks: DataFrame, similarity: float, part: int, kmer: int, margin: int) -> DataFrame:
     """Passages along the chains ``ids``. Where words agree up to the end of the fetched blocks, four times
     as many are fetched, until they differ or the document ends."""
-    done, todo = None, ids
+    unknown = F.lit(None).cast("int")
+    done, todo = None, ids.select("*", unknown.alias("x_last"), unknown.alias("y_last"))
     while True:
         spans = stored(_align_once(todo, blocks, similarity, part, kmer, margin), "spans")
-        closed = spans.where("NOT open").drop("chain", "open")
+        closed = spans.where("NOT open").drop("chain", "open", "x_last", "y_last")
         done = closed if done is None else done.unionByName(closed)
         if spans.where("open").isEmpty():
             return done
-        todo = stored(ids.join(spans.where("open").select("chain"), "chain", "left_semi"), "chains")
+        rest = spans.where("open").select("chain", "x_last", "y_last")
+        todo = stored(ids.join(rest.hint("merge"), "chain"), "chains")
         margin *= 4
 
 
