@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import passages as P
 
@@ -155,3 +156,74 @@ def test_seeds_are_exchanged_once_and_not_stored(spark, monkeypatch):
     links = dealt[0]._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
     above_seeds = links.split("MapInArrow")[0]
     assert "Window" in above_seeds and "Join" not in above_seeds
+
+
+def test_words_of_a_column_are_hashed_as_one_by_one():
+    rng = random.Random(9)
+    letters = " \t\n\x0b\x0c\r\x1c\x85\xa0 ABCZaz09é漢😀\0"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 90))) for _ in range(400)]
+    texts += ["", None, "a", "x" * 31, "Y" * 32, "z" * 200 + " b", "  ", "end"]
+    for given in (texts, texts[:1], ["", ""], []):
+        for column in (pa.array(given, pa.string()), pa.array(given, pa.string())[1:]):
+            hashes, bounds = P.column_hashes(column)
+            each = [P.word_hashes(t) for t in column.to_pylist()]
+            assert bounds.tolist() == np.cumsum([0] + [len(w) for w in each]).tolist()
+            assert hashes.tolist() == [h for w in each for h in w.tolist()]
+
+
+def test_seeds_take_few_bytes_and_lose_none(spark):
+    """A seed took 23 bytes of the exchange, in a row of its own."""
+    rng = random.Random(10)
+    texts = [(k, " ".join(words(rng, 400))) for k in (5, -(2**62), 7, 2**62, 9, 10, 11, 12)] + [(13, ""), (14, "few words")]
+    df = spark.createDataFrame(texts, "key long, text string")
+    got = []
+    for row in P._seed_table(df.coalesce(1), P.KMER, P.WINDOW).collect():
+        h = (np.cumsum(P._unpack(row["steps"], row["n"]), dtype=np.uint64) + np.uint64(row["first"] % 2**64)).tolist()
+        keys = (P._unpack(row["keys"], row["n"]) + np.uint64(row["least"] % 2**64)).view(np.int64).tolist()
+        assert {x >> (64 - P._RANGE_BITS) for x in h} == {row["part"]}
+        got += zip(h, keys, P._unpack(row["at"], row["n"]).tolist())
+    want = []
+    for key, text in texts:
+        for find in (P.seeds, P.contexts):
+            at, h = find(P.word_hashes(text))
+            want += zip(h.tolist(), [key] * len(h), at.tolist())
+    assert sorted(got) == sorted(want)
+    many = spark.createDataFrame([(k, " ".join(words(rng, 400))) for k in range(300)], "key long, text string")
+    rows = P._seed_table(many.coalesce(1), P.KMER, P.WINDOW).collect()
+    assert sum(len(r["steps"]) + len(r["keys"]) + len(r["at"]) for r in rows) <= 12 * sum(r["n"] for r in rows)
+
+
+def test_plain_chains_need_no_search_and_are_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    hits = [(1, 0, i * 3 + 5, i * 3 + 9) for i in range(2000)] + [(2, 0, 7, 7), (2, 0, 7, 7)]
+    for key in range(3, 60):
+        for _ in range(rng.randint(1, 25)):
+            hits.append((key, rng.randint(0, 2), rng.randint(0, 150), rng.randint(0, 150)))
+    want = []
+    for pair in {h[:2] for h in hits}:
+        for c in P.chains([h[2:] for h in hits if h[:2] == pair]):
+            want.append((*pair, [x for x, _ in c], [y for _, y in c]))
+    df = spark.createDataFrame(hits, "key long, source long, x int, y int")
+    monkeypatch.setattr(P, "_MATCHES", 50)
+    assert sorted(map(tuple, P._chain_table(df, P.KMER, 64).collect())) == sorted(want)
+
+
+def test_edits_along_are_those_of_the_steps():
+    rng = random.Random(12)
+    for _ in range(300):
+        a = np.array([rng.randint(0, 2) for _ in range(80)], "<u2")
+        b = a.copy()
+        b[[rng.randrange(80) for _ in range(rng.randint(0, 4))]] = 7
+        b = np.delete(b, [rng.randrange(80) for _ in range(rng.randint(0, 2))])[: rng.randint(40, 80)]
+        x = np.array(sorted(rng.sample(range(76), 6)))
+        y = np.sort(np.clip(x - rng.randint(0, 1) * np.array([0, 0, 0, 1, 1, 1]), 0, None))
+        want = sum(P.edits(a[x[i] : x[i + 1]], b[y[i] : y[i + 1]]) for i in range(5))
+        assert P._edits_along(x, y, a, b, 0, 0) == want
+
+
+def test_shuffles_are_dropped_meanwhile_only(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with P._shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before

@@ -32,7 +32,7 @@ _CONTEXT = 16  # seeds of which one is kept for longer contexts
 _PART = 20  # least words of a passage, parts of a stretch
 _BLOCK = 128  # words fetched together
 _RANGE_BITS = 12  # leading bits of a seed's hash by which seeds are dealt
-_HELD = 1 << 20  # seeds packed together
+_HELD = 1 << 19  # seeds packed together
 _NEAR = 24  # words at which an end is looked for one by one
 _MATCHES = 8_192  # matches chained together
 _MEMO = 300_000
@@ -349,10 +349,10 @@ def align(
     return x0 - left, x + kmer + right, y0 - left, y + kmer + right, cost + more, open_left, open_right
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers in as many bytes each as the greatest needs, equal bytes of all together."""
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers in as many bytes each as the greatest needs, a row per byte of all together."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8)
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
@@ -378,16 +378,17 @@ def _seed_table(docs: DataFrame, kmer: int, window: int) -> DataFrame:
         order = np.argsort(h)
         h, keys, at = h[order], keys[order], at[order]
         ends = np.searchsorted(h >> np.uint64(64 - _RANGE_BITS), np.arange(1 << _RANGE_BITS, dtype=np.uint64), "right")
-        out, i = [], 0
-        for part, j in enumerate(ends.tolist()):
-            if i < j:
-                hs, ks = h[i:j], keys[i:j]
-                least = ks.min()
-                steps = np.diff(hs, prepend=hs[:1])
-                above = ks.view(np.uint64) - least.view(np.uint64)
-                row = (part, j - i, int(hs[:1].view(np.int64)[0]), _pack(steps), int(least), _pack(above), _pack(at[i:j]))
-                out.append(row)
-            i = j
+        parts = np.nonzero(np.diff(ends, prepend=0))[0]
+        starts, ends = np.r_[0, ends[parts][:-1]], ends[parts]
+        least = keys.min()
+        steps = np.diff(h, prepend=h[:1])
+        steps[starts] = 0
+        planes = _planes(steps), _planes(keys.view(np.uint64) - least.view(np.uint64)), _planes(at)
+        first = h[starts].view(np.int64).tolist()
+        out = []
+        for part, i, j, begin in zip(parts.tolist(), starts.tolist(), ends.tolist(), first):
+            hs, ks, places = (p[:, i:j].tobytes() for p in planes)
+            out.append((part, j - i, begin, hs, int(least), ks, places))
         yield from emit(out, _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
