@@ -138,3 +138,18 @@ def test_only_the_lighter_child_is_summed(spark, monkeypatch):
     assert [[s[:5] for s in t] for t in got] == [[s[:5] for s in t] for t in want]
     assert [0] in asked and max(map(len, asked)) == 2  # of the four nodes of the last level
     assert all(len({(k - 1) // 2 for k in w}) == len(w) for w in asked)
+
+
+def test_postings_dealt_by_term_exchange_no_sums(spark, monkeypatch):
+    """Up to some documents, parts hold all documents of their terms; the trees stay those of plain loops."""
+
+    def never(*_):
+        raise AssertionError("sums of blocks are exchanged")
+
+    monkeypatch.setattr(B, "_level_sums", never)
+    monkeypatch.setattr(B, "_BLOCK", 40)
+    monkeypatch.setattr(B, "_TASK", 100)  # several parts
+    docs, labels = rows_of(150, 9, 3)
+    got, want = B.fit(frame(spark, docs, labels, 3), 9, 3, 3), plain_fit(docs, labels, 3, 3)
+    assert [[s[:5] for s in t] for t in got] == [[s[:5] for s in t] for t in want] and len(got[0]) > 7
+    assert np.allclose([s.value for t in got for s in t], [s.value for t in want for s in t])

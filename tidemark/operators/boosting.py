@@ -10,8 +10,12 @@ Below the root only the lighter child of each split is summed; the other one's s
 terms for one level, less these. A term whose hessian in a node is too small for any side of a split is not kept
 for the nodes below.
 
+Up to ``_FEW`` * ``_TASK`` documents, postings are dealt by term instead: a part holds all documents of its terms, so it sums and
+splits alone, and a level is a job of one stage without a shuffle. The driver then keeps margin and node of each document,
+and tasks send it a bit for each document of a node, the side that it would go to.
+
 Gradients are whole numbers of 2^-30, so sums don't depend on how the rows are partitioned, and neither do
-the trees. Nothing is kept per document between jobs: a block finds its margins and nodes from the trees so
+the trees, which are the same either way. With more documents nothing is kept of each between jobs: a block finds its margins and nodes from the trees so
 far, which the driver holds (at most 2^depth splits a tree). A lost task is simply run again.
 
 Weights are cut into geometric bins, ``PER_OCTAVE`` to a doubling; the lowest one takes all smaller weights.
@@ -37,6 +41,8 @@ _ONE = 1 << 30
 _BLOCK = 1 << 14  # documents of a block at most, so a place in it has 16 bits
 _POSTINGS = 1 << 23  # postings of a block, but for the last document's
 _TASK = 1 << 19  # postings from which on sums are kept, and ranges dealt over several tasks
+_PART = 8  # shares of ``_TASK`` postings of a part at most
+_FEW = 2  # times ``_TASK`` documents at most have their state in the driver
 _RANGE = 4096  # terms whose sums are added up together
 
 
@@ -154,8 +160,8 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.nonzero(np.r_[True, values[1:] != values[:-1]])[0] if len(values) else np.zeros(0, np.int64)
 
 
-def _gradients(block: Block, labels: np.ndarray, trees: list[list[Split]]) -> tuple[np.ndarray, np.ndarray]:
-    p = 1 / (1 + np.exp(-block.margins(trees)))
+def _gradients(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-margins))
     return np.rint((p - labels) * _ONE), np.rint(p * (1 - p) * _ONE)
 
 
@@ -163,6 +169,18 @@ def _cells(slots: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[bytes, byte
     return slots.astype("<i4").tobytes(), g.astype("<i8").tobytes(), h.astype("<i8").tobytes()
 
 
+def _lasting(slot: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -> tuple[np.ndarray, ...]:
+    """Cells of the terms that can part off a side of a split here or below."""
+    there = h > 0
+    slot, g, h = slot[there], g[there], h[there]
+    if not len(slot):
+        return slot, g, h
+    starts = _starts(slot // bins)
+    enough = np.add.reduceat(h, starts) >= LEAST_HESSIAN * _ONE
+    kept = np.repeat(enough, np.diff(np.r_[starts, len(slot)]))
+    return slot[kept], g[kept], h[kept]
+
+
 def _level_sums(trees: list[list[Split]], growing: list[Split], wanted: list[int], bins: int, terms: int):
     """Sums per (node, term, bin) of a task's blocks for the ``wanted`` nodes, in ranges of terms, with the totals
     of the nodes. Slots count from the start of their range."""
@@ -180,7 +198,7 @@ def _level_sums(trees: list[list[Split]], growing: list[Split], wanted: list[int
                 y, distinct = np.frombuffer(labels, "<i1"), np.frombuffer(distinct, "<i4")
                 sizes, docs = np.frombuffer(sizes, "<i4"), np.frombuffer(docs, "<u2")
                 block = Block(np.repeat(distinct, sizes), docs, len(y), bins)
-                both = _gradients(block, y, trees)
+                both = _gradients(block.margins(trees), y)
                 of = number[block.place_in(growing)]
                 open_ = of >= 0
                 for at, x in enumerate(both):
@@ -227,17 +245,6 @@ def _best_splits(wanted: list[int], sums: dict[int, tuple[int, int]], bins: int,
     Rows are the sums of the ``wanted`` nodes, and below the root those of their parents. With ``go_on`` the nodes'
     sums are given as well."""
 
-    def lasting(slot: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cells of the terms that can part off a side of a split here or below."""
-        there = h > 0
-        slot, g, h = slot[there], g[there], h[there]
-        if not len(slot):
-            return slot, g, h
-        starts = _starts(slot // bins)
-        enough = np.add.reduceat(h, starts) >= LEAST_HESSIAN * _ONE
-        kept = np.repeat(enough, np.diff(np.r_[starts, len(slot)]))
-        return slot[kept], g[kept], h[kept]
-
     def best(part: int, rows: list[dict]) -> list[tuple]:
         added = {k: (np.zeros(_RANGE * bins, np.int64), np.zeros(_RANGE * bins, np.int64)) for k in wanted}
         parents = {}
@@ -261,7 +268,7 @@ def _best_splits(wanted: list[int], sums: dict[int, tuple[int, int]], bins: int,
                 nodes[k + 1 if k % 2 else k - 1] = slots, *(w - x for w, x in zip(whole, own))
         out = []
         for k, cells in sorted(nodes.items()):
-            slots, g, h = lasting(*cells)
+            slots, g, h = _lasting(*cells, bins)
             G, H = sums[k] if k else np.array([r["total"] for r in rows]).sum(axis=0).tolist()
             gain, term, *more = split_of(slots, g, h, G, H, bins) or (0.0, -1, 0, False, 0, 0)
             # The root tells its totals also where this range has no split of it.
@@ -355,15 +362,163 @@ def grow(tree: int, depth: int, best_of_level) -> list[Split]:
     return splits + [leaf(node) for node in sorted(live)]
 
 
+_COLUMN = pa.schema([("part", pa.int32()), ("first", pa.int64()), *((c, pa.binary()) for c in ("slots", "sizes", "docs"))])
+_COLUMN_DDL = "part int, first long, slots binary, sizes binary, docs binary"
+
+
+def _cut(first: dict[int, int], parts: int, bins: int):
+    """Each block's postings by part, which is the term modulo ``parts``; documents are counted over all blocks, from
+    the block's ``first`` one on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, *packed in zip(*(_column(batch, c).to_pylist() for c in ("at", "distinct", "sizes", "docs"))):
+                slots, sizes, docs = (np.frombuffer(x, kind) for x, kind in zip(packed, ("<i4", "<i4", "<u2")))
+                part = slots // bins % parts
+                of = np.repeat(part, sizes)
+                docs = docs[np.argsort(of, kind="stable")].astype("<i4") + np.int32(first[at])
+                cells = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[cells], np.arange(parts + 1))
+                ends = np.r_[0, np.cumsum(sizes[cells])][cuts]
+                for k in range(parts):
+                    here = cells[cuts[k] : cuts[k + 1]]
+                    if len(here):
+                        held = (x.astype("<i4").tobytes() for x in (slots[here], sizes[here], docs[ends[k] : ends[k + 1]]))
+                        row = (k, first[at], *held)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _COLUMN)], schema=_COLUMN)
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per part, its postings in the order of (term, bin, document). Rows come by part and first document."""
+
+    def row(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        slots, sizes, docs = (np.concatenate([np.frombuffer(r[i], "<i4") for r in rows]) for i in range(3))
+        slots = np.repeat(slots, sizes)
+        order = np.argsort(slots, kind="stable")
+        slots, docs = slots[order], docs[order]
+        starts = _starts(slots)
+        held = (slots[starts], np.diff(np.r_[starts, len(slots)]), docs)
+        cells = (part, 0, *(x.astype("<i4").tobytes() for x in held))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(cells, _COLUMN)], schema=_COLUMN)
+
+    part, rows = None, []
+    for batch in batches:
+        for k, *held in zip(*(_column(batch, c).to_pylist() for c in ("part", "slots", "sizes", "docs"))):
+            if k != part and rows:
+                yield row(part, rows)
+                rows = []
+            part = k
+            rows.append(held)
+    if rows:
+        yield row(part, rows)
+
+
+def _best_in_parts(gradients, place: np.ndarray, nodes: list[tuple[int, int, int]], bins: int):
+    """The best split of each of the ``nodes`` (number, sums) within a task's parts, and which of the node's documents
+    go right. ``place`` is the index of each document's node among these, or less than 0."""
+
+    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
+        both = gradients.value
+        best: dict[int, tuple] = {}
+        for packed in parts:
+            slots, sizes, docs = (np.frombuffer(x, "<i4") for x in packed)
+            width, cells = len(nodes), len(slots)
+            cell, of, held = np.repeat(np.arange(cells), sizes), place[docs], docs
+            if (of < 0).any():
+                here = np.nonzero(of >= 0)[0]
+                cell, of, held = cell[here], of[here], docs[here]
+            if width > 1:
+                cell += of * np.int64(cells)
+            # Sums of whole numbers below 2^53 are exact in doubles.
+            sums = [np.bincount(cell, x[held], width * cells).reshape(width, -1) for x in both]
+            ends = np.r_[0, np.cumsum(sizes)]
+            for at, (node, G, H) in enumerate(nodes):
+                there = np.nonzero(sums[1][at])[0]
+                g, h = (x[at, there].astype(np.int64) for x in sums)
+                found = split_of(*_lasting(slots[there], g, h, bins), G, H, bins)
+                if found and (node not in best or (-found[0], found[1]) < (-best[node][0], best[node][1])):
+                    _, term, bin_, absent, *_ = found
+                    a, b = np.searchsorted(slots, np.array([term, term + 1], slots.dtype) * bins)
+                    right = np.full(len(place), absent)
+                    right[docs[ends[a] : ends[b]]] = np.repeat(slots[a:b] >= term * bins + bin_, sizes[a:b])
+                    best[node] = *found, np.packbits(right[place == at]).tobytes()
+        return iter(best.items())
+
+    return run
+
+
+def _fit_by_terms(blocks: DataFrame, some: int, trees: int, depth: int, bins: int) -> list[list[Split]]:
+    """Trees from parts that hold all documents of their terms: no sums are exchanged, and a level is one job of one
+    stage. The driver keeps the margin and the node of every document."""
+    context = blocks.sparkSession.sparkContext
+    first, labels, n = {}, [np.zeros(0, np.int8)], 0
+    for at, held in sorted(map(tuple, blocks.select("at", "labels").collect())):
+        first[at] = n
+        labels.append(np.frombuffer(held, "<i1"))
+        n += len(held)
+    labels = np.concatenate(labels)
+    slots = context.defaultParallelism
+    parts = some if some < slots else slots * -(-some // (_PART * slots))
+    cut = blocks.mapInArrow(_cut(first, parts, bins), _COLUMN_DDL).repartitionById(parts, F.col("part"))
+    columns = written(cut.sortWithinPartitions("part", "first").mapInArrow(_joined, _COLUMN_DDL), "columns")
+    # Of an RDD, as the plan of a query takes longer to make than a level to sum.
+    columns = columns.select("slots", "sizes", "docs").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    margins, done = np.zeros(n), []
+    try:
+        for tree in range(trees):
+            both = _gradients(margins, labels)
+            gradients = context.broadcast(both)
+            node_of = np.zeros(n, np.int32)
+
+            def best_of_level(growing: list[Split], nodes: list[int], sums: dict[int, tuple[int, int]]) -> dict[int, tuple]:
+                if not n:
+                    return {}
+                known = {k: sums[k] if k else tuple(int(x.sum()) for x in both) for k in nodes}
+                index = np.full(2 * max(nodes) + 3, -1, np.int16)
+                index[nodes] = np.arange(len(nodes))
+                place = index[node_of]
+                of_nodes = [(k, *known[k]) for k in nodes]
+                best: dict[int, tuple] = {}
+                found = columns.mapPartitions(_best_in_parts(gradients, place, of_nodes, bins)).collect()
+                for node, (*split, right) in found:  # one per node and task
+                    if node not in best or (-split[0], split[1]) < (-best[node][0][0], best[node][0][1]):
+                        best[node] = split, right
+                for node, (_, right) in best.items():
+                    members = np.nonzero(node_of == node)[0]
+                    node_of[members] = 2 * node + 1 + np.unpackbits(np.frombuffer(right, np.uint8), count=len(members))
+                none = [0.0, -1, 0, False, 0, 0]
+                return {k: (*best.get(k, (none,))[0], *known[k]) for k in nodes}
+
+            try:
+                splits = grow(tree, depth, best_of_level)
+            finally:
+                gradients.destroy()
+            done.append(splits)
+            value = np.zeros(1 + max(s.node for s in splits))
+            for s in splits:
+                value[s.node] = s.value
+            margins += value[node_of]
+    finally:
+        columns.unpersist()
+    return done
+
+
 def fit(rows: DataFrame, terms: int, trees: int, depth: int, bins: int = 32) -> list[list[Split]]:
     """Trees of depth ``depth`` for ``label`` 0 or 1 from non-zero ``weights`` of ``terms`` (numbers below
     the given one). Rows are documents; the logistic loss starts from a margin of 0.
     """
-    blocks = written(_packed(rows.select("terms", "weights", F.col("label").cast("int").alias("label")), bins), "blocks")
+    packed = _packed(rows.select("terms", "weights", F.col("label").cast("int").alias("label")), bins)
+    blocks = written(packed.withColumn("at", F.monotonically_increasing_id()), "blocks")
+    size = [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in ("docs", "labels")]
+    postings, documents = blocks.agg(*size).first()
+    some = postings // (2 * _TASK) + 1  # two bytes each
+    if documents <= _FEW * _TASK:
+        return _fit_by_terms(blocks, some, trees, depth, bins)
     done: list[list[Split]] = []
     # Adaptive execution doesn't join ranges whose sums are kept into fewer tasks: a task per ``_TASK`` postings, and no more
     # than run at once.
-    some = blocks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0] // (2 * _TASK) + 1  # two bytes each
     dealt = min(-(-max(terms, 1) // _RANGE), blocks.sparkSession.sparkContext.defaultParallelism, some)
     above: list[DataFrame] = []  # the level above, of which the sums of its nodes are kept
 
