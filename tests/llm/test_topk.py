@@ -48,3 +48,20 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(df, F.col("id") == 0, k=2).collect()))
     assert got == sorted(2 * [(0, 1, 2, 3 << 20), (0, 2, 1, 2 << 20)])
+
+
+def test_no_vectors_through_the_driver(spark, monkeypatch):
+    """Stored blocks of like vectors are small files; their joins are no broadcasts all the same."""
+    plans, written = [], topk.stored
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(topk, "stored", noted)
+    rows = [(i, [1.0, float(i % 2), 40.0 if i == 7 else 0.0]) for i in range(300)]  # of two and of four bytes a value
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = topk.top_k(df, F.col("id") % 10 == 0, k=7)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == plain(rows, 7, 10)
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("BroadcastExchange" in p for p in plans)

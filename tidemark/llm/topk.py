@@ -5,6 +5,9 @@ histogram over the interval that still holds the k-th highest score, and the nex
 in which it lies. When every interval is one score wide, a last pass keeps the scores above it and, of
 those equal to it, as many of the smallest keys as are still wanted. Scores are never stored.
 
+Vectors meet by shuffles only: stored blocks and states take far less room than what they hold, so a join that went by
+the size of their files would send all of it through the driver.
+
 A vector that is null, empty, or holds a null or non-finite component takes no part, nor does a vector
 with a null key. Scores are defined between vectors of one length and must fit 62 bits. Repeated rows
 count as often as they occur, as queries and as candidates; rows with the query's own key are no
@@ -29,7 +32,8 @@ _EXACT = 1 << 52  # below this, sums of products are exact in doubles
 
 
 def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
-    """Vectors of one length packed into blocks: ids and values as bytes, rows in order within a task."""
+    """Vectors of one length packed into blocks: ids and values as bytes, rows in order within a task. Values
+    take as many bytes as the largest of them needs."""
     schema = pa.schema(
         [("dim", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("largest", pa.float64())]
     )
@@ -37,7 +41,8 @@ def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
     def pack(dim: int, part: list[tuple]) -> tuple:
         values = np.array([v for _, v in part], "<i8")
         norms = np.sqrt((values.astype(np.float64) ** 2).sum(axis=1))
-        return dim, np.array([i for i, _ in part], "<i8").tobytes(), values.tobytes(), float(norms.max())
+        kind = next(k for k in ("<i2", "<i4", "<i8") if np.abs(values).max() <= np.iinfo(k).max)
+        return dim, np.array([i for i, _ in part], "<i8").tobytes(), values.astype(kind).tobytes(), float(norms.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_blocks: dict[int, list[tuple]] = {}
@@ -60,6 +65,10 @@ def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
     return rows.mapInArrow(run, "dim int, ids binary, values binary, largest double")
 
 
+def _matrix(values: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(values, f"<i{len(values) // (n * dim)}").reshape(n, dim).astype(np.int64)
+
+
 def _scores(queries: np.ndarray, rows: np.ndarray, bound: float) -> np.ndarray:
     """Inner products, exact: in doubles while sums are small enough, else in 64-bit integers."""
     if bound < _EXACT:
@@ -73,8 +82,8 @@ class _Pair:
     def __init__(self, dim, q_ids, q_values, q_largest, ids, values, largest):
         self.q_ids, self.ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
         self.scores = _scores(
-            np.frombuffer(q_values, "<i8").reshape(-1, dim),
-            np.frombuffer(values, "<i8").reshape(-1, dim),
+            _matrix(q_values, len(self.q_ids), dim),
+            _matrix(values, len(self.ids), dim),
             q_largest * largest,
         )
         self.other = self.q_ids[:, None] != self.ids[None, :]
@@ -174,6 +183,7 @@ def top_k(
     queries = stored(queries.withColumn("q_block", F.monotonically_increasing_id()), "queries")
     blocks = _blocks(rows, _ROW_BLOCK).withColumn("lane", F.monotonically_increasing_id() % lanes)
     blocks = stored(blocks, "blocks")
+    dealt = blocks.repartition(lanes, "dim", "lane")  # as many tasks as lanes, however little they read
     largest = blocks.agg(F.max("largest")).first()[0]
     if largest is None:
         return blocks.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -186,8 +196,10 @@ def top_k(
         listed = F.sort_array(F.collect_list(F.struct("at", *names)))  # one entry per query of a block
         packed = state.groupBy("q_block").agg(listed.alias("s"))
         packed = packed.select("q_block", *[F.col(f"s.{n}").alias(n) for n in names])
-        copies = queries.join(packed, "q_block").withColumn("q_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        return blocks.join(copies, (F.col("dim") == F.col("q_dim")) & (F.col("lane") == F.col("q_lane")))
+        copies = queries.join(packed.hint("merge"), "q_block")
+        copies = copies.withColumn("q_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
+        copies = copies.repartition(lanes, "q_dim", "q_lane").hint("merge")
+        return dealt.join(copies, (F.col("dim") == F.col("q_dim")) & (F.col("lane") == F.col("q_lane")))
 
     bound = min((int(largest) + 1) ** 2, (1 << 61) - 1)
     span = 2 * bound + 1
@@ -199,7 +211,7 @@ def top_k(
         counts = _histograms(against(state, "low"), span, width)
         downwards = Window.partitionBy("q_block", "at").orderBy(F.desc("bin"))  # as many rows as bins
         counts = counts.withColumn("upto", F.sum("n").over(downwards)).join(
-            state.select("q_block", "at", "wanted"), ["q_block", "at"]
+            state.select("q_block", "at", "wanted").hint("merge"), ["q_block", "at"]
         )
         # The bin in which the wanted score lies; with fewer scores than wanted, the lowest one.
         enough = F.when(F.col("upto") >= F.col("wanted"), F.struct("bin", "upto", "n"))
@@ -208,7 +220,7 @@ def top_k(
         )
         above = F.coalesce(F.col("h.upto") - F.col("h.n"), F.lit(0))
         moved = stored(
-            state.join(hit, ["q_block", "at"], "left").select(
+            state.join(hit.hint("merge"), ["q_block", "at"], "left").select(
                 "q_block",
                 "at",
                 (F.col("low") + F.coalesce("h.bin", F.lit(0)) * F.lit(width).cast("long")).alias("low"),
