@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
+from tidemark.plans import q_sources
 from tidemark.sources import capture_index, files, page_store, tsv
 from tidemark.sources.tables import KeyedTable, VersionedTable
 
@@ -213,3 +215,38 @@ def test_text_expressions(spark):
     assert values(spark, karma, X.int_or_null) == [12, 5, None, None, None, -3]
     grams = values(spark, ["No personal attacks", "a b", ""], lambda t: X.bigrams(X.words(t)))
     assert grams == [["no personal", "personal attacks"], [], []]
+
+
+def test_index_files_are_written_and_removed_in_rounds(spark, tmp_path, monkeypatch):
+    """No more than a round's files are on the disk at a time, none are left, and no row is lost."""
+    monkeypatch.setattr(q_sources, "_FILES", 60)
+    held, root, files_of = [], [], q_sources._index_files
+
+    def noted(responses, at):
+        read = files_of(responses, at)
+        root.append(at)
+        held.append(sum(len(names) for _, _, names in os.walk(at)))
+        return read
+
+    monkeypatch.setattr(q_sources, "_index_files", noted)
+    keys = [*range(200), 200, 200, None]  # orders 200 and the one without a key: repeats and nulls are rows as others
+    orders = spark.createDataFrame([(k, (k or 0) % 7, f"1996-0{1 + (k or 0) % 2}-{1 + (k or 0) % 28:02d}", "O") for k in keys], "o_orderkey long, o_custkey long, d string, o_orderstatus string")
+    orders.withColumn("o_orderdate", F.to_timestamp("d")).drop("d").write.parquet(str(tmp_path / "orders.parquet"))
+    got = q_sources.src_index_from_files(spark, str(tmp_path))
+    kinds = {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()}
+    seeds = q_sources._responses(spark, str(tmp_path)).select("seed_url")
+    day = F.substring(F.element_at(F.split("seed_url", "#"), -2), 7, 2)
+    days = {r[0]: r[1] for r in seeds.distinct().groupBy(day).count().collect()}
+    whole = sum(1 + (k or 0) % 28 not in (7, 13) for k in keys)
+    assert kinds["rejected"] == days["13"] and kinds["missing_file"] == days["07"]
+    assert kinds["capture"] + kinds.get("no_path", 0) == whole
+    assert len(held) == len(keys) // 60 + 1 and max(held) < 150
+    assert not [n for _, _, names in os.walk(root[0]) for n in names]
+
+
+def test_only_named_files_are_removed(spark, tmp_path):
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text("[]")
+    names = spark.createDataFrame([("a.json",), ("a.json",), ("gone.json",), ("../a.json",), (None,)], "p string")
+    assert files.remove_listed(names.coalesce(1), "p", str(tmp_path)) == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["b.json"]

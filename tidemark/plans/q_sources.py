@@ -10,7 +10,7 @@ from tidemark.plans.inputs import captures, errors, oracle
 from tidemark.plans.registry import query, table
 from tidemark.session import work_dir
 from tidemark.sources import capture_index, page_store, tsv
-from tidemark.sources.files import write_listed
+from tidemark.sources.files import remove_listed, write_listed
 from tidemark.sources.tables import KeyedTable
 
 _COMMUNITY_PATH = "concat('/r/', lower(lang), cast(page_id % 40 as string), '/about')"
@@ -69,6 +69,10 @@ def _store(spark, key, rows):
 _RESPONSE = 4096
 
 
+# Index files on the disk at a time, about.
+_FILES = 1 << 18
+
+
 def _responses(spark, sf_dir):
     """Index responses rendered from the captures, one per URL, second and range of positions; a few
     are damaged."""
@@ -189,13 +193,33 @@ def src_pages_from_files(spark, sf_dir):
     ),
 )
 def src_index_from_files(spark, sf_dir):
-    """Index responses from one file per seed URL; some seeds have none, some files cannot be used."""
-    responses = _responses(spark, sf_dir)
-    root = work_dir(spark, "index_files")
+    """Index responses from one file per seed URL; some seeds have none, some files cannot be used.
+
+    A file takes a block of the disk, however short it is. So responses are written, read and removed in rounds of
+    about ``_FILES`` files, and the rows are kept."""
+    rounds = captures(spark, sf_dir).count() // _FILES + 1
+    responses = _responses(spark, sf_dir).withColumn("round", F.pmod(F.xxhash64("seed_url"), F.lit(rounds)))
+    path, root, kept = (work_dir(spark, label) for label in ("responses", "index_files", "index_rows"))
+    responses.write.partitionBy("round").parquet(path)
+    for i in range(rounds):
+        some = spark.read.schema(responses.schema).parquet(path).where(F.col("round") == i).drop("round")
+        read = _index_files(some, root).persist()  # each file is read once
+        rows = _index_rows(read)
+        rows.write.mode("append").parquet(kept)
+        read.unpersist()
+        remove_listed(some.select(capture_index.index_file(F.col("seed_url"), spread=True).alias("file")), "file", root)
+    return spark.read.schema(rows.schema).parquet(kept)
+
+
+def _index_files(responses, root):
+    """What the files of the responses hold, once they are written but for some."""
     named = responses.withColumn("file", capture_index.index_file(F.col("seed_url"), spread=True))
     day = F.substring(F.element_at(F.split("seed_url", "#"), -2), 7, 2)
     write_listed(named.where(day != "07"), "file", "body", root)
-    read = capture_index.responses_from_files(responses.select("seed_url"), root, spread=True)
+    return capture_index.responses_from_files(responses.select("seed_url"), root, spread=True)
+
+
+def _index_rows(read):
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("ts14", "string"), ("digest", "string"))]
     there = read.where("status = 'ok'")
     rejected = capture_index.rejected_responses(there).select("seed_url", F.lit("rejected").alias("kind"), *nothing)

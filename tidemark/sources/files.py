@@ -129,3 +129,23 @@ def write_listed(rows: DataFrame, path: str, body: str, root: str) -> int:
 
     named = rows.select(F.col(path).alias("path"), F.col(body).cast("string").alias("body"))
     return named.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def remove_listed(manifest: DataFrame, path: str, root: str) -> int:
+    """Delete the files that ``path`` names below ``root``; how many there were. Folders stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _file_system(root)
+        for batch in batches:
+            done = 0
+            for name in batch.column(0).to_pylist():
+                try:
+                    if _inside(name):
+                        store.delete_file(f"{base}/{name}")
+                        done += 1
+                except FileNotFoundError:
+                    pass
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    named = manifest.select(F.col(path).alias("path"))
+    return named.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
